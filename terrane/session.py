@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: their Python workers import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="terrane-ship-")
+        copy = shutil.copytree(root, f"{folder}/src/{root.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", copy.rpartition("/")[0]))
+
 
 def build_session(app: str = "terrane", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session pinned to UTC with adaptive execution; ``master`` only where it isn't given by spark-submit."""
@@ -24,4 +41,5 @@ def build_session(app: str = "terrane", master: str | None = None, shuffle_parti
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
