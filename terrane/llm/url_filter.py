@@ -5,7 +5,7 @@ and stored as one flat file: digests, rule numbers, key offsets, key bytes. Exec
 distribution, map it into memory, and probe the digests of every host suffix and path prefix of a URL; the stored string
 of each hit is compared with the candidate, so that a digest collision can't decide.
 
-Spark computes host, path and candidate keys with column functions; Python only searches arrays. Rule sets beyond
+Host and path are column functions. Rule sets beyond
 ``MAX_INDEX_BYTES`` are cut into shards by the digests' leading bits; distinct candidates are then dealt by those bits too,
 and each shard is searched in its own task (cogrouped), so that no executor holds the whole rule set.
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,12 +131,11 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         keys.unpersist()
         return _parts(pages, url_col).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     out = _parts(pages, url_col)
-    wanted = _candidates(F.col("host"), F.col("path"), lengths)
     if 25 * facts["n"] + facts["bytes"] <= max_index_bytes:
-        hit = _mapped_probe(pages.sparkSession, keys)(wanted)
+        hit = _mapped_probe(pages.sparkSession, keys, lengths)(F.col("host"), F.col("path"))
         keys.unpersist()
     else:
-        return _sharded(out, wanted, keys, facts["n"], default)
+        return _sharded(out, _candidates(F.col("host"), F.col("path"), lengths), keys, facts["n"], default)
     return (
         out.withColumn("_hit", hit)
         .withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.lit(default))})
@@ -148,8 +148,14 @@ def _parts(pages: DataFrame, url_col: str) -> DataFrame:
     return pages.withColumns({"host": F.coalesce(host_of(url), F.lit("")), "path": F.coalesce(path_of(url), F.lit(""))})
 
 
-def _mapped_probe(spark: SparkSession, keys: DataFrame):
-    """A column function that probes an index file which every executor maps."""
+def _keys_of(host: str, path: str, lengths: list[int]) -> list[str]:
+    labels = host.split(".")
+    prefixes = [path[:n] for n in lengths if n <= len(path)]
+    return [".".join(labels[i:]) + prefix for i in range(len(labels)) for prefix in prefixes]
+
+
+def _mapped_probe(spark: SparkSession, keys: DataFrame, lengths: list[int]):
+    """A column function of host and path that probes an index file which every executor maps."""
     rows = keys.select("key", "digest", "verdict").toPandas()  # at most max_index_bytes
     index = DigestIndex.build(rows["digest"].to_numpy(np.int64), list(rows["key"]), (rows["verdict"] == "block").to_numpy())
     folder = tempfile.mkdtemp(prefix="terrane-index-")
@@ -158,15 +164,16 @@ def _mapped_probe(spark: SparkSession, keys: DataFrame):
     spark.sparkContext.addFile(os.path.join(folder, name))
 
     @F.arrow_udf("rule string, verdict string")
-    def probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def probe(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         mapped = DigestIndex.load(SparkFiles.get(name))
-        for batch in batches:
-            flat = batch.flatten()
-            texts = flat.field("key").to_pylist()
-            at = mapped.find(flat.field("digest").to_numpy(zero_copy_only=False), texts)
-            owner = np.repeat(np.arange(len(batch)), np.diff(batch.offsets.to_numpy()))
-            rule: list = [None] * len(batch)
-            verdict: list = [None] * len(batch)
+        for hosts, paths in batches:
+            asked = [_keys_of(h, p, lengths) for h, p in zip(hosts.to_pylist(), paths.to_pylist())]
+            texts = [key for own in asked for key in own]
+            digests = np.array([xxhash.xxh64_intdigest(key.encode(), SEED) for key in texts], np.uint64).view(np.int64)
+            at = mapped.find(digests, texts)
+            owner = np.repeat(np.arange(len(asked)), [len(own) for own in asked])
+            rule: list = [None] * len(asked)
+            verdict: list = [None] * len(asked)
             for i in np.flatnonzero(at >= 0):
                 row = owner[i]
                 if rule[row] is None or len(texts[i]) > len(rule[row]):
