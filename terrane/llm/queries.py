@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, langid, near_dedup, packing, pii, quality, topk, url_filter
+from terrane.llm import decontaminate, langid, near_dedup, packing, pii, quality, suffix_dedup, topk, url_filter
 from terrane.session import table
 
 URL_RULES = [
@@ -21,6 +21,11 @@ URL_RULES = [
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.strip_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs, shingle_words=2).select("doc_id", "n_shingles", "component_id", "kept")
@@ -85,6 +90,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
