@@ -12,6 +12,7 @@ interchangeable). Texts of any length are tokenised whole, in pieces cut at whit
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -27,43 +28,78 @@ from terrane.llm.store import materialise
 MAX_TOKENS = 2048
 END_ID = 1
 #: Words whose ids a worker keeps, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 200_000, 40
+CACHE_WORDS, CACHE_CHARS = 400_000, 40
 #: Pieces of one length that are ranked in one group, about.
 RANK_GROUP = 20_000
 
+#: Up to 40 Latin-1 letters, then up to 8 signs none of which is an apostrophe or opens a special token.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-&(-/:;=-@\[-`{-~]{0,8})")
+
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
 class Tokens:
     """Ids of texts as little-endian 32-bit bytes, by a public tokenizer that drops white space.
 
-    No token of it crosses a space or line feed, so a text's ids are those of its words, which repeat.
+    No token of it crosses a space or line feed, so a text's ids are those of its words, which repeat. Most words are Latin-1
+    letters and a tail of signs. The tokenizer parts letters from signs, and its normaliser only lower-cases such letters;
+    new stems are therefore lower-cased and encoded together, by the same model without the normaliser.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole, self.stems = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.stems.normalizer = normalizers.Sequence([])
+        self.stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
+        self.stem: dict[str, bytes] = {}
+        self.tail: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        fresh = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(fresh) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-            fresh = {w for words in split for w in words if w}
-        new = list(fresh)
-        local = self.known
-        for begin in range(0, len(new), 10_000):
-            part = new[begin : begin + 10_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                local[word] = np.array(code.ids, "<u4").tobytes()
-        out = [b"".join([local[w] for w in words]) for words in split]
-        for word in new:
-            if len(word) > CACHE_CHARS:
-                del local[word]
+        if len(self.stem) > CACHE_WORDS:
+            self.stem = {}
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        coded = [list(map(self.known.get, words)) for words in split]
+        fresh = self._new({w for words, codes in zip(split, coded) for w, c in zip(words, codes) if c is None})
+        return [b"".join([fresh[w] if c is None else c for w, c in zip(words, codes)]) for words, codes in zip(split, coded)]
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        plain, odd = [], []
+        for word in words:
+            found = _PLAIN.fullmatch(word)
+            if found:
+                plain.append((word, found[1].lower(), found[2]))
+            else:
+                odd.append(word)
+        stems = list({stem for _, stem, _ in plain if stem not in self.stem})
+        first = set(stems)
+        for begin in range(0, len(stems), 20_000):
+            part = stems[begin : begin + 20_000]
+            code = self.stems.encode(" ".join(part), add_special_tokens=False)
+            ids, ends = np.array(code.ids, "<u4"), np.flatnonzero(np.diff(code.word_ids, append=-1)) + 1
+            raw, at = ids.tobytes(), 0
+            for stem, end in zip(part, ends.tolist()):
+                self.stem[stem] = raw[at : 4 * end]
+                at = 4 * end
+        self._whole(list({tail for _, _, tail in plain if tail not in self.tail}), self.tail)
+        out: dict[str, bytes] = {}
+        self._whole(odd, out)
+        self.known.update((w, c) for w, c in out.items() if len(w) <= CACHE_CHARS)
+        for word, stem, tail in plain:
+            out[word] = self.stem[stem] + self.tail[tail]
+            if stem not in first:  # most words that are new now don't come again
+                self.known[word] = out[word]
         return out
 
+    def _whole(self, words: list[str], into: dict[str, bytes]) -> None:
+        for begin in range(0, len(words), 10_000):
+            part = words[begin : begin + 10_000]
+            for word, code in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)):
+                into[word] = np.array(code.ids, "<u4").tobytes()
+
 
 def cut(ids: bytes, max_tokens: int) -> list[tuple[int, int, int]]:
     """(start, length, crc32) of each piece of one document's ids."""
