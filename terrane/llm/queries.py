@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, langid, near_dedup, packing, pii, quality, suffix_dedup, topk, url_filter
+from terrane.llm import decontaminate, html_extract, langid, near_dedup, packing, pii, quality, suffix_dedup, topk, url_filter
 from terrane.session import table
 
 URL_RULES = [
@@ -18,6 +18,11 @@ URL_RULES = [
 ]
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -92,6 +97,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
