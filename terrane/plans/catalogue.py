@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from terrane.plans import relational
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (relational,):
+    QUERIES |= _module.registry.queries
+    ORACLE_SQL |= _module.registry.sql
