@@ -8,8 +8,10 @@ before the full sets are compared. A pair at similarity 0.8 shares no band with
 of the sketch test with about the same.
 
 No bucket is expanded into all its pairs. First each class of a bucket is compared with the bucket's smallest class only, and
-confirmed links are joined to components. Then only those pairs of a bucket are compared that lie in different components,
-in blocks of ``BLOCK`` classes, so that a large bucket is shared by many tasks. No bucket is cut or sampled.
+confirmed links are joined to components. Classes that buckets connect form a cluster; where one holds several components,
+the classes outside its largest component are compared with all others of the cluster, in blocks of ``BLOCK`` classes that
+tasks share. Within a block pair, classes that links have joined aren't compared again, and only joining links leave the
+task. No bucket is cut or sampled.
 
 Links need |A & B| >= similarity * |A | B| on full sets. Cases: null and empty texts, and those without words, have no shingles
 and are linked with nothing; with fewer words than a shingle has, all words are one shingle; repeated rows are in one class;
@@ -34,7 +36,7 @@ SIMILARITY_PERCENT = 80
 BANDS, ROWS = 24, 4
 SKETCH_BITS = 512
 MARGIN = 0.28
-BLOCK = 500
+BLOCK = 250
 
 _WORD = byte_set(lambda b: b not in b" \t\n\v\f\r")
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -116,6 +118,14 @@ def _flips(a: Column, b: Column) -> Column:
     return total
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 class _Verifier:
     """Full shingle sets of the classes that some pair asks for, and the comparison of pairs."""
 
@@ -141,19 +151,10 @@ class _Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         sets, percent = self.sets(pairs), self.percent
 
-        def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-            out = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-            return pa.array(out, pa.bool_())
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = linked(batch.column(2), batch.column(3))
+                met = zip(batch.column(2), batch.column(3))
+                keep = pa.array([_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in met], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
         side = lambda c: sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"s{c}"))
@@ -168,18 +169,63 @@ def _close(pairs: DataFrame, classes: DataFrame, flips: int) -> DataFrame:
     return materialise(met.where(_flips(F.col("ka"), F.col("kb")) <= flips).select("a", "b"), "close")
 
 
-def _across(keyed: DataFrame, buckets: DataFrame, classes: DataFrame, roots: DataFrame, flips: int, block: int) -> DataFrame:
-    """Close pairs of classes that meet in a bucket and lie in different components."""
-    members = keyed.join(buckets.where("n > 2"), "key").join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("key", "n", "pivot", "cid", F.coalesce("root", "cid").alias("root"))
+def _joining(flips: int, percent: int):
+    """The links of one pair of blocks that join components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.select(["side", "cid", "root", "sketch", "shingles"]).to_pydict()
+        sketches = np.array(rows["sketch"], np.int64).view(np.uint64)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        side = np.array(rows["side"])
+        right = np.flatnonzero(side == 1)
+        out = []
+        for x in np.flatnonzero(side == 0):
+            apart = np.bitwise_count(sketches[right] ^ sketches[x]).sum(1)
+            for k in np.argsort(apart, kind="stable"):
+                if apart[k] > flips:
+                    break
+                y = right[k]
+                a, b = top(rows["root"][x]), top(rows["root"][y])
+                if a != b and _linked(sets[x], sets[y], percent):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((rows["cid"][x], rows["cid"][y]))
+        return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _across(verifier: _Verifier, stars: DataFrame, roots: DataFrame, flips: int, block: int) -> DataFrame:
+    """Links between the components of a cluster."""
+    clusters = components(stars).select(F.col("id").alias("cid"), F.col("root").alias("cluster"))
+    members = clusters.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "cluster", F.coalesce("root", "cid").alias("root"))
     members = materialise(members, "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    own = members.join(mixed, "key", "left_semi").join(classes.select("cid", "sketch"), "cid")
-    own = own.withColumn("last", F.ceil(F.col("n") / block).cast("int") - 1).withColumn("at", F.pmod(F.xxhash64("cid"), F.col("last") + 1).cast("int"))
-    own = materialise(own, "mixed")
-    left = own.select("key", F.col("at").alias("i"), F.explode(F.sequence("at", "last")).alias("j"), F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("ka"), "pivot")
-    right = own.select("key", F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"), F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("kb"))
-    met = left.join(right, ["key", "i", "j"]).where("ra <> rb AND a <> pivot AND b <> pivot AND (i < j OR a < b)").where(_flips(F.col("ka"), F.col("kb")) <= flips)
-    return materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    # Of two classes the star has tested the only pair.
+    mixed = mixed.where("parts > 1 AND all > 2").select("cluster", "main", blocks(F.col("all") - F.col("most")).alias("few"), blocks(F.col("most")).alias("many"))
+    own = members.join(mixed, "cluster").withColumn("minor", F.col("root") != F.col("main"))
+    own = own.withColumn("at", F.pmod(F.xxhash64("cid"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many"))).cast("int"))
+    own = materialise(own.join(verifier.classes.select("cid", "sketch"), "cid"), "mixed")
+    if not own.limit(1).count():
+        return stars.limit(0)
+    sets = verifier.sets(own.select(F.col("cid").alias("a"), F.col("cid").alias("b")))
+    own = own.join(sets, "cid")
+    # Blocks of the largest component are numbered 0.., those of the others follow.
+    minor = own.where("minor").withColumn("number", F.col("many") + F.col("at"))
+    fields = ["cid", "root", "sketch", "shingles"]
+    left = minor.select("cluster", F.col("at").alias("i"), F.explode(F.concat(F.sequence(F.lit(0), F.col("many") - 1), F.sequence("number", F.col("many") + F.col("few") - 1))).alias("j"), F.lit(0).alias("side"), *fields)
+    met = minor.select("cluster", F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("number").alias("j"), F.lit(1).alias("side"), *fields)
+    right = own.where("NOT minor").select("cluster", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), *fields)
+    pairs = left.unionByName(met).unionByName(right)
+    return materialise(pairs.groupBy("cluster", "i", "j").applyInArrow(_joining(flips, verifier.percent), "a long, b long"), "joining")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = WORDS, percent: int = SIMILARITY_PERCENT, block: int = BLOCK) -> DataFrame:
@@ -192,14 +238,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = WORDS, percent: int =
     flips = most_flips(percent / 100 - MARGIN)
 
     keyed = classes.select("cid", F.explode("bands").alias("key"))
-    buckets = materialise(keyed.groupBy("key").agg(F.min("cid").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    buckets = materialise(keyed.groupBy("key").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).where("pivot < last").select("key", "pivot"), "buckets")
     stars = keyed.join(buckets, "key").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+    stars = materialise(stars, "stars")
     verifier = _Verifier(docs, classes, shingle_words, percent)
     links = verifier.links(_close(stars, classes, flips))
     roots = components(links)
-    across = _across(keyed, buckets, classes, roots, flips, block)
-    if across.limit(1).count():
-        roots = components(links.unionByName(verifier.links(across)))
+    joining = _across(verifier, stars, roots, flips, block)
+    if joining.limit(1).count():
+        roots = components(links.unionByName(joining))
 
     placed = classes.select("cid", "c1", "c2", "rep").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
