@@ -37,8 +37,8 @@ from terrane.llm.store import materialise
 from terrane.llm.text import as_bytes, list_array, mix
 
 LENGTH, GRAM = 400, 128
-#: Anchors that meet in one group of the merge, about; and those of one gram from which windows are counted instead.
-GROUP, HOT = 20_000, 20_000
+#: Anchors that meet in one group of the merge, about; and those of one gram (some 85 MB of contexts) from which windows are counted instead.
+GROUP, HOT = 20_000, 100_000
 #: Bytes of a text that are scanned at a time, and bytes of contexts in one sorted run.
 PIECE, RUN_BYTES = 1 << 19, 24 << 20
 
