@@ -12,11 +12,13 @@ interchangeable). Texts of any length are tokenised whole, in pieces cut at whit
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,13 @@ from terrane.llm.store import materialise
 MAX_TOKENS = 2048
 END_ID = 1
 #: Words whose ids a worker keeps, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+CACHE_WORDS, CACHE_CHARS = 200_000, 40
 #: Pieces of one length that are ranked in one group, about.
 RANK_GROUP = 20_000
 
-#: Up to 40 Latin-1 letters, then up to 8 signs none of which is an apostrophe or opens a special token.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-&(-/:;=-@\[-`{-~]{0,8})")
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+#: Fixed value: the tokenizer's splitting pattern, for such texts in lower case.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -41,64 +44,58 @@ PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 class Tokens:
     """Ids of texts as little-endian 32-bit bytes, by a public tokenizer that drops white space.
 
-    No token of it crosses a space or line feed, so a text's ids are those of its words, which repeat. Most words are Latin-1
-    letters and a tail of signs. The tokenizer parts letters from signs, and its normaliser only lower-cases such letters;
-    new stems are therefore lower-cased and encoded together, by the same model without the normaliser.
+    Texts are parted into the tokenizer's own words, which repeat, and new words are encoded together. In texts of ASCII and
+    Latin-1 letters, lower-casing and the splitting pattern do what the tokenizer's normaliser and splitter do, and its model
+    alone is asked. Other texts are parted at spaces and line feeds, which no token crosses, and go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.stems = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.stems.normalizer = normalizers.Sequence([])
-        self.stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.known: dict[str, bytes] = {"": b""}
-        self.stem: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {"": b""}
+        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        if len(self.stem) > CACHE_WORDS:
-            self.stem = {}
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        coded = [list(map(self.known.get, words)) for words in split]
-        fresh = self._new({w for words, codes in zip(split, coded) for w, c in zip(words, codes) if c is None})
-        return [b"".join([fresh[w] if c is None else c for w, c in zip(words, codes)]) for words, codes in zip(split, coded)]
-
-    def _new(self, words: set[str]) -> dict[str, bytes]:
-        plain, odd = [], []
-        for word in words:
-            found = _PLAIN.fullmatch(word)
-            if found:
-                plain.append((word, found[1].lower(), found[2]))
-            else:
-                odd.append(word)
-        stems = list({stem for _, stem, _ in plain if stem not in self.stem})
-        first = set(stems)
-        for begin in range(0, len(stems), 20_000):
-            part = stems[begin : begin + 20_000]
-            code = self.stems.encode(" ".join(part), add_special_tokens=False)
-            ids, ends = np.array(code.ids, "<u4"), np.flatnonzero(np.diff(code.word_ids, append=-1)) + 1
-            raw, at = ids.tobytes(), 0
-            for stem, end in zip(part, ends.tolist()):
-                self.stem[stem] = raw[at : 4 * end]
-                at = 4 * end
-        self._whole(list({tail for _, _, tail in plain if tail not in self.tail}), self.tail)
-        out: dict[str, bytes] = {}
-        self._whole(odd, out)
-        self.known.update((w, c) for w, c in out.items() if len(w) <= CACHE_CHARS)
-        for word, stem, tail in plain:
-            out[word] = self.stem[stem] + self.tail[tail]
-            if stem not in first:  # most words that are new now don't come again
-                self.known[word] = out[word]
+        plain = [_PLAIN.fullmatch(text) is not None and "<|" not in text for text in texts]
+        out: list[bytes] = [b""] * len(texts)
+        for kind, known, part, ask in ((True, self.words, lambda t: _WORD.findall(t.lower()), self._model), (False, self.chunks, lambda t: t.replace("\n", " ").split(" "), self._whole)):
+            rows = [i for i, p in enumerate(plain) if p == kind]
+            parts = [part(texts[i]) for i in rows]
+            codes = [list(map(known.get, words)) for words in parts]
+            new = {w for words, own in zip(parts, codes) if None in own for w, c in zip(words, own) if c is None}
+            if len(known) + len(new) > CACHE_WORDS:  # the words met first are mostly frequent ones
+                for word in list(islice(known, CACHE_WORDS // 2, None)):
+                    del known[word]
+            fresh = ask(list(new))
+            for i, words, own in zip(rows, parts, codes):
+                out[i] = b"".join([fresh[w] if c is None else c for w, c in zip(words, own)] if None in own else own)
+            known.update((w, c) for w, c in fresh.items() if len(w) <= CACHE_CHARS)
+        return out
+
+    def _model(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for begin in range(0, len(words), 20_000):
+            part = words[begin : begin + 20_000]
+            code = self.model.encode(" ".join(part), add_special_tokens=False)
+            raw, ends = np.array(code.ids, "<u4").tobytes(), (4 * np.flatnonzero(np.diff(code.word_ids, append=-1)) + 4).tolist()
+            out.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
         return out
 
-    def _whole(self, words: list[str], into: dict[str, bytes]) -> None:
+    def _whole(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
         for begin in range(0, len(words), 10_000):
             part = words[begin : begin + 10_000]
-            for word, code in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)):
-                into[word] = np.array(code.ids, "<u4").tobytes()
+            out.update((w, np.array(code.ids, "<u4").tobytes()) for w, code in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)))
+        return out
+
+
+@functools.cache
+def _tokens(path: str) -> Tokens:
+    """One a worker: its vocabulary is loaded, and its words are learned, once."""
+    return Tokens(path)
 
 
 def cut(ids: bytes, max_tokens: int) -> list[tuple[int, int, int]]:
@@ -114,7 +111,7 @@ def _tokenise(path: str, max_tokens: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = Tokens(path)
+        tokens = _tokens(path)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             for begin in range(0, len(names), 200):
