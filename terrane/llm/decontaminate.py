@@ -146,33 +146,40 @@ def match_column(spark: SparkSession, items: TestItems):
     """A column function: a text's number of words, and its longest matches with the items."""
     shared = spark.sparkContext.broadcast(items)  # at most MAX_BLOCK_BYTES of text
 
-    @F.arrow_udf("n_words long, matches array<struct<item: int, item_id: string, doc_word: long, n_words: long>>")
+    @F.arrow_udf(f"n_words long, matches array<struct<item: int, item_id: string, doc_word: long, n_words: long>>, {_DIGEST}")
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = shared.value
         for batch in batches:
             n_words, found = _matches(items, as_bytes(batch))
-            flat = [{"item": m[0], "item_id": items.ids[m[0]], "doc_word": m[1], "n_words": m[2]} for own in found for m in own]
-            lists = list_array(pa.array(flat, _MATCH), np.array([len(own) for own in found]), _MATCH)
-            yield pa.StructArray.from_arrays([pa.array(n_words), lists], ["n_words", "matches"])
+            named = [[{"item": m[0], "item_id": items.ids[m[0]], "doc_word": m[1], "n_words": m[2]} for m in own] for own in found]
+            lists = list_array(pa.array([m for own in named for m in own], _MATCH), np.array([len(own) for own in named]), _MATCH)
+            yield pa.StructArray.from_arrays([pa.array(n_words), lists, *_digests(named)], ["n_words", "matches", "n_hit", "n_items", "items_sha256"])
 
     return match
 
 
-def _digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """n_hit, n_items, items_sha256 of lists of matches."""
+_DIGEST = "n_hit long, n_items long, items_sha256 string"
+
+
+def _digests(rows: list[list[dict] | None]) -> list[pa.Array]:
+    """Words in matches, items and their digest, of each list of matches."""
+    hit, n_items, sha = [], [], []
+    for matches in rows:
+        spans = sorted((m["doc_word"], m["doc_word"] + m["n_words"]) for m in matches or [])
+        total = reach = 0
+        for a, b in spans:
+            total += max(0, b - max(a, reach))
+            reach = max(reach, b)
+        names = sorted({m["item_id"] for m in matches or [] if m["item_id"] is not None})
+        hit.append(total)
+        n_items.append(len(names))
+        sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
+    return [pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())]
+
+
+def _merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        hit, n_items, sha = [], [], []
-        for matches in batch.to_pylist():
-            spans = sorted((m["doc_word"], m["doc_word"] + m["n_words"]) for m in matches or [])
-            total = reach = 0
-            for a, b in spans:
-                total += max(0, b - max(a, reach))
-                reach = max(reach, b)
-            names = sorted({m["item_id"] for m in matches or [] if m["item_id"] is not None})
-            hit.append(total)
-            n_items.append(len(names))
-            sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        yield pa.StructArray.from_arrays([pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())], ["n_hit", "n_items", "items_sha256"])
+        yield pa.StructArray.from_arrays(_digests(batch.to_pylist()), ["n_hit", "n_items", "items_sha256"])
 
 
 def blocks(benchmark: DataFrame, window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> Iterator[TestItems]:
@@ -197,9 +204,13 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
             out = materialise(out, f"block{k}")
         out = out.withColumn(f"_m{k}", match_column(docs.sparkSession, items)(F.col("text")))
         parts.append(f"_m{k}")
-    out = out.withColumn("matches", F.concat(*[F.col(f"{p}.matches") for p in parts])).withColumn("n_words", F.col(f"{parts[0]}.n_words")).drop(*parts)
-    out = out.withColumn("_d", F.arrow_udf(_digest, "n_hit long, n_items long, items_sha256 string")("matches"))
-    out = out.withColumns({c: F.col(f"_d.{c}") for c in ("n_hit", "n_items", "items_sha256")}).drop("_d")
+    first = parts[0]
+    if len(parts) == 1:
+        out = out.withColumns({c: F.col(f"{first}.{c}") for c in ("n_words", "matches", "n_hit", "n_items", "items_sha256")}).drop(first)
+    else:
+        out = out.withColumn("matches", F.concat(*[F.col(f"{p}.matches") for p in parts])).withColumn("n_words", F.col(f"{first}.n_words")).drop(*parts)
+        out = out.withColumn("_d", F.arrow_udf(_merged, _DIGEST)("matches"))
+        out = out.withColumns({c: F.col(f"_d.{c}") for c in ("n_hit", "n_items", "items_sha256")}).drop("_d")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -52,12 +52,18 @@ class Tokens:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.model = path, Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [_PLAIN.fullmatch(text) is not None and "<|" not in text for text in texts]
         out: list[bytes] = [b""] * len(texts)
