@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import relational
+from terrane.plans import models, networks, relational, space, statistics, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (relational,):
+for _module in (relational, statistics, space, networks, models, streams):
     QUERIES |= _module.registry.queries
     ORACLE_SQL |= _module.registry.sql

@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows that executors hand to Python at a time: texts of some kilobytes make batches of some megabytes.
+BATCH_ROWS = 1000
+
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application: their Python workers import it."""
+    """Send this package to the executors, once an application: their Python workers import it. Keep their batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
