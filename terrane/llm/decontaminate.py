@@ -57,7 +57,7 @@ class TestItems:
         heads = np.zeros((len(places), window), ">u4")
         for i, (_, _, n) in enumerate(places):
             heads[i, :n] = self.words[self.at[i] : self.at[i] + n]
-        self.low = _keys(heads)
+        self.low = _keys(heads.copy())
         for i, (_, _, n) in enumerate(places):
             heads[i, n:] = 0xFFFFFFFF
         self.high = _keys(heads)
