@@ -44,9 +44,9 @@ PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 class Tokens:
     """Ids of texts as little-endian 32-bit bytes, by a public tokenizer that drops white space.
 
-    Texts are parted into the tokenizer's own words, which repeat, and new words are encoded together. In texts of ASCII and
-    Latin-1 letters, lower-casing and the splitting pattern do what the tokenizer's normaliser and splitter do, and its model
-    alone is asked. Other texts are parted at spaces and line feeds, which no token crosses, and go through the whole tokenizer.
+    Texts are parted at white space, which no token crosses; the parts repeat, and new ones are encoded together. In texts of ASCII
+    and Latin-1 letters, lower-casing and the splitting pattern do what the tokenizer's normaliser and splitter do, and its model
+    alone is asked for the words of new parts. Other texts are parted at spaces and line feeds only, and go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,7 +55,7 @@ class Tokens:
         self.path, self.model = path, Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     @functools.cached_property
@@ -67,7 +67,7 @@ class Tokens:
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [_PLAIN.fullmatch(text) is not None and "<|" not in text for text in texts]
         out: list[bytes] = [b""] * len(texts)
-        for kind, known, part, ask in ((True, self.words, lambda t: _WORD.findall(t.lower()), self._model), (False, self.chunks, lambda t: t.replace("\n", " ").split(" "), self._whole)):
+        for kind, known, part, ask in ((True, self.parts, lambda t: t.lower().split(), self._plain), (False, self.chunks, lambda t: t.replace("\n", " ").split(" "), self._whole)):
             rows = [i for i, p in enumerate(plain) if p == kind]
             parts = [part(texts[i]) for i in rows]
             codes = [list(map(known.get, words)) for words in parts]
@@ -81,6 +81,11 @@ class Tokens:
             known.update((w, c) for w, c in fresh.items() if len(w) <= CACHE_CHARS)
         return out
 
+    def _plain(self, parts: list[str]) -> dict[str, bytes]:
+        split = [_WORD.findall(part) for part in parts]
+        codes = self._model(list({word for words in split for word in words}))
+        return {part: b"".join([codes[word] for word in words]) for part, words in zip(parts, split)}
+
     def _model(self, words: list[str]) -> dict[str, bytes]:
         out = {}
         for begin in range(0, len(words), 20_000):
