@@ -37,11 +37,23 @@ def crosses_ray(px: Column, pz: Column, ax: Column, az: Column, bx: Column, bz:
     return over & (px < (bx - ax) * (pz - az) / F.when(over, bz - az) + ax)
 
 
-def segments_cross(a: str, b: str) -> Column:
-    """Whether two segments with columns x1 z1 x2 z2 under the prefixes a and b cross in their inner parts."""
+def _sides(a: str, b: str) -> tuple[Column, Column]:
+    """On which sides of each segment the other's ends lie, as products: negative for opposite sides, 0 where one lies on it."""
     c = lambda p, n: F.col(f"{p}{n}")
     side = lambda p, q, k: turn(c(p, "x1"), c(p, "z1"), c(p, "x2"), c(p, "z2"), c(q, f"x{k}"), c(q, f"z{k}"))
-    return (side(a, b, 1) * side(a, b, 2) < 0) & (side(b, a, 1) * side(b, a, 2) < 0)
+    return side(a, b, 1) * side(a, b, 2), side(b, a, 1) * side(b, a, 2)
+
+
+def segments_cross(a: str, b: str) -> Column:
+    """Whether two segments with columns x1 z1 x2 z2 under the prefixes a and b cross in their inner parts."""
+    one, other = _sides(a, b)
+    return (one < 0) & (other < 0)
+
+
+def segments_touch(a: str, b: str) -> Column:
+    """The same with ends that lie on the other segment (or, where all four are in line, without a look at their order)."""
+    one, other = _sides(a, b)
+    return (one <= 0) & (other <= 0)
 
 
 def ring_area(ring: Column) -> Column:

@@ -43,6 +43,18 @@ def box_mean_clamped(cells: DataFrame, v: str, reach: int, name: str) -> DataFra
     return pass_along(pass_along(cells, v, "iz", "ix", "_m"), "_m", "ix", "iz", name).drop("_m")
 
 
+def gaussian(cells: DataFrame, v: str, sigma: float, reach: int, name: str) -> DataFrame:
+    """Gaussian smoothing, along rows and then columns; beyond the edge nothing counts, and the weights there add up to less."""
+
+    def along(df: DataFrame, x: str, by: str, order: str, out: str) -> DataFrame:
+        around = F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x"))).over(_line(by, order, reach))  # 2 reach + 1 cells at most
+        weight = lambda c: F.exp(-(c["o"] - F.col(order)) * (c["o"] - F.col(order)) / (2 * sigma * sigma))
+        total = lambda f: F.aggregate("_around", F.lit(0.0), lambda sum_, c: sum_ + f(c))
+        return df.withColumn("_around", around).withColumn(out, total(lambda c: c["x"] * weight(c)) / total(weight)).drop("_around")
+
+    return along(along(cells, v, "iz", "ix", "_m"), "_m", "ix", "iz", name).drop("_m")
+
+
 def relative_height(cells: DataFrame, v: str, reach: int, name: str = "tpi") -> DataFrame:
     """The cell less the mean of its neighbourhood."""
     return box_mean(cells, v, reach, "_mean").withColumn(name, F.col(v) - F.col("_mean")).drop("_mean")
@@ -121,6 +133,12 @@ def zonal(cells: DataFrame, zones: DataFrame, zone: str, aggregates: list[Column
     return zones.select(zone, "ix", "iz").join(cells, ["ix", "iz"]).groupBy(zone).agg(*aggregates)
 
 
+def covered_share(footprints: DataFrame, key: str, mask: DataFrame, name: str) -> DataFrame:
+    """The share of each footprint's cells that lie in the mask."""
+    marked = footprints.join(mask.select("ix", "iz").distinct().withColumn("_in", F.lit(1.0)), ["ix", "iz"], "left")
+    return marked.groupBy(key).agg(F.avg(F.coalesce("_in", F.lit(0.0))).alias(name))
+
+
 def gathered(points: DataFrame, cells: DataFrame, x: str, z: str, v: str, name: str, x0: float = 0.0, z0: float = 0.0, cell: float = 1.0) -> DataFrame:
     """Value at each point's nearest cell centre; null off the grid."""
     near = points.withColumns({"_ix": F.floor((F.col(x) - x0) / cell + 0.5).cast("int"), "_iz": F.floor((F.col(z) - z0) / cell + 0.5).cast("int")})

@@ -98,6 +98,19 @@ def overlapping_boxes(boxes: DataFrame, key: str, size: float) -> DataFrame:
     return pairs.select(c(f"a_{key}").alias("a"), c(f"b_{key}").alias("b"), area.alias("area"))
 
 
+def meeting_polygons(edges: DataFrame, polygon: str, i: str, size: float) -> DataFrame:
+    """Pairs a < b of polygons, given by their edges, of which edges cross or touch, or one holds a vertex of the other."""
+    names = ("x1", "z1", "x2", "z2")
+    placed = _segment_cells(edges.select(polygon, *names), size, 0.0)
+    a = placed.withColumnsRenamed({c: f"a_{c}" for c in (polygon, *names)})
+    b = placed.withColumnsRenamed({c: f"b_{c}" for c in (polygon, *names)})
+    met = a.join(b, ["_cx", "_cz"]).where((F.col(f"a_{polygon}") < F.col(f"b_{polygon}")) & G.segments_touch("a_", "b_"))
+    vertices = edges.select(F.struct(polygon, i).alias("_v"), F.col("x1").alias("x"), F.col("z1").alias("z"))
+    inside = points_in_polygons(vertices, "_v", edges, polygon, size).select(F.col(f"_v.{polygon}").alias("_p"), polygon).where(F.col("_p") != F.col(polygon))
+    pairs = met.select(F.col(f"a_{polygon}").alias("a"), F.col(f"b_{polygon}").alias("b"))
+    return pairs.unionByName(inside.select(F.least("_p", polygon).alias("a"), F.greatest("_p", polygon).alias("b"))).distinct()
+
+
 def self_crossings(edges: DataFrame, ring: str, i: str, n: str) -> DataFrame:
     """Pairs of edges of a ring (numbered from 0, n in all) that cross and aren't neighbours."""
     names = (i, "x1", "z1", "x2", "z2")
