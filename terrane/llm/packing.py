@@ -70,15 +70,16 @@ class Tokens:
         for kind, known, part, ask in ((True, self.words, lambda t: _WORD.findall(t.lower()), self._model), (False, self.chunks, lambda t: t.replace("\n", " ").split(" "), self._whole)):
             rows = [i for i, p in enumerate(plain) if p == kind]
             parts = [part(texts[i]) for i in rows]
-            codes = [list(map(known.get, words)) for words in parts]
-            new = {w for words, own in zip(parts, codes) if None in own for w, c in zip(words, own) if c is None}
-            if len(known) + len(new) > CACHE_WORDS:  # the words met first are mostly frequent ones
+            new = set().union(*parts).difference(known)
+            known.update(ask(list(new)))
+            for i, words in zip(rows, parts):
+                out[i] = b"".join(map(known.__getitem__, words))
+            for word in new:
+                if len(word) > CACHE_CHARS:
+                    del known[word]
+            if len(known) > CACHE_WORDS:  # the words met first are mostly frequent ones
                 for word in list(islice(known, CACHE_WORDS // 2, None)):
                     del known[word]
-            fresh = ask(list(new))
-            for i, words, own in zip(rows, parts, codes):
-                out[i] = b"".join([fresh[w] if c is None else c for w, c in zip(words, own)] if None in own else own)
-            known.update((w, c) for w, c in fresh.items() if len(w) <= CACHE_CHARS)
         return out
 
     def _model(self, words: list[str]) -> dict[str, bytes]:
