@@ -29,8 +29,8 @@ from terrane.llm.store import materialise
 
 MAX_TOKENS = 2048
 END_ID = 1
-#: Words whose ids a worker keeps, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 200_000, 40
+#: Words whose ids a worker keeps (some 120 MB), and the longest such word.
+CACHE_WORDS, CACHE_CHARS = 600_000, 40
 #: Pieces of one length that are ranked in one group, about.
 RANK_GROUP = 20_000
 
