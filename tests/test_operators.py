@@ -150,6 +150,14 @@ def test_graphs(spark):
     assert values(graphs.shortest_paths(road, spark.createDataFrame([(1,)], "id long")), "id", "cost") == [(1, 0.0), (2, 1.0), (3, 2.0)]
 
 
+def test_outlets_of_long_chains_and_cycles(spark):
+    chain = spark.range(0, 5000).select("id", (F.col("id") + 1).alias("next"))
+    ring = spark.range(0, 7).select((F.col("id") + 10000).alias("id"), ((F.col("id") + 1) % 7 + 10000).alias("next"))
+    tail = spark.createDataFrame([(20000, 10000)], "id long, next long")
+    got = graphs.outlets(chain.unionByName(ring).unionByName(tail)).groupBy("outlet").count()
+    assert {r["outlet"]: r["count"] for r in got.collect()} == {5000: 5000, None: 8}
+
+
 def test_quality(spark):
     rows = spark.createDataFrame([(i, float(i)) for i in range(61)], "id int, v double")
     rules = [quality.Rule("big", F.when(F.col("v") == 60, "FAIL").otherwise("WARN"), -F.col("v"), F.lit("m")), quality.Rule("none", F.lit(None).cast("string"), F.col("v"), F.lit("m"))]
