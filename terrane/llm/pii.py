@@ -5,8 +5,11 @@ grow from each ``@``, the other kinds from runs of digits.
 
 Disguised ones: transducers rewrite the text and keep, for each character written, the source characters it stands for. They
 map homoglyphs, full-width forms and digits of other scripts to ASCII, drop invisible characters, turn ``[at]``, ``(dot)``,
-``name at host dot org`` and the like into signs, and runs of at least ``MIN_SPELLED`` spelled digits into digits. The same detectors
-read the normalised text; their spans are mapped back to source characters and added unless plain spans of that kind cover them.
+``name at host dot org`` and the like into signs, and runs of at least ``MIN_SPELLED`` digits, three or more of them spelled, into
+digits. ``point`` and a spaced ``.`` are signs only inside an address, as both are usual in prose: between four numbers, or in a
+host that ends in a known top-level domain (after the bare words ``at`` and ``chez``, one that isn't a word as well: ``at some point
+in`` and ``at noon . it`` are prose). The same detectors read the normalised text; their spans are mapped back to source
+characters and added unless plain spans of that kind cover them.
 
 Spans are code points, end exclusive. Cases: null and empty texts have no spans; repeated rows are judged alike; texts of any
 length are read whole.
@@ -112,15 +115,33 @@ _DIGIT_OF = {word: digit for digit, group in _SPELLED.items() for word in group.
 _NUMBER = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[ -]?)?(?:(?:{_NUMBER}|[0-9])[ .()-]{{1,3}}){{{MIN_SPELLED - 1},}}(?:{_NUMBER}|[0-9])(?!\w)", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"plus|{_NUMBER}|[0-9]", re.IGNORECASE)
-_SPELLED_HINT = re.compile(rf"\b(?:{_NUMBER})[ .()-]{{1,3}}(?:{_NUMBER})[ .()-]{{1,3}}(?:{_NUMBER})\b", re.IGNORECASE)
+# The first spelled digit of a run that holds three, or the second after a joined "plus", meets this.
+_SPELLED_HINT = re.compile(rf"\b(?:{_NUMBER})[ .()-]{{1,3}}(?:{_NUMBER}|[0-9])\b", re.IGNORECASE)
 _AT = r"(?:at|arroba|chez|@)"
 _DOT = r"(?:dot|punto|punkt|point|\.)"
 _SIGNS = re.compile(
     rf"(?P<at>\s*[\[({{<]\s*{_AT}\s*[\])}}>]\s*)|(?P<dot>\s*[\[({{<]\s*{_DOT}\s*[\])}}>]\s*)"
-    rf"|(?P<bare>(?<=[A-Za-z0-9])\s+{_AT}\s+(?=[A-Za-z0-9-]+(?:\s+{_DOT}\s+[A-Za-z0-9-]+)+))|(?P<word>(?<=[A-Za-z0-9])\s+(?:dot|punto|punkt)\s+(?=[A-Za-z0-9]))",
+    rf"|(?P<bare>(?<=[A-Za-z0-9])\s+{_AT}\s+(?=[A-Za-z0-9-]+(?:\s+{_DOT}\s+[A-Za-z0-9-]+)+))|(?P<word>(?<=[A-Za-z0-9])\s+(?:dot|punto|punkt)\s+(?=[A-Za-z0-9]))"
+    r"|(?P<weak>(?<=[A-Za-z0-9])\s+(?:point|\.)\s+(?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )
-_SIGNS_HINT = re.compile(r"[\[({<]\s*(?:at|arroba|chez|@|dot|punto|punkt|point|\.)\s*[\])}>]|\s(?:dot|punto|punkt)\s", re.IGNORECASE)
+# Every branch of _SIGNS holds a bracketed sign or a dot between spaces.
+_SIGNS_HINT = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT})\s*[\])}}>]|\s{_DOT}\s", re.IGNORECASE)
+_LINK = re.compile(r"[A-Za-z0-9._%+@-]+")
+_BEFORE = re.compile(r"[A-Za-z0-9._%+@-]{1,64}\Z")
+# Top-level domains that aren't words of prose, and those that are.
+_DOMAINS = frozenset(
+    "com org net edu gov mil int biz info example test ac ae af ag ai al ao aq ar aw ax az bb bd bf bg bh bi bj bm bn bo br bs bt bv bw bz ca cc cd cf cg ch "
+    "ck cl cm cn cr cu cv cw cx cy cz de dj dk dm dz ec ee eg er fi fj fk fm fr gb gd gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hn hr ht hu ie im iq "
+    "ir jm jo jp ke kg kh ki km kn kp kr kw ky kz lb lc li lk lr ls lt lu lv ly mc md mg mh mk ml mn mp mq mt mv mw mx mz nc nf ng nl np nr nz om pe pf pg "
+    "ph pk pl pn pr ps pt pw py qa ro rs ru rw sb sc sd sg sj sk sl sm sn sr ss sv sx sy sz td tf tg th tj tk tl tm tn tr tt tw tz ua ug uk uy uz vc vg vi "
+    "vn vu wf yt za zm zw".split()
+)
+_WORDS = frozenset(
+    "ad am as at au ba be by ci co do es eu fo ga ge hm id il in io is it je la ma me mm mo mr ms mu my na ne ni no nu pa pm re sa se sh si so st su tc to "
+    "tv us uz va ve ws ye aero app asia blog cat club coop dev email jobs live mobi museum name news online pro shop site space store tech tel travel "
+    "website world xyz".split()
+)
 _STRANGE = re.compile(f"[{_INVISIBLE}{''.join(_LOOKS)}！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 
 
@@ -173,8 +194,67 @@ def _spelled(tape: Tape) -> Tape:
     return tape.rewritten(edits)
 
 
+def _chains(text: str) -> Iterator[list[re.Match]]:
+    """Signs with one word between each and the next."""
+    chain: list[re.Match] = []
+    for sign in _SIGNS.finditer(text):
+        if chain and not _LINK.fullmatch(text, chain[-1].end(), sign.start()):
+            yield chain
+            chain = []
+        chain.append(sign)
+    if chain:
+        yield chain
+
+
+def _weak_dots(text: str, chain: list[re.Match]) -> set[int]:
+    """Numbers of the weak dots of a chain that are inside an address."""
+    last = _LINK.match(text, chain[-1].end())
+    words = [m[0] if (m := _BEFORE.search(text, max(0, chain[0].start() - 64), chain[0].start())) else ""]
+    words += [text[a.end() : b.start()] for a, b in zip(chain, chain[1:])] + [last[0].rstrip(".-") if last else ""]
+    weak = [m.lastgroup == "weak" for m in chain]
+    # A sentence ends where a capital follows.
+    ends = [w and x[-1:].islower() and y[:1].isupper() and y[1:2].islower() for w, x, y in zip(weak, words, words[1:])]
+    fine: set[int] = set()
+    for i in range(len(chain) - 2):  # four numbers
+        if all(w.isdigit() and len(w) <= 3 for w in words[i : i + 4]) and all(m.lastgroup in ("weak", "word", "dot") for m in chain[i : i + 3]):
+            fine.update(k for k in range(i, i + 3) if weak[k])
+    signs = [(i + 1, m.group().strip().lower(), m.lastgroup == "at") for i, m in enumerate(chain) if m.lastgroup in ("at", "bare")]
+    signs += [(i, "@", True) for i, w in enumerate(words) if "@" in w.strip("@")]
+    for host, sign, sure in signs:
+        labels = [words[host].rpartition("@")[2]]
+        dots: list[int] = []
+        while host + len(dots) < len(chain) and "." not in labels[-1]:
+            k = host + len(dots)
+            if ends[k] or chain[k].lastgroup in ("at", "bare"):
+                break
+            dots.append(k)
+            labels.append(words[k + 1])
+            if "@" in labels[-1]:
+                break
+        tops = [x.lower().rpartition(".")[2] for x in labels]
+        known = [n for n in range(1, len(tops)) if tops[n] in _DOMAINS]
+        if not known and sign not in ("at", "chez"):
+            known = [n for n in range(1, len(tops)) if tops[n] in _WORDS] or ([1] if sure and len(tops) > 1 and len(tops[1]) > 1 and tops[1].isalpha() else [])
+        if not known:
+            continue
+        host_dots = dots[: known[-1]]
+        fine.update(k for k in host_dots if weak[k])
+        # The name before the sign is parted in the way of the host.
+        ways = {chain[k].group().strip().lower() for k in host_dots if weak[k]}
+        k = host - 2 if "@" not in words[host] else host - 1
+        while k >= 0 and chain[k].lastgroup not in ("at", "bare") and "@" not in words[k] and not ends[k] and (not weak[k] or chain[k].group().strip().lower() in ways):
+            if weak[k]:
+                fine.add(k)
+            k -= 1
+    return fine
+
+
 def _signs(tape: Tape) -> Tape:
-    return tape.rewritten([(*m.span(), "@" if m.lastgroup in ("at", "bare") else ".") for m in _SIGNS.finditer(tape.text)])
+    edits = []
+    for chain in _chains(tape.text):
+        weak = _weak_dots(tape.text, chain) if any(m.lastgroup == "weak" for m in chain) else ()
+        edits += [(*m.span(), "@" if m.lastgroup in ("at", "bare") else ".") for i, m in enumerate(chain) if m.lastgroup != "weak" or i in weak]
+    return tape.rewritten(edits)
 
 
 def normalise(text: str) -> Tape | None:

@@ -59,6 +59,14 @@ DISGUISED = [
     ("call plus four nine one five one two three four five six seven eight please", "phone", "plus four nine one five one two three four five six seven eight"),
     ("host 192​.168.0.1 up", "ip", "192​.168.0.1"),
     ("card ４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+    ("marie chez exemple point fr", "email", "marie chez exemple point fr"),
+    ("marie @ exemple . fr", "email", "marie @ exemple . fr"),
+    ("marie (at) exemple point fr", "email", "marie (at) exemple point fr"),
+    ("de marie point curie at exemple point fr et", "email", "marie point curie at exemple point fr"),
+    ("marie@exemple point co point uk", "email", "marie@exemple point co point uk"),
+    ("write to marie @ exemple . fr . Then wait", "email", "marie @ exemple . fr"),
+    ("host 192 . 168 . 0 . 1 up", "ip", "192 . 168 . 0 . 1"),
+    ("plus four 9 three 0 one 2 three 4 five 6", "phone", "plus four 9 three 0 one 2 three 4 five 6"),
 ]
 
 
@@ -77,6 +85,26 @@ def test_clean_texts_stay():
         assert pii.redacted(text, pii.find(text)[1]) == text
 
 
+def test_points_and_spaced_stops_of_prose_stay():
+    for text in (
+        "at this point in time", "look at it . Then go", "we arrived at noon . it was late", "at some point we met . at that point no one", "chez moi . de plus",
+        "mail a@b.org . Thanks", "see jane at work . in a week", "lunch @ noon . then home", "one . two . three", "1 . 2 . x",
+    ):
+        base, every = pii.find(text)
+        assert base == every, text
+
+
+def test_hints_let_through_all_that_the_transducers_read():
+    rng = random.Random(5)
+    signs = ["at", "@", "chez", "(at)", "[ dot ]", "dot", "point", ".", "punkt", "< . >", "x", "fr"]
+    digits = ["plus", "one", "zwei", "tres", "un", "4", "5", "66", "x"]
+    for _ in range(4000):
+        text = " ".join(rng.choice(signs) for _ in range(8))
+        assert pii._SIGNS_HINT.search(text) or not pii._SIGNS.search(text), text
+        text = "".join(rng.choice(digits) + rng.choice([" ", "-", ". ", ""]) for _ in range(12))
+        assert pii._SPELLED_HINT.search(text) or pii._spelled(pii.Tape.of(text)).text == text, text
+
+
 def test_queries_columns_and_redaction(spark):
     rows = [(1, "a@b.de and 10.0.0.1"), (2, None), (3, ""), (3, ""), (None, "+49 151 2345678 " * 2000), (5, "x [at] y [dot] de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(7))
