@@ -7,15 +7,17 @@ shared lines, the template's, are deleted.
 Pages of a host also repeat each other's articles, so differencing alone would delete these, and an advert that differs from page to page
 would stay. Structure therefore has the last word where a page shows any: lines in an ``article`` (else ``main``) element
 are never deleted as shared, lines outside it never kept, and navigation, headers, footers, asides, forms, adverts, notices and
-reader comments (by element, role, class or id) go in any case. A page without such elements is judged by differencing alone.
+reader comments (by element, role, class or id) go in any case. Within an article only whole names mark these, elsewhere also names
+all of whose parts do (``site-footer``, but not ``tag-social``); headings and the article itself are never marked. A page without such
+elements is judged by differencing alone.
 
 Only URLs and line hashes are sorted to find neighbours: by range over all pages, so that a large host is spread over many
 tasks, with the ends of ranges carried over. HTML moves once, to meet the verdict on its lines.
 
 Cases: null and empty pages, and those without text, give an empty text; a null URL has an empty host and path (pages of
 the empty host have no neighbour); copies of a page aren't its neighbours' verdict (a neighbour with the same lines is passed
-over for the one on the other side); repeated rows give equal rows; unclosed elements end where the page ends, and skipped ones at
-the next ``article`` or ``main`` at the latest.
+over for the one on the other side); repeated rows give equal rows; unclosed elements end where the page ends, and skipped ones where
+HTML implies their end (a ``p`` at the next block, an ``li`` at the next one, all at their parent's end) or at the next ``article`` or ``main``.
 """
 
 from __future__ import annotations
@@ -43,29 +45,99 @@ _TOKEN = re.compile(
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("nav footer aside form menu dialog button head".split())
-_SPOKEN = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_SPOKEN = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # Words of class, id and role attributes that mark what isn't the article.
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus "
     "footer gdpr masthead menu menubar nav navbar navigation newsletter notice pagination pager popup promo promoted related search share sharing "
     "sidebar social sponsor sponsored subscribe toolbar topbar contentinfo complementary".split()
 )
+# Further parts of names that hold one of these words and say no more.
+_PARTS = frozenset(
+    "area article bar block body bottom box btn button buttons content container div form group header inner item items left li link links list main meta "
+    "nav outer page panel post posts primary right row section secondary signup site slot top unit widget widgets wrap wrapper".split()
+)
+_COMMENTS = frozenset("comment comments disqus".split())
+# Whole names that mark an advert, a notice or a comment block within an article, and for classes, shares and navigation.
+_BLOCKS = _COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsbygoogle banner cookie cookies consent gdpr newsletter notice popup promo promoted sponsor sponsored subscribe".split()
+)
+_BARS = frozenset("breadcrumb breadcrumbs footer masthead menubar nav navbar navigation pagination pager share sharing sidebar toolbar topbar".split())
+_LANDMARKS = frozenset("banner complementary contentinfo menu menubar navigation search toolbar".split())
+_UNMARKED = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
+# Open elements that a start tag ends, unless one of the second group was opened after them.
+_PARAGRAPH = (("p",), ())
+_LIST, _TERM, _CELL, _ROW, _ROWS = (("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("td", "th"), ("table", "tr")), (("tr",), ("table",)), (("thead", "tbody", "tfoot"), ("table",))
+_ENDS = {x: [_PARAGRAPH] for x in "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()}
+_ENDS |= {"li": [_PARAGRAPH, _LIST], "dt": [_PARAGRAPH, _TERM], "dd": [_PARAGRAPH, _TERM], "td": [_CELL], "th": [_CELL], "tr": [_ROW], "thead": [_ROWS], "tbody": [_ROWS], "tfoot": [_ROWS]}
+
 INSIDE, OUTSIDE, DROPPED = 1, 0, -1
 
 
-def _marked(attributes: str) -> bool:
-    if "=" not in attributes:
+def _names(attributes: str) -> Iterator[tuple[str, str]]:
+    """Attribute and name, each class by itself, in small letters."""
+    if "=" in attributes:
+        for found in _SPOKEN.finditer(attributes):
+            kind, value = found[1].lower(), (found[2] or found[3] or found[4] or "").lower()
+            for name in value.split() if kind == "class" else [value.strip()]:
+                yield kind, name
+
+
+def _says(name: str, words: frozenset) -> bool:
+    """Whether a name holds one of the words and beside them only parts that say no more."""
+    parts = [x for x in _SPLIT.split(name) if x]
+    return not words.isdisjoint(parts) and all(x in words or x in _PARTS or x in _MARKS or x.isdigit() for x in parts)
+
+
+def _marked(element: str, attributes: str, within: bool) -> bool:
+    if element in _UNMARKED:
         return False
-    return any(not _MARKS.isdisjoint(_SPLIT.split((a or b or c).lower())) for a, b, c in _SPOKEN.findall(attributes))
+    if within:
+        return any(n in _LANDMARKS if k == "role" else n in _BLOCKS or k == "class" and n in _BARS for k, n in _names(attributes) if k != "aria-label")
+    return any(_says(n, _MARKS) for _, n in _names(attributes))
+
+
+def _reader_comment(attributes: str) -> bool:
+    return any(_says(n, _COMMENTS) for k, n in _names(attributes) if k != "aria-label")
+
+
+class _Open:
+    """The stack of open elements, with the places of each name."""
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop()].pop()
+
+    def start(self, name: str) -> None:
+        for ended, barred in _ENDS.get(name, ()):
+            place = self.last(ended)
+            if place > self.last(barred):
+                self.cut(place)
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append(name)
+
+    def end(self, name: str) -> None:
+        if self.places.get(name):
+            self.cut(self.places[name][-1])
 
 
 def lines_of(html: str) -> tuple[list[str], list[int]]:
     """Text of each block in page order, and whether it is inside the article, outside it, or in an element to be skipped."""
     found: list[tuple[str, bool, bool, bool]] = []
     pending: list[str] = []
-    skip, depth = "", 0
+    skip, level = "", 0  # the skipped element and its place among the open ones
+    tree = _Open()
     articles = mains = 0
     at = 0
 
@@ -86,22 +158,32 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
             pending.append(" ")
             continue
         attributes = token[4] or token[7] or ""
-        if name in _INLINE and (closing or not _marked(attributes)) and name != skip:
+        within = articles > 0 or mains > 0
+        if name in _INLINE and name != skip and (not tree.places.get(name) if closing else not _marked(name, attributes, within)):
             continue
         flush()
-        if name in ("article", "main") and not closing and not _marked(attributes):
-            skip = ""  # an unclosed skipped element ends here
+        holds = not closing and name not in _VOID and not attributes.endswith("/")
+        comment = name == "article" and holds and (articles > 0 or bool(skip)) and _reader_comment(attributes)
+        if closing:
+            tree.end(name)
+        else:
+            tree.start(name)
+        if skip and (len(tree.stack) <= level or name in ("article", "main") and not closing and not comment):
+            own = closing and len(tree.stack) == level  # else an unclosed skipped element ends here
+            skip = ""
+            tree.cut(level)
+            if own:
+                continue
         if skip:
-            if name == skip and name not in _VOID:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
+            if holds:
+                tree.push(name)
             continue
-        if not closing and name not in _VOID and not attributes.endswith("/"):
-            header = name == "header" and not articles and not mains
-            if name in _SKIPPED or header or (_marked(attributes) and name not in ("html", "body", "article", "main") or name == "article" and _marked(attributes)):
-                skip, depth = name, 1
+        if holds:
+            if comment or name in _SKIPPED or name == "header" and not within or _marked(name, attributes, within):
+                skip, level = name, len(tree.stack)
+                tree.push(name)
                 continue
+            tree.push(name)
         if name == "article":
             articles = max(0, articles + (-1 if closing else 1))
         elif name == "main":

@@ -25,6 +25,24 @@ def test_structure():
     assert main_text("<p title='>'>q</p>") == "q"
 
 
+def test_names_that_hold_a_marked_word_keep_the_article():
+    assert main_text('<article class="post tag-social category-search"><h2 id="search-algorithms">S</h2><p>x</p><section id="related-work">R</section><h3 id="ads">A</h3></article>') == "S\nx\nR\nA"
+    assert main_text('<h2 id="search-algorithms">S</h2><div class="post tag-social">x</div><div class="site-footer">f</div><div class="cookie-notice">c</div>') == "S\nx"
+    assert main_text('<article><p>x</p><div class="box ads">ad</div><p role="search">q</p><div class="comments">c</div></article>') == "x"
+    assert main_text('<article><p>x</p><article class="comment">first!</article><p>y</p></article><p>z</p>') == "x\ny"
+    wordpress = '<ol id="comments"><li class="comment even"><article id="div-comment-3" class="comment-body"><p>first!</p></article></li></ol>'
+    assert main_text(f"<article><p>x</p></article>{wordpress}") == main_text(f"<article><p>x</p>{wordpress}</article>") == "x"
+
+
+def test_unclosed_skipped_elements_end_where_html_ends_them():
+    assert main_text('<article><p class="ad">Buy<p>one<p>two</article>') == "one\ntwo"
+    assert main_text('<article><ul><li class="share">Share<ul><li>deep</ul><li>one</ul><p>two</article>') == "one\ntwo"
+    assert main_text('<article><div><ul><li>one<li class="share">Share</ul><p>two</div></article>') == "one\ntwo"
+    assert main_text('<article><div><p class="ad">Buy</div>one <span class="ad">Buy</span> two<div><aside>side</div><p>three</article>') == "one\ntwo\nthree"
+    assert main_text('<article><table><tr><td class="ad">Buy<td>one<tr><td>two</table></article>') == "one\ntwo"
+    assert main_text('<article><div class="ad"><div>Buy</div>now</div>one</article>') == "one"
+
+
 def longest(a, b):
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
