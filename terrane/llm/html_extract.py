@@ -1,8 +1,13 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are read into text lines, one a block. Each page is paired with the page of its host whose URL path is nearest (the longest
-common prefix among the neighbours in path order); both pages' lines are aligned by their longest common subsequence, and
-shared lines, the template's, are deleted.
+common prefix among the neighbours in path order) and which is no near copy; both pages' lines are aligned by their longest common
+subsequence, and shared lines, the template's, are deleted.
+
+Copies: in path order, pages with equal lines, and those of one URL that share half of their lines, make a run, which counts once; the
+``NEIGHBOURS`` runs on either side are compared. Of these, one is a near copy if it shares over half of the page's lines beyond what
+the middle one of them shares (a template is shared with most); one by itself, if it shares over ``COPY`` of the lines. A page
+whose neighbours are all near copies keeps its lines.
 
 Pages of a host also repeat each other's articles, so differencing alone would delete these, and an advert that differs from page to page
 would stay. Structure therefore has the last word where a page shows any: lines in an ``article`` (else ``main``) element
@@ -12,11 +17,10 @@ all of whose parts do (``site-footer``, but not ``tag-social``); headings and th
 elements is judged by differencing alone.
 
 Only URLs and line hashes are sorted to find neighbours: by range over all pages, so that a large host is spread over many
-tasks, with the ends of ranges carried over. HTML moves once, to meet the verdict on its lines.
+tasks, with the ends of ranges carried over. Runs are numbered throughout, and only pages without an article meet theirs. HTML moves once, to meet the verdict on its lines.
 
 Cases: null and empty pages, and those without text, give an empty text; a null URL has an empty host and path (pages of
-the empty host have no neighbour); copies of a page aren't its neighbours' verdict (a neighbour with the same lines is passed
-over for the one on the other side); repeated rows give equal rows; unclosed elements end where the page ends, and skipped ones where
+the empty host have no neighbour, pages without text are none); repeated rows give equal rows; unclosed elements end where the page ends, and skipped ones where
 HTML implies their end (a ``p`` at the next block, an ``li`` at the next one, all at their parent's end) or at the next ``article`` or ``main``.
 """
 
@@ -74,6 +78,7 @@ _ENDS = {x: [_PARAGRAPH] for x in "address article aside blockquote center detai
 _ENDS |= {"li": [_PARAGRAPH, _LIST], "dt": [_PARAGRAPH, _TERM], "dd": [_PARAGRAPH, _TERM], "td": [_CELL], "th": [_CELL], "tr": [_ROW], "thead": [_ROWS], "tbody": [_ROWS], "tfoot": [_ROWS]}
 
 INSIDE, OUTSIDE, DROPPED = 1, 0, -1
+NEIGHBOURS, COPY = 3, 0.8
 
 
 def _names(attributes: str) -> Iterator[tuple[str, str]]:
@@ -263,8 +268,10 @@ def _last(a: list, b: list) -> int:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes = [[xxhash.xxh64_intdigest(line) - 2**63 for line in lines_of(html or "")[0]] for html in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "path", "lines"])
+        read = [lines_of(html or "") for html in batch.column(4).to_pylist()]
+        hashes = [[xxhash.xxh64_intdigest(line) - 2**63 for line in lines] for lines, _ in read]
+        columns = [*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.array([OUTSIDE in zones for _, zones in read], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "host", "path", "page", "lines", "open"])
 
 
 def _common(a: str, b: str) -> int:
@@ -276,16 +283,21 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def _compare(host: pa.Array, path: pa.Array, lines: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
-    """Numbers of the lines that a page shares with the nearest page of its host."""
+def _compare(path: pa.Array, lines: pa.Array, sides: pa.Array) -> pa.Array:
+    """Numbers of the lines that a page shares with the nearest page of its host that is no near copy."""
     out = []
-    for h, p, own, *sides in zip(*(x.to_pylist() for x in (host, path, lines, before, after))):
-        near = [s for s in sides if s and s["host"] == h and h and s["lines"] != own]
-        if near:  # of two as near the one before
-            best = max(near, key=lambda s: _common(p, s["path"]))
-            out.append(shared_lines(own, best["lines"]))
-        else:
-            out.append([])
+    for p, own, around in zip(path.to_pylist(), lines.to_pylist(), sides.to_pylist()):
+        around = sorted((s for s in around if s["lines"] != own), key=lambda s: (abs(s["off"]), s["off"]))
+        shared = [shared_lines(own, s["lines"]) for s in around]
+        counts = sorted(map(len, shared))
+        if len(counts) == 1:
+            most = COPY * len(own)
+        elif counts:
+            usual = counts[(len(counts) - 1) // 2]
+            most = usual + (len(own) - usual) / 2
+        near = [(s, x) for s, x in zip(around, shared) if len(x) <= most]
+        # Of those as near the closest in path order, the one before first.
+        out.append(max(near, key=lambda n: _common(p, n[0]["path"]))[1] if near else [])
     return pa.array(out, pa.list_(pa.int32()))
 
 
@@ -300,22 +312,34 @@ def _write(htmls: pa.Array, shared: pa.Array) -> pa.Array:
 
 def shared_with_nearest(pages: DataFrame) -> DataFrame:
     """key and shared, the numbers of the lines that the nearest page has too, of pages (key, url, html)."""
-    parts = pages.select("key", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), "html")
-    slim = parts.mapInArrow(_read, "key binary, host string, path string, lines array<long>").dropDuplicates(["key"])
-    order = ["host", "path", "key"]
+    parts = pages.select("key", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), F.xxhash64("url").alias("page"), "html")
+    slim = parts.mapInArrow(_read, "key binary, host string, path string, page long, lines array<long>, open boolean").where("host <> '' AND size(lines) > 0").dropDuplicates(["key"])
+    order = ["host", "path", "page", "key"]
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = slim.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
     ranged = materialise(ranged, "ranged")
     page = F.struct(*order, "lines")
-    # The last page before each range, and the first after it: as many rows as ranges.
-    ends = ranged.groupBy("range").agg(F.min(F.struct(*order, "lines")).alias("first"), F.max(F.struct(*order, "lines")).alias("last"))
+    # The last page before each range: as many rows as ranges.
     across = Window.orderBy("range")
-    ends = ends.select("range", F.lag("last").over(across).alias("last_before"), F.lead("first").over(across).alias("first_after"))
+    ends = ranged.groupBy("range").agg(F.max(page).alias("last")).select("range", F.lag("last").over(across).alias("last_before"))
     along = Window.partitionBy("range").orderBy(*order)
-    met = ranged.withColumns({"before": F.lag(page).over(along), "after": F.lead(page).over(along)}).join(F.broadcast(ends), "range", "left")
-    met = met.withColumns({"before": F.coalesce("before", "last_before"), "after": F.coalesce("after", "first_after")})
-    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.host").alias("host"), F.col(f"{c}.path").alias("path"), F.col(f"{c}.lines").alias("lines")))
-    return met.select("key", F.arrow_udf(_compare, "array<int>")("host", "path", "lines", side("before"), side("after")).alias("shared"))
+    met = ranged.withColumn("before", F.lag(page).over(along)).join(F.broadcast(ends), "range", "left").withColumn("before", F.coalesce("before", "last_before"))
+    shared = F.size(F.array_intersect("lines", "before.lines"))
+    version = (F.col("before.page") == F.col("page")) & (2 * shared >= F.greatest(F.size(F.array_distinct("lines")), F.size(F.array_distinct("before.lines"))))
+    copy = (F.col("before.host") == F.col("host")) & ((F.col("before.lines") == F.col("lines")) | version)
+    starts = met.withColumn("start", F.when(F.coalesce(copy, F.lit(False)), 0).otherwise(1)).drop("before", "last_before")
+    runs = materialise(starts.withColumn("run", F.sum("start").over(along)), "runs")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.groupBy("range").agg(F.sum("start").alias("_n")).select("range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    runs = runs.join(F.broadcast(offsets), "range").withColumn("run", F.col("run") + F.col("_before"))
+    # A run over the end of a range goes on under its number; its first page answers for it.
+    first = runs.where("start = 1").select("host", "run", F.struct("path", "lines").alias("side"))
+    steps = F.array(*[F.lit(i) for i in range(-NEIGHBOURS, NEIGHBOURS + 1) if i])
+    asked = runs.where("open").select("key", "host", "run")
+    around = asked.withColumn("off", F.explode(steps)).withColumn("run", F.col("run") + F.col("off")).join(first, ["host", "run"])
+    sides = around.groupBy("key").agg(F.collect_list(F.struct("off", "side.path", "side.lines")).alias("sides"))
+    judged = runs.where("open").select("key", "path", "lines").join(sides, "key")
+    return judged.select("key", F.arrow_udf(_compare, "array<int>")("path", "lines", "sides").alias("shared"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

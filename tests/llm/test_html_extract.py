@@ -77,6 +77,24 @@ def test_differencing_deletes_what_the_nearest_page_shares(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_are_passed_over_for_the_nearest_other_page(spark):
+    page = lambda *body: "<div>Menu</div><div>Welcome</div>" + "".join(f"<p>{x}</p>" for x in body) + "<div>Imprint</div>"
+    story = [f"line {i}" for i in range(8)]
+    rows = [(1, "http://a.example/n/1", page(*story, "old")), (2, "http://a.example/n/1", page(*story, "new"))]  # one URL again
+    rows += [(3, "http://a.example/n/2", page("two")), (4, "http://a.example/n/3", page("three"))]
+    rows += [(10, "http://b.example/n/1", page(*story, "web")), (11, "http://b.example/n/1/print", page(*story, "print"))]  # another URL
+    rows += [(12, "http://b.example/n/2", page("two")), (13, "http://b.example/n/3", page("three"))]
+    rows += [(k, f"http://c.example/n/{k}", page("same", "text")) for k in range(20, 40)] + [(40, "http://c.example/o", page("other"))]  # a run
+    rows += [(50, "http://d.example/1", page(*story, "old")), (51, "http://d.example/1", page(*story, "new"))]  # nothing else
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).select("page_id", "text").collect()
+    text = {r["page_id"]: r["text"] for r in got}
+    told = "\n".join(story)
+    assert [text[k] for k in (1, 2, 3, 4)] == [f"{told}\nold", f"{told}\nnew", "two", "three"]
+    assert [text[k] for k in (10, 11, 12, 13)] == [f"{told}\nweb", f"{told}\nprint", "two", "three"]
+    assert {text[k] for k in range(20, 40)} == {"same\ntext"} and text[40] == "other"
+    assert told in text[50] and told in text[51]
+
+
 def test_articles_stay_where_neighbours_repeat_them(spark):
     rows = [(k, f"http://h.example/{k}", f"<nav>m</nav><article><p>the same passage</p><p>own {k}</p></article><p>advert {k}</p>") for k in range(4)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
