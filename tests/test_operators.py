@@ -158,6 +158,19 @@ def test_outlets_of_long_chains_and_cycles(spark):
     assert {r["outlet"]: r["count"] for r in got.collect()} == {5000: 5000, None: 8}
 
 
+def test_paths_end_where_nothing_is_left_to_reach(spark):
+    chain = spark.range(0, 4).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("cost"))
+    first = spark.range(1)
+    assert dict(values(graphs.levels(chain, first, 4), "id", "hops")) == {i: i for i in range(5)}
+    assert dict(values(graphs.shortest_paths(chain, first), "id", "cost")) == {i: float(i) for i in range(5)}
+    for search in (graphs.levels, graphs.shortest_paths):
+        with pytest.raises(ValueError):
+            search(chain, first, 3)
+    back = spark.createDataFrame([(0, 1, 1.0), (1, 0, -2.0)], "src long, dst long, cost double")
+    with pytest.raises(ValueError):
+        graphs.shortest_paths(back, first)
+
+
 def test_quality(spark):
     rows = spark.createDataFrame([(i, float(i)) for i in range(61)], "id int, v double")
     rules = [quality.Rule("big", F.when(F.col("v") == 60, "FAIL").otherwise("WARN"), -F.col("v"), F.lit("m")), quality.Rule("none", F.lit(None).cast("string"), F.col("v"), F.lit("m"))]
