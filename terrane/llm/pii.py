@@ -232,7 +232,7 @@ def _weak_dots(text: str, chain: list[re.Match]) -> set[int]:
             if "@" in labels[-1]:
                 break
         tops = [x.lower().rpartition(".")[2] for x in labels]
-        known = [n for n in range(1, len(tops)) if tops[n] in _DOMAINS]
+        known = [n for n in range(1, len(tops)) if tops[n] in _DOMAINS and not (sign == "chez" and tops[n] in ("ai", "ca", "de"))]  # words of French
         if not known and sign not in ("at", "chez"):
             known = [n for n in range(1, len(tops)) if tops[n] in _WORDS] or ([1] if sure and len(tops) > 1 and len(tops[1]) > 1 and tops[1].isalpha() else [])
         if not known:
