@@ -14,12 +14,20 @@ reversed prefixes agree to the left.
    common prefixes give, with those of the sorted left contexts, the repeated windows of every anchor.
 4. Windows are joined per text, and their bytes removed.
 
-Anchors with a gram that more than ``hot`` others share are judged by counting hashes of their windows instead (an aggregation with
-partial counts, spread over all tasks). Texts are taken by their MD5, so exact copies do the work once; all copies of a text
-of ``length`` bytes or more are removed whole.
+A gram that more than ``hot`` anchors share is split before its merge: the offsets that the anchor may have in a window are halved, and
+for each half the group is known by all bytes that every window of that half holds around the anchor (more of the suffix to
+the right, more of the context to the left). Contexts cut to what the windows of a half can see that are equal are all repeated, and one
+of them (by BLAKE2 digest, in a shuffled aggregation) speaks for all. Halves with too many different contexts are split again,
+down to one offset, where a context is one window; groups small enough are merged as above.
+
+Where a text repeats a period of fewer bytes than its windows have anchors, each window of the stretch is repeated one period on:
+the stretch goes as a whole (its bytes are compared), and only anchors near its two ends stay, which have all its different windows. So
+the anchors of a text are few however often it repeats itself.
+
+Texts are taken by their MD5, so exact copies do the work once; all copies of a text of ``length`` bytes or more are removed whole.
 
 Cases: null and empty texts have no bytes and no spans; shorter texts lose nothing; repeated rows are copies of each other;
-overlapping occurrences in one text count; very long texts are scanned in pieces; an empty table gives no rows.
+overlapping occurrences in one text count; a very long text is held as a whole, its anchors are found in pieces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,10 +45,10 @@ from terrane.llm.store import materialise
 from terrane.llm.text import as_bytes, list_array, mix
 
 LENGTH, GRAM = 400, 128
-#: Anchors that meet in one group of the merge, about; and those of one gram (some 85 MB of contexts) from which windows are counted instead.
-GROUP, HOT = 20_000, 100_000
-#: Bytes of a text that are scanned at a time, and bytes of contexts in one sorted run.
-PIECE, RUN_BYTES = 1 << 19, 24 << 20
+#: Anchors that meet in one group of the merge, about; and the most of one gram (some 40 MB of contexts), beyond which it is split.
+GROUP, HOT = 20_000, 50_000
+#: Bytes of a text that are scanned at a time, bytes of contexts in one sorted run, and anchors or rows that leave a task at a time.
+PIECE, RUN_BYTES, SENT = 1 << 19, 24 << 20, 50_000
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -54,9 +62,25 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[: len(x) - width + 1], out[width - span :][: len(x) - width + 1])
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and gram hashes of a text's anchors."""
-    found, codes = [], []
+def _periodic(part: np.ndarray, at: np.ndarray, codes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which anchors stay, and stretches of one period: anchors of one gram at equal distances whose bytes agree one distance on."""
+    keep, runs = np.ones(len(at), bool), []
+    gaps = np.where(codes[1:] == codes[:-1], np.diff(at), 0)
+    edges = np.flatnonzero(np.diff(gaps, prepend=-1, append=-1))
+    for i, j in zip(edges[:-1], edges[1:]):
+        period = int(gaps[i])
+        begin, end = int(at[i]), int(at[j]) + gram
+        if period and end - begin > 2 * length + period:
+            own = part[begin:end]
+            if np.array_equal(own[period:], own[:-period]):
+                runs.append((begin, end))
+                keep[(at >= begin + period + length) & (at < end - length)] = False
+    return keep, runs
+
+
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Positions and gram hashes of a text's anchors, and stretches of which every window is repeated in the stretch itself."""
+    found, codes, runs = [], [], []
     width = length - gram + 1
     for begin in range(0, max(0, len(text) - length + 1), PIECE):
         part = np.frombuffer(text[begin : begin + PIECE + length - 1], np.uint8)
@@ -76,17 +100,20 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         low = _slide(code, width, np.minimum)
         padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
         chosen = np.flatnonzero(_slide(padded, width, np.maximum) == code)
+        keep, own = _periodic(part, chosen, code[chosen], length, gram)
+        chosen = chosen[keep]
         found.append(chosen + begin)
         codes.append(code[chosen])
+        runs += [(a + begin, b + begin) for a, b in own]
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), []
     at, first = np.unique(np.concatenate(found), return_index=True)
-    return at, np.concatenate(codes)[first]
+    return at, np.concatenate(codes)[first], runs
 
 
-def _context(text: bytes, at: int, length: int, gram: int) -> tuple[bytes, bytes]:
-    """What stands left of an anchor, reversed, and its suffix, as far as windows reach."""
-    return text[max(0, at - (length - gram)) : at][::-1], text[at : at + length]
+def _context(text: bytes, at: int, length: int, low: int, high: int) -> tuple[bytes, bytes]:
+    """What stands left of an anchor, reversed, and its suffix, as far as windows reach that hold it at offsets low to high."""
+    return text[max(0, at - high) : at][::-1], text[at : at + length - low]
 
 
 def _all_windows(at: int, left: int, right: int, length: int) -> tuple[int, int] | None:
@@ -95,36 +122,51 @@ def _all_windows(at: int, left: int, right: int, length: int) -> tuple[int, int]
     return (at - left, at - least + length) if least <= left else None
 
 
+def _distinct(text: bytes, at: np.ndarray, codes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which anchors of a text stay: one for each context; and the spans of the contexts that the text repeats."""
+    keep, spans = np.ones(len(at), bool), []
+    _, inverse, n = np.unique(codes, return_inverse=True, return_counts=True)
+    first: dict[bytes, list[int]] = {}
+    for i in np.flatnonzero(n[inverse] > 1).tolist():
+        context = _context(text, int(at[i]), length, 0, length - gram)
+        met = first.setdefault(xxhash.xxh3_128_digest(context[0]) + xxhash.xxh3_128_digest(context[1]), [])
+        same = next((j for j in met if _context(text, int(at[j]), length, 0, length - gram) == context), None)
+        if same is None:
+            met.append(i)
+            continue
+        keep[i] = False
+        for j in (i, same):
+            if span := _all_windows(int(at[j]), len(context[0]), len(context[1]), length):
+                spans.append(span)
+    return keep, spans
+
+
 def _scan(length: int, gram: int):
     """key, anchors (at, code, place: a number for text and position) and spans repeated within the text itself."""
 
+    def sent(keys, at, codes, places, spans) -> pa.RecordBatch:
+        flat = [np.concatenate(x) if x else np.zeros(0) for x in (at, codes, places)]
+        found = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.uint64).view(np.int64)), pa.array(flat[2].astype(np.uint64).view(np.int64))], ["at", "code", "place"])
+        lists = list_array(found, np.array([len(x) for x in at]), found.type)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists, pa.array([[{"begin": a, "end": b} for a, b in s] for s in spans], _SPANS)], ["key", "anchors", "spans"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            at, codes, places, counts, spans = [], [], [], [], []
-            for key, text in zip(keys, as_bytes(batch.column(1))):
-                own, code = anchors(text, length, gram)
-                inner = []
-                if len(own) and len(np.unique(code)) < len(code):
-                    _, inverse, n = np.unique(code, return_inverse=True, return_counts=True)
-                    first: dict[bytes, int] = {}
-                    keep = np.ones(len(own), bool)
-                    for i in np.flatnonzero(n[inverse] > 1):
-                        left, right = _context(text, int(own[i]), length, gram)
-                        same = first.setdefault(xxhash.xxh3_128_digest(left + b"\0" + right) + bytes([len(left) & 255]), i)
-                        if same != i:
-                            keep[i] = False
-                            for j in {i, same}:
-                                inner.append(_all_windows(int(own[j]), len(left), len(right), length))
-                    own, code = own[keep], code[keep]
-                at.append(own)
-                codes.append(code)
-                places.append(mix(own.astype(np.uint64) ^ np.uint64(int.from_bytes(key[:8], "little"))))
-                counts.append(len(own))
-                spans.append(_joined(sorted({s for s in inner if s})))
-            flat = [np.concatenate(x) if x else np.zeros(0) for x in (at, codes, places)]
-            found = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.uint64).view(np.int64)), pa.array(flat[2].astype(np.uint64).view(np.int64))], ["at", "code", "place"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(found, np.array(counts), found.type), pa.array([[{"begin": a, "end": b} for a, b in s] for s in spans], _SPANS)], ["key", "anchors", "spans"])
+            rows: list[list] = [[], [], [], [], []]
+            held = 0
+            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                own, code, inner = anchors(text, length, gram)
+                if len(np.unique(code)) < len(code):
+                    keep, spans = _distinct(text, own, code, length, gram)
+                    own, code, inner = own[keep], code[keep], inner + spans
+                place = mix(own.astype(np.uint64) ^ np.uint64(int.from_bytes(key[:8], "little")))
+                for column, value in zip(rows, (key, own, code, place, _joined(sorted(set(inner))))):
+                    column.append(value)
+                held += len(own)
+                if held > SENT:
+                    yield sent(*rows)
+                    rows, held = [[], [], [], [], []], 0
+            yield sent(*rows)
 
     return run
 
@@ -231,38 +273,37 @@ class LoserTree:
                 node //= 2
 
 
-def _runs(parts: int, length: int, gram: int):
+def _runs(parts: int, length: int):
     """Sorted front-coded runs of the wanted anchors, a row for each run and part, and spans found on the way."""
 
-    def flush(held: dict[tuple[bytes, bytes], list]) -> pa.RecordBatch:
+    def flush(held: dict[tuple, list]) -> pa.RecordBatch:
         spans: list[tuple[bytes, int, int]] = []
-        by_part: dict[int, list] = {}
-        for (left, right), (part, own) in held.items():
+        by_part: dict[tuple[int, int], list] = {}
+        for (high, left, right), (part, own) in held.items():
             if len(own) > 1:  # one speaks for all
                 for key, at in own:
                     if span := _all_windows(at, len(left), len(right), length):
                         spans.append((key, *span))
-            by_part.setdefault(part, []).append((right, left, *own[0]))
-        rows = [(None, key, a, b, *[None] * 8) for key, a, b in spans]
-        for part, entries in by_part.items():
+            by_part.setdefault((part, high), []).append((right, left, *own[0]))
+        rows = [(None, None, key, a, b, *[None] * 8) for key, a, b in spans]
+        for (part, high), entries in by_part.items():
             entries.sort()
-            rows.append((part, None, None, None, *front_coded([e[0] for e in entries]), *front_coded([e[1] for e in entries]), b"".join(e[2] for e in entries), np.array([e[3] for e in entries], "<i8").tobytes()))
-        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 8]
+            rows.append((part, high, None, None, None, *front_coded([e[0] for e in entries]), *front_coded([e[1] for e in entries]), b"".join(e[2] for e in entries), np.array([e[3] for e in entries], "<i8").tobytes()))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 8]
         columns = list(zip(*rows)) if rows else [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in _RUNS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, bytes], list] = {}
+        held: dict[tuple, list] = {}
         size = 0
         for batch in batches:
-            keys, texts, wanted = batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()
-            for key, text, own in zip(keys, texts, wanted):
-                for anchor in own:
-                    context = _context(text, anchor["at"], length, gram)
+            for key, text, own in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2)):
+                for anchor in own.as_py():
+                    context = anchor["high"], *_context(text, anchor["at"], length, anchor["low"], anchor["high"])
                     entry = held.get(context)
                     if entry is None:
                         held[context] = (anchor["code"] % parts, [(key, anchor["at"])])
-                        size += len(context[0]) + len(context[1])
+                        size += len(context[1]) + len(context[2])
                     elif (key, anchor["at"]) not in entry[1][:1]:
                         entry[1].append((key, anchor["at"]))
                 if size > RUN_BYTES:
@@ -274,11 +315,11 @@ def _runs(parts: int, length: int, gram: int):
     return run
 
 
-_RUNS = "part int, key binary, begin long, end long, known binary, sizes binary, rests binary, lknown binary, lsizes binary, lrests binary, keys binary, at binary"
+_RUNS = "part int, high int, key binary, begin long, end long, known binary, sizes binary, rests binary, lknown binary, lsizes binary, lrests binary, keys binary, at binary"
 
 
 def repeated_windows(lefts: list[bytes], shared: list[int], length: int, gram: int) -> list[tuple[int, int] | None]:
-    """For sorted suffixes with a common gram, given by left contexts and prefixes shared with the suffix before: the smallest and
+    """For sorted suffixes with a common begin, given by left contexts and prefixes shared with the suffix before: the smallest and
     largest offset of an anchor in a repeated window, None where none is."""
     m = len(lefts)
     if m == 2:
@@ -305,7 +346,9 @@ def repeated_windows(lefts: list[bytes], shared: list[int], length: int, gram: i
 def _merge(length: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         runs, lefts, keys, ats = [], [], [], []
+        least = gram
         for row in table.to_pylist():
+            least = length - row["high"]
             runs.append(front_decoded(row["known"], row["sizes"], row["rests"]))
             lefts.append(front_decoded(row["lknown"], row["lsizes"], row["lrests"])[0])
             keys.append([row["keys"][i : i + 16] for i in range(0, len(row["keys"]), 16)])
@@ -323,7 +366,7 @@ def _merge(length: int, gram: int):
             shared.clear()
 
         for r, i, known in LoserTree(runs):
-            if known < gram:
+            if known < least:
                 close()
             group.append((r, i))
             shared.append(known)
@@ -334,29 +377,39 @@ def _merge(length: int, gram: int):
     return run
 
 
-def _windows(length: int, gram: int):
-    """Hashes of all windows around the wanted anchors."""
+_HALVES = "key binary, at long, low int, high int, code long, context binary, begin long, end long"
+
+
+def _halves(length: int):
+    """Both halves of each anchor's offsets: what all windows of the half hold (code), the context cut to the half, and what its windows cover."""
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in _HALVES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            for key, text, own in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                for anchor in own:
-                    at = anchor["at"]
-                    begins = np.arange(max(0, at - (length - gram)), min(at, len(text) - length) + 1)
-                    digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(text[b : b + length]), np.int64) for b in begins]).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(begins), pa.binary()), pa.array(begins, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["key", "begin", "w1", "w2"])
+            for key, text, own in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2)):
+                for anchor in own.as_py():
+                    at, middle = anchor["at"], (anchor["low"] + anchor["high"]) // 2
+                    for low, high in ((anchor["low"], middle), (middle + 1, anchor["high"])):
+                        if low > high or at < low or at + length - high > len(text):
+                            continue  # no window of this half
+                        left, right = _context(text, at, length, low, high)
+                        common = hashlib.blake2b(b"%d %d %d " % (anchor["code"], low, high) + text[at - low : at + length - high], digest_size=8).digest()
+                        whole = hashlib.blake2b(b"%d %d %d " % (low, high, len(left)) + left + right, digest_size=16).digest()
+                        begin, end = _all_windows(at, len(left), len(right), length)
+                        rows.append((key, at, low, high, int.from_bytes(common, "little", signed=True), whole, begin, end))
+                if len(rows) > SENT:
+                    yield sent(rows)
+                    rows = []
+        if rows:
+            yield sent(rows)
 
     return run
 
 
-def _counted(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans of repeated windows by counting: the way for anchors with a frequent gram."""
-    windows = materialise(texts.mapInArrow(_windows(length, gram), "key binary, begin long, w1 long, w2 long"), "windows")
-    place = F.xxhash64("key", "begin")
-    repeated = windows.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("w1", "w2")
-    return windows.join(repeated, ["w1", "w2"], "left_semi").select("key", "begin", (F.col("begin") + length).alias("end"))
-
-
 def _strip(length: int):
     """Lengths, removed bytes and spans, digest and rest of each text."""
 
@@ -381,30 +434,45 @@ def _strip(length: int):
     return strip
 
 
+def _asked(anchors: DataFrame, keyed: DataFrame) -> DataFrame:
+    """key, text and its anchors (at, low, high, code): one row for each text that holds some."""
+    per_text = anchors.groupBy("key").agg(F.collect_list(F.struct("at", "low", "high", "code")).alias("own"))
+    speakers = keyed.groupBy("key").agg(F.min("doc_id").alias("speaker"))
+    asked = per_text.join(speakers, "key").hint("shuffle_hash")
+    return keyed.join(asked, "key").where(F.col("doc_id").eqNullSafe(F.col("speaker"))).select("key", "text", "own")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """key (MD5 of a text) and spans (begin, end in bytes) that hold a repeated window; for texts that differ from all others."""
     keyed = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text").where(F.octet_length("text") >= length)
     scanned = materialise(keyed.select("key", "text").mapInArrow(_scan(length, gram), _SCANNED), "anchors")
+    found = scanned.select("key", F.inline("spans")).distinct()
     flat = scanned.select("key", F.inline("anchors"))
     shared = flat.groupBy("code").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b").select("code")
-    wanted = materialise(flat.join(shared, "code", "left_semi").select("key", "at", "code").distinct(), "wanted")
-    n = wanted.count()
-    if not n:
-        return scanned.select("key", F.inline("spans")).distinct()
-    frequent = wanted.groupBy("code").count().where(F.col("count") > hot).select("code", F.lit(True).alias("hot"))
-    marked = wanted.join(frequent, "code", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    per_text = marked.groupBy("key").agg(F.collect_list(F.when(~F.col("hot"), F.struct("at", "code"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.struct("at", "code"))).alias("hot"))
-    speakers = keyed.groupBy("key").agg(F.min("doc_id").alias("speaker"))
-    asked = per_text.join(speakers, "key").hint("shuffle_hash")
-    texts = keyed.join(asked, "key").where(F.col("doc_id").eqNullSafe(F.col("speaker")))
-
-    parts = max(12, n // GROUP)
-    runs = materialise(texts.where(F.size("cold") > 0).select("key", "text", "cold").mapInArrow(_runs(parts, length, gram), _RUNS), "runs")
-    merged = runs.where("part IS NOT NULL").groupBy("part").applyInArrow(_merge(length, gram), "key binary, begin long, end long")
-    found = merged.unionByName(runs.where("part IS NULL").select("key", "begin", "end")).unionByName(scanned.select("key", F.inline("spans")).distinct())
-    if frequent.limit(1).count():
-        found = found.unionByName(_counted(texts.where(F.size("hot") > 0).select("key", "text", "hot"), length, gram))
-    return found
+    bounds = F.lit(0).alias("low"), F.lit(length - gram).alias("high")
+    wanted = materialise(flat.join(shared, "code", "left_semi").select("key", "at", "code", *bounds).distinct(), "wanted")
+    while True:
+        sizes = wanted.groupBy("code").agg(F.count("*").alias("n"))
+        facts = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+        if not facts["n"]:
+            return found
+        frequent = materialise(sizes.where(F.col("n") > hot).select("code"), "frequent") if facts["most"] > hot else None
+        fine = wanted if frequent is None else wanted.join(frequent, "code", "left_anti")
+        parts = max(12, facts["n"] // GROUP)
+        runs = materialise(_asked(fine, keyed).mapInArrow(_runs(parts, length), _RUNS), "runs")
+        merged = runs.where("part IS NOT NULL").groupBy("part", "high").applyInArrow(_merge(length, gram), "key binary, begin long, end long")
+        found = found.unionByName(merged).unionByName(runs.where("part IS NULL").select("key", "begin", "end"))
+        if frequent is None:
+            return found
+        halves = _asked(wanted.join(frequent, "code", "left_semi"), keyed).mapInArrow(_halves(length), _HALVES)
+        halves = materialise(halves, "halves")
+        own = ["code", "low", "high", "context"]
+        one = F.min(F.struct("key", "at"))
+        contexts = materialise(halves.groupBy(own).agg(one.alias("one"), F.max(F.struct("key", "at")).alias("last")), "contexts")
+        repeated = contexts.where("one < last").select(own)
+        found = found.unionByName(halves.join(repeated, own, "left_semi").select("key", "begin", "end").distinct())
+        several = contexts.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
+        wanted = materialise(contexts.join(several, "code", "left_semi").select("one.key", "one.at", "code", "low", "high"), "wanted")
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
