@@ -5,19 +5,22 @@ common prefix among the neighbours in path order) and which is no near copy; bot
 subsequence, and shared lines, the template's, are deleted.
 
 Copies: in path order, pages with equal lines, and those of one URL that share half of their lines, make a run, which counts once; the
-``NEIGHBOURS`` runs on either side are compared. Of these, one is a near copy if it shares over half of the page's lines beyond what
+``NEIGHBOURS`` nearest runs of the host are compared. Of these, one is a near copy if it shares over half of the page's lines beyond what
 the middle one of them shares (a template is shared with most); one by itself, if it shares over ``COPY`` of the lines. A page
 whose neighbours are all near copies keeps its lines.
 
-Pages of a host also repeat each other's articles, so differencing alone would delete these, and an advert that differs from page to page
-would stay. Structure therefore has the last word where a page shows any: lines in an ``article`` (else ``main``) element
-are never deleted as shared, lines outside it never kept, and navigation, headers, footers, asides, forms, adverts, notices and
-reader comments (by element, role, class or id) go in any case. Within an article only whole names mark these, elsewhere also names
-all of whose parts do (``site-footer``, but not ``tag-social``); headings and the article itself are never marked. A page without such
-elements is judged by differencing alone.
+Structure breaks ties, as sites repeat passages of their articles and change their adverts from page to page:
 
-Only URLs and line hashes are sorted to find neighbours: by range over all pages, so that a large host is spread over many
-tasks, with the ends of ranges carried over. Runs are numbered throughout, and only pages without an article meet theirs. HTML moves once, to meet the verdict on its lines.
+* a page without an ``article`` or ``main`` element is judged by differencing alone;
+* lines in an ``article`` (else ``main``) element that only the nearest page shares stay; those that open or close the article go where each of at
+  least ``LEAST`` neighbours shares them in its alignment (a line of links to share, a note on the newsletter);
+* lines outside it go, as do navigation, headers, footers, asides, forms, adverts, notices and reader comments (by element, role, class
+  or id). Within an article only whole names mark these, elsewhere also names all of whose parts do (``site-footer``, but not
+  ``tag-social``); headings and the article itself are never marked.
+
+Only URLs and line hashes are sorted to find neighbours: by range over all pages, so that a large host is spread over many tasks; runs are
+numbered throughout. Pages then stream past the first pages of the runs around them, in blocks of ``BLOCK`` runs, which are
+parted further where copies make one large. Only verdicts that delete lines meet the HTML again.
 
 Cases: null and empty pages, and those without text, give an empty text; a null URL has an empty host and path (pages of
 the empty host have no neighbour, pages without text are none); repeated rows give equal rows; unclosed elements end where the page ends, and skipped ones where
@@ -27,12 +30,15 @@ HTML implies their end (a ``p`` at the next block, an ``li`` at the next one, al
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from html import unescape
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +84,9 @@ _ENDS = {x: [_PARAGRAPH] for x in "address article aside blockquote center detai
 _ENDS |= {"li": [_PARAGRAPH, _LIST], "dt": [_PARAGRAPH, _TERM], "dd": [_PARAGRAPH, _TERM], "td": [_CELL], "th": [_CELL], "tr": [_ROW], "thead": [_ROWS], "tbody": [_ROWS], "tfoot": [_ROWS]}
 
 INSIDE, OUTSIDE, DROPPED = 1, 0, -1
-NEIGHBOURS, COPY = 3, 0.8
+NEIGHBOURS, COPY, LEAST = 6, 0.8, 5
+#: Runs in a block, and about the most pages of a block that one task takes.
+BLOCK, PAGES = 2000, 20_000
 
 
 def _names(attributes: str) -> Iterator[tuple[str, str]]:
@@ -137,8 +145,11 @@ class _Open:
             self.cut(self.places[name][-1])
 
 
-def lines_of(html: str) -> tuple[list[str], list[int]]:
-    """Text of each block in page order, and whether it is inside the article, outside it, or in an element to be skipped."""
+def lines_of(html: str, structure: bool = True) -> tuple[list[str], list[int]]:
+    """Text of each block in page order, and whether it is inside the article, outside any, or dropped for where it stands.
+
+    Without ``structure`` no line is inside or dropped.
+    """
     found: list[tuple[str, bool, bool, bool]] = []
     pending: list[str] = []
     skip, level = "", 0  # the skipped element and its place among the open ones
@@ -196,7 +207,7 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
     pending.append(html[at:])
     flush()
     home = 2 if any(x[2] and not x[1] for x in found) else 3 if any(x[3] and not x[1] for x in found) else 0
-    zones = [DROPPED if x[1] else (INSIDE if x[home] else DROPPED) if home else OUTSIDE for x in found]
+    zones = [OUTSIDE if not structure else DROPPED if x[1] else (INSIDE if x[home] else DROPPED) if home else OUTSIDE for x in found]
     return [x[0] for x in found], zones
 
 
@@ -266,12 +277,47 @@ def _last(a: list, b: list) -> int:
     return v
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(structure: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [lines_of(html or "", structure) for html in batch.column(4).to_pylist()]
+            hashes = [[xxhash.xxh64_intdigest(line) - 2**63 for line in lines] for lines, _ in read]
+            zones = [bytes(z + 1 for z in zones) for _, zones in read]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.array(zones, pa.binary())], ["key", "host", "path", "page", "lines", "zones"])
+
+    return run
+
+
+_SLIM = "key binary, host string, path string, page long, lines array<long>, zones binary"
+_FLAGGED = f"{_SLIM}, range int, run long, first boolean, start boolean, last boolean"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages in path order with the number of their run in this range, repeated rows left out. Whether the first page starts a run isn't known yet."""
+    part, run = TaskContext.get().partitionId(), 0
+    before = None
+    names = [c.split()[0] for c in _FLAGGED.split(", ")]
+    kinds = [pa.binary(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
     for batch in batches:
-        read = [lines_of(html or "") for html in batch.column(4).to_pylist()]
-        hashes = [[xxhash.xxh64_intdigest(line) - 2**63 for line in lines] for lines, _ in read]
-        columns = [*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.array([OUTSIDE in zones for _, zones in read], pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "host", "path", "page", "lines", "open"])
+        rows = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if before is None:
+                before = (*row, part, 0, True, None)
+                continue
+            if row[:4] == before[:4]:
+                continue
+            copy = row[1] == before[1] and (row[4] == before[4] or row[3] == before[3] and 2 * len(set(row[4]) & set(before[4])) >= max(len(set(row[4])), len(set(before[4]))))
+            run += not copy
+            rows.append((*before, False))
+            before = (*row, part, run, False, not copy)
+        if rows:
+            yield sent(rows)
+    if before is not None:
+        yield sent([(*before, True)])
 
 
 def _common(a: str, b: str) -> int:
@@ -283,69 +329,118 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def _compare(path: pa.Array, lines: pa.Array, sides: pa.Array) -> pa.Array:
-    """Numbers of the lines that a page shares with the nearest page of its host that is no near copy."""
-    out = []
-    for p, own, around in zip(path.to_pylist(), lines.to_pylist(), sides.to_pylist()):
-        around = sorted((s for s in around if s["lines"] != own), key=lambda s: (abs(s["off"]), s["off"]))
-        shared = [shared_lines(own, s["lines"]) for s in around]
-        counts = sorted(map(len, shared))
-        if len(counts) == 1:
-            most = COPY * len(own)
-        elif counts:
-            usual = counts[(len(counts) - 1) // 2]
-            most = usual + (len(own) - usual) / 2
-        near = [(s, x) for s, x in zip(around, shared) if len(x) <= most]
-        # Of those as near the closest in path order, the one before first.
-        out.append(max(near, key=lambda n: _common(p, n[0]["path"]))[1] if near else [])
-    return pa.array(out, pa.list_(pa.int32()))
-
-
-def _write(htmls: pa.Array, shared: pa.Array) -> pa.Array:
-    out = []
-    for html, gone in zip(htmls.to_pylist(), shared.to_pylist()):
-        lines, zones = lines_of(html or "")
-        gone = set(gone or ())
-        out.append("\n".join(x for i, (x, zone) in enumerate(zip(lines, zones)) if zone == INSIDE or zone == OUTSIDE and i not in gone))
-    return pa.array(out, pa.string())
-
-
-def shared_with_nearest(pages: DataFrame) -> DataFrame:
-    """key and shared, the numbers of the lines that the nearest page has too, of pages (key, url, html)."""
-    parts = pages.select("key", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), F.xxhash64("url").alias("page"), "html")
-    slim = parts.mapInArrow(_read, "key binary, host string, path string, page long, lines array<long>, open boolean").where("host <> '' AND size(lines) > 0").dropDuplicates(["key"])
+def _around(own: list, reps: list[tuple]) -> list[tuple[int, str, list, list]]:
+    """Of the neighbours that are no near copies: off, path, lines, and the line numbers that they share."""
+    met = [(*r, shared_lines(own, r[2])) for r in reps if r[2] != own]
+    counts = sorted(len(m[3]) for m in met)
+    if not counts:
+        return []
+    usual = counts[(len(counts) - 1) // 2]
+    most = COPY * len(own) if len(counts) == 1 else usual + (len(own) - usual) / 2
+    return [m for m in met if len(m[3]) <= most]
+
+
+def _edges(zones: bytes) -> list[list[int]]:
+    """Line numbers of the article from its begin, and from its end."""
+    inside = [i for i, z in enumerate(zones) if z == INSIDE + 1]
+    return [inside, inside[::-1]]
+
+
+def gone_lines(path: str, own: list, zones: bytes, reps: list[tuple]) -> list[int]:
+    """Numbers of the lines that differencing deletes; ``reps``: offset of the run, path and lines of each neighbour, the nearest first."""
+    open_page = OUTSIDE + 1 in zones
+    others = [set(r[2]) for r in reps if r[2] != own]
+    edges = [e for e in _edges(zones) if e and len(others) >= LEAST and all(own[e[0]] in o for o in others)]
+    if not open_page and not edges:
+        return []
+    near = _around(own, reps)
+    if not near:
+        return []
+    gone: set[int] = set()
+    if open_page:  # of those as near the closest in path order, the one before first
+        shared = max(near, key=lambda n: _common(path, n[1]))[3]
+        gone.update(i for i in shared if zones[i] == OUTSIDE + 1)
+    if len(near) >= LEAST:
+        every = set.intersection(*(set(n[3]) for n in near))
+        for edge in edges:
+            gone.update(takewhile(every.__contains__, edge))
+    return sorted(gone)
+
+
+_BLOCKED = "block long, salt int, at long, kind int, run long, key binary, host string, path string, lines array<long>, zones binary"
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams pages past the first pages of the runs around them, which come ``NEIGHBOURS`` runs ahead."""
+    place, reps = None, deque()
+    for batch in batches:
+        keys, gone = [], []
+        for block, salt, at, kind, run, key, host, path, lines, zones in zip(*(c.to_pylist() for c in batch.columns)):
+            if place != (block, salt):
+                place, reps = (block, salt), deque()
+            while reps and reps[0][0] < at - NEIGHBOURS:
+                reps.popleft()
+            if kind == 0:
+                reps.append((run, host, path, lines))
+                continue
+            near = sorted(((r[0] - run, r[2], r[3]) for r in reps if r[1] == host and r[0] != run), key=lambda r: (abs(r[0]), r[0]))
+            found = gone_lines(path, lines, zones, near[:NEIGHBOURS])
+            if found:
+                keys.append(key)
+                gone.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
+
+
+def _write(structure: bool):
+    def write(htmls: pa.Array, deleted: pa.Array) -> pa.Array:
+        out = []
+        for html, gone in zip(htmls.to_pylist(), deleted.to_pylist()):
+            lines, zones = lines_of(html or "", structure)
+            gone = set(gone or ())
+            out.append("\n".join(x for i, (x, zone) in enumerate(zip(lines, zones)) if zone != DROPPED and i not in gone))
+        return pa.array(out, pa.string())
+
+    return write
+
+
+def _runs(slim: DataFrame) -> DataFrame:
+    """Pages with the number of their run among all runs in path order, and whether they are the first of it."""
     order = ["host", "path", "page", "key"]
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = slim.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
-    ranged = materialise(ranged, "ranged")
-    page = F.struct(*order, "lines")
-    # The last page before each range: as many rows as ranges.
-    across = Window.orderBy("range")
-    ends = ranged.groupBy("range").agg(F.max(page).alias("last")).select("range", F.lag("last").over(across).alias("last_before"))
-    along = Window.partitionBy("range").orderBy(*order)
-    met = ranged.withColumn("before", F.lag(page).over(along)).join(F.broadcast(ends), "range", "left").withColumn("before", F.coalesce("before", "last_before"))
-    shared = F.size(F.array_intersect("lines", "before.lines"))
-    version = (F.col("before.page") == F.col("page")) & (2 * shared >= F.greatest(F.size(F.array_distinct("lines")), F.size(F.array_distinct("before.lines"))))
-    copy = (F.col("before.host") == F.col("host")) & ((F.col("before.lines") == F.col("lines")) | version)
-    starts = met.withColumn("start", F.when(F.coalesce(copy, F.lit(False)), 0).otherwise(1)).drop("before", "last_before")
-    runs = materialise(starts.withColumn("run", F.sum("start").over(along)), "runs")
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.groupBy("range").agg(F.sum("start").alias("_n")).select("range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    runs = runs.join(F.broadcast(offsets), "range").withColumn("run", F.col("run") + F.col("_before"))
-    # A run over the end of a range goes on under its number; its first page answers for it.
-    first = runs.where("start = 1").select("host", "run", F.struct("path", "lines").alias("side"))
-    steps = F.array(*[F.lit(i) for i in range(-NEIGHBOURS, NEIGHBOURS + 1) if i])
-    asked = runs.where("open").select("key", "host", "run")
-    around = asked.withColumn("off", F.explode(steps)).withColumn("run", F.col("run") + F.col("off")).join(first, ["host", "run"])
-    sides = around.groupBy("key").agg(F.collect_list(F.struct("off", "side.path", "side.lines")).alias("sides"))
-    judged = runs.where("open").select("key", "path", "lines").join(sides, "key")
-    return judged.select("key", F.arrow_udf(_compare, "array<int>")("path", "lines", "sides").alias("shared"))
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """Add text, the main text, to every row (a column of this name is replaced)."""
+    n = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flagged = materialise(slim.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_numbered, _FLAGGED), "flagged")
+    # A row of numbers for each range, and two pages each: the last one before a range tells whether its first one starts a run.
+    ranges = flagged.groupBy("range").agg(F.sum(F.col("start").cast("long")).alias("n")).withColumn("before", F.lag("range").over(Window.orderBy("range")))
+    heads = flagged.where("first").select("range", "host", "page", "lines").join(ranges, "range")
+    tails = flagged.where("last").select(F.col("range").alias("before"), *[F.col(c).alias(f"_{c}") for c in ("host", "page", "lines")])
+    shared = F.size(F.array_intersect("lines", "_lines"))
+    version = (F.col("_page") == F.col("page")) & (2 * shared >= F.greatest(F.size(F.array_distinct("lines")), F.size(F.array_distinct("_lines"))))
+    copy = (F.col("_host") == F.col("host")) & ((F.col("_lines") == F.col("lines")) | version)
+    heads = heads.join(tails, "before", "left").select("range", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.coalesce(copy, F.lit(False)), 0).otherwise(1).alias("head"))
+    along = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = materialise(heads.withColumn("offset", F.sum(F.col("n") + F.col("head")).over(along) - F.col("n")).select("range", "head", "offset"), "offsets")
+    met = flagged.join(offsets, "range")
+    return met.select("key", "host", "path", "lines", "zones", (F.col("run") + F.col("offset")).alias("run"), F.coalesce("start", F.col("head") == 1).alias("start"))
+
+
+def deleted_lines(pages: DataFrame, structure: bool = True) -> DataFrame:
+    """key and gone, the numbers of the lines that differencing deletes, of pages (key, url, html) that lose some."""
+    parts = pages.select("key", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), F.xxhash64("url").alias("page"), "html")
+    slim = materialise(parts.where("host <> ''").mapInArrow(_read(structure), _SLIM).where("size(lines) > 0"), "lines")
+    runs = _runs(slim).withColumn("block", F.expr(f"run div {BLOCK}"))
+    sizes = materialise(runs.groupBy("block").agg(F.ceil(F.count("*") / PAGES).cast("int").alias("salts")), "sizes")
+    rows = runs.join(sizes, "block").select("block", F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"), F.col("run").alias("at"), F.lit(1).alias("kind"), "run", "key", "host", "path", "lines", "zones")
+    near = F.expr(f"sequence((run - {NEIGHBOURS}) div {BLOCK}, (run + {NEIGHBOURS}) div {BLOCK})")
+    reps = runs.where("start").withColumn("block", F.explode(near)).join(sizes, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    none = F.lit(None).cast("binary")
+    reps = reps.select("block", "salt", (F.col("run") - NEIGHBOURS).alias("at"), F.lit(0).alias("kind"), "run", none.alias("key"), "host", "path", "lines", none.alias("zones"))
+    blocked = rows.unionByName(reps).repartition("block", "salt").sortWithinPartitions("block", "salt", "at", "kind", "run")
+    return blocked.mapInArrow(_judged, "key binary, gone array<int>")
+
+
+def extract(pages: DataFrame, structure: bool = True) -> DataFrame:
+    """Add text, the main text, to every row (a column of this name is replaced). Without ``structure``, by differencing alone."""
     row = F.concat_ws("|", F.col("page_id").cast("string"), F.coalesce("url", F.lit("\0")), F.coalesce("html", F.lit("\0")))
     keyed = pages.withColumn("_key", F.unhex(F.md5(row.cast("binary"))))
-    verdicts = materialise(shared_with_nearest(keyed.select(F.col("_key").alias("key"), "url", "html")), "verdicts").withColumnRenamed("key", "_key")
-    met = keyed.join(verdicts.withColumnRenamed("shared", "_shared").hint("shuffle_hash"), "_key", "left")
-    return met.withColumn("text", F.arrow_udf(_write, "string")("html", "_shared")).drop("_key", "_shared")
+    verdicts = materialise(deleted_lines(keyed.select(F.col("_key").alias("key"), "url", "html"), structure), "verdicts")
+    met = keyed.join(verdicts.select(F.col("key").alias("_key"), F.col("gone").alias("_gone")), "_key", "left")
+    return met.withColumn("text", F.arrow_udf(_write(structure), "string")("html", "_gone")).drop("_key", "_gone")

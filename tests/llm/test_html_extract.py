@@ -99,3 +99,56 @@ def test_articles_stay_where_neighbours_repeat_them(spark):
     rows = [(k, f"http://h.example/{k}", f"<nav>m</nav><article><p>the same passage</p><p>own {k}</p></article><p>advert {k}</p>") for k in range(4)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["text"] for r in got} == {f"the same passage\nown {k}" for k in range(4)}
+
+
+def sites(n_hosts=4, n_pages=12):
+    """Pages with known main texts: templates without marks, with and without an article element, passages that a site repeats, copies."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(500)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], {}
+    for h in range(n_hosts):
+        menu, foot, quote = [f"Menu {h} {i}" for i in range(5)], [f"Imprint {h}", f"Contact {h}"], some(9)
+        for k in range(n_pages):
+            body = [some(rng.randrange(3, 20)) for _ in range(rng.randrange(2, 9))]
+            if k % 4 == 1:
+                body.insert(1, quote)  # a passage that some pages of the site repeat
+            lines = "".join(f"<p>{x}</p>" for x in body)
+            if h % 2:
+                share = "<div>Share this page</div>", "<div>Read our letter</div>"
+                page = "".join(f"<div>{x}</div>" for x in menu) + f"<article>{share[0]}{lines}{share[1]}</article><div>advert {some(3)}</div>" + "".join(f"<div>{x}</div>" for x in foot)
+                own = body
+            else:
+                page = "".join(f"<div>{x}</div>" for x in menu) + lines + "".join(f"<div>{x}</div>" for x in foot)
+                own = body
+            at = 100 * h + k
+            rows.append((at, f"http://host{h}.example/{'ab'[k % 2]}/{k:02}", page))
+            want[at] = "\n".join(own)
+            if k % 5 == 0:  # a copy at another path
+                rows.append((at + 50, rows[-1][1] + "/print", page))
+                want[at + 50] = want[at]
+    return rows, want
+
+
+def test_known_main_texts(spark):
+    rows, want = sites()
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    wrong = {r["page_id"]: (r["text"], want[r["page_id"]]) for r in got if r["text"] != want[r["page_id"]]}
+    assert not wrong, wrong
+
+
+def test_blocks_and_parts_of_blocks_give_the_same(spark, monkeypatch):
+    rows, want = sites()
+    rows += [(1000 + i, f"http://host0.example/a/zz{i}", rows[0][2]) for i in range(40)]  # a large group of copies
+    want |= {1000 + i: want[0] for i in range(40)}
+    monkeypatch.setattr(H, "BLOCK", 4)
+    monkeypatch.setattr(H, "PAGES", 6)
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_without_structure_differencing_alone_decides(spark):
+    rows = [(k, f"http://h.example/{k}", f"<nav>m</nav><article><p>the same passage</p><p>own {k}</p></article><p>advert {k}</p>") for k in range(4)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), structure=False).collect()
+    assert {r["text"] for r in got} == {f"own {k}\nadvert {k}" for k in range(4)}
