@@ -1,18 +1,20 @@
 """Exact top-k by inner product: a three-phase uniform threshold over vertical slices of the vectors.
 
-The score of a candidate is the sum of its scores in ``SLICES`` slices of the dimensions; a slice's list holds all local scores
-of a query, each less the list's smallest, so that none is negative.
+The score of a candidate is the sum of its scores in ``SLICES`` slices of the dimensions; a slice's list holds all local scores of a query.
 
-1. Gather: each list gives its best k local entries; the gathered candidates' full scores bound the k-th best from below.
+1. Gather: each list gives its best k local entries among one in ``GATHER`` candidates (some blocks, dealt by hash); their full scores
+   bound the k-th best of all from below.
 2. Cutoff: a candidate that reaches that bound has a local score of at least bound / ``SLICES`` in some list. The cutoff goes to
-   all lists, which collect every entry at or above it. A candidate's collected scores, plus the cutoff for each list that
-   collected none, bound it from above; those below the k-th best lower bound go.
+   all lists, which collect every entry at or above it. A candidate's collected scores, plus what is just under the cutoff for each list
+   that didn't collect it, bound it from above; those below the lower bound go.
 3. Resolve: what remains and lacks a local score gets it by look-up, and the exact best k are chosen.
 
-Work is done in pairs of blocks, some candidates by some queries, that Spark shuffles; each pair is a few matrix products. A
-stated query set against all rows in blocks is no cross join. Equal vectors are one class, and a class answers with its
-k + 1 smallest ids, so copies cost nothing. Components are floor(256 x) as integers; a component that doesn't fit a long, a
-null or a non-finite one, or a null vector, takes no part. Vectors of different lengths are compared as if padded with
+Candidates and queries are packed in blocks, matrices of the narrowest integers that hold all components. Query blocks stream past each
+candidate block in tasks that Spark shuffles: all products are made once, and one in ``GATHER`` a second time. A stated query set against all
+rows in blocks is no cross join. Equal vectors are one class, and a class answers with its k + 1 smallest ids, so copies cost nothing.
+
+Components are floor(256 x) as integers; a null vector, or one with a null or non-finite component or one that doesn't fit a long, takes no
+part. Scores beyond a long count as its largest or smallest. Vectors of different lengths are compared as if padded with
 zeros. Ties go to the smaller id. Repeated rows (same id and vector) count once; rows without id take no part; of an id with several
 vectors each is a query and a candidate of its own. An empty table gives no rows.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm.store import materialise
 
-SLICES = 2
+SLICES, GATHER = 2, 16
 CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 512
 FACTOR = 256
 
@@ -36,15 +38,15 @@ FACTOR = 256
 def quantised(vectors: DataFrame, factor: int = FACTOR) -> DataFrame:
     """vec_id and v, the integer components of the vectors that take part."""
     x = F.transform("embedding", lambda c: F.floor(F.lit(float(factor)) * c.cast("double")))
-    fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < 2.0**50))
+    fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(F.lit(float(factor)) * c.cast("double")) < 2.0**63))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select("vec_id", x.alias("v"))
 
 
-def _blocks(classes: DataFrame, n: int, dims: int, name: str) -> DataFrame:
+def _blocks(classes: DataFrame, n: int, dims: int, kind: str, name: str) -> DataFrame:
     """Classes dealt into ``n`` groups by hash, each packed into one row: ids and a matrix."""
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.zeros((len(group), dims), np.int64)
+        matrix = np.zeros((len(group), dims), kind)
         for row, v in enumerate(group["v"]):
             matrix[row, : len(v)] = v
         return pd.DataFrame({name: [group[name].iloc[0]], "ids": [group["class"].to_numpy(np.int64)], "matrix": [matrix.tobytes()]})
@@ -55,15 +57,19 @@ def _blocks(classes: DataFrame, n: int, dims: int, name: str) -> DataFrame:
 
 def _local(candidates: np.ndarray, queries: np.ndarray, slices: int) -> list[np.ndarray]:
     """Scores of each query (rows) and candidate in each slice; exact, in floats where they hold the integers."""
-    out = []
-    for part in np.array_split(np.arange(candidates.shape[1]), slices):
-        c, q = candidates[:, part], queries[:, part]
-        top = max(float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, len(part)), 1)
-        if top < 2**52:
-            out.append((q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64))
-        else:
-            out.append(q @ c.T)
-    return out
+    top = max(_largest(candidates) * _largest(queries) * max(1, candidates.shape[1]), 1)
+    kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64 if top < 2**63 else object
+    parts = np.array_split(np.arange(candidates.shape[1]), slices)
+    out = [queries[:, part].astype(kind) @ candidates[:, part].astype(kind).T for part in parts]
+    return out if kind is object else [x.astype(np.int64) for x in out]
+
+
+def _largest(x: np.ndarray) -> int:
+    return max(-int(x.min(initial=0)), int(x.max(initial=0)))
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -76,82 +82,72 @@ def search(vectors: DataFrame, is_query, k: int = 5, slices: int = SLICES, facto
     rows = materialise(quantised(vectors, factor).distinct(), "quantised")
     ids = rows.groupBy("v").agg(F.max(F.when(is_query, 1).otherwise(0)).alias("asked"))
     classes = materialise(ids.withColumn("class", F.monotonically_increasing_id()), "classes")
-    facts = classes.agg(F.count("*").alias("n"), F.sum("asked").alias("q"), F.max(F.size("v")).alias("dims")).first()
+    sizes = F.max(F.greatest(-F.array_min("v"), F.array_max("v"))).alias("top")
+    facts = classes.agg(F.count("*").alias("n"), F.sum("asked").alias("q"), F.max(F.size("v")).alias("dims"), sizes).first()
     if not facts["n"] or not facts["q"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims, want = max(1, facts["dims"]), k + 1
+    dims, want, top = max(1, facts["dims"]), k + 1, facts["top"] or 0
+    kind = "<i2" if 0 <= top < 2**15 else "<i4" if 0 <= top < 2**31 else "<i8"
     n_cand, n_query = -(-facts["n"] // CANDIDATES_PER_BLOCK), -(-facts["q"] // QUERIES_PER_BLOCK)
-    candidates = materialise(_blocks(classes, n_cand, dims, "cb").withColumnsRenamed({"ids": "c_ids", "matrix": "c_matrix"}), "candidates")
-    queries = materialise(_blocks(classes.where("asked = 1"), n_query, dims, "qb"), "queries")
-
-    def met(blocks: DataFrame) -> DataFrame:
-        """Every pair of a block of queries and a block of candidates."""
-        sent = blocks.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))))
-        return sent.join(candidates.hint("merge"), "cb")
-
-    def matrices(row) -> tuple:
-        q_ids, c_ids = np.asarray(row.ids, np.int64), np.asarray(row.c_ids, np.int64)
-        q = np.frombuffer(row.matrix, np.int64).reshape(len(q_ids), -1)
-        c = np.frombuffer(row.c_matrix, np.int64).reshape(len(c_ids), -1)
-        return q_ids, c_ids, _local(c, q, slices)
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                q_ids, c_ids, local = matrices(row)
-                total = sum(local)
-                for s, scores in enumerate(local):
-                    best = _best(scores, want)
-                    take = np.arange(len(q_ids))[:, None]
-                    yield pd.DataFrame(
-                        {
-                            "q": np.repeat(q_ids, best.shape[1]),
-                            "slice": s,
-                            "c": c_ids[best].ravel(),
-                            "local": scores[take, best].ravel(),
-                            "score": total[take, best].ravel(),
-                            "least": np.repeat(scores.min(1), best.shape[1]),
-                        }
-                    )
-
-    # Phase 1: the best entries of each list, and the smallest score of each list.
-    first = met(queries).select("ids", "matrix", "c_ids", "c_matrix").mapInPandas(gather, "q long, slice int, c long, local long, score long, least long")
-    first = materialise(first, "gathered")
-    lists = first.groupBy("q", "slice").agg(F.min("least").alias("least"))
-    shift = lists.groupBy("q").agg(F.array_agg(F.struct("slice", "least")).alias("s")).select("q", F.transform(F.array_sort("s"), lambda x: x["least"]).alias("least"))
-    top = Window.partitionBy("q", "slice").orderBy(F.desc("local"), "c")
-    gathered = first.withColumn("r", F.row_number().over(top)).where(F.col("r") <= want).select("q", "c", "score").distinct()
+    candidates = materialise(_blocks(classes, n_cand, dims, kind, "cb"), "candidates")
+    queries = materialise(_blocks(classes.where("asked = 1"), n_query, dims, kind, "qb"), "queries")
+
+    def matrix(ids, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, kind).reshape(len(ids), -1)
+
+    def streamed(blocks: DataFrame, met: DataFrame, work, schema: str) -> DataFrame:
+        """``work`` on every block of queries and block of candidates that ``met`` (qb, cb) names: the queries stream past the candidates."""
+        sent = blocks.join(met, "qb").select("cb", F.lit(1).alias("kind"), "qb", "ids", "matrix", "cut")
+        held = candidates.join(met.select("cb").distinct(), "cb", "left_semi").select("cb", F.lit(0).alias("kind"), F.lit(0).alias("qb"), "ids", "matrix", F.lit(None).cast("array<struct<at:int,bound:long>>").alias("cut"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            c_ids, c = None, None
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    ids = np.asarray(row.ids, np.int64)
+                    if row.kind == 0:
+                        c_ids, c = ids, matrix(ids, row.matrix)
+                    else:
+                        yield work(ids, c_ids, _local(c, matrix(ids, row.matrix), slices), row.cut)
+
+        return held.unionByName(sent).repartition("cb").sortWithinPartitions("cb", "kind", "qb").mapInPandas(run, schema)
+
+    def gather(q_ids, c_ids, local, cut) -> pd.DataFrame:
+        total, take = sum(local), np.arange(len(q_ids))[:, None]
+        found = []
+        for scores in local:
+            best = _best(scores, want)
+            found.append(pd.DataFrame({"q": np.repeat(q_ids, best.shape[1]), "c": c_ids[best].ravel(), "score": _long(total[take, best]).ravel()}))
+        return pd.concat(found)
+
+    # Phase 1: the best entries of each list, from some blocks of candidates for each block of queries.
+    some = max(1, n_cand // GATHER)
+    met = queries.select("qb", F.explode(F.sequence(F.lit(0), F.lit(some - 1))).alias("i")).select("qb", F.pmod(F.col("qb") * some + F.col("i"), F.lit(n_cand)).alias("cb"))
+    gathered = streamed(queries.withColumn("cut", F.lit(None).cast("array<struct<at:int,bound:long>>")), met, gather, "q long, c long, score long").distinct()
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    bound = gathered.withColumn("r", F.row_number().over(best)).where(F.col("r") == want).select("q", F.col("score").alias("bound"))
-    cutoffs = materialise(shift.join(bound, "q", "left"), "cutoffs")
-
-    # Phase 2: each block of queries takes its cutoffs along to all lists.
-    member = queries.select("qb", F.posexplode("ids").alias("at", "q")).join(cutoffs, "q")
-    packed = member.groupBy("qb").agg(F.array_agg(F.struct("at", "bound", "least")).alias("cut"))  # QUERIES_PER_BLOCK, about
-    informed = queries.join(packed, "qb")
-
-    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                q_ids, c_ids, local = matrices(row)
-                least, bound = np.zeros((len(q_ids), slices), np.int64), np.full(len(q_ids), np.iinfo(np.int64).min // 2)
-                for x in row.cut:
-                    least[x["at"]] = x["least"]
-                    if x["bound"] is not None and x["bound"] == x["bound"]:
-                        bound[x["at"]] = x["bound"]
-                # Entries of at least (bound - all shifts) / slices; in whole numbers.
-                cutoff = -((least.sum(1) - bound) // slices)
-                seen = [scores - least[:, s : s + 1] >= cutoff[:, None] for s, scores in enumerate(local)]
-                low = sum(np.where(k, scores - least[:, s : s + 1], 0) for s, (k, scores) in enumerate(zip(seen, local)))
-                missing = sum(~k for k in seen)
-                high = low + missing * (cutoff[:, None] - 1) + least.sum(1)[:, None]
-                q_at, c_at = np.nonzero((missing < slices) & (high >= bound[:, None]))
-                # Phase 3, in place: this pair of blocks holds the slices of which a score is missing.
-                score = sum(part[q_at, c_at] for part in local)
-                fine = score >= bound[q_at]
-                yield pd.DataFrame({"q": q_ids[q_at[fine]], "c": c_ids[c_at[fine]], "score": score[fine]})
-
-    pairs = met(informed).select("ids", "matrix", "c_ids", "c_matrix", "cut").mapInPandas(collect, "q long, c long, score long")
+    bound = materialise(gathered.withColumn("r", F.row_number().over(best)).where(F.col("r") == want).select("q", F.col("score").alias("bound")), "bounds")
+
+    # Phase 2: each block of queries takes its bounds along to all lists.
+    member = queries.select("qb", F.posexplode("ids").alias("at", "q")).join(bound, "q")
+    packed = member.groupBy("qb").agg(F.array_agg(F.struct("at", "bound")).alias("cut"))  # QUERIES_PER_BLOCK, about
+    informed = queries.join(packed, "qb", "left")
+    everywhere = queries.select("qb", F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))).alias("cb"))
+
+    def collect(q_ids, c_ids, local, cut) -> pd.DataFrame:
+        bound, bounded = np.zeros(len(q_ids), local[0].dtype), np.zeros((len(q_ids), 1), bool)
+        for x in cut if cut is not None else ():
+            bound[x["at"]], bounded[x["at"]] = x["bound"], True
+        cutoff = -(-bound // slices)
+        seen = [scores >= cutoff[:, None] for scores in local]
+        missing = sum(~s for s in seen)
+        high = sum(np.where(s, scores, (cutoff - 1)[:, None]) for s, scores in zip(seen, local))
+        q_at, c_at = np.nonzero((missing < slices) & (high >= bound[:, None]) | ~bounded)
+        # Phase 3, in place: this pair of blocks holds the lists in which a score is to be looked up.
+        score = sum(part[q_at, c_at] for part in local)
+        fine = (score >= bound[q_at]) | ~bounded[q_at, 0]
+        return pd.DataFrame({"q": q_ids[q_at[fine]], "c": c_ids[c_at[fine]], "score": _long(score[fine])})
+
+    pairs = streamed(informed, everywhere, collect, "q long, c long, score long")
     return _answers(rows, classes, pairs, is_query, k)
 
 

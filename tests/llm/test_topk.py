@@ -49,3 +49,26 @@ def test_cases(spark):
     assert topk.search(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert topk.search(frame, F.lit(False)).count() == 0
     assert topk.search(frame.limit(1), F.lit(True)).count() == 0
+
+
+def test_ties_repeated_rows_and_clashing_names(spark):
+    rows = [(i, [1.0, 0.0], 1) for i in (7, 5, 0, 50, 12, 12, 3, 9, 100)] + [(20, [0.0, 1.0], 1), (21, [0.5, 0.0], 1)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("class", "q", "cb", "rank", "score")})
+    got = topk.search(frame, F.col("vec_id") % 50 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute(list(dict.fromkeys((i, tuple(v), x) for i, v, x in rows)), lambda i: i % 50 == 0, 5)
+
+
+@pytest.mark.parametrize("size", [100.0, 1e6, 1e12, 3e15, 2.0**54])
+def test_large_components_are_exact(spark, size):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, size, 4)], 1) for i in range(30)] + [(30, [3e38, 0.0, 0.0, 0.0], 1)]
+    rows = [r for r in rows if max(map(abs, r[1])) < 2**55 or r[0] == 30]
+    got = topk.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 5 == 0)
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    own = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if i != 30}
+    want = []
+    for q in own:
+        if q % 5 == 0:
+            best = sorted((-clip(sum(a * b for a, b in zip(own[q], own[c]))), c) for c in own if c != q)[:5]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
