@@ -64,6 +64,16 @@ def test_matches_are_located(spark):
     assert got[2]["matches"] == [] and not got[2]["contaminated"]
 
 
+def test_repeated_words_cost_no_pairs(spark):
+    item = "a " * 3000 + "b c d e f g h i j k l m n o p"
+    rows = [(1, "a " * 60_000), (2, "a " * 12), (3, "x " * 40 + "a " * 13 + "b y"), (4, "m n o p " * 9)]
+    items = [("1", item), ("2", "a " * 500), (None, "a " * 20), ("3", "n o p m")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = D.judge(docs, bench).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "contaminated")) for r in got] == [(1, 60_000, 60_000, 2, True), (2, 12, 0, 0, False), (3, 55, 14, 2, True), (4, 36, 32, 1, True)]
+    assert [(m["doc_word"], m["n_words"]) for m in got[0]["matches"]] == [(0, 60_000)] and got[2]["items"] == ["1", "2"]
+
+
 def test_empty_tables(spark):
     docs, items = (spark.createDataFrame(x, s) for x, s in zip(tables(1), ("doc_id long, text string", "item_id long, text string")))
     assert D.judge(docs, items.limit(0)).where("n_hit > 0 OR contaminated").count() == 0
