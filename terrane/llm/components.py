@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
             return found
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("root"))
-        roots = _rooted(hooks)
+        roots = _rooted(materialise(hooks, "hooks"))  # written: a frequent root then meets plain shuffles, which adaptive execution splits
         at = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"r{name}"))
         carried = left.join(at("a"), "a").join(at("b"), "b")
         left = materialise(carried.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct(), "links")

@@ -15,7 +15,8 @@ task. No bucket is cut or sampled.
 
 Links need |A & B| >= similarity * |A | B| on full sets. Cases: null and empty texts, and those without words, have no shingles
 and are linked with nothing; with fewer words than a shingle has, all words are one shingle; repeated rows are in one class;
-a null doc_id is linked by its text, but is no component's name; an empty table gives no rows.
+a null doc_id is linked by its text, but is no component's name; different texts under one doc_id are judged each for itself; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -104,8 +105,8 @@ def _signatures(n: int):
                 sketches.append(odd_sketch(low))
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first), pa.array(second), pa.array(bands, lists), pa.array(sketches, lists)],
-                ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(first), pa.array(second), pa.array(bands, lists), pa.array(sketches, lists)],
+                ["doc_id", "key", "n_shingles", "c1", "c2", "bands", "sketch"],
             )
 
     return run
@@ -134,18 +135,16 @@ class _Verifier:
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        wanted = self.classes.select("cid", "c1", "c2", "rep").join(asked, "cid", "left_semi").hint("shuffle_hash")
+        wanted = self.classes.select("cid", "rep").join(asked, "cid", "left_semi").hint("shuffle_hash")
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = shingle_sets(as_bytes(batch.column(3)), n)
-                # One doc_id may have several texts: the class is the one of the same set.
-                fine = np.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) == c for s, c in zip(sets, batch.column(1).to_pylist())], bool)
-                kept = [s.tobytes() for s, ok in zip(sets, fine) if ok]
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fine)), pa.array(kept, pa.binary())], ["cid", "shingles"])
+                sets = shingle_sets(as_bytes(batch.column(1)), n)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "shingles"])
 
-        texts = self.docs.where("doc_id IS NOT NULL").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("cid", "c1", "c2", "text")
+        same = self.docs["doc_id"].eqNullSafe(wanted["rep.doc_id"]) & (self.docs["key"] == wanted["rep.key"])
+        texts = self.docs.join(wanted, same).select("cid", "text")
         return materialise(texts.mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -228,18 +227,25 @@ def _across(verifier: _Verifier, stars: DataFrame, roots: DataFrame, flips: int,
     return materialise(pairs.groupBy("cluster", "i", "j").applyInArrow(_joining(flips, verifier.percent), "a long, b long"), "joining")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = WORDS, percent: int = SIMILARITY_PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    kinds = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>"
+def text_key() -> Column:
+    """What identifies a text: the MD5 of its bytes (null: as empty)."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def judged(docs: DataFrame, shingle_words: int = WORDS, percent: int = SIMILARITY_PERCENT, block: int = BLOCK) -> DataFrame:
+    """doc_id, key (of the text), n_shingles, component_id and keeper (doc_id and key of the group's one text to keep) of every row."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key"))
+    kinds = "doc_id long, key binary, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>"
     signed = materialise(docs.mapInArrow(_signatures(shingle_words), kinds), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes.where("rep IS NOT NULL").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    # Rows without doc_id speak only where no other does.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(first.alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     flips = most_flips(percent / 100 - MARGIN)
 
-    keyed = classes.select("cid", F.explode("bands").alias("key"))
-    buckets = materialise(keyed.groupBy("key").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).where("pivot < last").select("key", "pivot"), "buckets")
-    stars = keyed.join(buckets, "key").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+    keyed = classes.select("cid", F.explode("bands").alias("band"))
+    buckets = materialise(keyed.groupBy("band").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).where("pivot < last").select("band", "pivot"), "buckets")
+    stars = keyed.join(buckets, "band").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
     stars = materialise(stars, "stars")
     verifier = _Verifier(docs, classes, shingle_words, percent)
     links = verifier.links(_close(stars, classes, flips))
@@ -249,8 +255,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int = WORDS, percent: int =
         roots = components(links.unionByName(joining))
 
     placed = classes.select("cid", "c1", "c2", "rep").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    names = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialise(placed.join(names, "root").select("c1", "c2", "component_id"), "components")
-    out = signed.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    placed = materialise(placed, "placed")
+    # Written, so that the join below has a plain shuffle on either side, which adaptive execution splits where a root is frequent.
+    names = materialise(placed.groupBy("root").agg(F.min("rep").alias("keeper")), "names")
+    named = materialise(placed.join(names, "root").select("c1", "c2", "keeper"), "components")
+    out = signed.select("doc_id", "key", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("keeper.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.struct("keeper.doc_id", "keeper.key").alias("keeper"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = WORDS, percent: int = SIMILARITY_PERCENT, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
+    out = judged(docs, shingle_words, percent, block).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def distinct(docs: DataFrame, shingle_words: int = WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """The rows of ``docs``, with their own columns, without near-duplicates: of each group the text of the smallest doc_id stays.
+
+    Of different texts under one doc_id only those go that another text stands for, and of repeated rows (same doc_id and text) one
+    stays. Rows without doc_id go where their text is a near copy; texts without words stay.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
+    facts = judged(docs, shingle_words, percent).withColumn("stays", (F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("key") == F.col("keeper.key"))))
+    facts = materialise(facts.groupBy("doc_id", "key").agg(F.first("stays").alias("stays"), F.count("*").alias("n")), "verdicts")
+    same = lambda t: F.col("_id").eqNullSafe(t["doc_id"]) & (F.col("_key") == t["key"])
+    gone, twice = facts.where("NOT stays").hint("shuffle_hash"), facts.where("stays AND n > 1")
+    kept = rows.join(gone, same(gone), "left_anti")
+    if not twice.limit(1).count():
+        return kept.select("_row.*")
+    repeated = kept.join(twice, same(twice), "left_semi").groupBy("_id", "_key").agg(F.first("_row").alias("_row"))
+    return kept.join(twice, same(twice), "left_anti").select("_row.*").unionByName(repeated.select("_row.*"))

@@ -5,7 +5,8 @@ time linear in the features. Features come from the whole text only: relative co
 and statistics of characters, words and lines; labels, languages, sources and identifiers are no inputs.
 
 The machine is trained on a bounded sample, at most ``TRAIN_PER_LABEL`` labelled documents of either label (those of the smallest
-hashes of doc_id), with features made by the executors; scoring covers every row by batched matrix products.
+hashes of doc_id), with features made by the executors, in the order of those hashes: equal tables give equal scores. Scoring covers every
+row by batched matrix products.
 
 Cases: null and empty texts have all-zero features and get a score. Null labels teach nothing; of several labels of a
 document the highest counts. Without both labels the score is the share of label 1 (1/2 without any). Repeated rows score alike.
@@ -163,10 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label:
     chosen = [marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])
     rows = docs.select("doc_id", F.col("text")).join(F.broadcast(sample), "doc_id")  # 2 * per_label rows at most
-    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", F.arrow_udf(_features_batches, "bag binary, stats binary")("text").alias("f")).select("y", "f.*")
-    got = rows.toPandas()
-    order = np.lexsort((got["bag"].map(hash), got["y"]))
-    got = got.iloc[order]
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", F.xxhash64("doc_id").alias("h"), "y", F.arrow_udf(_features_batches, "bag binary, stats binary")("text").alias("f"))
+    got = rows.select("doc_id", "h", "y", "f.*").toPandas().sort_values(["y", "h", "doc_id"])  # one order for one set of rows
     bags = np.stack([np.frombuffer(x, np.float32) for x in got["bag"]])
     stats = np.stack([np.frombuffer(x, np.float64) for x in got["stats"]])
     y = got["y"].to_numpy()

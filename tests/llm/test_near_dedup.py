@@ -78,6 +78,24 @@ def test_cases(spark):
     assert N.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_texts_without_id_bridge_others(spark):
+    words = [f"v{i}" for i in range(300)]
+    rows = [(7, " ".join(words[:150])), (None, " ".join(words[9:159])), (4, " ".join(words[18:168])), (None, " ".join(words[200:260]))]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == [("4", "4"), ("7", "4"), ("None", "4"), ("None", "None")]
+
+
+def test_distinct_keeps_one_text_of_each_group(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, b, near_a = " ".join(base), " ".join(f"x{i}" for i in range(60)), " ".join([*base[:59], "end"])
+    rows = [(1, a, "p"), (1, a, "p"), (2, a, "q"), (2, b, "r"), (3, near_a, "s"), (4, a + " other", "t"), (4, b, "u"), (None, near_a, "v"), (None, None, "w"), (None, None, "w"), (5, "", "x"), (6, " ".join(f"y{i}" for i in range(9)), "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumn("keeper", F.lit(1)).withColumn("a.b", F.lit(2))
+    out = N.distinct(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in out.collect()) == [("1", "p"), ("2", "r"), ("5", "x"), ("6", "y"), ("None", "w")]
+    assert N.distinct(docs.limit(0)).count() == 0
+
+
 def test_odd_sketch_estimates_high_similarities():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 2000).astype(np.uint64)
