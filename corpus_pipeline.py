@@ -4,14 +4,14 @@ Stages, each on all that the one before it kept: the quality classifier drops wh
 shingles, similarity 0.8 or more) the document with the smallest doc_id stays; documents contaminated by benchmark passages go;
 personal data is replaced in the texts (n_chars follows); the rest is tokenised and packed.
 
-Cases: all stages but the last keep the columns of ``docs``, whatever they are. Documents without doc_id stay in the near-duplicate
-stage; of repeated rows (same doc_id and text) one stays; of different texts under one doc_id all go if one is a copy of another
-document. Empty tables give empty results.
+Cases: all stages but the last keep the columns of ``docs``, whatever they are. In the near-duplicate stage documents without doc_id go where
+their text is a near copy; of repeated rows (same doc_id and text) one stays; of different texts under one doc_id each is judged by
+itself. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import decontaminate, near_dedup, packing, pii, quality
@@ -28,17 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = materialise(near_dedup.near_duplicates(docs), "judged").where("doc_id IS NOT NULL")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*own)
-    twice = materialise(judged.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if not twice.limit(1).count():
-        return kept
-    single = kept.join(twice, "doc_id", "left_anti").select(*own)
-    first = Window.partitionBy("doc_id", "_text").orderBy("_text")
-    repeated = kept.join(twice, "doc_id").withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return single.unionByName(repeated.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*own))
+    return near_dedup.distinct(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
