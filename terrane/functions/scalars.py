@@ -65,6 +65,14 @@ def hash01(*keys: Column, seed: int = 17) -> Column:
     return hash31(*keys, seed=seed) / F.lit(float((1 << 31) - 1))
 
 
+def hash01_sql(*keys: str, seed: int = 17) -> str:
+    """The SQL of ``hash01``, for engines whose longs have 64 bits; keys aren't negative."""
+    code = str(seed)
+    for key in keys:
+        code = f"(({code}) * 48271::BIGINT + ({key} % 2147483648) * 69621::BIGINT + 12345) % 2147483647"
+    return f"((({code}) * 16807::BIGINT) % 2147483647) / 2147483647.0::DOUBLE"
+
+
 def julian_day(date: Column) -> Column:
     """Julian day number of a date; modulo 7 it is 0 on Mondays."""
     return (F.datediff(date, F.lit("1970-01-01").cast("date")) + 2440588).cast("long")

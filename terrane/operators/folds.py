@@ -1,33 +1,61 @@
 """Ordered folds: models whose next state depends on the one before, a group at a time.
 
-Linear recurrences are column expressions over a group's ordered array of slim values. State machines with many branches
-are pandas folds (``applyInPandas``) by key. Either way a group is one entity's series, which a task must hold; rows of
-other columns don't travel with it.
+Series are dealt by key and sorted; a fold streams over them and holds one state, however long a series is. State machines of few
+rows a key, and geometry of one figure, are pandas functions by key (``applyInPandas``).
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.scalars import hash01
+from terrane.sources.tables import cut_lineage
 
 
-def scanned(rows: DataFrame, key: str, order: str, value: str, start: float, step, name: str) -> DataFrame:
-    """key, order and the running state: state = step(state, value), in order, as column expressions."""
-    series = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_s"))
-    empty = F.array().cast(f"array<struct<{order}:{dict(rows.dtypes)[order]},{name}:double>>")
-    begin = F.struct(F.lit(float(start)).alias("x"), empty.alias("out"))
+def folded(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], object], step: Callable, outputs: dict[str, str]) -> DataFrame:
+    """keys, order and the outputs of ``step(state, *inputs) -> (state, outputs)`` along each key's rows, from ``start()`` on.
 
-    def fold(state: Column, item: Column) -> Column:
-        x = step(state["x"], item[value])
-        return F.struct(x.alias("x"), F.concat(state["out"], F.array(F.struct(item[order].alias(order), x.alias(name)))).alias("out"))
+    Rows of a key stream past one state in one task: a long series takes time, but no memory.
+    """
+    kinds = dict(rows.dtypes)
+    own = list(dict.fromkeys([*keys, *order]))
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), *(f"{c} {t}" for c, t in outputs.items())])
+    arrow = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, state = None, None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out = []
+            for key, values in zip(zip(*columns[: len(keys)]), zip(*columns[len(own) :])):
+                if here is None or key != here:
+                    here, state = key, start()
+                state, result = step(state, *values)
+                out.append(result)
+            made = [pa.array([o[i] for o in out], arrow[t]) for i, t in enumerate(outputs.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *made], [*own, *outputs])
+
+    slim = rows.select(*own, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])
+    return slim.repartition(*keys).sortWithinPartitions(*own).mapInArrow(run, schema)
+
+
+def scanned(rows: DataFrame, key: str, order: str, value: str, start: float, step: Callable[[float, float], float], name: str) -> DataFrame:
+    """key, order and the running state: state = step(state, value), in order; a null value leaves the state as it is."""
+
+    def fold(state: float, x: float | None) -> tuple[float, tuple[float]]:
+        state = state if x is None else step(state, x)
+        return state, (state,)
 
-    return series.select(key, F.explode(F.aggregate("_s", begin, fold)["out"]).alias("_o")).select(key, f"_o.{order}", f"_o.{name}")
+    typed = rows.withColumn(value, F.col(value).cast("double"))
+    return folded(typed, [key], [order], [value], lambda: float(start), fold, {name: "double"})
 
 
 def smoothed(rows: DataFrame, key: str, order: str, value: str, start: float, dt: float, tau: float, name: str = "smooth") -> DataFrame:
@@ -44,7 +72,7 @@ def reservoir(rows: DataFrame, key: str, order: str, inflow: str, constant: floa
 
 def bounded_state(rows: DataFrame, key: str, order: str, change: str, low: float = 0.0, high: float = 1.0, name: str = "state") -> DataFrame:
     """A state that changes add to, within bounds (frost in the ground, wear)."""
-    return scanned(rows, key, order, change, low, lambda s, v: F.least(F.greatest(s + v, F.lit(low)), F.lit(high)), name)
+    return scanned(rows, key, order, change, low, lambda s, v: min(max(s + v, low), high), name)
 
 
 def soil_bucket(rows: DataFrame, key: str, order: str, capacity: float = 100.0, curve_number: float = 75.0) -> DataFrame:
@@ -52,40 +80,31 @@ def soil_bucket(rows: DataFrame, key: str, order: str, capacity: float = 100.0,
     store's share of its capacity, and what exceeds the capacity drains. Inflow from elsewhere must come with the rain of the step before."""
     s = 25400.0 / curve_number - 254.0
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        store, out = capacity / 2, []
-        for rain, pet in zip(group["rain"], group["pet"]):
-            runoff = 0.0 if rain <= 0.2 * s else (rain - 0.2 * s) ** 2 / (rain + 0.8 * s)
-            store += rain - runoff
-            evaporated = min(store, pet * min(1.0, store / capacity))
-            store -= evaporated
-            drained = max(0.0, store - capacity)
-            store -= drained
-            out.append((runoff, evaporated, drained, store))
-        return pd.DataFrame({key: group[key], order: group[order], **{n: [o[i] for o in out] for i, n in enumerate(("runoff", "evaporated", "drained", "store"))}})
+    def step(store: float, rain: float, pet: float) -> tuple[float, tuple]:
+        runoff = 0.0 if rain <= 0.2 * s else (rain - 0.2 * s) ** 2 / (rain + 0.8 * s)
+        store += rain - runoff
+        evaporated = min(store, pet * min(1.0, store / capacity))
+        store -= evaporated
+        drained = max(0.0, store - capacity)
+        store -= drained
+        return store, (runoff, evaporated, drained, store)
 
-    kinds = dict(rows.dtypes)
-    return rows.select(key, order, "rain", "pet").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, runoff double, evaporated double, drained double, store double")
+    return folded(rows, [key], [order], ["rain", "pet"], lambda: capacity / 2, step, dict.fromkeys(("runoff", "evaporated", "drained", "store"), "double"))
 
 
 def crop_stages(rows: DataFrame, key: str, order: str, base: float, sums: tuple[float, ...], frost: float, dry_days: int) -> DataFrame:
     """Development of a crop by daily temperature t and relative moisture w: degree-days above ``base`` move it through the stages
     (thresholds ``sums``); frost under ``frost`` or ``dry_days`` dry days in a row (w < 0.2) kill it. The last stage is ripe."""
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        total, dry, alive, out = 0.0, 0, True, []
-        for t, w in zip(group["t"], group["w"]):
-            if alive:
-                total += max(0.0, t - base)
-                dry = dry + 1 if w < 0.2 else 0
-                alive = t > frost and dry < dry_days
-            out.append(int(np.searchsorted(sums, total, side="right")) if alive else -1)
-        return pd.DataFrame({key: group[key], order: group[order], "stage": out})
+    def step(state: tuple, t: float, w: float) -> tuple[tuple, tuple]:
+        total, dry, alive = state
+        if alive:
+            total += max(0.0, t - base)
+            dry = dry + 1 if w < 0.2 else 0
+            alive = t > frost and dry < dry_days
+        return (total, dry, alive), (int(np.searchsorted(sums, total, side="right")) if alive else -1,)
 
-    kinds = dict(rows.dtypes)
-    return rows.select(key, order, "t", "w").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, stage int")
+    return folded(rows, [key], [order], ["t", "w"], lambda: (0.0, 0, True), step, {"stage": "int"})
 
 
 def populations(areas: DataFrame, days: int, growth: float, mortality: float, quota_from: float) -> DataFrame:
@@ -181,21 +200,26 @@ def stitched_rings(ways: DataFrame, key: str) -> DataFrame:
     """key, ring, i, node: rings closed by joining ways (way, nodes) at equal end nodes, in either direction; open chains are left out."""
 
     def stitch(group: pd.DataFrame) -> pd.DataFrame:
-        left = [list(nodes) for _, nodes in sorted(zip(group["way"], group["nodes"]), key=lambda w: w[0])]
-        out, ring = [], 0
-        while left:
-            chain = left.pop(0)
-            grown = True
-            while chain[0] != chain[-1] and grown:
-                grown = False
-                for i, way in enumerate(left):
-                    if chain[-1] in (way[0], way[-1]):
-                        chain += (way if way[0] == chain[-1] else way[::-1])[1:]
-                        left.pop(i)
-                        grown = True
-                        break
+        ways = [list(nodes) for _, nodes in sorted(zip(group["way"], group["nodes"]), key=lambda w: w[0])]
+        at: dict[int, list[int]] = defaultdict(list)  # ways by end node, the last ones first
+        for i in range(len(ways) - 1, -1, -1):
+            for end in {ways[i][0], ways[i][-1]}:
+                at[end].append(i)
+        used, out, ring = [False] * len(ways), [], 0
+        for i, way in enumerate(ways):
+            if used[i]:
+                continue
+            used[i], chain = True, list(way)
+            while chain[0] != chain[-1]:
+                found = at[chain[-1]]
+                while found and used[found[-1]]:
+                    found.pop()
+                if not found:
+                    break
+                used[found[-1]], more = True, ways[found[-1]]
+                chain += (more if more[0] == chain[-1] else more[::-1])[1:]
             if chain[0] == chain[-1] and len(chain) > 3:
-                out += [(group[key].iloc[0], ring, i, node) for i, node in enumerate(chain[:-1])]
+                out += [(group[key].iloc[0], ring, k, node) for k, node in enumerate(chain[:-1])]
                 ring += 1
         return pd.DataFrame(out, columns=[key, "ring", "i", "node"])
 
@@ -203,22 +227,26 @@ def stitched_rings(ways: DataFrame, key: str) -> DataFrame:
 
 
 def spread_choice(points: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    """The ``n`` points of each group that greedy farthest-point selection picks, with their turn; ties go to the smaller key."""
+    """The ``n`` points of each group that greedy farthest-point selection picks, with their turn; ties go to the smaller key.
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key)
-        xy, ids = rows[["x", "z"]].to_numpy(float), rows[key].to_numpy()
-        far = ((xy - xy.mean(0)) ** 2).sum(1)
-        out = []
-        for turn in range(min(n, len(rows))):
-            i = int(far.argmax()) if turn else int(far.argmin())
-            out.append((rows[group].iloc[0], turn, ids[i]))
-            distance = ((xy - xy[i]) ** 2).sum(1)
-            far = distance if not turn else np.minimum(far, distance)
-        return pd.DataFrame(out, columns=[group, "turn", key])
-
-    kinds = dict(points.dtypes)
-    return points.select(group, key, "x", "z").groupBy(group).applyInPandas(choose, f"{group} {kinds[group]}, turn int, {key} {kinds[key]}")
+    The first is the one nearest to the group's centre. Each turn is an aggregation with partial maxima: no group is collected.
+    """
+    own = points.select(group, key, "x", "z")
+    centre = own.groupBy(group).agg(F.avg("x").alias("_x"), F.avg("z").alias("_z"))
+    square = lambda a, b: (F.col("x") - a) * (F.col("x") - a) + (F.col("z") - b) * (F.col("z") - b)
+    taken = None
+    for turn in range(n):
+        far = -square(F.col("_x"), F.col("_z")) if taken is None else F.array_min(F.transform("_taken", lambda p: square(p["x"], p["z"])))
+        rest = own.join(centre if taken is None else taken, group)
+        if taken is not None:
+            rest = rest.where(~F.exists("_taken", lambda p: p["k"] == F.col(key)))
+        best = rest.groupBy(group).agg(F.min_by(F.struct(F.col(key).alias("k"), "x", "z"), F.struct((-far).alias("f"), F.col(key).alias("k"))).alias("_p"))
+        if taken is None:
+            taken = best.select(group, F.array("_p").alias("_taken"))
+        else:
+            taken = taken.join(best, group, "left").select(group, F.when(F.col("_p").isNull(), F.col("_taken")).otherwise(F.concat("_taken", F.array("_p"))).alias("_taken"))
+        taken = cut_lineage(taken, "taken")  # a row a group
+    return taken.select(group, F.posexplode("_taken").alias("turn", "_p")).select(group, "turn", F.col("_p.k").alias(key))
 
 
 def clipped(polygons: DataFrame, key: str, edges: list[tuple[float, float, float, float]]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from terrane.operators.folds import folded
+
 
 def micros(ts: str | Column) -> Column:
     """Microseconds since 1970, of timestamps with or without time zone."""
@@ -64,15 +66,14 @@ def filled_hours(rows: DataFrame, keys: list[str], hour: str, most_hours: int) -
 
 def cooled_down(rows: DataFrame, keys: list[str], ts: str, seconds: int, id_col: str) -> DataFrame:
     """Rows at least ``seconds`` after the last row kept of their group. What is kept depends on all rows before, so that each
-    group is folded in order, on slim rows: an array of times, not the rows themselves."""
-    times = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(micros(ts).alias("t"), F.col(id_col).alias("id")))).alias("_t"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(rows.dtypes)[id_col]}>").alias("ids"))
+    group is folded in order: times and ids stream, not the rows themselves."""
 
-    def step(state: Column, x: Column) -> Column:
-        take = state["last"].isNull() | (x["t"] - state["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(take, x["t"]).otherwise(state["last"]).alias("last"), F.when(take, F.concat(state["ids"], F.array(x["id"]))).otherwise(state["ids"]).alias("ids"))
+    def step(last: int | None, t: int) -> tuple:
+        keep = last is None or t - last >= seconds * 1_000_000
+        return t if keep else last, (keep,)
 
-    kept = times.select(F.explode(F.aggregate("_t", start, step)["ids"]).alias(id_col))
+    times = rows.select(*keys, id_col, micros(ts).alias("_t"))
+    kept = folded(times, keys, ["_t", id_col], ["_t"], lambda: None, step, {"_keep": "boolean"}).where("_keep").select(id_col)
     return rows.join(kept, id_col, "left_semi")
 
 

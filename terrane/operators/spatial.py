@@ -6,10 +6,13 @@ many rows lie are skewed join keys, which adaptive execution splits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
+from terrane.sources.tables import cut_lineage
 
 
 def _cell(x: str | Column, size: float) -> Column:
@@ -42,17 +45,19 @@ def nearest_within(left: DataFrame, left_key: str, right: DataFrame, right_key:
     return within_radius(left, right, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(left: DataFrame, left_key: str, right: DataFrame, right_key: str, start: float, most: int = 24) -> DataFrame:
-    """left_key, right_key and d of the nearest row of ``right`` however far: the radius doubles until every row has found one."""
-    left = left.select(left_key, "x", "z")
-    todo, found, radius = left, None, start
-    for _ in range(most):
-        hit = nearest_within(todo, left_key, right.select(right_key, "x", "z"), right_key, radius, 1).select(left_key, right_key, "d")
+def nearest(left: DataFrame, left_key: str, right: DataFrame, right_key: str, start: float) -> DataFrame:
+    """left_key, right_key and d of the nearest row of ``right`` however far: the radius grows fourfold until every row has found one.
+
+    Rounds are written to the shared folder; rows at places that aren't finite numbers find nothing and are left out.
+    """
+    finite = lambda df: df.where(~F.isnan("x") & ~F.isnan("z") & (F.abs("x") < math.inf) & (F.abs("z") < math.inf))
+    todo, right = finite(left.select(left_key, "x", "z")), finite(right.select(right_key, "x", "z"))
+    found, radius = None, start
+    while found is None or not (todo.isEmpty() or right.isEmpty()):
+        hit = cut_lineage(nearest_within(todo, left_key, right, right_key, radius, 1).select(left_key, right_key, "d"), "hit")
         found = hit if found is None else found.unionByName(hit)
-        todo = todo.join(hit.select(left_key), left_key, "left_anti")
+        todo = cut_lineage(todo.join(hit.select(left_key), left_key, "left_anti"), "todo")
         radius *= 4
-        if todo.isEmpty() or right.isEmpty():
-            break
     return found
 
 
@@ -74,12 +79,12 @@ def nearest_segment(points: DataFrame, key: str, edges: DataFrame, edge_key: str
 
 def points_in_polygons(points: DataFrame, key: str, edges: DataFrame, polygon: str, size: float) -> DataFrame:
     """key and polygon of every point inside a polygon, given by its edges (x1 z1 x2 z2): an odd number of edges crosses the
-    ray to greater x. Points meet the edges of their row of cells through the polygon's bounds."""
+    ray to greater x. Points meet by cell: each edge goes to its rows of cells, from the polygon's least x to its own greatest."""
     c = F.col
-    rows = edges.withColumn("_cz", F.explode(F.sequence(_cell(F.least("z1", "z2"), size), _cell(F.greatest("z1", "z2"), size))))
-    bounds = edges.groupBy(polygon).agg(*[f(e).alias(n) for n, f, e in (("_x0", F.min, F.least("x1", "x2")), ("_x1", F.max, F.greatest("x1", "x2")))])
-    rows = rows.join(bounds, polygon)
-    met = points.select(key, "x", "z", _cell("z", size).alias("_cz")).join(rows, "_cz").where("x >= _x0 AND x <= _x1")
+    least = edges.groupBy(polygon).agg(F.min(F.least("x1", "x2")).alias("_x0"))
+    placed = edges.join(least, polygon).withColumn("_cz", F.explode(F.sequence(_cell(F.least("z1", "z2"), size), _cell(F.greatest("z1", "z2"), size))))
+    placed = placed.withColumn("_cx", F.explode(F.sequence(_cell("_x0", size), _cell(F.greatest("x1", "x2"), size))))
+    met = points.select(key, "x", "z", _cell("x", size).alias("_cx"), _cell("z", size).alias("_cz")).join(placed, ["_cx", "_cz"])
     crossing = G.crosses_ray(c("x"), c("z"), c("x1"), c("z1"), c("x2"), c("z2"))
     return met.groupBy(key, polygon).agg(F.sum(crossing.cast("int")).alias("_n")).where("_n % 2 = 1").select(key, polygon)
 

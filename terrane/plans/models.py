@@ -11,7 +11,7 @@ from terrane.functions import geometry as G
 from terrane.functions import scalars as S
 from terrane.operators import folds as M
 from terrane.plans.registry import Registry
-from terrane.plans.space import EDGES, PLANE, edges, plane
+from terrane.plans.space import CENTROIDS, EDGES, EDGES_SQL, PLANE, edges, plane
 from terrane.session import table
 
 registry = Registry()
@@ -41,25 +41,40 @@ def q_frost_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.bounded_state(changes, "user_id", "day", "c", name="frost").select("user_id", "day", F.round(F.col("frost") + 1e-8, 5).alias("frost"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DAILY}, w AS (SELECT user_id, day, n, greatest(v - 30, 0) AS rain, {25400.0 / 75.0 - 254.0}::DOUBLE AS s FROM d),
+r AS (SELECT *, CASE WHEN rain <= 0.2::DOUBLE * s THEN 0 ELSE pow(rain - 0.2::DOUBLE * s, 2) / (rain + 0.8::DOUBLE * s) END AS runoff FROM w),
+f(user_id, day, n, runoff, evaporated, drained, store) AS (SELECT DISTINCT user_id, '', 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 50.0::DOUBLE FROM d UNION ALL
+  SELECT user_id, day, n, runoff, e, greatest(0, b - e - 100), b - e - greatest(0, b - e - 100) FROM (SELECT *, least(b, 4.0::DOUBLE * least(1, b / 100)) AS e FROM
+    (SELECT r.user_id, r.day, r.n, r.runoff, f.store + (r.rain - r.runoff) AS b FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)))
+SELECT user_id, day, round(runoff + 1e-8, 5) AS runoff, round(evaporated + 1e-8, 5) AS evaporated, round(drained + 1e-8, 5) AS drained, round(store + 1e-8, 5) AS store FROM f WHERE n > 0""")
 def q_soil_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     water = _daily(spark, sf_dir).select("user_id", "day", F.greatest(F.col("v") - 30, F.lit(0.0)).alias("rain"), F.lit(4.0).alias("pet"))
-    return M.soil_bucket(water, "user_id", "day")
+    return M.soil_bucket(water, "user_id", "day").select("user_id", "day", *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in ("runoff", "evaporated", "drained", "store")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DAILY}, w AS (SELECT user_id, day, n, v / 3 AS t, v / 100 AS w FROM d),
+f(user_id, day, n, total, dry, alive) AS (SELECT DISTINCT user_id, '', 0::BIGINT, 0.0::DOUBLE, 0, true FROM d UNION ALL
+  SELECT user_id, day, n, total, dry, alive AND t > -2 AND dry < 6 FROM (SELECT w.user_id, w.day, w.n, w.t, f.alive, CASE WHEN f.alive THEN f.total + greatest(0, w.t - 5) ELSE f.total END AS total,
+    CASE WHEN NOT f.alive THEN f.dry WHEN w.w < 0.2::DOUBLE THEN f.dry + 1 ELSE 0 END AS dry FROM f JOIN w ON w.user_id = f.user_id AND w.n = f.n + 1))
+SELECT user_id, day, CAST(CASE WHEN NOT alive THEN -1 ELSE (total >= 50)::INT + (total >= 120)::INT + (total >= 200)::INT + (total >= 300)::INT END AS INTEGER) AS stage FROM f WHERE n > 0""")
 def q_crop_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = _daily(spark, sf_dir).select("user_id", "day", (F.col("v") / 3).alias("t"), (F.col("v") / 100).alias("w"))
     return M.crop_stages(days, "user_id", "day", 5.0, (50.0, 120.0, 200.0, 300.0), -2.0, 6)
 
 
-@query()
+@query("""WITH RECURSIVE p(area, day, n, taken) AS (SELECT n_nationkey, 0, (n_nationkey + 5)::DOUBLE, 0.0::DOUBLE FROM nation UNION ALL
+  SELECT area, day, m - t, t FROM (SELECT area, day, m, CASE WHEN day % 30 = 0 THEN greatest(0, m - 0.6::DOUBLE * 100.0::DOUBLE) ELSE 0 END AS t FROM
+    (SELECT area, day + 1 AS day, n + (0.05::DOUBLE * n * (1 - n / 100.0::DOUBLE) - 0.01::DOUBLE * n) AS m FROM p WHERE day < 120)))
+SELECT area, day, round(n + 1e-8, 5) AS n, round(taken + 1e-8, 5) AS taken FROM p WHERE day > 0""")
 def q_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("area"), (F.col("n_nationkey") + 5).cast("double").alias("start"), F.lit(100.0).alias("capacity"))
-    return M.populations(areas, 120, 0.05, 0.01, 0.6)
+    return M.populations(areas, 120, 0.05, 0.01, 0.6).select("area", "day", F.round(F.col("n") + 1e-8, 5).alias("n"), F.round(F.col("taken") + 1e-8, 5).alias("taken"))
 
 
-@query()
+@query(f"""WITH RECURSIVE c(station, hour, state) AS (SELECT n_nationkey, -1, 'clear' FROM nation UNION ALL
+  SELECT station, hour + 1, CASE state WHEN 'clear' THEN CASE WHEN x < 6 THEN 'clear' WHEN x < 9 THEN 'cloudy' ELSE 'rain' END WHEN 'cloudy' THEN CASE WHEN x < 2 THEN 'clear' WHEN x < 7 THEN 'cloudy' ELSE 'rain' END
+    ELSE CASE WHEN x < 1 THEN 'clear' WHEN x < 6 THEN 'cloudy' ELSE 'rain' END END FROM (SELECT *, 10 * {S.hash01_sql("station", "(hour + 1)", seed=11)} AS x FROM c WHERE hour < 71))
+SELECT station, hour, state FROM c WHERE hour >= 0""")
 def q_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = {"clear": {"clear": 6, "cloudy": 3, "rain": 1}, "cloudy": {"clear": 2, "cloudy": 5, "rain": 3}, "rain": {"cloudy": 5, "rain": 4, "clear": 1}}
     return M.weather_chain(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("station")), 72, weights, "clear")
@@ -74,28 +89,61 @@ def q_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.hulls(plane(spark, sf_dir), "label").select("label", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
 
 
-@query()
+@query(f"""WITH {_HULL_SQL.replace("a.z AS az", "a.z AS az, b.x AS bx, b.z AS bz")}, t AS (SELECT DISTINCT label, atan2(bz - az, bx - ax) AS r FROM e), u AS (SELECT DISTINCT label, round(r - floor(r / (pi() / 2)) * (pi() / 2), 12) AS t FROM t),
+g AS (SELECT u.label, t, min(cos(t) * x + sin(t) * z) AS x0, max(cos(t) * x + sin(t) * z) AS x1, min(cos(t) * z - sin(t) * x) AS z0, max(cos(t) * z - sin(t) * x) AS z1 FROM u JOIN plane p ON p.label = u.label GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (x1 - x0) * (z1 - z0), t) AS r FROM g)
+SELECT label, round(cos(t) * (x0 + x1) / 2 - sin(t) * (z0 + z1) / 2, 6) AS cx, round(sin(t) * (x0 + x1) / 2 + cos(t) * (z0 + z1) / 2, 6) AS cz, round(greatest(x1 - x0, z1 - z0), 6) AS length,
+  round(least(x1 - x0, z1 - z0), 6) AS width, round(degrees(CASE WHEN x1 - x0 >= z1 - z0 THEN t ELSE t + pi() / 2 END) % 180, 6) AS angle FROM b WHERE r = 1""")
 def q_tightest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.tightest_boxes(M.hulls(plane(spark, sf_dir), "label"), "label")
+    boxes = M.tightest_boxes(M.hulls(plane(spark, sf_dir), "label"), "label")
+    return boxes.select("label", *[F.round(c, 6).alias(c) for c in ("cx", "cz", "length", "width", "angle")])
 
 
-@query()
+_WAYS = [(p, i, [i, (i + 1) % n] if i % 2 else [(i + 1) % n, i]) for p, i, *_, n in EDGES]
+
+
+@query(f"""WITH RECURSIVE ways(poly, way, a, b) AS (VALUES {", ".join(f"({p}, {i}, {a}::BIGINT, {b}::BIGINT)" for p, i, (a, b) in _WAYS)}),
+c(poly, i, node, tip, used) AS (SELECT poly, 0, a, b, [way] FROM ways WHERE way = 0 UNION ALL
+  SELECT c.poly, c.i + 1, c.tip, CASE WHEN w.a = c.tip THEN w.b ELSE w.a END, list_append(c.used, w.way) FROM c JOIN ways w ON w.poly = c.poly AND NOT list_contains(c.used, w.way) AND c.tip IN (w.a, w.b))
+SELECT poly, 0 AS ring, i, node FROM c""")
 def q_ring_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = [(p, i, (i + 1) % n) for p, i, *_, n in EDGES]
-    ways = [(p, i, [a, b] if i % 2 else [b, a]) for p, i, b in nodes for a in (i,)]
-    return M.stitched_rings(spark.createDataFrame(ways, "poly int, way int, nodes array<long>"), "poly")
+    return M.stitched_rings(spark.createDataFrame(_WAYS, "poly int, way int, nodes array<long>"), "poly")
+
+
+def _spread_sql(turns: int) -> str:
+    square = "(p.x - {t}.x) * (p.x - {t}.x) + (p.z - {t}.z) * (p.z - {t}.z)"
+    first = f"SELECT label, vec_id, x, z FROM (SELECT p.*, row_number() OVER (PARTITION BY p.label ORDER BY {square.format(t='c')}, vec_id) AS r FROM plane p JOIN cent c ON c.label = p.label) WHERE r = 1"
+    parts = [f"t0 AS ({first})"]
+    for k in range(1, turns):
+        far = ", ".join(square.format(t=f"t{i}") for i in range(k))
+        joins = " ".join(f"JOIN t{i} ON t{i}.label = p.label" for i in range(k))
+        parts.append(f"t{k} AS (SELECT label, vec_id, x, z FROM (SELECT p.*, row_number() OVER (PARTITION BY p.label ORDER BY least({far}) DESC, p.vec_id) AS r FROM plane p {joins}) WHERE r = 1)")
+    return f"WITH {PLANE}, {CENTROIDS}, {', '.join(parts)} " + " UNION ALL ".join(f"SELECT label, {k} AS turn, vec_id FROM t{k}" for k in range(turns))
 
 
-@query()
+@query(_spread_sql(4))
 def q_farthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.spread_choice(plane(spark, sf_dir), "label", "vec_id", 4)
 
 
-@query()
+_WINDOW = [(-0.15, -0.15, 0.15, -0.15), (0.15, -0.15, 0.15, 0.15), (0.15, 0.15, -0.15, 0.15), (-0.15, 0.15, -0.15, -0.15)]
+
+
+def _clip_sql() -> str:
+    parts = [f"{EDGES_SQL}, r0 AS (SELECT poly, i::BIGINT AS i, x1 AS x, z1 AS z FROM edges WHERE poly <> 3)"]
+    for k, (x1, z1, x2, z2) in enumerate(_WINDOW):
+        side = f"({x2 - x1!r}::DOUBLE * (z - {z1}::DOUBLE) - {z2 - z1!r}::DOUBLE * (x - {x1}::DOUBLE))"
+        nxt = lambda c: f"coalesce(lead({c}) OVER w, first({c}) OVER w)"
+        parts.append(f"s{k} AS (SELECT *, {side} AS s FROM r{k}), n{k} AS (SELECT *, {nxt('x')} AS nx, {nxt('z')} AS nz, {nxt('s')} AS t FROM s{k} WINDOW w AS (PARTITION BY poly ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))")
+        kept = f"SELECT poly, 2 * i AS o, x, z FROM n{k} WHERE s >= 0 UNION ALL SELECT poly, 2 * i + 1, x + s / (s - t) * (nx - x), z + s / (s - t) * (nz - z) FROM n{k} WHERE s * t < 0"
+        parts.append(f"r{k + 1} AS (SELECT poly, row_number() OVER (PARTITION BY poly ORDER BY o) - 1 AS i, x, z FROM ({kept}))")
+    return f"WITH {', '.join(parts)} SELECT poly, i::INTEGER AS i, round(x, 9) AS x, round(z, 9) AS z FROM r{len(_WINDOW)}"
+
+
+@query(_clip_sql())
 def q_clip_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = [(-0.15, -0.15, 0.15, -0.15), (0.15, -0.15, 0.15, 0.15), (0.15, 0.15, -0.15, 0.15), (-0.15, 0.15, -0.15, -0.15)]
     rings = edges(spark).where("poly <> 3").select("poly", "i", F.col("x1").alias("x"), F.col("z1").alias("z"))
-    return M.clipped(rings, "poly", window)
+    return M.clipped(rings, "poly", _WINDOW).select("poly", "i", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
 
 
 @query(f"""WITH p AS (SELECT n_nationkey, radians(40 + n_nationkey / 5.0::DOUBLE) AS lat, radians(n_nationkey / 4.0::DOUBLE - 2) AS d, radians(45.0::DOUBLE) AS p0 FROM nation),

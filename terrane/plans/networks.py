@@ -71,14 +71,20 @@ def q_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.edges_of_lines(points, "conv_id", "turn", 1.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PLANE}, {NEAR}, w(walk, step, id, before) AS (SELECT DISTINCT src, 0, src, -1::BIGINT FROM near UNION ALL
+  SELECT walk, step + 1, arg_min(dst, row(back, draw, dst)), id FROM (SELECT w.*, n.dst, n.dst = w.before AS back, {S.hash01_sql("w.walk", "n.dst", "(w.step + 1)", seed=3)} AS draw
+    FROM w JOIN near n ON n.src = w.id WHERE w.step < 5) GROUP BY walk, step, id)
+SELECT walk, step, id FROM w""")
 def q_random_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = _near(spark, sf_dir).select("src", "dst")
     starts = near.select(F.col("src").alias("id")).distinct().select(F.col("id").alias("walk"), "id")
     return G.walked(near, starts, 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PLANE}, {NEAR}, told AS (SELECT src, dst FROM near UNION ALL SELECT DISTINCT src, src FROM near), r(id, learned, k) AS (SELECT min(src), 0, 0 FROM near UNION ALL
+  SELECT dst, min(CASE WHEN src = dst THEN learned ELSE k + 1 END), k + 1 FROM (SELECT t.src, t.dst, r.learned, r.k, {S.hash01_sql("t.src", "t.dst", "(r.k + 1)")} AS draw FROM r JOIN told t ON t.src = r.id WHERE r.k < 4)
+  WHERE src = dst OR draw < 0.5::DOUBLE GROUP BY dst, k)
+SELECT id, learned AS "round" FROM r WHERE k = 4""")
 def q_rumours(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = _near(spark, sf_dir).select("src", "dst")
     contacts = near.withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(4))))

@@ -62,7 +62,8 @@ def q_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey, CASE WHEN count(*) >= 5 THEN list_sort(list(o_totalprice))[CAST(floor(count(*) / 2) AS INTEGER) + 1] ELSE -1 END AS upper FROM orders GROUP BY 1")
 def q_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.coalesce(A.upper_median("o_totalprice"), F.lit(-1.0)).alias("upper"))
+    medians = A.upper_medians(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice")
+    return medians.withColumn("upper", F.coalesce("upper", F.lit(-1.0)))
 
 
 @query("""SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.2), 4) AS p20, round(quantile_cont(o_totalprice, 0.8), 4) AS p80, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY 1""")

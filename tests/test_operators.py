@@ -79,7 +79,8 @@ def test_relational(spark):
 
 def test_stats(spark):
     rows = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (1, 10.0)], "k int, x double")
-    assert values(rows.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("m"), stats.upper_median("x", 4).alias("u")), "m", "u") == [(2.5, 3.0)]
+    assert values(rows.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("m")), "m") == [(2.5,)]
+    assert values(stats.upper_medians(rows, ["k"], "x", "u", 4), "u") == [(3.0,)]
     ties = spark.createDataFrame([(1, 5), (1, 3), (1, None), (2, None)], "k int, v int")
     assert values(stats.mode_lowest(ties, ["k"], "v", "m", 255), "k", "m") == [(1, 3), (2, 255)]
     plane = spark.createDataFrame([(float(x), float(z), 2.0 * x - 3.0 * z + 1.0) for x in range(3) for z in range(3)], "x double, z double, u double")
@@ -240,3 +241,30 @@ def test_formats(spark, tmp_path):
     assert formats.read_window(spark, f"{tmp_path}/tiles", "ix", "iz", 2.0, (1.0, 3.0, 0.0, 2.0)).count() == 4
     (tmp_path / "t.log").write_text("ERROR a\nb\n")
     assert values(formats.log_lines(spark, f"{tmp_path}/t.log", {"error": "^ERROR"}), "kind") == [("error",), ("other",)]
+
+
+def test_folds_of_a_long_series(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("k"), "id", F.lit(1.0).alias("v"))
+    out = folds.bounded_state(rows, "k", "id", "v", 0.0, float(n))
+    assert out.agg(F.count("*"), F.max("state"), F.sum((F.col("state") != F.col("id") + 1).cast("int"))).first()[:] == (n, float(n), 0)
+    nulls = spark.createDataFrame([(1, 0, 2.0), (1, 1, None), (1, 2, 1.0), (9, 0, 5.0)], "k int, o int, v double")
+    assert values(folds.bounded_state(nulls, "k", "o", "v", 0.0, 9.0), "k", "o", "state") == [(1, 0, 2.0), (1, 1, 2.0), (1, 2, 3.0), (9, 0, 5.0)]
+    assert folds.bounded_state(nulls.limit(0), "k", "o", "v").count() == 0
+
+
+def test_chains_of_any_length(spark):
+    n = 5000
+    chain = spark.range(n).select("id", F.when(F.col("id") + 1 < n, F.col("id") + 1).alias("next"), F.lit(1.0).alias("w"))
+    assert graphs.outlets(chain).agg(F.count("*"), F.min("outlet"), F.max("outlet")).first()[:] == (n - 1, n - 1, n - 1)
+    assert graphs.accumulated(chain, "w").where(F.col("total") != F.col("id") + 1).count() == 0
+    line = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert values(graphs.levels(line, spark.range(1)), "id", "hops") == [(k, k) for k in range(41)]
+    loop = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 2, 1.0), (4, None, 1.0), (5, 4, 2.0)], "id long, next long, w double")
+    assert values(graphs.accumulated(loop, "w"), "id", "total") == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 3.0), (5, 2.0)]
+
+
+def test_medians_of_ranges(spark):
+    rows = spark.createDataFrame([(k % 3, float((k * 37) % 101)) for k in range(300)] + [(7, 1.0), (7, None)], "k int, x double")
+    own = {k: sorted(float((i * 37) % 101) for i in range(300) if i % 3 == k) for k in range(3)}
+    assert values(stats.upper_medians(rows, ["k"], "x"), "k", "upper") == sorted([(k, v[len(v) // 2]) for k, v in own.items()] + [(7, None)])
