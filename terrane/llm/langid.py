@@ -5,7 +5,8 @@ the lower-cased text (a blended spectrum of presences; n-grams are hashed to ``S
 language span the feature space: phi(x) = W^(-1/2) k(x). One ridge regression a language is fitted on phi; a batch of texts is
 scored by matrix products of its presence matrix, the landmarks' presence matrix and the weights.
 
-Training takes a bounded sample: at most ``TRAIN_PER_LANG`` documents a language, those of the smallest hashes of doc_id.
+Training takes a bounded sample: at most ``TRAIN_PER_LANG`` documents a language, those of the smallest hashes of doc_id, and ``TRAIN_ROWS`` in all,
+which many languages share evenly. Of more than ``MAX_LANGS`` languages the most frequent are learned.
 
 Cases: null texts and texts without a letter are ``und`` with score 0. Null languages teach nothing. Without any language to
 learn, everything is ``und``. Repeated rows score alike.
@@ -25,7 +26,7 @@ from terrane.llm.quality import held_out
 
 SLOTS = 1 << 18
 MAX_N = 4
-TRAIN_PER_LANG = 250
+TRAIN_PER_LANG, TRAIN_ROWS, MAX_LANGS = 250, 10_000, 400
 LANDMARKS = 40
 RIDGE = 1e-3
 #: Characters taken at a time, and texts whose presences are held at a time.
@@ -94,6 +95,10 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> KernelRidge | None
     """Fit on at most ``per_lang`` rows a language that aren't held out."""
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS + 1).collect()]
+    if len(langs) > MAX_LANGS:
+        known = known.where(F.col("lang").isin(langs[:MAX_LANGS]))
+    per_lang = max(1, min(per_lang, TRAIN_ROWS // max(1, min(len(langs), MAX_LANGS))))
     chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_lang)
     chosen = chosen.groupBy("doc_id", "lang").agg(F.min("r").alias("r"))
     texts = known.select("doc_id", "lang", "text").where("text IS NOT NULL").join(F.broadcast(chosen), ["doc_id", "lang"])  # per_lang rows a language

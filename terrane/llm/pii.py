@@ -4,7 +4,7 @@ Plain spans are the leftmost non-overlapping matches of a kind's pattern on the
 grow from each ``@``, the other kinds from runs of digits.
 
 Disguised ones: transducers rewrite the text and keep, for each character written, the source characters it stands for. They
-map homoglyphs, full-width forms and digits of other scripts to ASCII, drop invisible characters, turn ``[at]``, ``(dot)``,
+map homoglyphs, forms of letters, digits and signs, and digits of other scripts to ASCII, drop invisible characters, turn ``[at]``, ``(dot)``,
 ``name at host dot org`` and the like into signs, and runs of at least ``MIN_SPELLED`` digits, three or more of them spelled, into
 digits. ``point`` and a spaced ``.`` are signs only inside an address, as both are usual in prose: between four numbers, or in a
 host that ends in a known top-level domain (after the bare words ``at`` and ``chez``, one that isn't a word as well: ``at some point
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,21 +96,26 @@ def detect(text: str) -> dict[str, list[tuple[int, int]]]:
     return {"email": _emails(text)} | _digit_spans(text)
 
 
-# Letters that look like ASCII letters, and the letters they look like.
-_LOOKS = dict(zip("аеорсухіјѕԁһӏмткнвАВЕКМНОРСТУХІЈЅαορνκιΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhlmtkhbABEKMHOPCTYXIJSaopvkiABEZHIKMNOPTYX"))
-_INVISIBLE = "­​‌‍⁠﻿"
-# Digits as words, in English, German, French and Spanish.
+# Cyrillic, Greek, Armenian and Latin letters that look like ASCII letters, and the letters they look like.
+_LOOKS = dict(zip("аеорсухіјѕԁһӏмткнвԛԝүгАВЕКМНОРСТУХІЈЅӀԚԜαορνκιυγΑΒΕΖΗΙΚΜΝΟΡΤΥΧօոսհցզքɑɡıɩɪʋſ", "aeopcyxijsdhlmtkhbqwyrABEKMHOPCTYXIJSlQWaopvkiuyABEZHIKMNOPTYXonuhgqpagiiiuf"))
+#: Ranges of full-width, circled, squared, small and mathematical forms, which Unicode's compatibility mapping resolves.
+_FORMS = ((0x2460, 0x24FF), (0xFE50, 0xFE6B), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF), (0x1F130, 0x1F189))
+_LOOKS |= {chr(c): x for a, b in _FORMS for c in range(a, b + 1) if len(x := unicodedata.normalize("NFKC", chr(c))) == 1 and x.isascii()}
+_LOOKS |= {chr(c): found[1].lower() for c in range(0x1D00, 0x1D23) if (found := re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(chr(c), "")))}
+_LOOKS |= dict.fromkeys("\u2010\u2011\u2012\u2013\u2212", "-") | dict.fromkeys("\u00a0\u2002\u2003\u2007\u2009\u202f\u3000", " ") | dict.fromkeys("\u2024\u3002\uff61", ".")
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+# Digits as words, in English, German, French, Spanish, Italian, Portuguese and Dutch.
 _SPELLED = {
-    "0": "zero oh null zéro cero",
-    "1": "one eins un uno",
-    "2": "two zwei deux dos",
-    "3": "three drei trois tres",
-    "4": "four vier quatre cuatro",
-    "5": "five fünf cinq cinco",
-    "6": "six sechs seis",
-    "7": "seven sieben sept siete",
-    "8": "eight acht huit ocho",
-    "9": "nine neun neuf nueve",
+    "0": "zero oh null zéro cero nul",
+    "1": "one eins un uno um een",
+    "2": "two zwei deux dos due dois twee",
+    "3": "three drei trois tres tre três drie",
+    "4": "four vier quatre cuatro quattro quatro",
+    "5": "five fünf cinq cinco cinque vijf",
+    "6": "six sechs seis sei zes",
+    "7": "seven sieben sept siete sette sete zeven",
+    "8": "eight acht huit ocho otto oito",
+    "9": "nine neun neuf nueve nove negen",
 }
 _DIGIT_OF = {word: digit for digit, group in _SPELLED.items() for word in group.split()}
 _NUMBER = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
@@ -142,38 +148,53 @@ _WORDS = frozenset(
     "tv us uz va ve ws ye aero app asia blog cat club coop dev email jobs live mobi museum name news online pro shop site space store tech tel travel "
     "website world xyz".split()
 )
-_STRANGE = re.compile(f"[{_INVISIBLE}{''.join(_LOOKS)}！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
+_STRANGE = re.compile(f"[{_INVISIBLE}{re.escape(''.join(_LOOKS))}]|(?![0-9])\\d")
 
 
 class Tape:
-    """A text and, for each of its characters, the source span that it stands for."""
+    """A text, and the source span that each of its characters stands for, as runs: (place, source begin, source end, copied). In a copied
+    run characters stand for one each; all of another stand for its whole span."""
 
-    def __init__(self, text: str, begins: list[int], ends: list[int]) -> None:
-        self.text, self.begins, self.ends = text, begins, ends
+    def __init__(self, text: str, runs: list[tuple[int, int, int, bool]]) -> None:
+        self.text, self.runs = text, runs
+        self.places = [r[0] for r in runs]
 
     @classmethod
     def of(cls, text: str) -> Tape:
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)))
+        return cls(text, [(0, 0, len(text), True)])
 
     def rewritten(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Each (begin, end, new text) of this tape in ascending order replaced; new characters stand for the whole of it."""
-        parts, begins, ends, at = [], [], [], 0
-        for begin, end, new in edits:
+        parts: list[str] = []
+        runs: list[tuple[int, int, int, bool]] = []
+        place = at = k = 0
+        for begin, end, new in [*edits, (len(self.text), len(self.text), "")]:
             parts += [self.text[at:begin], new]
-            begins += self.begins[at:begin] + [self.begins[begin]] * len(new)
-            ends += self.ends[at:begin] + [self.ends[end - 1]] * len(new)
+            while at < begin:  # what stays
+                while k + 1 < len(self.runs) and self.places[k + 1] <= at:
+                    k += 1
+                start, source, stop, copied = self.runs[k]
+                until = min(begin, self.places[k + 1] if k + 1 < len(self.runs) else begin)
+                runs.append((place, source + at - start, source + until - start, True) if copied else (place, source, stop, False))
+                place += until - at
+                at = until
+            if new:
+                runs.append((place, *self.source(begin, end), False))
+                place += len(new)
             at = end
-        return Tape("".join(parts) + self.text[at:], begins + self.begins[at:], ends + self.ends[at:])
+        return Tape("".join(parts), runs)
+
+    def _of(self, i: int) -> tuple[int, int]:
+        start, source, stop, copied = self.runs[bisect_right(self.places, i) - 1]
+        return (source + i - start, source + i - start + 1) if copied else (source, stop)
 
     def source(self, begin: int, end: int) -> tuple[int, int]:
-        return self.begins[begin], self.ends[end - 1]
+        return self._of(begin)[0], self._of(end - 1)[1]
 
 
 def _plain(char: str) -> str:
     if char in _INVISIBLE:
         return ""
-    if "！" <= char <= "～":
-        return chr(ord(char) - 0xFEE0)
     return _LOOKS.get(char) or str(unicodedata.decimal(char, char))
 
 
@@ -275,13 +296,13 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
     tape = normalise(text)
     if tape is None:
         return base, base
-    every = {kind: list(spans) for kind, spans in base.items()}
+    every = {}
     for kind, spans in detect(tape.text).items():
-        for span in spans:
-            begin, end = tape.source(*span)
-            if not any(a <= begin and end <= b for a, b in base[kind]):
-                every[kind].append((begin, end))
-        every[kind].sort()
+        plain = base[kind]  # ascending, none overlaps another: only the last one that begins no later can cover a span
+        begins = [a for a, _ in plain]
+        found = [tape.source(*span) for span in spans]
+        more = [(a, b) for a, b in found if not ((k := bisect_right(begins, a)) and plain[k - 1][1] >= b)]
+        every[kind] = sorted(plain + more)
     return base, every
 
 

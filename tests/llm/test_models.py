@@ -65,6 +65,8 @@ def test_quality_cases(spark):
     assert ((fine["score"] > 0.5) == (fine["doc_id"] % 2 == 1)).mean() > 0.95
     assert quality.classify(docs, labels.limit(0)).first()["score"] == pytest.approx(0.5)
     assert quality.classify(docs.limit(0), labels).count() == 0
+    one, other = quality.train(docs, labels), quality.train(docs.repartition(7).orderBy(F.desc("doc_id")), labels.repartition(3))
+    assert np.array_equal(one.w, other.w) and np.array_equal(one.v, other.v) and one.w0 == other.w0
     again = quality.classify(docs.repartition(7), labels).toPandas()
     assert np.allclose(np.sort(got["score"]), np.sort(again["score"]))
 
@@ -93,3 +95,17 @@ def test_language_cases(spark):
 def test_kernel_of_presences():
     a, b = langid.ngrams("abab"), langid.ngrams("ABAB" * 3)
     assert len(a) == 2 + 2 + 2 + 1 and set(a) <= set(b) and len(langid.ngrams("")) == 0
+
+
+def test_many_languages_share_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 12)
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    rows = [(10 * k + i, f"{w} " * 9 + str(i), f"l{k}") for k, w in enumerate(("abc", "def", "ghi", "jkl")) for i in range(10 + (k < 3))]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["l0", "l1", "l2"]
+
+
+def test_very_long_texts_of_a_language(spark):
+    rows = [(k, ("der hund und die katze " if k % 2 else "the dog and the cat ") * 3, "de" if k % 2 else "en") for k in range(40)] + [(99, "der hund und die katze " * 100_000, None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id = 99").first()
+    assert got["lang_pred"] == "de"

@@ -110,3 +110,10 @@ def test_components_of_long_chains_and_stars(spark):
     star = spark.range(1001, 1100).select(F.lit(1000).cast("long").alias("a"), F.col("id").alias("b"))
     got = components(chain.unionByName(star).repartition(6)).groupBy("root").count().collect()
     assert sorted(tuple(r) for r in got) == [(0, 301), (1000, 100)]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, long.replace("w7 ", "x7 ")), (3, "word " * 400_000), (4, "word " * 3)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 299_999, 1), (2, 299_999, 1), (3, 1, 3), (4, 1, 3)]

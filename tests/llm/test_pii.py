@@ -116,3 +116,66 @@ def test_queries_columns_and_redaction(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert clean[1] == "<EMAIL> and <IP>" and clean[2] is None and clean[5] == "<EMAIL>"
     assert pii.scan(docs.limit(0)).count() == 0
+
+
+def test_tapes_of_rewritten_tapes_keep_source_spans():
+    rng = random.Random(12)
+    for _ in range(400):
+        text = "".join(rng.choice("abcdef") for _ in range(rng.randrange(30)))
+        tape, spans = pii.Tape.of(text), [(i, i + 1) for i in range(len(text))]
+        for _ in range(3):
+            edits, at = [], 0
+            while at < len(tape.text) and rng.random() < 0.7:
+                begin = rng.randrange(at, len(tape.text))
+                end = rng.randrange(begin, min(len(tape.text), begin + 4)) + 1
+                edits.append((begin, end, "x" * rng.randrange(3)))
+                at = end
+            new, at = [], 0
+            for begin, end, text_ in edits:
+                new += spans[at:begin] + [(spans[begin][0], spans[end - 1][1])] * len(text_)
+                at = end
+            tape, spans = tape.rewritten(edits), new + spans[at:]
+            assert len(tape.text) == len(spans)
+            assert all(tape.source(i, i + 1) == s for i, s in enumerate(spans))
+
+
+def disguised(rng):
+    """A text with one disguised identifier, its kind and its place."""
+    looks = {}
+    for strange, plain in pii._LOOKS.items():
+        looks.setdefault(plain, []).append(strange)
+    words = {}
+    for word, digit in pii._DIGIT_OF.items():
+        words.setdefault(digit, []).append(word)
+    kind = rng.choice(["email", "phone", "ip", "card"])
+    if kind == "email":
+        parts = ["".join(rng.choice("abcdehimnoprstuy") for _ in range(rng.randrange(4, 9))) for _ in range(3)]
+        at, dot = rng.choice([("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot "), ("@", "."), (" chez ", " point "), ("{at}", "."), (" arroba ", " punto "), (" @ ", " . ")])
+        secret = rng.choice(parts[:1] + [parts[0] + dot + parts[1]]) + at + parts[2] + dot + rng.choice(["com", "org", "fr", "de", "net"])
+    elif kind == "phone":
+        digits = "".join(rng.choice("0123456789") for _ in range(11))
+        secret = rng.choice(["+" + digits[:2] + " " + digits[2:5] + "-" + digits[5:], "plus " + " ".join(rng.choice(words[d]) if rng.random() < 0.8 else d for d in digits)])
+    elif kind == "ip":
+        secret = ".".join(str(rng.randrange(256)) for _ in range(4))
+    else:
+        digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        digits += next(c for c in "0123456789" if pii.luhn(digits + c))
+        secret = rng.choice(["", " ", "-"]).join(digits[i : i + 4] for i in range(0, 16, 4))
+    plain = not pii.detect(secret)[kind]
+    hide = lambda c: rng.choice(looks[c]) if c in looks and not (plain and c in " .-") else c
+    if not plain or rng.random() < 0.4:
+        few = set(rng.sample(range(len(secret)), 2))
+        secret = "".join(hide(c) if i in few else c for i, c in enumerate(secret)) if pii._SPELLED_HINT.search(secret) is None else secret
+    if rng.random() < 0.3 and not plain:
+        at = rng.randrange(1, len(secret))
+        secret = secret[:at] + rng.choice(pii._INVISIBLE) + secret[at:]
+    before = rng.choice(["", "so: ", "é - ", "mail "])
+    return before + secret + rng.choice(["", "\nnext", ", fine"]), kind, (len(before), len(before) + len(secret))
+
+
+def test_recall_on_generated_disguises():
+    rng, met, total = random.Random(21), 0, 2000
+    for _ in range(total):
+        text, kind, span = disguised(rng)
+        met += any(a <= span[0] and span[1] <= b for a, b in pii.find(text)[1][kind])
+    assert met / total >= 0.95, met / total
