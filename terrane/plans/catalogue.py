@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import environment, models, networks, relational, space, statistics, streams
+from terrane.plans import environment, models, networks, relational, rules, space, statistics, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (relational, statistics, space, environment, networks, models, streams):
+for _module in (relational, statistics, space, environment, networks, models, rules, streams):
     QUERIES |= _module.registry.queries
     ORACLE_SQL |= _module.registry.sql
