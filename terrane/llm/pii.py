@@ -121,8 +121,15 @@ _DIGIT_OF = {word: digit for digit, group in _SPELLED.items() for word in group.
 _NUMBER = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[ -]?)?(?:(?:{_NUMBER}|[0-9])[ .()-]{{1,3}}){{{MIN_SPELLED - 1},}}(?:{_NUMBER}|[0-9])(?!\w)", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"plus|{_NUMBER}|[0-9]", re.IGNORECASE)
-# The first spelled digit of a run that holds three, or the second after a joined "plus", meets this.
-_SPELLED_HINT = re.compile(rf"\b(?:{_NUMBER})[ .()-]{{1,3}}(?:{_NUMBER}|[0-9])\b", re.IGNORECASE)
+_DIGIT_WORDS = frozenset(_DIGIT_OF) | frozenset("0123456789")
+
+
+def _maybe_spelled(text: str) -> bool:
+    """Whether some words stand in a row as in the inner part of a spelled run: much faster than the pattern, and true wherever it is."""
+    words = text.lower().replace("-", " ").replace(".", " ").replace("(", " ").replace(")", " ").split()
+    return b"\1" * (MIN_SPELLED - 2) in bytes([w in _DIGIT_WORDS for w in words])
+
+
 _AT = r"(?:at|arroba|chez|@)"
 _DOT = r"(?:dot|punto|punkt|point|\.)"
 _SIGNS = re.compile(
@@ -148,7 +155,7 @@ _WORDS = frozenset(
     "tv us uz va ve ws ye aero app asia blog cat club coop dev email jobs live mobi museum name news online pro shop site space store tech tel travel "
     "website world xyz".split()
 )
-_STRANGE = re.compile(f"[{_INVISIBLE}{re.escape(''.join(_LOOKS))}]|(?![0-9])\\d")
+_STRANGE = frozenset(_INVISIBLE) | frozenset(_LOOKS) | frozenset(chr(c) for c in range(128, 0x20000) if unicodedata.decimal(chr(c), None) is not None)
 
 
 class Tape:
@@ -199,7 +206,7 @@ def _plain(char: str) -> str:
 
 
 def _glyphs(tape: Tape) -> Tape:
-    return tape.rewritten([(*m.span(), _plain(m.group())) for m in _STRANGE.finditer(tape.text)])
+    return tape.rewritten([(i, i + 1, _plain(c)) for i, c in enumerate(tape.text) if c in _STRANGE])
 
 
 def _spelled(tape: Tape) -> Tape:
@@ -280,10 +287,10 @@ def _signs(tape: Tape) -> Tape:
 
 def normalise(text: str) -> Tape | None:
     """The text without its disguises; None if it shows none."""
-    strange = not text.isascii() and _STRANGE.search(text)
+    strange = not text.isascii() and not _STRANGE.isdisjoint(text)
     tape = _glyphs(Tape.of(text)) if strange else None
     plain = tape.text if tape else text
-    if _SPELLED_HINT.search(plain):
+    if _maybe_spelled(plain):
         tape = _spelled(tape or Tape.of(text))
     if _SIGNS_HINT.search(plain):
         tape = _signs(tape or Tape.of(text))
