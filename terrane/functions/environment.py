@@ -144,3 +144,11 @@ def next_election(date: Column) -> Column:
     friday = lambda year: F.next_day(F.make_date(year.cast("int"), F.lit(9), F.lit(30)), "Fri")
     year = F.year(date) + F.pmod(2 - F.year(date), F.lit(4))
     return F.when(friday(year) > date, friday(year)).otherwise(friday(year + 4))
+
+
+def soil_kind(hand: Column, water: Column, twi: Column, slope: Column, tpi: Column, noise: Column, wet: Column, dry: Column, sandy: float) -> Column:
+    """The kind of soil by the first rule that holds: flood plain (low over and near to water), hollow (wetter than ``wet``), ridge (steep and above its
+    surroundings), sand (flat, drier than ``dry``, where noise is under ``sandy``), else brown earth."""
+    return (
+        F.when((hand < 2) & (water < 60), "fluvisol").when(twi > wet, "gleysol").when((slope > 20) & (tpi > 0), "ranker").when((slope < 8) & (twi < dry) & (noise < sandy), "arenosol").otherwise("luvisol")
+    )

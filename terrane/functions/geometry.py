@@ -69,6 +69,27 @@ def open_ring(ring: Column) -> Column:
     return F.when((F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
 
 
+def is_ring(points: Column) -> Column:
+    """Whether points (an array) close a ring: four at least, the last one like the first."""
+    return F.coalesce((F.size(points) >= 4) & (F.element_at(points, 1) == F.element_at(points, -1)), F.lit(False))
+
+
+def is_line(points: Column) -> Column:
+    return F.coalesce(F.size(points) >= 2, F.lit(False))
+
+
+def any_within(points: Column, x0: float, x1: float, z0: float, z1: float) -> Column:
+    """Whether a vertex lies in the box, its bounds included."""
+    return F.exists(points, lambda p: p["x"].between(x0, x1) & p["z"].between(z0, z1))
+
+
+def vertex_mean(points: Column) -> tuple[Column, Column]:
+    """x and z of the mean of the vertices; a last one like the first counts once."""
+    ring = open_ring(points)
+    mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[c]) / F.size(ring)
+    return mean("x"), mean("z")
+
+
 def azimuthal(lat: Column, lon: Column, lat0: float, lon0: float, radius: float = EARTH_RADIUS) -> tuple[Column, Column]:
     """East and north metres in the azimuthal equidistant projection around a point of a sphere."""
     p, d, p0 = F.radians(lat), F.radians(lon - lon0), math.radians(lat0)

@@ -91,6 +91,28 @@ def easter(year: Column) -> Column:
     return F.make_date(y.cast("int"), month.cast("int"), (sunday + 28 - 31 * quotient(month, 4)).cast("int"))
 
 
+# Czech public holidays with a fixed date, as month and day; Good Friday and Easter Monday move with Easter.
+HOLIDAYS = ("01-01", "05-01", "05-08", "07-05", "07-06", "09-28", "10-28", "11-17", "12-24", "12-25", "12-26")
+
+
+def is_holiday(date: Column) -> Column:
+    """Whether a date is a public holiday."""
+    sunday = easter(F.year(date))
+    return F.date_format(date, "MM-dd").isin(*HOLIDAYS) | (date == F.date_sub(sunday, 2)) | (date == F.date_add(sunday, 1))
+
+
+def utc_offset(date: Column) -> Column:
+    """Hours ahead of UTC in central Europe: 2 from the last Sunday of March until the day before October's, else 1."""
+    last = lambda month: F.date_sub(F.make_date(F.year(date), F.lit(month), F.lit(31)), F.pmod(julian_day(F.make_date(F.year(date), F.lit(month), F.lit(31))) + 1, F.lit(7)).cast("int"))
+    return F.when((date >= last(3)) & (date < last(10)), 2).otherwise(1)
+
+
+def json_number(text: Column, path: str, default: float | None = None, digits: int = 3) -> Column:
+    """A number at a path of JSON text, rounded; ``default`` where there is none, or none that is finite."""
+    found = F.round(number_or_null(F.get_json_object(text, path)), digits)
+    return found if default is None else F.coalesce(found, F.lit(float(default)))
+
+
 def cyclic_monthly(values: Sequence[float], day_of_year: Column) -> Column:
     """Linear interpolation between monthly values at mid-month (day 15, 30.44 days apart), around the year."""
     table = F.array(*[F.lit(float(v)) for v in values])

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _POINT = "struct<lat: double, lon: double>"
@@ -106,3 +106,69 @@ def read_window(spark: SparkSession, path: str, x: str, z: str, size: float, bou
     x0, x1, z0, z1 = bounds
     tiles = F.col("tile_x").between(int(x0 // size), int(x1 // size)) & F.col("tile_z").between(int(z0 // size), int(z1 // size))
     return spark.read.parquet(path).where(tiles & (F.col(x) >= x0) & (F.col(x) < x1) & (F.col(z) >= z0) & (F.col(z) < z1))
+
+
+#: Records of the two binary tables: trees, and plants.
+TREES = [("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("rot", "<f4"), ("sx", "<f4"), ("sy", "<f4"), ("sz", "<f4"), ("r", "<f4"), ("g", "<f4"), ("b", "<f4"), ("proto", "<f4")]
+PLANTS = [("kind", "<i4"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("rot", "<f4"), ("scale", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("aux", "u1")]
+
+
+def records(spark: SparkSession, path: str, fields: list[tuple[str, str]], header: int = 0, batch: int = 1 << 16) -> DataFrame:
+    """file, id (the record's number) and the fields of binary files of fixed records behind a header of so many bytes, in batches.
+
+    A file whose rest isn't a whole number of records is refused.
+    """
+    kind = np.dtype(fields)
+    whole = [name for name, code in fields if np.dtype(code).kind in "iu"]
+    schema = "file string, id long, " + ", ".join(f"{name} {'long' if name in whole else 'double'}" for name, _ in fields)
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                if len(content) < header or (len(content) - header) % kind.itemsize:
+                    raise ValueError(f"{path}: {len(content)} bytes are no whole records of {kind.itemsize} behind {header}")
+                rows = np.frombuffer(content, kind, offset=header)
+                for begin in range(0, len(rows), batch):
+                    part = rows[begin : begin + batch]
+                    columns = {name: part[name].astype(np.int64 if name in whole else float) for name, _ in fields}
+                    yield pd.DataFrame({"file": path, "id": np.arange(begin, begin + len(part)), **columns})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, schema)
+
+
+def appended(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """``rows`` and, behind them, ``more`` with the keys that follow the greatest one, in the order of its own keys."""
+    top = rows.agg(F.coalesce(F.max(key), F.lit(-1)).alias("_top"))  # one row
+    n = int(more.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = more.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a range
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(key)) + F.col("_before") + F.col("_top")
+    placed = ranged.join(before, "_p").crossJoin(F.broadcast(top)).withColumn(key, at)
+    return rows.unionByName(placed.select(*rows.columns))
+
+
+def catalogue(spark: SparkSession, path: str, schema: str, default: list[tuple] | None = None) -> DataFrame:
+    """Rows of a JSON catalogue; those of ``default`` where the path holds no file."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+    if default is not None and not found:
+        return spark.createDataFrame(default, schema)
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def write_metrics(rows: DataFrame, path: str) -> None:
+    """CSV with a header and semicolons."""
+    rows.write.option("header", True).option("sep", ";").csv(path)
+
+
+def save_version(state: DataFrame, path: str, version: int) -> None:
+    """A version of a table of state; one that is there already is an error."""
+    state.write.json(f"{path}/version={version}")
+
+
+def restore_latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the newest version."""
+    every = spark.read.schema(f"{schema}, version long").json(path)
+    newest = every.agg(F.max("version").alias("version"))  # one row; the folders of other versions aren't opened
+    return every.join(F.broadcast(newest), "version").drop("version")

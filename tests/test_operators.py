@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
 from terrane.functions import scalars as S
-from terrane.operators import folds, graphs, quality, raster, relational, sequences, spatial, stats
+from terrane.operators import folds, graphs, land, quality, raster, relational, sequences, spatial, stats
 from terrane.sources import formats
 from terrane.streaming import events
 
@@ -268,3 +268,39 @@ def test_medians_of_ranges(spark):
     rows = spark.createDataFrame([(k % 3, float((k * 37) % 101)) for k in range(300)] + [(7, 1.0), (7, None)], "k int, x double")
     own = {k: sorted(float((i * 37) % 101) for i in range(300) if i % 3 == k) for k in range(3)}
     assert values(stats.upper_medians(rows, ["k"], "x"), "k", "upper") == sorted([(k, v[len(v) // 2]) for k, v in own.items()] + [(7, None)])
+
+
+def test_records_catalogues_and_versions(spark, tmp_path):
+    kind = np.dtype(formats.TREES)
+    rows = np.zeros(5, kind)
+    rows["x"], rows["proto"] = range(5), 7
+    (tmp_path / "trees").mkdir()
+    (tmp_path / "trees" / "a.bin").write_bytes(b"HEAD" + rows.tobytes())
+    trees = formats.records(spark, str(tmp_path / "trees"), formats.TREES, 4, batch=2)
+    assert values(trees, "id", "x", "proto") == [(i, float(i), 7.0) for i in range(5)]
+    more = spark.createDataFrame([(3, 9.0), (1, 8.0)], "id long, x double")
+    assert values(formats.appended(trees.select("id", "x"), more, "id"), "id", "x")[4:] == [(4, 4.0), (5, 8.0), (6, 9.0)]
+    assert values(formats.appended(trees.select("id", "x").limit(0), more, "id"), "id", "x") == [(0, 8.0), (1, 9.0)]
+    with pytest.raises(Exception, match="no whole records"):
+        formats.records(spark, str(tmp_path / "trees"), formats.TREES, 3).count()
+    none = formats.catalogue(spark, str(tmp_path / "none.json"), "id int, name string", [(1, "a")])
+    assert values(none, "id", "name") == [(1, "a")]
+    (tmp_path / "some.json").write_text('[{"id": 2, "name": "b"}]')
+    assert values(formats.catalogue(spark, str(tmp_path / "some.json"), "id int, name string", []), "id", "name") == [(2, "b")]
+    state = spark.createDataFrame([(1, "x")], "k int, v string")
+    formats.save_version(state, str(tmp_path / "saves"), 3)
+    formats.save_version(state.withColumn("v", F.lit("y")), str(tmp_path / "saves"), 12)
+    assert values(formats.restore_latest(spark, str(tmp_path / "saves"), "k int, v string"), "k", "v") == [(1, "y")]
+    formats.write_metrics(state, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), sep=";", header=True).first()["v"] == "x"
+
+
+def test_land_cases(spark):
+    cells = spark.createDataFrame([(x, z, 10.0) for x in range(6) for z in range(6)], "ix int, iz int, v double")
+    assert {r["m"] for r in land.box_mean_reflected(cells, "v", 2, "m").collect()} == {10.0}
+    block = spark.createDataFrame([(2, 2, 20.0)], "ix int, iz int, v double")
+    got = {(r["ix"], r["iz"]): r["v"] for r in land.feathered(cells, block, "v", 2).collect()}
+    assert len(got) == 36 and got[2, 2] == 20.0 and got[2, 1] == 20.0 and got[2, 0] == 15.0 and got[5, 5] == 10.0
+    mask = spark.createDataFrame([(0, 0), (0, 1), (3, 3), (-2, 5)], "ix int, iz int")
+    assert values(land.areas(mask), "n", "x0", "x1", "z0", "z1") == [(1, -2, -2, 5, 5), (1, 3, 3, 3, 3), (2, 0, 0, 0, 1)]
+    assert land.areas(mask.limit(0)).count() == 0
