@@ -62,10 +62,18 @@ def nearest(left: DataFrame, left_key: str, right: DataFrame, right_key: str, st
 
 
 def _segment_cells(edges: DataFrame, size: float, reach: float) -> DataFrame:
-    """Each segment (x1 z1 x2 z2) once for every cell of its bounds, widened by ``reach``."""
+    """Each segment (x1 z1 x2 z2) once for every cell that a point within ``reach`` of it can lie in: column by column, so that cells grow with
+    a segment's length, not with the area of its bounds."""
     low = lambda a, b: F.floor((F.least(a, b) - reach) / size).cast("long")
     high = lambda a, b: F.floor((F.greatest(a, b) + reach) / size).cast("long")
-    return edges.withColumn("_cx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2")))).withColumn("_cz", F.explode(F.sequence(low("z1", "z2"), high("z1", "z2"))))
+    columns = edges.withColumn("_cx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2"))))
+    along = F.col("x2") - F.col("x1")
+    share = lambda x: F.when(along == 0, None).otherwise(F.least(F.greatest((x - F.col("x1")) / along, F.lit(0.0)), F.lit(1.0)))
+    at = lambda t, end: F.coalesce(F.col("z1") + (F.col("z2") - F.col("z1")) * t, F.col(end))
+    za, zb = at(share(F.col("_cx") * size - reach), "z1"), at(share((F.col("_cx") + 1) * size + reach), "z2")
+    # A little more than reach: the ends are rounded.
+    slack = reach + size * 1e-9
+    return columns.withColumn("_cz", F.explode(F.sequence(F.floor((F.least(za, zb) - slack) / size).cast("long"), F.floor((F.greatest(za, zb) + slack) / size).cast("long"))))
 
 
 def nearest_segment(points: DataFrame, key: str, edges: DataFrame, edge_key: str, radius: float) -> DataFrame:
@@ -90,17 +98,32 @@ def points_in_polygons(points: DataFrame, key: str, edges: DataFrame, polygon: s
 
 
 def overlapping_boxes(boxes: DataFrame, key: str, size: float) -> DataFrame:
-    """Pairs a < b of boxes (x0 x1 z0 z1) that overlap, and the area they share. A pair is taken at the cell of its shared corner."""
-    span = lambda lo, hi: F.explode(F.sequence(_cell(lo, size), _cell(hi, size)))
-    placed = boxes.select(key, "x0", "x1", "z0", "z1").withColumn("_cx", span("x0", "x1")).withColumn("_cz", span("z0", "z1"))
-    a = placed.withColumnsRenamed({c: f"a_{c}" for c in (key, "x0", "x1", "z0", "z1")})
-    b = placed.withColumnsRenamed({c: f"b_{c}" for c in (key, "x0", "x1", "z0", "z1")})
+    """Pairs a < b of boxes (x0 x1 z0 z1) that overlap, and the area they share.
+
+    Boxes lie on levels whose cells double in size, each where it covers two by two cells at most, and meet larger ones on their
+    levels: no box is spread over many cells. A pair is taken at the cell of its shared corner.
+    """
+    names = (key, "x0", "x1", "z0", "z1")
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("z1") - F.col("z0"))
+    own = boxes.select(*names, F.greatest(F.ceil(F.log2(wide / size)), F.lit(0)).cast("int").alias("_own"))
+    own = own.withColumn("_own", F.coalesce("_own", F.lit(0)))
+    top = own.agg(F.max("_own").alias("_top"))  # one row
+
+    def placed(df: DataFrame, p: str) -> DataFrame:
+        cell = size * F.pow(F.lit(2.0), F.col("_level"))
+        span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long")))
+        return df.withColumn("_cx", span("x0", "x1")).withColumn("_cz", span("z0", "z1")).withColumnsRenamed({c: f"{p}_{c}" for c in (*names, "_own")})
+
+    a = placed(own.crossJoin(F.broadcast(top)).withColumn("_level", F.explode(F.sequence("_own", "_top"))).drop("_top"), "a")
+    b = placed(own.withColumn("_level", F.col("_own")), "b")
     c = F.col
-    pairs = a.join(b, ["_cx", "_cz"]).where(c(f"a_{key}") < c(f"b_{key}"))
+    pairs = a.join(b, ["_level", "_cx", "_cz"]).where((c("a__own") < c("b__own")) | (c(f"a_{key}") < c(f"b_{key}"))).where(c(f"a_{key}") != c(f"b_{key}"))
     pairs = pairs.where("a_x0 < b_x1 AND b_x0 < a_x1 AND a_z0 < b_z1 AND b_z0 < a_z1")
-    pairs = pairs.where((c("_cx") == _cell(F.greatest("a_x0", "b_x0"), size)) & (c("_cz") == _cell(F.greatest("a_z0", "b_z0"), size)))
+    cell = size * F.pow(F.lit(2.0), c("_level"))
+    corner = lambda n: F.floor(F.greatest(f"a_{n}0", f"b_{n}0") / cell).cast("long")
+    pairs = pairs.where((c("_cx") == corner("x")) & (c("_cz") == corner("z")))
     area = (F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")) * (F.least("a_z1", "b_z1") - F.greatest("a_z0", "b_z0"))
-    return pairs.select(c(f"a_{key}").alias("a"), c(f"b_{key}").alias("b"), area.alias("area"))
+    return pairs.select(F.least(f"a_{key}", f"b_{key}").alias("a"), F.greatest(f"a_{key}", f"b_{key}").alias("b"), area.alias("area"))
 
 
 def meeting_polygons(edges: DataFrame, polygon: str, i: str, size: float) -> DataFrame:

@@ -304,3 +304,27 @@ def test_land_cases(spark):
     mask = spark.createDataFrame([(0, 0), (0, 1), (3, 3), (-2, 5)], "ix int, iz int")
     assert values(land.areas(mask), "n", "x0", "x1", "z0", "z1") == [(1, -2, -2, 5, 5), (1, 3, 3, 3, 3), (2, 0, 0, 0, 1)]
     assert land.areas(mask.limit(0)).count() == 0
+
+
+def test_boxes_of_all_sizes_and_long_segments(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(150):
+        x, z, w, h = *rng.uniform(-50, 50, 2), *(10.0 ** rng.uniform(-2, 2, 2))
+        rows.append((i, float(x), float(x + w), float(z), float(z + h)))
+    boxes = spark.createDataFrame(rows, "id int, x0 double, x1 double, z0 double, z1 double")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] < b[2] and b[1] < a[2] and a[3] < b[4] and b[3] < a[4])
+    assert values(spatial.overlapping_boxes(boxes, "id", 0.5), "a", "b") == want
+    lines = [(k, *map(float, rng.uniform(-40, 40, 4))) for k in range(12)] + [(12, 3.0, -40.0, 3.0, 40.0), (13, -40.0, 5.0, 40.0, 5.0), (14, 1.0, 1.0, 1.0, 1.0)]
+    points = [(k, *map(float, rng.uniform(-45, 45, 2))) for k in range(300)]
+    got = spatial.nearest_segment(spark.createDataFrame(points, "id int, x double, z double"), "id", spark.createDataFrame(lines, "seg int, x1 double, z1 double, x2 double, z2 double"), "seg", 3.0)
+
+    def far(p, s):
+        d = np.array([s[3] - s[1], s[4] - s[2]])
+        t = min(max(float(np.dot([p[1] - s[1], p[2] - s[2]], d) / max(d @ d, 1e-300)), 0), 1)
+        return float(np.hypot(p[1] - s[1] - t * d[0], p[2] - s[2] - t * d[1]))
+
+    best = {p[0]: min((far(p, s), s[0]) for s in lines) for p in points}
+    assert values(got, "id", "seg") == sorted((k, s) for k, (d, s) in best.items() if d <= 3)
+    cells = spatial._segment_cells(spark.createDataFrame([(0.0, 0.0, 500.0, 500.0)], "x1 double, z1 double, x2 double, z2 double"), 1.0, 1.0).count()
+    assert cells < 4000
