@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.store import materialise
+from terrane.llm.store import materialise, scratch
 from terrane.llm.url_filter import host_of, path_of
 
 _TOKEN = re.compile(
@@ -441,6 +441,7 @@ def extract(pages: DataFrame, structure: bool = True) -> DataFrame:
     """Add text, the main text, to every row (a column of this name is replaced). Without ``structure``, by differencing alone."""
     row = F.concat_ws("|", F.col("page_id").cast("string"), F.coalesce("url", F.lit("\0")), F.coalesce("html", F.lit("\0")))
     keyed = pages.withColumn("_key", F.unhex(F.md5(row.cast("binary"))))
-    verdicts = materialise(deleted_lines(keyed.select(F.col("_key").alias("key"), "url", "html"), structure), "verdicts")
+    with scratch(pages.sparkSession):
+        verdicts = materialise(deleted_lines(keyed.select(F.col("_key").alias("key"), "url", "html"), structure), "verdicts", keep=True)
     met = keyed.join(verdicts.select(F.col("key").alias("_key"), F.col("gone").alias("_gone")), "_key", "left")
     return met.withColumn("text", F.arrow_udf(_write(structure), "string")("html", "_gone")).drop("_key", "_gone")

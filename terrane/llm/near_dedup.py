@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.components import components
-from terrane.llm.store import materialise
+from terrane.llm.store import materialise, scratch
 from terrane.llm.text import as_bytes, byte_set, grouped, mix, words
 
 WORDS = 5
@@ -237,28 +237,29 @@ def judged(docs: DataFrame, shingle_words: int = WORDS, percent: int = SIMILARIT
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key"))
     kinds = "doc_id long, key binary, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>"
     signed = materialise(docs.mapInArrow(_signatures(shingle_words), kinds), "signatures")
-    # Rows without doc_id speak only where no other does.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(first.alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    flips = most_flips(percent / 100 - MARGIN)
-
-    keyed = classes.select("cid", F.explode("bands").alias("band"))
-    buckets = materialise(keyed.groupBy("band").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).where("pivot < last").select("band", "pivot"), "buckets")
-    stars = keyed.join(buckets, "band").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    stars = materialise(stars, "stars")
-    verifier = _Verifier(docs, classes, shingle_words, percent)
-    links = verifier.links(_close(stars, classes, flips))
-    roots = components(links)
-    joining = _across(verifier, stars, roots, flips, block)
-    if joining.limit(1).count():
-        roots = components(links.unionByName(joining))
-
-    placed = classes.select("cid", "c1", "c2", "rep").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    placed = materialise(placed, "placed")
-    # Written, so that the join below has a plain shuffle on either side, which adaptive execution splits where a root is frequent.
-    names = materialise(placed.groupBy("root").agg(F.min("rep").alias("keeper")), "names")
-    named = materialise(placed.join(names, "root").select("c1", "c2", "keeper"), "components")
+    with scratch(docs.sparkSession):
+        # Rows without doc_id speak only where no other does.
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+        classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(first.alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        flips = most_flips(percent / 100 - MARGIN)
+
+        keyed = classes.select("cid", F.explode("bands").alias("band"))
+        buckets = materialise(keyed.groupBy("band").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).where("pivot < last").select("band", "pivot"), "buckets")
+        stars = keyed.join(buckets, "band").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+        stars = materialise(stars, "stars")
+        verifier = _Verifier(docs, classes, shingle_words, percent)
+        links = verifier.links(_close(stars, classes, flips))
+        roots = components(links)
+        joining = _across(verifier, stars, roots, flips, block)
+        if joining.limit(1).count():
+            roots = components(links.unionByName(joining))
+
+        placed = classes.select("cid", "c1", "c2", "rep").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        placed = materialise(placed, "placed")
+        # Written, so that the join below has a plain shuffle on either side, which adaptive execution splits where a root is frequent.
+        names = materialise(placed.groupBy("root").agg(F.min("rep").alias("keeper")), "names")
+        named = materialise(placed.join(names, "root").select("c1", "c2", "keeper"), "components", keep=True)
     out = signed.select("doc_id", "key", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("keeper.doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.struct("keeper.doc_id", "keeper.key").alias("keeper"))

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.store import materialise
+from terrane.llm.store import materialise, scratch
 from terrane.llm.text import as_bytes, list_array, mix
 
 LENGTH, GRAM = 400, 128
@@ -449,6 +449,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     found = scanned.select("key", F.inline("spans")).distinct()
     flat = scanned.select("key", F.inline("anchors"))
     shared = flat.groupBy("code").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b").select("code")
+    shared = materialise(shared, "shared")  # so that the join below has a plain shuffle on either side, which adaptive execution splits
     bounds = F.lit(0).alias("low"), F.lit(length - gram).alias("high")
     wanted = materialise(flat.join(shared, "code", "left_semi").select("key", "at", "code", *bounds).distinct(), "wanted")
     while True:
@@ -477,7 +478,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Add n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) to every row (columns of these names are replaced)."""
-    spans = materialise(repeated_spans(docs, length, gram, hot), "spans").groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
+    with scratch(docs.sparkSession):
+        spans = materialise(repeated_spans(docs, length, gram, hot), "spans", keep=True)
+    spans = spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
     key = F.unhex(F.md5(F.col("text").cast("binary")))
     copies = docs.select(key.alias("key")).where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("_copies")).where("_copies > 1")
     facts = spans.join(copies, "key", "full").withColumnRenamed("key", "_key").hint("shuffle_hash")
