@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import decontaminate, near_dedup, packing, pii, quality
 from terrane.llm.queries import TOKENIZER
-from terrane.llm.store import materialise
+from terrane.llm.store import materialise, scratch
 from terrane.session import table
 
 QUALITY_THRESHOLD = 0.3
@@ -59,10 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``, each written as Parquet to the shared folder and read again."""
+    """All stages on the documents of ``sf_dir``, each written as Parquet to the shared folder and read again; what a stage wrote on the way goes with it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
     return docs
 
 
