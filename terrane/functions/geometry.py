@@ -104,6 +104,13 @@ def rotated(x: Column, z: Column, degrees: float) -> tuple[Column, Column]:
     return x * c - z * s, x * s + z * c
 
 
+def inflated(x: Column, z: Column, cx: Column, cz: Column, pad: float) -> tuple[Column, Column]:
+    """A vertex moved away from a centre by ``pad``; one at the centre stays."""
+    far = distance(x, z, cx, cz)
+    grow = F.when(far > 0, (far + pad) / far).otherwise(1.0)
+    return cx + (x - cx) * grow, cz + (z - cz) * grow
+
+
 def circle(x: Column, z: Column, radius: Column, sides: int) -> Column:
     """The ring of a regular polygon."""
     angle = lambda i: i * (2 * math.pi / sides)

@@ -187,3 +187,14 @@ def quantise(x: Column, low: Column, high: Column, levels: int = 255) -> Column:
     """Whole steps of a linear code between two bounds, halves to even."""
     step = (high - low) / levels
     return F.when(step > 0, F.bround((x - low) / step, 0)).otherwise(F.lit(0.0)).cast("int")
+
+
+def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """CIE L*, a*, b* of sRGB channels of 0..255, for the white point D65."""
+    R, G, B = (srgb_to_linear(c) for c in (r, g, b))
+    # The sRGB primaries in XYZ, and the white point.
+    x = (0.4124 * R + 0.3576 * G + 0.1805 * B) / 0.95047
+    y = 0.2126 * R + 0.7152 * G + 0.0722 * B
+    z = (0.0193 * R + 0.1192 * G + 0.9505 * B) / 1.08883
+    root = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
+    return 116 * root(y) - 16, 500 * (root(x) - root(y)), 200 * (root(y) - root(z))

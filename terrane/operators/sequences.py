@@ -64,6 +64,12 @@ def filled_hours(rows: DataFrame, keys: list[str], hour: str, most_hours: int) -
     return out.withColumn("dt", F.when(F.col("_gap") <= most_hours, F.lit(1)).otherwise(F.col("_gap"))).drop("_gap", "_b")
 
 
+def coarse_steps(rows: DataFrame, keys: list[str], hour: str, hours: int, means: list[str], sums: list[str]) -> DataFrame:
+    """Hours taken together to steps of ``hours``: how many there are (dt), the means of what lasts and the sums of what falls."""
+    step = F.timestamp_seconds(F.floor(F.unix_timestamp(hour) / (3600 * hours)) * (3600 * hours)).alias("step")
+    return rows.groupBy(*keys, step).agg(F.count("*").alias("dt"), *[F.avg(c).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums])
+
+
 def cooled_down(rows: DataFrame, keys: list[str], ts: str, seconds: int, id_col: str) -> DataFrame:
     """Rows at least ``seconds`` after the last row kept of their group. What is kept depends on all rows before, so that each
     group is folded in order: times and ids stream, not the rows themselves."""

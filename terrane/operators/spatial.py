@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
-from terrane.sources.tables import cut_lineage
+from terrane.sources.tables import cut_counted, cut_lineage
 
 
 def _cell(x: str | Column, size: float) -> Column:
@@ -45,20 +45,38 @@ def nearest_within(left: DataFrame, left_key: str, right: DataFrame, right_key:
     return within_radius(left, right, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _widening(todo: DataFrame, key: str, start: float, search) -> DataFrame:
+    """``search(rows, radius)`` on all rows, then with a fourfold radius on those that found nothing, and so on. Rounds are written to the shared folder."""
+    found, radius, n = None, start, 1
+    while n:
+        hit = cut_lineage(search(todo, radius), "hit")
+        found = hit if found is None else found.unionByName(hit)
+        todo, n = cut_counted(todo.join(hit.select(key), key, "left_anti"), "todo")
+        radius *= 4
+    return found
+
+
+def _finite(rows: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        rows = rows.where(~F.isnan(c) & (F.abs(c) < math.inf))
+    return rows
+
+
 def nearest(left: DataFrame, left_key: str, right: DataFrame, right_key: str, start: float) -> DataFrame:
     """left_key, right_key and d of the nearest row of ``right`` however far: the radius grows fourfold until every row has found one.
 
-    Rounds are written to the shared folder; rows at places that aren't finite numbers find nothing and are left out.
+    Rows at places that aren't finite numbers find nothing and are left out; nothing is found where ``right`` has no row.
     """
-    finite = lambda df: df.where(~F.isnan("x") & ~F.isnan("z") & (F.abs("x") < math.inf) & (F.abs("z") < math.inf))
-    todo, right = finite(left.select(left_key, "x", "z")), finite(right.select(right_key, "x", "z"))
-    found, radius = None, start
-    while found is None or not (todo.isEmpty() or right.isEmpty()):
-        hit = cut_lineage(nearest_within(todo, left_key, right, right_key, radius, 1).select(left_key, right_key, "d"), "hit")
-        found = hit if found is None else found.unionByName(hit)
-        todo = cut_lineage(todo.join(hit.select(left_key), left_key, "left_anti"), "todo")
-        radius *= 4
-    return found
+    rows, right = _finite(left.select(left_key, "x", "z"), "x", "z"), _finite(right.select(right_key, "x", "z"), "x", "z")
+    search = lambda todo, radius: nearest_within(todo, left_key, right, right_key, radius, 1).select(left_key, right_key, "d")
+    return search(rows, start) if right.isEmpty() else _widening(rows, left_key, start, search)
+
+
+def nearest_segment_any(points: DataFrame, key: str, edges: DataFrame, edge_key: str, start: float) -> DataFrame:
+    """key, edge_key and d of the nearest segment of each point however far, in widening rounds like ``nearest``."""
+    rows, edges = _finite(points.select(key, "x", "z"), "x", "z"), _finite(edges, "x1", "z1", "x2", "z2")
+    search = lambda todo, radius: nearest_segment(todo, key, edges, edge_key, radius)
+    return search(rows, start) if edges.isEmpty() else _widening(rows, key, start, search)
 
 
 def _segment_cells(edges: DataFrame, size: float, reach: float) -> DataFrame:

@@ -78,6 +78,12 @@ def affine_fit(rows: DataFrame, x: str, z: str, u: str) -> DataFrame:
     )
 
 
+def affine_residual(rows: DataFrame, fit: DataFrame, x: str, z: str, u: str) -> DataFrame:
+    """The largest distance of u from the fit (one row: a, b, c), and how many rows it covers."""
+    off = F.abs(F.col(u) - (F.col("a") * F.col(x) + F.col("b") * F.col(z) + F.col("c")))
+    return rows.crossJoin(F.broadcast(fit)).agg(F.max(off).alias("residual"), F.count("*").alias("n"))
+
+
 def weighted_mean(x: Column, weight: Column) -> Column:
     return F.sum(x * weight) / F.sum(weight)
 
@@ -94,6 +100,17 @@ def overlap_ratio(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return marks.agg((F.sum(F.coalesce(F.col("_a") * F.col("_b"), F.lit(0))) / F.greatest(F.count("*"), F.lit(1))).alias("iou"))
 
 
+def best_shift(a: DataFrame, b: DataFrame, shifts: list[tuple[int, int]]) -> DataFrame:
+    """dx, dz and iou of the shift of cells ``a`` (ix, iz) that covers cells ``b`` best; of equally good ones the first of the list."""
+    moves = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dz).alias("dz")) for k, (dx, dz) in enumerate(shifts)])
+    moved = a.select("ix", "iz").distinct().withColumn("_m", F.explode(moves)).select((F.col("ix") + F.col("_m.dx")).alias("ix"), (F.col("iz") + F.col("_m.dz")).alias("iz"), "_m")
+    other = b.select("ix", "iz").distinct()
+    shared = moved.join(other.withColumn("_in", F.lit(1)), ["ix", "iz"], "left").groupBy("_m").agg(F.count("_in").alias("_both"), F.count("*").alias("_a"))
+    scored = shared.crossJoin(F.broadcast(other.agg(F.count("*").alias("_b"))))  # one row
+    iou = F.col("_both") / F.greatest(F.col("_a") + F.col("_b") - F.col("_both"), F.lit(1))
+    return scored.agg(F.max_by(F.struct("_m.dx", "_m.dz", iou.alias("iou")), F.struct(iou, -F.col("_m.k"))).alias("_r")).select("_r.*")
+
+
 def snapped_extent(rows: DataFrame, x: str, z: str, origin: float, step: float) -> DataFrame:
     """Bounds, moved outwards to whole steps from an origin."""
     low = lambda c: origin + F.floor((F.min(c) - origin) / step) * step

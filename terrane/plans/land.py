@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from terrane.functions import environment as V
 from terrane.functions import geometry as G
 from terrane.functions import scalars as S
+from terrane.operators import folds as M
 from terrane.operators import land as L
+from terrane.operators import sequences as Q
+from terrane.operators import spatial as J
 from terrane.operators import stats as A
+from terrane.plans.models import HULL_SQL
 from terrane.plans.registry import Registry
-from terrane.plans.space import CENTROIDS, DIST, PLANE, RINGS, plane
+from terrane.plans.space import CENTROIDS, DIST, PLANE, RINGS, ROAD_EDGES, ROAD_SQL, plane
 from terrane.plans.statistics import GRID, grid
 from terrane.plans.streams import event_stream
 from terrane.session import table
@@ -174,3 +178,84 @@ def q_stream_debts(spark: SparkSession, sf_dir: str) -> DataFrame:
     debts = kinds.select("user_id", "ts", F.when(F.col("event_type") == "purchase", "debt").otherwise("paid").alias("kind"), F.col("value").alias("amount"))
     changes = E.debts(debts, "user_id", "ts", 400 * 86400, 500 * 86400, 5.0)
     return E.every_update(changes, "debts", "update").select("user_id", "status", F.round("amount", 6).alias("amount"))
+
+
+_ROAD = ROAD_SQL + f", t AS (SELECT vec_id, seg, x, z, x1, z1, x2, z2, {_T} AS t FROM plane, road), d AS (SELECT vec_id, seg, sqrt((x-(x1+t*(x2-x1)))*(x-(x1+t*(x2-x1)))+(z-(z1+t*(z2-z1)))*(z-(z1+t*(z2-z1)))) AS d FROM t)"
+
+
+@query(f"WITH {PLANE}, {_ROAD} SELECT vec_id, seg, round(d, 9) AS d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, seg) AS r FROM d) WHERE r = 1")
+def q_nearest_segment_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    road = spark.createDataFrame(ROAD_EDGES, "seg int, x1 double, z1 double, x2 double, z2 double")
+    return J.nearest_segment_any(plane(spark, sf_dir), "vec_id", road, "seg", 0.02).select("vec_id", "seg", F.round("d", 9).alias("d"))
+
+
+@query(f"""WITH {GRID}, w AS (SELECT ix AS wx, iz AS wz, v AS wv FROM grid WHERE ix % 9 = 4 AND iz % 7 < 2), n AS (SELECT g.ix, g.iz, wx, wz, v - wv AS hand, sqrt((ix - wx) * (ix - wx) + (iz - wz) * (iz - wz)) AS d, row_number() OVER (PARTITION BY g.ix, g.iz ORDER BY sqrt((ix - wx) * (ix - wx) + (iz - wz) * (iz - wz)), wx, wz) AS r FROM grid g, w)
+SELECT ix, iz, wx, wz, round(d, 9) AS d, round(hand, 6) AS hand FROM n WHERE r = 1""")
+def q_nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid(spark, sf_dir)
+    at = lambda df, name: df.select(F.struct(F.col("ix").alias(f"{name}x"), F.col("iz").alias(f"{name}z")).alias(name), F.col("ix").cast("double").alias("x"), F.col("iz").cast("double").alias("z"))
+    water = cells.where("ix % 9 = 4 AND iz % 7 < 2")
+    near = J.nearest(at(cells, "c"), "c", at(water, "w"), "w", 2.0).select(F.col("c.cx").alias("ix"), F.col("c.cz").alias("iz"), "w.wx", "w.wz", "d")
+    met = near.join(cells, ["ix", "iz"]).join(water.select(F.col("ix").alias("wx"), F.col("iz").alias("wz"), F.col("v").alias("_w")), ["wx", "wz"])
+    return met.select("ix", "iz", "wx", "wz", F.round("d", 9).alias("d"), F.round(F.col("v") - F.col("_w"), 6).alias("hand"))
+
+
+_SHIFTS = [(dx, dz) for dx in range(-2, 3) for dz in range(-2, 3)]
+
+
+@query(f"""WITH {GRID}, a AS (SELECT ix, iz FROM grid WHERE v > 420), b AS (SELECT ix + 1 AS ix, iz - 2 AS iz FROM grid WHERE v > 430), s(k, dx, dz) AS (VALUES {", ".join(f"({k}, {dx}, {dz})" for k, (dx, dz) in enumerate(_SHIFTS))}),
+c AS (SELECT k, dx, dz, count(*) FILTER (b.ix IS NOT NULL) AS n FROM s CROSS JOIN a LEFT JOIN b ON b.ix = a.ix + dx AND b.iz = a.iz + dz GROUP BY 1, 2, 3), i AS (SELECT *, n / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b) - n) AS iou FROM c)
+SELECT dx, dz, round(iou, 9) AS iou FROM i ORDER BY iou DESC, k LIMIT 1""")
+def q_best_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid(spark, sf_dir)
+    other = cells.where("v > 430").select((F.col("ix") + 1).alias("ix"), (F.col("iz") - 2).alias("iz"))
+    return A.best_shift(cells.where("v > 420"), other, _SHIFTS).withColumn("iou", F.round("iou", 9))
+
+
+@query(f"""WITH {GRID}, m AS (SELECT avg(ix) AS mx, avg(iz) AS mz, avg(v) AS mv, covar_pop(ix, ix) AS xx, covar_pop(iz, iz) AS zz, covar_pop(ix, iz) AS xz, covar_pop(ix, v) AS xv, covar_pop(iz, v) AS zv FROM grid),
+f AS (SELECT (xv * zz - zv * xz) / (xx * zz - xz * xz) AS a, (zv * xx - xv * xz) / (xx * zz - xz * xz) AS b, mx, mz, mv FROM m) SELECT round(max(abs(v - (mv + a * (ix - mx) + b * (iz - mz)))), 5) AS residual, count(*) AS n FROM grid, f""")
+def q_affine_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid(spark, sf_dir)
+    return A.affine_residual(cells, A.affine_fit(cells, "ix", "iz", "v"), "ix", "iz", "v").withColumn("residual", F.round("residual", 5))
+
+
+@query("""WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hour, avg(value) AS temp, sum(value) AS rain FROM events GROUP BY 1, 2)
+SELECT user_id, strftime(to_timestamp(epoch(hour)::BIGINT // 21600 * 21600)::TIMESTAMP, '%Y-%m-%d %H') AS step, count(*) AS dt, round(avg(temp), 5) AS temp, round(sum(rain), 5) AS rain FROM h GROUP BY 1, 2""")
+def q_coarse_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp").alias("hour")).agg(F.avg("value").alias("temp"), F.sum("value").alias("rain"))
+    steps = Q.coarse_steps(hours, ["user_id"], "hour", 6, ["temp"], ["rain"])
+    return steps.select("user_id", F.date_format("step", "yyyy-MM-dd HH").alias("step"), "dt", F.round("temp", 5).alias("temp"), F.round("rain", 5).alias("rain"))
+
+
+_CHANNEL = "CASE WHEN {0} / 255.0::DOUBLE <= 0.04045 THEN {0} / 255.0::DOUBLE / 12.92 ELSE pow(({0} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END".format
+_ROOT = "CASE WHEN {0} > 0.008856 THEN pow({0}, 1 / 3.0::DOUBLE) ELSE 7.787 * {0} + 16 / 116.0::DOUBLE END".format
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size * 5 AS r, p_partkey % 256 AS g, (p_partkey * 7) % 256 AS b FROM part), l AS (SELECT p_partkey, {_CHANNEL("r")} AS r, {_CHANNEL("g")} AS g, {_CHANNEL("b")} AS b FROM p),
+x AS (SELECT p_partkey, (0.4124::DOUBLE * r + 0.3576::DOUBLE * g + 0.1805::DOUBLE * b) / 0.95047::DOUBLE AS x, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS y, (0.0193::DOUBLE * r + 0.1192::DOUBLE * g + 0.9505::DOUBLE * b) / 1.08883::DOUBLE AS z FROM l),
+f AS (SELECT p_partkey, {_ROOT("x")} AS x, {_ROOT("y")} AS y, {_ROOT("z")} AS z FROM x) SELECT p_partkey, round(116 * y - 16, 6) AS l, round(500 * (x - y), 6) AS a, round(200 * (y - z), 6) AS b FROM f""")
+def q_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    light = S.lab(F.col("p_size") * 5, F.col("p_partkey") % 256, (F.col("p_partkey") * 7) % 256)
+    return table(spark, sf_dir, "part").select("p_partkey", *[F.round(c, 6).alias(n) for c, n in zip(light, "lab")])
+
+
+@query(f"""WITH {HULL_SQL}, v AS (SELECT DISTINCT label, ax AS x, az AS z FROM e), c AS (SELECT label, avg(x) AS cx, avg(z) AS cz FROM v GROUP BY 1), d AS (SELECT v.*, cx, cz, sqrt((x - cx) * (x - cx) + (z - cz) * (z - cz)) AS d FROM v JOIN c USING (label))
+SELECT label, round(cx + (x - cx) * ((d + 0.05::DOUBLE) / d), 8) AS x, round(cz + (z - cz) * ((d + 0.05::DOUBLE) / d), 8) AS z FROM d""")
+def q_inflated_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hull = M.hulls(plane(spark, sf_dir), "label")
+    centres = hull.groupBy("label").agg(F.avg("x").alias("cx"), F.avg("z").alias("cz"))
+    x, z = G.inflated(F.col("x"), F.col("z"), F.col("cx"), F.col("cz"), 0.05)
+    return hull.join(centres, "label").select("label", F.round(x, 8).alias("x"), F.round(z, 8).alias("z"))
+
+
+@query("SELECT s_suppkey, CAST(i AS INTEGER) AS i, round(s_suppkey % 7 + (1 + s_suppkey % 3) * cos(i * (2 * pi() / 12)) + 1e-8::DOUBLE, 6) AS x, round(s_suppkey % 11 + (1 + s_suppkey % 3) * sin(i * (2 * pi() / 12)) + 1e-8::DOUBLE, 6) AS z FROM supplier, range(0, 12) r(i)")
+def q_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    ring = G.circle((key % 7).cast("double"), (key % 11).cast("double"), (1 + key % 3).cast("double"), 12)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(ring).alias("i", "p")).select("s_suppkey", "i", *[F.round(F.col(f"p.{c}") + 1e-8, 6).alias(c) for c in "xz"])
+
+
+@query("SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def q_stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = E.latest_result(E.sliding_totals(event_stream(spark, sf_dir), "user_id", "ts", "value", "1 hour", "1 hour"), "hours", ["user_id", "start"])
+    return totals.select("user_id", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n", F.round("total", 3).alias("total"))

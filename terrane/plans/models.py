@@ -80,16 +80,16 @@ def q_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.weather_chain(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("station")), 72, weights, "clear")
 
 
-_HULL_SQL = f"""{PLANE}, e AS (SELECT a.label, a.vec_id AS p, b.vec_id AS q, a.x AS ax, a.z AS az FROM plane a JOIN plane b ON a.label = b.label AND a.vec_id <> b.vec_id
+HULL_SQL = f"""{PLANE}, e AS (SELECT a.label, a.vec_id AS p, b.vec_id AS q, a.x AS ax, a.z AS az FROM plane a JOIN plane b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE NOT EXISTS (SELECT 1 FROM plane c WHERE c.label = a.label AND c.vec_id <> a.vec_id AND c.vec_id <> b.vec_id AND (b.x - a.x) * (c.z - a.z) - (b.z - a.z) * (c.x - a.x) < 0))"""
 
 
-@query(f"WITH {_HULL_SQL} SELECT DISTINCT label, round(ax, 9) AS x, round(az, 9) AS z FROM e")
+@query(f"WITH {HULL_SQL} SELECT DISTINCT label, round(ax, 9) AS x, round(az, 9) AS z FROM e")
 def q_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.hulls(plane(spark, sf_dir), "label").select("label", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
 
 
-@query(f"""WITH {_HULL_SQL.replace("a.z AS az", "a.z AS az, b.x AS bx, b.z AS bz")}, t AS (SELECT DISTINCT label, atan2(bz - az, bx - ax) AS r FROM e), u AS (SELECT DISTINCT label, round(r - floor(r / (pi() / 2)) * (pi() / 2), 12) AS t FROM t),
+@query(f"""WITH {HULL_SQL.replace("a.z AS az", "a.z AS az, b.x AS bx, b.z AS bz")}, t AS (SELECT DISTINCT label, atan2(bz - az, bx - ax) AS r FROM e), u AS (SELECT DISTINCT label, round(r - floor(r / (pi() / 2)) * (pi() / 2), 12) AS t FROM t),
 g AS (SELECT u.label, t, min(cos(t) * x + sin(t) * z) AS x0, max(cos(t) * x + sin(t) * z) AS x1, min(cos(t) * z - sin(t) * x) AS z0, max(cos(t) * z - sin(t) * x) AS z1 FROM u JOIN plane p ON p.label = u.label GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (x1 - x0) * (z1 - z0), t) AS r FROM g)
 SELECT label, round(cos(t) * (x0 + x1) / 2 - sin(t) * (z0 + z1) / 2, 6) AS cx, round(sin(t) * (x0 + x1) / 2 + cos(t) * (z0 + z1) / 2, 6) AS cz, round(greatest(x1 - x0, z1 - z0), 6) AS length,

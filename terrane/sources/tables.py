@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,14 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path.getParent())
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+def cut_counted(df: DataFrame, name: str = "table", of: Column | None = None) -> tuple[DataFrame, int]:
+    """The same, and how many rows were written (or for how many ``of`` holds), counted on the way: no second job looks at the table.
+
+    A task that runs again may count twice: the number is exact where it is 0, and else at least what it should be.
+    """
+    seen = Observation()
+    counted = F.lit(1) if of is None else F.coalesce(of.cast("long"), F.lit(0))
+    out = cut_lineage(df.observe(seen, F.coalesce(F.sum(counted), F.lit(0)).alias("n")), name)
+    return out, int(seen.get["n"])
