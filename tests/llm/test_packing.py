@@ -80,3 +80,15 @@ def test_pieces_and_sequences(spark, plain):
     total = sum(len(ids_of(plain, t)) for _, t in docs)
     assert sequences <= 1.05 * total / 64 + 1
     assert P.pack(frame.limit(0), PATH).count() == 0
+
+
+def test_little_padding():
+    rng = np.random.default_rng(4)
+    lengths = np.clip(rng.lognormal(6, 1.2, 20_000).astype(int), 1, 40_000)
+    counts = Counter()
+    for n in lengths.tolist():
+        counts[P.MAX_TOKENS] += n // P.MAX_TOKENS
+        counts[n % P.MAX_TOKENS] += 1
+    counts = Counter({k: n for k, n in counts.items() if k and n})
+    sequences = sum(n for _, n in P.pack_histogram(counts, P.MAX_TOKENS))
+    assert sequences <= 1.002 * sum(k * n for k, n in counts.items()) / P.MAX_TOKENS + 1
