@@ -20,7 +20,7 @@ EQUATION_MINUTES = 229.18
 MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 # Watts per square metre above the air, and the share that one air mass lets through.
 SOLAR_CONSTANT, TRANSMISSION = 1361.0, 0.7
-# Multipliers of the lattice noise.
+# Multipliers of the lattice noise; fields agree with those of maps made elsewhere only with these.
 NOISE = {"x": 374761393, "z": 668265263, "seed": 1442695041, "octave": 7919, "stir": 1274126177}
 LUMA = (0.2126, 0.7152, 0.0722)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
 from terrane.functions import scalars as S
-from terrane.operators import folds, graphs, land, quality, raster, relational, sequences, spatial, stats
+from terrane.operators import folds, graphs, land, quality, raster, relational, sequences, site_rules, spatial, stats
 from terrane.sources import formats
 from terrane.streaming import events
 
@@ -328,3 +328,28 @@ def test_boxes_of_all_sizes_and_long_segments(spark):
     assert values(got, "id", "seg") == sorted((k, s) for k, (d, s) in best.items() if d <= 3)
     cells = spatial._segment_cells(spark.createDataFrame([(0.0, 0.0, 500.0, 500.0)], "x1 double, z1 double, x2 double, z2 double"), 1.0, 1.0).count()
     assert cells < 4000
+
+
+def test_rules_on_a_small_town(spark):
+    B = site_rules
+    shape = "id long, kind string, shape string, ground double, eave double, ridge double, dir_x double, dir_z double, ridge_x double, ridge_z double, door_x double, door_z double"
+    rows = [(1, "house", "gable", 0.0, 5.0, 8.0, 1.0, 0.0, 5.0, 5.0, 5.0, 0.0), (2, "shed", "flat", 0.0, 13.0, 14.0, 1.0, 0.0, None, None, None, None), (3, "hut", "gable", 2.0, 1.0, 1.0, 1.0, 0.0, 40.0, 40.0, 40.0, 47.0), (4, "house", "gable", 0.0, 5.0, 9.0, 1.0, 0.0, 90.0, 5.0, 5.0, -3.0)]
+    houses = spark.createDataFrame(rows, shape)
+    square = lambda k, x, z, a: [(k, 0, x, z, x + a, z), (k, 1, x + a, z, x + a, z + a), (k, 2, x + a, z + a, x, z + a), (k, 3, x, z + a, x, z)]
+    rings = [e for k, x, z in ((1, 0.0, 0.0), (2, 5.0, 0.0), (3, 35.0, 35.0), (4, 0.0, 0.0)) for e in square(k, x, z, 10.0)]
+    edges = spark.createDataFrame(rings, "id long, i int, x1 double, z1 double, x2 double, z2 double")
+    found = lambda df: sorted((r["check"], r["severity"], r["id"]) for r in df.collect())
+    assert found(B.wall_heights(houses, edges)) == [("order", "FAIL", 3), ("wall", "FAIL", 2)]
+    assert found(B.roofs(houses, edges)) == [("roof_beside", "WARN", 4), ("roof_flat", "WARN", 2)]
+    over = B.overlaps(edges).collect()
+    assert sorted((r["id"], r["other"], r["severity"], round(r["score"])) for r in over) == [(1, 2, "FAIL", 50), (1, 4, "FAIL", 100), (2, 4, "FAIL", 50)]
+    roads = spark.createDataFrame([(0, "residential", 4.0, True, 0, -20.0, -1.0, 30.0, -1.0), (1, "footway", 2.0, False, 0, 30.0, 40.0, 60.0, 40.0)], "road int, kind string, width double, drivable boolean, i int, x1 double, z1 double, x2 double, z2 double")
+    hit = B.buildings_on_roads(edges, roads, 2.0).collect()
+    assert sorted((r["id"], r["severity"], round(r["score"]), r["drivable"]) for r in hit) == [(1, "WARN", 10, True), (2, "WARN", 10, True), (3, "WARN", 20, False), (4, "WARN", 10, True)]
+    axis = spark.createDataFrame([(0, k, float(x), -20.0) for k, x in enumerate(range(-20, 31))], "road int, i int, x1 double, z1 double")
+    assert found(B.doors(houses, edges, axis, 4.0)) == [("door_away", "WARN", 3), ("door_off", "FAIL", 4), ("door_off", "WARN", 3)]
+    none, no_edges, no_roads = houses.limit(0), edges.limit(0), roads.limit(0)
+    assert B.wall_heights(none, no_edges).count() == B.roofs(none, no_edges).count() == B.overlaps(no_edges).count() == B.buildings_on_roads(no_edges, roads, 2.0).count() == B.buildings_on_roads(edges, no_roads, 2.0).count() == 0
+    assert B.road_clashes(edges, roads, {"residential": 2.0}, {"residential": 5.0}).count() == 3
+    flat = spark.createDataFrame([(0, True, k, 2.0 * k, 0.0 if k < 6 else 1.6, 3.0, 0.0, 1.5) for k in range(12)], "road int, drivable boolean, k int, s double, h double, width double, left double, right double")
+    assert found(B.road_steps(flat)) == [("step", "FAIL", 0)] and found(B.road_grades(flat, 5, 2.0)) == [("grade", "INFO", 0)] and found(B.road_crossfalls(flat)) == [("crossfall", "FAIL", 0)]
