@@ -13,9 +13,9 @@ _POINT = "struct<lat: double, lon: double>"
 OSM = f"elements array<struct<type: string, id: long, lat: double, lon: double, tags: map<string, string>, geometry: array<{_POINT}>, members: array<struct<type: string, ref: long, role: string, geometry: array<{_POINT}>>>>>"
 
 
-def osm_elements(spark: SparkSession, path: str) -> DataFrame:
-    """One row an element of OSM JSON files: type, id, lat, lon, tags, geometry, members."""
-    return spark.read.schema(OSM).json(path, multiLine=True).select(F.inline("elements"))
+def osm_elements(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """One row an element of OSM JSON files: type, id, lat, lon, tags, geometry, members. ``one_line``: each line of a file is a document."""
+    return spark.read.schema(OSM).json(path, multiLine=not one_line).select(F.inline("elements"))
 
 
 def nodes_ways_members(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -25,10 +25,13 @@ def nodes_ways_members(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     return nodes, ways, members.select("relation", "tags", "position", "m.type", "m.ref", "m.role", "m.geometry")
 
 
-def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """kind, properties (a map) and geometry of each feature; coordinates stay JSON, whose depth goes with the geometry type."""
+def geojson(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """kind, properties (a map) and geometry of each feature; coordinates stay JSON, whose depth goes with the geometry type.
+
+    ``one_line``: each line of a file is a collection.
+    """
     features = "features array<struct<properties: map<string, string>, geometry: string>>"
-    rows = spark.read.schema(features).json(path, multiLine=True).select(F.inline("features"))
+    rows = spark.read.schema(features).json(path, multiLine=not one_line).select(F.inline("features"))
     return rows.select("properties", F.col("properties")["kind"].alias("kind"), F.get_json_object("geometry", "$.type").alias("geometry_type"), F.get_json_object("geometry", "$.coordinates").alias("coordinates"))
 
 
