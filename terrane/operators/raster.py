@@ -6,6 +6,11 @@ Rows and columns part the work, so that no task holds a whole raster.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,3 +171,72 @@ def steepest_descent(cells: DataFrame, v: str) -> DataFrame:
     drops = asked.join(there, ["tx", "tz"]).withColumn("_d", (F.col("_v") - F.col("_t")) / far).where("_d > 0")
     best = drops.groupBy("ix", "iz").agg(F.min_by(F.struct("tx", "tz"), F.struct(-F.col("_d"), F.col("_m.k"))).alias("_b"))
     return cells.select("ix", "iz").join(best, ["ix", "iz"], "left").select("ix", "iz", F.col("_b.tx").alias("tx"), F.col("_b.tz").alias("tz"))
+
+
+def _smoothed(cells: DataFrame, columns: list[str], weights: list[float]) -> DataFrame:
+    """Columns smoothed by symmetric weights along rows and then columns; beyond the edges the grid is mirrored, its edge cells repeated. The
+    grid is whole and longer than the weights reach."""
+    reach = len(weights) // 2
+
+    def along(df: DataFrame, by: str, order: str) -> DataFrame:
+        o = F.col(order)
+        edged = df.withColumns({"_lo": F.min(order).over(Window.partitionBy(by)), "_hi": F.max(order).over(Window.partitionBy(by))})
+        mirror = lambda near, to: edged.where(near).withColumn(order, to).withColumn("_own", F.lit(False))
+        low, high = mirror(o < F.col("_lo") + reach, 2 * F.col("_lo") - o - 1), mirror(o > F.col("_hi") - reach, 2 * F.col("_hi") - o + 1)
+        w = Window.partitionBy(by).orderBy(order)
+        at = lambda c, k: F.lag(c, k).over(w) if k > 0 else F.lead(c, -k).over(w) if k < 0 else F.col(c)
+        total = lambda c: reduce(Column.__add__, [weight * at(c, k - reach) for k, weight in enumerate(weights)])
+        every = edged.withColumn("_own", F.lit(True)).unionByName(low).unionByName(high)
+        return every.withColumns({c: total(c) for c in columns}).where("_own").drop("_own", "_lo", "_hi")
+
+    return along(along(cells, "iz", "ix"), "ix", "iz")
+
+
+def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
+    reach = int(truncate * sigma + 0.5)
+    raw = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+    return [w / sum(raw) for w in raw]
+
+
+def similarity(cells: DataFrame, a: str, b: str, sigma: float = 1.5) -> DataFrame:
+    """ix, iz and s: the structural similarity of two columns of 0..1 at each cell, over a Gaussian neighbourhood; its mean is that of the images."""
+    # The constants that keep quotients steady.
+    c1, c2 = 0.01**2, 0.03**2
+    x, y = F.col(a), F.col(b)
+    parts = cells.select("ix", "iz", x.alias("ma"), y.alias("mb"), (x * x).alias("aa"), (y * y).alias("bb"), (x * y).alias("ab"))
+    smooth = _smoothed(parts, ["ma", "mb", "aa", "bb", "ab"], gaussian_weights(sigma))
+    ma, mb = F.col("ma"), F.col("mb")
+    va, vb, cab = F.col("aa") - ma * ma, F.col("bb") - mb * mb, F.col("ab") - ma * mb
+    return smooth.select("ix", "iz", (((2 * ma * mb + c1) * (2 * cab + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).alias("s"))
+
+
+def flat_cells(cells: DataFrame, columns: list[str], most: float = 1e-7) -> DataFrame:
+    """ix and iz of the cells whose columns hardly vary over the three by three cells around."""
+    squares = cells.select("ix", "iz", *columns, *[(F.col(c) * F.col(c)).alias(f"_{c}") for c in columns])
+    smooth = _smoothed(squares, [*columns, *[f"_{c}" for c in columns]], [1 / 3] * 3)
+    spread = reduce(Column.__add__, [F.greatest(F.col(f"_{c}") - F.col(c) * F.col(c), F.lit(0.0)) for c in columns])
+    return smooth.where(spread < most).select("ix", "iz")
+
+
+# Waves a cell from which they are high, and near the finest.
+HIGH_WAVES, FINEST_WAVES = 0.25, 0.42
+
+
+def fine_shares(cells: DataFrame, image: str, v: str, radius: float = HIGH_WAVES, edge: float = FINEST_WAVES) -> DataFrame:
+    """image and the shares of its spectrum's energy beyond a radius (high) and near the finest waves of either axis (edge), in waves a cell; the mean
+    is taken off and a Hann window laid over. An image is held by one task: its size is that of a screen."""
+
+    def shares(group: pd.DataFrame) -> pd.DataFrame:
+        size = group["iz"].max() + 1, group["ix"].max() + 1
+        picture = np.zeros(size)
+        picture[group["iz"], group["ix"]] = group[v]
+        window = np.outer(np.hanning(size[0]), np.hanning(size[1]))
+        power = np.abs(np.fft.fft2((picture - picture.mean()) * window)) ** 2
+        fz, fx = np.abs(np.fft.fftfreq(size[0]))[:, None], np.abs(np.fft.fftfreq(size[1]))[None, :]
+        total = power.sum() - power[0, 0]
+        parts = [power[np.hypot(fx, fz) > radius].sum(), power[(fx > edge) | (fz > edge)].sum()]
+        high, fine = (p / total if total > 1e-12 else 0.0 for p in parts)
+        return pd.DataFrame({image: [group[image].iloc[0]], "high": [high], "edge": [fine]})
+
+    kind = dict(cells.dtypes)[image]
+    return cells.select(image, "ix", "iz", v).groupBy(image).applyInPandas(shares, f"{image} {kind}, high double, edge double")

@@ -10,6 +10,7 @@ from terrane.functions import geometry as G
 from terrane.functions import scalars as S
 from terrane.operators import folds as M
 from terrane.operators import land as L
+from terrane.operators import raster as R
 from terrane.operators import sequences as Q
 from terrane.operators import spatial as J
 from terrane.operators import stats as A
@@ -259,3 +260,39 @@ def q_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = E.latest_result(E.sliding_totals(event_stream(spark, sf_dir), "user_id", "ts", "value", "1 hour", "1 hour"), "hours", ["user_id", "start"])
     return totals.select("user_id", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n", F.round("total", 3).alias("total"))
+
+
+_MIRROR_EDGE = "CASE WHEN {0} < 0 THEN -({0}) - 1 WHEN {0} > 63 THEN 127 - ({0}) ELSE {0} END".format
+_PICTURE = f"{GRID}, pic AS (SELECT ix, iz, v / 1000 AS a, (v + (ix * iz) % 7 * 9) / 1000 AS b FROM grid)"
+
+
+def _picture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid(spark, sf_dir).select("ix", "iz", (F.col("v") / 1000).alias("a"), ((F.col("v") + F.col("ix") * F.col("iz") % 7 * 9) / 1000).alias("b"))
+
+
+def _kernel(weights: list[float]) -> str:
+    reach = len(weights) // 2
+    return "kern(d, w) AS (VALUES " + ", ".join(f"({k - reach}, {w!r}::DOUBLE)" for k, w in enumerate(weights)) + ")"
+
+
+@query(f"""WITH {_PICTURE}, {_kernel(R.gaussian_weights(1.5))}, s AS (SELECT p.ix, p.iz, sum(i.w * j.w * q.a) AS ma, sum(i.w * j.w * q.b) AS mb, sum(i.w * j.w * q.a * q.a) AS aa, sum(i.w * j.w * q.b * q.b) AS bb, sum(i.w * j.w * q.a * q.b) AS ab
+  FROM pic p CROSS JOIN kern i CROSS JOIN kern j JOIN pic q ON q.ix = {_MIRROR_EDGE("p.ix + i.d")} AND q.iz = {_MIRROR_EDGE("p.iz + j.d")} GROUP BY 1, 2)
+SELECT round(avg((2 * ma * mb + 0.0001::DOUBLE) * (2 * (ab - ma * mb) + 0.0009::DOUBLE) / ((ma * ma + mb * mb + 0.0001::DOUBLE) * (aa - ma * ma + bb - mb * mb + 0.0009::DOUBLE))), 6) AS ssim, count(*) AS n FROM s""")
+def q_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.similarity(_picture(spark, sf_dir), "a", "b").agg(F.round(F.avg("s"), 6).alias("ssim"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {GRID}, pic AS (SELECT ix, iz, CASE WHEN v > 430 THEN 1.0::DOUBLE ELSE 0 END AS a, (ix // 9 % 2)::DOUBLE AS b FROM grid), {_kernel([1 / 3] * 3)}, s AS (SELECT p.ix, p.iz, sum(i.w * j.w * q.a) AS ma, sum(i.w * j.w * q.a * q.a) AS aa, sum(i.w * j.w * q.b) AS mb, sum(i.w * j.w * q.b * q.b) AS bb
+  FROM pic p CROSS JOIN kern i CROSS JOIN kern j JOIN pic q ON q.ix = {_MIRROR_EDGE("p.ix + i.d")} AND q.iz = {_MIRROR_EDGE("p.iz + j.d")} GROUP BY 1, 2) SELECT ix, iz FROM s WHERE greatest(aa - ma * ma, 0) + greatest(bb - mb * mb, 0) < 1e-7""")
+def q_flat_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = grid(spark, sf_dir).select("ix", "iz", F.when(F.col("v") > 430, 1.0).otherwise(0.0).alias("a"), F.expr("CAST(ix div 9 % 2 AS DOUBLE)").alias("b"))
+    return R.flat_cells(marks, ["a", "b"])
+
+
+@query(f"""WITH {GRID}, m AS (SELECT avg(v) AS m FROM grid), f AS (SELECT ix, iz, (v - m) * (0.5 - 0.5 * cos(2 * pi() * ix / 63)) * (0.5 - 0.5 * cos(2 * pi() * iz / 63)) AS f FROM grid, m), k AS (SELECT k FROM range(0, 64) r(k)),
+a AS (SELECT k AS u, iz, sum(f * cos(2 * pi() * k * ix / 64)) AS c, sum(f * sin(2 * pi() * k * ix / 64)) AS s FROM f, k GROUP BY 1, 2), b AS (SELECT u, k AS w, sum(c * cos(2 * pi() * k * iz / 64) - s * sin(2 * pi() * k * iz / 64)) AS re, sum(c * sin(2 * pi() * k * iz / 64) + s * cos(2 * pi() * k * iz / 64)) AS im FROM a, k GROUP BY 1, 2),
+p AS (SELECT least(u, 64 - u) / 64::DOUBLE AS fx, least(w, 64 - w) / 64::DOUBLE AS fz, CASE WHEN u = 0 AND w = 0 THEN 0 ELSE re * re + im * im END AS p FROM b)
+SELECT 1 AS image, round(sum(p) FILTER (sqrt(fx * fx + fz * fz) > 0.25) / sum(p), 6) AS high, round(sum(p) FILTER (fx > 0.42 OR fz > 0.42) / sum(p), 6) AS edge FROM p""")
+def q_fine_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = R.fine_shares(grid(spark, sf_dir).withColumn("image", F.lit(1)), "image", "v")
+    return shares.select("image", F.round("high", 6).alias("high"), F.round("edge", 6).alias("edge"))
