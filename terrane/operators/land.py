@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from terrane.functions import geometry as G
 from terrane.operators import graphs
 from terrane.operators import spatial as J
+from terrane.operators import tiles as T
 from terrane.operators.raster import steepest_descent
 
 _CROSS = [(1, 0), (-1, 0), (0, 1), (0, -1)]
@@ -21,17 +22,7 @@ _CROSS = [(1, 0), (-1, 0), (0, 1), (0, -1)]
 def box_mean_reflected(cells: DataFrame, v: str, reach: int, name: str) -> DataFrame:
     """Mean over the (2 reach + 1)^2 cells around, the grid mirrored at its edge cells (which aren't repeated). The grid is whole, and longer
     than ``reach`` in both directions."""
-
-    def along(df: DataFrame, x: str, by: str, order: str, out: str) -> DataFrame:
-        low, high = F.min(order).over(Window.partitionBy(by)), F.max(order).over(Window.partitionBy(by))
-        edged = df.withColumns({"_lo": low, "_hi": high})
-        mirrored = lambda edge, near: edged.where(near).withColumn(order, 2 * F.col(edge) - F.col(order)).withColumn("_own", F.lit(False))
-        o = F.col(order)
-        parts = [edged.withColumn("_own", F.lit(True)), mirrored("_lo", (o > F.col("_lo")) & (o <= F.col("_lo") + reach)), mirrored("_hi", (o < F.col("_hi")) & (o >= F.col("_hi") - reach))]
-        every = reduce(DataFrame.unionByName, parts)
-        return every.withColumn(out, F.avg(x).over(Window.partitionBy(by).orderBy(order).rangeBetween(-reach, reach))).where("_own").drop("_own", "_lo", "_hi")
-
-    return along(along(cells, v, "iz", "ix", "_m"), "_m", "ix", "iz", name).drop("_m")
+    return T.with_stencil(cells, [v], reach, lambda w: {name: T.weighed(T.beyond(w[v], "reflect"), [1 / (2 * reach + 1)] * (2 * reach + 1))}, [name])
 
 
 def feathered(cells: DataFrame, block: DataFrame, v: str, reach: int) -> DataFrame:

@@ -1,94 +1,76 @@
 """Raster algebra on cell tables: a row a cell, keyed by ix and iz, with a value column.
 
-Separable operators are window functions along rows and columns of the grid; neighbourhoods that aren't are equi-joins on shifted keys.
-Rows and columns part the work, so that no task holds a whole raster.
+Neighbourhoods are stencils on tiles (``tiles``): one shuffle brings a tile and what lies around it to a task, whatever the chain of steps. Nulls
+don't count in them. The rest are equi-joins and groups of cells.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.operators import tiles as T
+
+_CROSS = [(1, 0), (-1, 0), (0, 1), (0, -1)]
 _D8 = [(dx, dz) for dz in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dz]
 
 
-def _line(by: str, order: str, reach: int):
-    # A range frame: cells that are missing leave gaps instead of drawing farther ones in.
-    return Window.partitionBy(by).orderBy(order).rangeBetween(-reach, reach)
+def box_sum(cells: DataFrame, v: str, reach: int, name: str) -> DataFrame:
+    """Sum over the (2 reach + 1)^2 cells around; cells beyond the edge count 0."""
+    return T.with_stencil(cells, [v], reach, lambda w: {name: T.weighed(w[v], [1.0] * (2 * reach + 1))}, [name])
 
 
-def box_sum(cells: DataFrame, v: str, reach: int, name: str) -> DataFrame:
-    """Sum over the (2 reach + 1)^2 cells around; cells beyond the edge count 0. Every cell of the grid must be there."""
-    rows = cells.withColumn("_r", F.sum(v).over(_line("iz", "ix", reach)))
-    return rows.withColumn(name, F.sum("_r").over(_line("ix", "iz", reach))).drop("_r")
+def _box_mean(layer: np.ndarray, reach: int) -> np.ndarray:
+    ones = [1.0] * (2 * reach + 1)
+    return T.weighed(layer, ones) / np.maximum(T.weighed(np.where(np.isnan(layer), 0.0, 1.0), ones), 1.0)
 
 
 def box_mean(cells: DataFrame, v: str, reach: int, name: str) -> DataFrame:
     """Mean over the part of the box that lies on the grid."""
-    rows = cells.withColumns({"_r": F.sum(v).over(_line("iz", "ix", reach)), "_n": F.count(v).over(_line("iz", "ix", reach))})
-    mean = F.sum("_r").over(_line("ix", "iz", reach)) / F.sum("_n").over(_line("ix", "iz", reach))
-    return rows.withColumn(name, mean).drop("_r", "_n")
+    return T.with_stencil(cells, [v], reach, lambda w: {name: _box_mean(w[v], reach)}, [name])
 
 
 def box_mean_clamped(cells: DataFrame, v: str, reach: int, name: str) -> DataFrame:
-    """Mean over the box with the edge cells repeated beyond the edge."""
-
-    def pass_along(df: DataFrame, x: str, by: str, order: str, out: str) -> DataFrame:
-        w, whole = Window.partitionBy(by).orderBy(order), Window.partitionBy(by)
-        df = df.withColumns({"_lo": F.min(order).over(whole), "_hi": F.max(order).over(whole), "_a": F.min_by(x, order).over(whole), "_b": F.max_by(x, order).over(whole)})
-        inner = F.sum(x).over(w.rangeBetween(-reach, reach))
-        before, after = F.greatest(F.col("_lo") - (F.col(order) - reach), F.lit(0)), F.greatest(F.col(order) + reach - F.col("_hi"), F.lit(0))
-        return df.withColumn(out, (inner + before * F.col("_a") + after * F.col("_b")) / (2 * reach + 1)).drop("_lo", "_hi", "_a", "_b")
-
-    return pass_along(pass_along(cells, v, "iz", "ix", "_m"), "_m", "ix", "iz", name).drop("_m")
+    """Mean over the box with the edge cells repeated beyond the edge. The grid is whole."""
+    return T.with_stencil(cells, [v], reach, lambda w: {name: T.weighed(T.beyond(w[v], "edge"), [1 / (2 * reach + 1)] * (2 * reach + 1))}, [name])
 
 
 def gaussian(cells: DataFrame, v: str, sigma: float, reach: int, name: str) -> DataFrame:
     """Gaussian smoothing, along rows and then columns; beyond the edge nothing counts, and the weights there add up to less."""
-
-    def along(df: DataFrame, x: str, by: str, order: str, out: str) -> DataFrame:
-        around = F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x"))).over(_line(by, order, reach))  # 2 reach + 1 cells at most
-        weight = lambda c: F.exp(-(c["o"] - F.col(order)) * (c["o"] - F.col(order)) / (2 * sigma * sigma))
-        total = lambda f: F.aggregate("_around", F.lit(0.0), lambda sum_, c: sum_ + f(c))
-        return df.withColumn("_around", around).withColumn(out, total(lambda c: c["x"] * weight(c)) / total(weight)).drop("_around")
-
-    return along(along(cells, v, "iz", "ix", "_m"), "_m", "ix", "iz", name).drop("_m")
+    return T.with_stencil(cells, [v], reach, lambda w: {name: T.gaussian(w[v], sigma, reach)}, [name])
 
 
 def relative_height(cells: DataFrame, v: str, reach: int, name: str = "tpi") -> DataFrame:
     """The cell less the mean of its neighbourhood."""
-    return box_mean(cells, v, reach, "_mean").withColumn(name, F.col(v) - F.col("_mean")).drop("_mean")
+    return T.with_stencil(cells, [v], reach, lambda w: {name: w[v] - _box_mean(w[v], reach)}, [name])
 
 
 def gradient(cells: DataFrame, v: str, cell: float = 1.0) -> DataFrame:
     """gx and gz by central differences, one-sided at the edges, slope in degrees and aspect (downhill, from +z clockwise)."""
 
-    def slope_along(by: str, order: str) -> Column:
-        w = Window.partitionBy(by).orderBy(order)
-        before, after, x = F.lag(v).over(w), F.lead(v).over(w), F.col(v)
-        return F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2) / cell
+    def slopes(w: T.Window) -> dict[str, np.ndarray]:
+        def along(dz: int, dx: int) -> np.ndarray:
+            before, after, x = T.moved(w[v], -dz, -dx), T.moved(w[v], dz, dx), w[v]
+            return np.where(np.isnan(before), after - x, np.where(np.isnan(after), x - before, (after - before) / 2)) / cell
+
+        gx, gz = along(0, 1), along(1, 0)
+        return {"gx": gx, "gz": gz, "slope": np.degrees(np.arctan(np.sqrt(gx * gx + gz * gz))), "aspect": np.degrees(np.arctan2(-gx, -gz)) % 360.0}
 
-    out = cells.withColumns({"gx": slope_along("iz", "ix"), "gz": slope_along("ix", "iz")})
-    steep = F.degrees(F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gz") * F.col("gz"))))
-    return out.withColumns({"slope": steep, "aspect": F.pmod(F.degrees(F.atan2(-F.col("gx"), -F.col("gz"))), F.lit(360.0))})
+    return T.with_stencil(cells, [v], 1, slopes, ["gx", "gz", "slope", "aspect"])
 
 
 def laplacian(cells: DataFrame, v: str, name: str = "lap") -> DataFrame:
     """Sum of the four neighbours less four times the cell; null at the edges."""
-    side = lambda f, by, order: f(v).over(Window.partitionBy(by).orderBy(order))
-    around = side(F.lag, "iz", "ix") + side(F.lead, "iz", "ix") + side(F.lag, "ix", "iz") + side(F.lead, "ix", "iz")
-    return cells.withColumn(name, around - 4 * F.col(v))
+    return T.with_stencil(cells, [v], 1, lambda w: {name: sum(T.moved(w[v], dz, dx) for dx, dz in _CROSS) - 4 * w[v]}, [name])
 
 
 def local_maxima(cells: DataFrame, v: str, reach: int = 1) -> DataFrame:
     """Cells as high as the highest of their neighbourhood."""
-    rows = cells.withColumn("_r", F.max(v).over(_line("iz", "ix", reach)))
-    return rows.withColumn("_m", F.max("_r").over(_line("ix", "iz", reach))).where(F.col(v) >= F.col("_m")).drop("_r", "_m")
+    return T.with_stencil(cells, [v], reach, lambda w: {"_m": T.highest(w[v], reach)}, ["_m"]).where(F.col(v) >= F.col("_m")).drop("_m")
 
 
 def disc(radius: int) -> list[tuple[int, int]]:
@@ -96,25 +78,23 @@ def disc(radius: int) -> list[tuple[int, int]]:
     return [(dx, dz) for dx in range(-radius, radius + 1) for dz in range(-radius, radius + 1) if dx * dx + dz * dz <= radius * radius + 1]
 
 
-def shifted(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """ix and iz of every cell moved by every offset."""
-    moves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dz).alias("dz")) for dx, dz in offsets])
-    return cells.select("ix", "iz", F.explode(moves).alias("_o")).select((F.col("ix") + F.col("_o.dx")).alias("ix"), (F.col("iz") + F.col("_o.dz")).alias("iz"))
-
-
 def dilated(mask: DataFrame, radius: int, domain: DataFrame) -> DataFrame:
     """The mask grown by a disc, within the domain."""
-    return shifted(mask, disc(radius)).distinct().join(domain.select("ix", "iz"), ["ix", "iz"], "left_semi")
+    return _morphed(mask, domain, radius, lambda m, d: T.grown(m, disc(radius)) & d)
 
 
 def eroded(mask: DataFrame, radius: int, domain: DataFrame) -> DataFrame:
     """Cells of the mask whose disc lies in the mask, as far as it lies in the domain: the dual of growing the rest."""
-    rest = domain.select("ix", "iz").join(mask.select("ix", "iz"), ["ix", "iz"], "left_anti")
-    return mask.select("ix", "iz").join(dilated(rest, radius, domain), ["ix", "iz"], "left_anti")
+    return _morphed(mask, domain, radius, lambda m, d: m & ~T.grown(d & ~m, disc(radius)))
 
 
 def opened(mask: DataFrame, radius: int, domain: DataFrame) -> DataFrame:
-    return dilated(eroded(mask, radius, domain), radius, domain)
+    """Eroded, then dilated, in one go."""
+    return _morphed(mask, domain, 2 * radius, lambda m, d: T.grown(m & ~T.grown(d & ~m, disc(radius)), disc(radius)) & d)
+
+
+def _morphed(mask: DataFrame, domain: DataFrame, reach: int, change) -> DataFrame:
+    return T.where_stencil({"mask": mask, "domain": domain}, reach, lambda w: change(w["mask"] == 1, w["domain"] == 1))
 
 
 def block_mean(cells: DataFrame, v: str, factor: int, nx: int, nz: int, name: str = "mean") -> DataFrame:
@@ -173,49 +153,41 @@ def steepest_descent(cells: DataFrame, v: str) -> DataFrame:
     return cells.select("ix", "iz").join(best, ["ix", "iz"], "left").select("ix", "iz", F.col("_b.tx").alias("tx"), F.col("_b.tz").alias("tz"))
 
 
-def _smoothed(cells: DataFrame, columns: list[str], weights: list[float]) -> DataFrame:
-    """Columns smoothed by symmetric weights along rows and then columns; beyond the edges the grid is mirrored, its edge cells repeated. The
-    grid is whole and longer than the weights reach."""
-    reach = len(weights) // 2
-
-    def along(df: DataFrame, by: str, order: str) -> DataFrame:
-        o = F.col(order)
-        edged = df.withColumns({"_lo": F.min(order).over(Window.partitionBy(by)), "_hi": F.max(order).over(Window.partitionBy(by))})
-        mirror = lambda near, to: edged.where(near).withColumn(order, to).withColumn("_own", F.lit(False))
-        low, high = mirror(o < F.col("_lo") + reach, 2 * F.col("_lo") - o - 1), mirror(o > F.col("_hi") - reach, 2 * F.col("_hi") - o + 1)
-        w = Window.partitionBy(by).orderBy(order)
-        at = lambda c, k: F.lag(c, k).over(w) if k > 0 else F.lead(c, -k).over(w) if k < 0 else F.col(c)
-        total = lambda c: reduce(Column.__add__, [weight * at(c, k - reach) for k, weight in enumerate(weights)])
-        every = edged.withColumn("_own", F.lit(True)).unionByName(low).unionByName(high)
-        return every.withColumns({c: total(c) for c in columns}).where("_own").drop("_own", "_lo", "_hi")
-
-    return along(along(cells, "iz", "ix"), "ix", "iz")
-
-
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     reach = int(truncate * sigma + 0.5)
     raw = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
     return [w / sum(raw) for w in raw]
 
 
+def _mirrored(layer: np.ndarray, weights: list[float]) -> np.ndarray:
+    """Weighted sums along rows and columns; beyond the edges the grid is mirrored, its edge cells repeated."""
+    return T.weighed(T.beyond(layer, "symmetric"), weights)
+
+
 def similarity(cells: DataFrame, a: str, b: str, sigma: float = 1.5) -> DataFrame:
-    """ix, iz and s: the structural similarity of two columns of 0..1 at each cell, over a Gaussian neighbourhood; its mean is that of the images."""
+    """ix, iz and s: the structural similarity of two columns of 0..1 at each cell, over a Gaussian neighbourhood; its mean is that of the images.
+    The grid is whole."""
     # The constants that keep quotients steady.
     c1, c2 = 0.01**2, 0.03**2
-    x, y = F.col(a), F.col(b)
-    parts = cells.select("ix", "iz", x.alias("ma"), y.alias("mb"), (x * x).alias("aa"), (y * y).alias("bb"), (x * y).alias("ab"))
-    smooth = _smoothed(parts, ["ma", "mb", "aa", "bb", "ab"], gaussian_weights(sigma))
-    ma, mb = F.col("ma"), F.col("mb")
-    va, vb, cab = F.col("aa") - ma * ma, F.col("bb") - mb * mb, F.col("ab") - ma * mb
-    return smooth.select("ix", "iz", (((2 * ma * mb + c1) * (2 * cab + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).alias("s"))
+    weights = gaussian_weights(sigma)
+
+    def compare(w: T.Window) -> dict[str, np.ndarray]:
+        x, y = w[a], w[b]
+        ma, mb, aa, bb, ab = (_mirrored(layer, weights) for layer in (x, y, x * x, y * y, x * y))
+        va, vb, cab = aa - ma * ma, bb - mb * mb, ab - ma * mb
+        return {"s": ((2 * ma * mb + c1) * (2 * cab + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))}
+
+    return T.with_stencil(cells.select("ix", "iz", a, b), [a, b], len(weights) // 2, compare, ["s"]).select("ix", "iz", "s")
 
 
 def flat_cells(cells: DataFrame, columns: list[str], most: float = 1e-7) -> DataFrame:
-    """ix and iz of the cells whose columns hardly vary over the three by three cells around."""
-    squares = cells.select("ix", "iz", *columns, *[(F.col(c) * F.col(c)).alias(f"_{c}") for c in columns])
-    smooth = _smoothed(squares, [*columns, *[f"_{c}" for c in columns]], [1 / 3] * 3)
-    spread = reduce(Column.__add__, [F.greatest(F.col(f"_{c}") - F.col(c) * F.col(c), F.lit(0.0)) for c in columns])
-    return smooth.where(spread < most).select("ix", "iz")
+    """ix and iz of the cells whose columns hardly vary over the three by three cells around. The grid is whole."""
+
+    def spread(w: T.Window) -> dict[str, np.ndarray]:
+        thirds = [1 / 3] * 3
+        return {"_spread": sum(np.maximum(_mirrored(w[c] * w[c], thirds) - _mirrored(w[c], thirds) ** 2, 0.0) for c in columns)}
+
+    return T.with_stencil(cells.select("ix", "iz", *columns), columns, 1, spread, ["_spread"]).where(F.col("_spread") < most).select("ix", "iz")
 
 
 # Waves a cell from which they are high, and near the finest.
