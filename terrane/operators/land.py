@@ -14,6 +14,7 @@ from terrane.functions import geometry as G
 from terrane.operators import graphs
 from terrane.operators import spatial as J
 from terrane.operators import tiles as T
+from terrane.operators.ranks import quantiles
 from terrane.operators.raster import steepest_descent
 
 _CROSS = [(1, 0), (-1, 0), (0, 1), (0, -1)]
@@ -46,8 +47,8 @@ def seam(cells: DataFrame, block: DataFrame, v: str) -> DataFrame:
     """mean, p95 and max of the steps between the block's cells and the cells beside them."""
     beside = block.select("ix", "iz", F.col(v).alias("_b")).withColumn("_o", F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dz).alias("dz")) for dx, dz in _CROSS])))
     beside = beside.select((F.col("ix") + F.col("_o.dx")).alias("ix"), (F.col("iz") + F.col("_o.dz")).alias("iz"), "_b").join(block.select("ix", "iz"), ["ix", "iz"], "left_anti")
-    step = F.abs(F.col(v) - F.col("_b"))
-    return cells.join(beside, ["ix", "iz"]).agg(F.avg(step).alias("mean"), F.percentile(step, F.lit(0.95)).alias("p95"), F.max(step).alias("max"))
+    steps = cells.join(beside, ["ix", "iz"]).select(F.abs(F.col(v) - F.col("_b")).alias("step"))
+    return steps.agg(F.avg("step").alias("mean"), F.max("step").alias("max")).crossJoin(quantiles(steps, [], "step", {"p95": 0.95})).select("mean", "p95", "max")  # a row of each
 
 
 def snapped(points: DataFrame, cells: DataFrame, v: str, reach: int, cell: float, penalty: float = 0.04, smooth: int = 4) -> DataFrame:

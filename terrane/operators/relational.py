@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.ranks import numbered
+
 
 def assembled(members: DataFrame, keys: list[str], position: str, value: str, name: str, separator: str = " ") -> DataFrame:
     """The values of each key in order of position as one string; missing values are left out."""
@@ -34,18 +36,8 @@ def distinct_in_order(rows: DataFrame, value: str, position: str) -> DataFrame:
 
 
 def encoded(rows: DataFrame, key: str, name: str = "code") -> DataFrame:
-    """Rows with the rank of their key among the sorted distinct keys, from 0.
-
-    The keys are ranked apart from the rows, and spread over ranges, so that no task sees all of them.
-    """
-    keys = rows.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("_range", F.spark_partition_id())
-    keys = keys.persist()
-    sizes = keys.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_range", "_start")
-    within = Window.partitionBy("_range").orderBy(key)
-    codes = keys.join(F.broadcast(starts), "_range").select(key, (F.col("_start") + F.row_number().over(within) - 1).alias(name))
-    return rows.join(codes, key)
+    """Rows with the rank of their key among the sorted distinct keys, from 0. The keys are ranked apart from the rows."""
+    return rows.join(numbered(rows.select(key).distinct(), [key]).select(key, F.col("_at").alias(name)), key)
 
 
 def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

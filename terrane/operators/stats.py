@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.sources.tables import cut_lineage
+from terrane.operators.ranks import numbered, quantiles
 
 
 def mean_or_zero(x: str | Column) -> Column:
@@ -22,26 +22,15 @@ def mode_lowest(rows: DataFrame, keys: list[str], value: str, name: str, empty=N
 
 
 def upper_medians(rows: DataFrame, keys: list[str], x: str, name: str = "upper", least: int = 5) -> DataFrame:
-    """Element n/2 (from 0) of each group's sorted values; null with fewer than ``least``. Nulls don't count.
-
-    Values are sorted by ranges over all groups, and ranks add up over a group's ranges: no group is collected.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*keys, x).where(F.col(x).isNotNull()).repartitionByRange(n, *keys, x).withColumn("_p", F.spark_partition_id())
-    ranged = cut_lineage(dealt, "ranged")
-    sizes = ranged.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    places = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(whole)})
-    wanted = places.withColumn("_at", F.floor(F.col("_all") / 2) - F.col("_before")).where("_all >= " + str(least) + " AND _at >= 0 AND _at < _n")
-    ranked = ranged.join(wanted.select(*keys, "_p", "_at"), [*keys, "_p"]).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(x)) - 1)
-    found = ranked.where("_r = _at").select(*keys, F.col(x).alias(name))
+    """Element n/2 (from 0) of each group's sorted values; null with fewer than ``least``. Nulls don't count."""
+    placed = numbered(rows.select(*keys, x).where(F.col(x).isNotNull()), [x], keys)
+    found = placed.where((F.col("_all") >= least) & (F.col("_at") == F.floor(F.col("_all") / 2))).select(*keys, F.col(x).alias(name))
     return rows.select(*keys).distinct().join(found, keys, "left")
 
 
 def z_scores(rows: DataFrame, keys: list[str], x: str, name: str = "z", floor: float = 1e-9) -> DataFrame:
     """(x - median) / population standard deviation within each group, the latter ``floor`` at least."""
-    facts = rows.groupBy(*keys).agg(F.percentile(x, F.lit(0.5)).alias("_m"), F.stddev_pop(x).alias("_s"))
+    facts = quantiles(rows, keys, x, {"_m": 0.5}).join(rows.groupBy(*keys).agg(F.stddev_pop(x).alias("_s")), keys)
     return rows.join(facts, keys).withColumn(name, (F.col(x) - F.col("_m")) / F.greatest("_s", F.lit(floor))).drop("_m", "_s")
 
 

@@ -42,7 +42,7 @@ def q_geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("vec_id") % 3 > 0, "LineString").otherwise("Polygon")
     geometry = F.struct(kind.alias("type"), pairs.alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("road").alias("kind"), F.col("vec_id").cast("string").alias("id")).alias("properties"), geometry.alias("geometry"))
-    files = plane(spark, sf_dir).select(feature.alias("f"), (F.col("vec_id") % 5).alias("file")).groupBy("file").agg(F.collect_list("f").alias("features"))
+    files = plane(spark, sf_dir).select(feature.alias("f"), F.floor(F.col("vec_id") / 1000).alias("file")).groupBy("file").agg(F.collect_list("f").alias("features"))  # 1000 features a document
     where = _folder(spark, "geojson")
     files.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.text(where)
     lines = O.geojson(spark, where, one_line=True).withColumn("vec_id", F.col("properties")["id"].cast("long"))

@@ -14,6 +14,7 @@ from terrane.operators import raster as R
 from terrane.operators import sequences as Q
 from terrane.operators import spatial as J
 from terrane.operators import stats as A
+from terrane.operators.ranks import quantiles
 from terrane.plans.models import HULL_SQL
 from terrane.plans.registry import Registry
 from terrane.plans.space import CENTROIDS, DIST, PLANE, RINGS, ROAD_EDGES, ROAD_SQL, plane
@@ -138,7 +139,7 @@ def q_json_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT ix, iz, CASE WHEN hand < 2 AND water < 60 THEN 'fluvisol' WHEN twi > wet THEN 'gleysol' WHEN slope > 20 AND tpi > 0 THEN 'ranker' WHEN slope < 8 AND twi < dry AND noise < 0.4 THEN 'arenosol' ELSE 'luvisol' END AS soil FROM c, q""")
 def q_soil_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grid(spark, sf_dir).withColumn("twi", F.col("iz") / 6)
-    limits = cells.agg(F.percentile("twi", F.lit(0.8)).alias("wet"), F.percentile("twi", F.lit(0.4)).alias("dry"))
+    limits = quantiles(cells, [], "twi", {"wet": 0.8, "dry": 0.4})
     soil = V.soil_kind(F.col("v") / 100, F.col("ix") * 3, F.col("twi"), F.col("ix") * 7 % 50, F.col("iz") % 5 - 2, S.hash01(F.col("ix"), F.col("iz"), seed=5), F.col("wet"), F.col("dry"), 0.4)
     return cells.crossJoin(F.broadcast(limits)).select("ix", "iz", soil.alias("soil"))  # one row of limits
 

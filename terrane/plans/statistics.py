@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrane.functions import scalars as S
 from terrane.operators import sequences as Q
 from terrane.operators import stats as A
+from terrane.operators.ranks import quantiles
 from terrane.plans.registry import Registry
 from terrane.session import table
 
@@ -57,7 +58,7 @@ def q_cell_mode_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1")
 def q_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", F.lit(0.5)), 4).alias("median"))
+    return quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {"median": 0.5}).select("o_orderpriority", F.round("median", 4).alias("median"))
 
 
 @query("SELECT o_custkey, CASE WHEN count(*) >= 5 THEN list_sort(list(o_totalprice))[CAST(floor(count(*) / 2) AS INTEGER) + 1] ELSE -1 END AS upper FROM orders GROUP BY 1")
@@ -68,8 +69,9 @@ def q_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.2), 4) AS p20, round(quantile_cont(o_totalprice, 0.8), 4) AS p80, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY 1""")
 def q_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile("o_totalprice", F.lit(q)), 4)
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(p(0.1).alias("p10"), p(0.2).alias("p20"), p(0.8).alias("p80"), p(0.9).alias("p90"))
+    wanted = {"p10": 0.1, "p20": 0.2, "p80": 0.8, "p90": 0.9}
+    found = quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", wanted)
+    return found.select("o_orderpriority", *[F.round(p, 4).alias(p) for p in wanted])
 
 
 @query("""WITH s AS (SELECT l_returnflag, median(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem GROUP BY 1)

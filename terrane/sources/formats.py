@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.operators.ranks import numbered
+
 _POINT = "struct<lat: double, lon: double>"
 OSM = f"elements array<struct<type: string, id: long, lat: double, lon: double, tags: map<string, string>, geometry: array<{_POINT}>, members: array<struct<type: string, ref: long, role: string, geometry: array<{_POINT}>>>>>"
 
@@ -111,7 +113,7 @@ def read_window(spark: SparkSession, path: str, x: str, z: str, size: float, bou
     return spark.read.parquet(path).where(tiles & (F.col(x) >= x0) & (F.col(x) < x1) & (F.col(z) >= z0) & (F.col(z) < z1))
 
 
-#: Records of the two binary tables: trees, and plants.
+# The fields of the records of two binary formats, trees and plants.
 TREES = [("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("rot", "<f4"), ("sx", "<f4"), ("sy", "<f4"), ("sz", "<f4"), ("r", "<f4"), ("g", "<f4"), ("b", "<f4"), ("proto", "<f4")]
 PLANTS = [("kind", "<i4"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("rot", "<f4"), ("scale", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("aux", "u1")]
 
@@ -142,12 +144,7 @@ def records(spark: SparkSession, path: str, fields: list[tuple[str, str]], heade
 def appended(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
     """``rows`` and, behind them, ``more`` with the keys that follow the greatest one, in the order of its own keys."""
     top = rows.agg(F.coalesce(F.max(key), F.lit(-1)).alias("_top"))  # one row
-    n = int(more.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = more.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a range
-    at = F.row_number().over(Window.partitionBy("_p").orderBy(key)) + F.col("_before") + F.col("_top")
-    placed = ranged.join(before, "_p").crossJoin(F.broadcast(top)).withColumn(key, at)
+    placed = numbered(more, [key]).crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + 1 + F.col("_at"))
     return rows.unionByName(placed.select(*rows.columns))
 
 
@@ -171,7 +168,10 @@ def save_version(state: DataFrame, path: str, version: int) -> None:
 
 
 def restore_latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of the newest version."""
-    every = spark.read.schema(f"{schema}, version long").json(path)
-    newest = every.agg(F.max("version").alias("version"))  # one row; the folders of other versions aren't opened
-    return every.join(F.broadcast(newest), "version").drop("version")
+    """The rows of the newest version: folders are listed, and no other version's files are read."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*")
+    folders = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found) or []
+    versions = [int(f.getPath().getName().partition("=")[2]) for f in folders]
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{path}/version={max(versions)}")

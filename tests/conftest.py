@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from terrane.session import build_session
@@ -5,7 +7,7 @@ from terrane.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", 8)
+    session = build_session("tests", "local[4]", int(os.environ.get("TERRANE_PARTITIONS", "4")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
