@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
+from terrane.operators import scanline
 from terrane.operators import spatial as J
 
 # Least wall height, and heights beyond which to warn and to fail, by kind of building.
@@ -27,6 +28,9 @@ TREE_HEIGHT, TREE_SUNK, TREE_DEPTH, TREE_AXIS, TREE_INSIDE = (-0.6, 0.1), -3.0,
 PLANT_SHARE, PLANT_SHARE_FAIL, PLANT_DEPTH, PLANT_HEIGHT = 0.002, 0.05, 0.2, (-0.3, 0.15)
 FLAT_TRIANGLE, FLAT_SHARE, NORMAL, WALL_GAP, WALL_GAP_FAIL, WALL_DEEP, ROOF_TOP = 1e-6, 0.001, 0.02, 0.15, 0.5, 1.5, 0.6
 
+#: Cells in which edges of a footprint meet, in metres.
+CROSSING_CELL = 4.0
+
 _c = F.col
 
 
@@ -40,15 +44,11 @@ def areas(edges: DataFrame) -> DataFrame:
 
 
 def samples(edges: DataFrame, step: float) -> DataFrame:
-    """id, x, z: points of a grid from each footprint's corner that lie in the footprint; a footprint meets its own points only."""
-    low, high = lambda c: F.min(F.least(f"{c}1", f"{c}2")), lambda c: F.max(F.greatest(f"{c}1", f"{c}2"))
-    bounds = edges.groupBy("id").agg(low("x").alias("x0"), high("x").alias("x9"), low("z").alias("z0"), high("z").alias("z9"))
-    steps = lambda a, b: F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((_c(b) - _c(a)) / step - 0.5).cast("int"), F.lit(1)) - 1))
-    grid = bounds.withColumn("kx", steps("x0", "x9")).withColumn("kz", steps("z0", "z9"))
-    points = grid.select("id", "kx", "kz", (_c("x0") + step / 2 + _c("kx") * step).alias("x"), (_c("z0") + step / 2 + _c("kz") * step).alias("z"))
-    crossing = G.crosses_ray(_c("x"), _c("z"), _c("x1"), _c("z1"), _c("x2"), _c("z2"))
-    inside = points.join(edges, "id").groupBy("id", "kx", "kz", "x", "z").agg(F.sum(crossing.cast("int")).alias("_n")).where("_n % 2 = 1")
-    return inside.select("id", "x", "z")
+    """id, x, z: points of a grid from each footprint's corner that lie in the footprint, row by row between its crossings."""
+    corner = edges.groupBy("id").agg(F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("z1", "z2")).alias("z0"))
+    inner = scanline.runs(edges.join(corner, "id"), "id", step, _c("x0"), _c("z0")).join(corner, "id")
+    points = inner.withColumn("ix", F.explode(F.sequence("from_ix", "to_ix")))
+    return points.select("id", scanline.middle(_c("ix"), _c("x0"), step).alias("x"), scanline.middle(_c("iz"), _c("z0"), step).alias("z"))
 
 
 def road_depths(points: DataFrame, keys: list[str], segments: DataFrame, reach: float) -> DataFrame:
@@ -96,7 +96,7 @@ def roofs(buildings: DataFrame, edges: DataFrame) -> DataFrame:
 def footprints(edges: DataFrame) -> DataFrame:
     """Footprints whose edges cross, and those of under three vertices or two square metres."""
     counted = edges.withColumn("n", F.count("*").over(Window.partitionBy("id")))
-    crossed = J.self_crossings(counted, "id", "i", "n").groupBy("id").agg(F.count("*").alias("_k"))
+    crossed = J.self_crossings(counted, "id", "i", "n", CROSSING_CELL).groupBy("id").agg(F.count("*").alias("_k"))
     small = edges.groupBy("id").agg(F.count("*").alias("_n")).join(areas(edges), "id").where("_n < 3 OR area < 2")
     return crossed.select(*_finding("crossed", F.when(_c("_k") > 2, "FAIL").otherwise("WARN"), _c("_k"))).unionByName(small.select(*_finding("small", F.lit("WARN"), F.lit(1.0))))
 

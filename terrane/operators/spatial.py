@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
+from terrane.operators import scanline
 from terrane.sources.tables import cut_counted, cut_lineage
 
 
@@ -103,16 +104,46 @@ def nearest_segment(points: DataFrame, key: str, edges: DataFrame, edge_key: str
     return pairs.groupBy(key).agg(F.min(F.struct("d", edge_key)).alias("_m")).select(key, F.col(f"_m.{edge_key}").alias(edge_key), F.col("_m.d").alias("d"))
 
 
+# Where cells begin, as shares of their size: no place that data prefer, so that no corner of a cell lies on an edge.
+_OFF_X, _OFF_Z = 0.381966011250105, 0.236067977499790
+
+
 def points_in_polygons(points: DataFrame, key: str, edges: DataFrame, polygon: str, size: float) -> DataFrame:
-    """key and polygon of every point inside a polygon, given by its edges (x1 z1 x2 z2): an odd number of edges crosses the
-    ray to greater x. Points meet by cell: each edge goes to its rows of cells, from the polygon's least x to its own greatest."""
+    """key and polygon of every point inside a polygon, given by its edges (x1 z1 x2 z2): an odd number of edges crosses the ray to greater x.
+
+    Points in cells that no edge touches meet the runs of inner cells. In a cell that edges touch, only these are tested: the way from the
+    point to the cell's right side and along it to the middle of the row crosses them, and from there on the row's crossings are
+    counted. What is handled grows with the borders of polygons and not with their areas.
+    """
     c = F.col
-    least = edges.groupBy(polygon).agg(F.min(F.least("x1", "x2")).alias("_x0"))
-    placed = edges.join(least, polygon).withColumn("_cz", F.explode(F.sequence(_cell(F.least("z1", "z2"), size), _cell(F.greatest("z1", "z2"), size))))
-    placed = placed.withColumn("_cx", F.explode(F.sequence(_cell("_x0", size), _cell(F.greatest("x1", "x2"), size))))
-    met = points.select(key, "x", "z", _cell("x", size).alias("_cx"), _cell("z", size).alias("_cz")).join(placed, ["_cx", "_cz"])
-    crossing = G.crosses_ray(c("x"), c("z"), c("x1"), c("z1"), c("x2"), c("z2"))
-    return met.groupBy(key, polygon).agg(F.sum(crossing.cast("int")).alias("_n")).where("_n % 2 = 1").select(key, polygon)
+    edges, points = _finite(edges, "x1", "z1", "x2", "z2"), _finite(points, "x", "z")
+    x0, z0 = F.lit(_OFF_X * size), F.lit(_OFF_Z * size)
+    cell = lambda v, origin: F.floor((v - origin) / size).cast("long")
+    moved = edges.select(polygon, (c("x1") - x0).alias("x1"), (c("z1") - z0).alias("z1"), (c("x2") - x0).alias("x2"), (c("z2") - z0).alias("z2"), F.struct("x1", "z1", "x2", "z2").alias("_e"))
+    placed = cut_lineage(_segment_cells(moved, size, 0.0).select(polygon, "_cx", "_cz", "_e"), "border")
+    crossed = scanline.crossings(edges, [polygon], size, x0, z0).select(polygon, "_cz", cell(c("_x"), x0).alias("_cx"), F.lit(1).alias("_k"))
+    marks = placed.select(polygon, "_cz", "_cx", F.lit(0).alias("_k")).unionByName(crossed).groupBy(polygon, "_cz", "_cx").agg(F.sum("_k").alias("_k"))
+    along = Window.partitionBy(polygon, "_cz").orderBy(F.desc("_cx"))
+    beyond = F.coalesce(F.sum("_k").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    border = cut_lineage(marks.select(polygon, "_cz", "_cx", beyond.alias("_beyond"), F.lag("_cx").over(along).alias("_next")), "rows")
+    inner = border.where("_beyond % 2 = 1 AND _next > _cx + 1").select(polygon, "_cz", (c("_cx") + 1).alias("from_ix"), (c("_next") - 1).alias("to_ix"))
+    pieces = cut_lineage(scanline.aligned(inner).select(polygon, "_cz", "_level", "_index"), "inner")
+
+    keyed = points.select(key, "x", "z", cell(c("x"), x0).alias("_cx"), cell(c("z"), z0).alias("_cz"))
+    levels = pieces.agg(F.array_sort(F.collect_set("_level")).alias("_levels"))  # one row, of 60 levels at most
+    asked = keyed.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels"))
+    whole = asked.withColumn("_index", F.floor(c("_cx") / F.pow(F.lit(2.0), c("_level"))).cast("long")).join(pieces, ["_cz", "_level", "_index"]).select(key, polygon)
+
+    side, middle = x0 + (c("_cx") + 1) * size, scanline.middle(c("_cz"), z0, size)
+    e = {n: c(f"_e.{n}") for n in ("x1", "z1", "x2", "z2")}
+    over = (e["z1"] > c("z")) != (e["z2"] > c("z"))
+    x = (e["x2"] - e["x1"]) * (c("z") - e["z1"]) / F.when(over, e["z2"] - e["z1"]) + e["x1"]
+    aside = (e["x1"] > side) != (e["x2"] > side)
+    z = (e["z2"] - e["z1"]) * (side - e["x1"]) / F.when(aside, e["x2"] - e["x1"]) + e["z1"]
+    steps = F.coalesce((over & (c("x") < x) & (x <= side)).cast("int"), F.lit(0)) + F.coalesce((aside & ((z > c("z")) != (z > middle))).cast("int"), F.lit(0))
+    near = keyed.join(placed, ["_cx", "_cz"]).groupBy(key, polygon, "_cx", "_cz").agg(F.sum(steps).alias("_n"), F.count("*").alias("_edges"))
+    own = near.join(border.select(polygon, "_cz", "_cx", "_beyond"), [polygon, "_cz", "_cx"]).where("(_n + _beyond) % 2 = 1").select(key, polygon)
+    return whole.unionByName(own)
 
 
 def overlapping_boxes(boxes: DataFrame, key: str, size: float) -> DataFrame:
@@ -157,13 +188,14 @@ def meeting_polygons(edges: DataFrame, polygon: str, i: str, size: float) -> Dat
     return pairs.unionByName(inside.select(F.least("_p", polygon).alias("a"), F.greatest("_p", polygon).alias("b"))).distinct()
 
 
-def self_crossings(edges: DataFrame, ring: str, i: str, n: str) -> DataFrame:
-    """Pairs of edges of a ring (numbered from 0, n in all) that cross and aren't neighbours."""
+def self_crossings(edges: DataFrame, ring: str, i: str, n: str, size: float) -> DataFrame:
+    """Pairs of edges of a ring (numbered from 0, n in all) that cross and aren't neighbours; edges meet by cells of ``size``."""
     names = (i, "x1", "z1", "x2", "z2")
-    a = edges.select(ring, n, *[F.col(x).alias(f"a_{x}") for x in names])
-    b = edges.select(ring, *[F.col(x).alias(f"b_{x}") for x in names])
+    placed = _segment_cells(edges.select(ring, n, *names), size, 0.0)
+    a = placed.select(ring, n, "_cx", "_cz", *[F.col(x).alias(f"a_{x}") for x in names])
+    b = placed.select(ring, "_cx", "_cz", *[F.col(x).alias(f"b_{x}") for x in names])
     apart = (F.col(f"a_{i}") + 2 <= F.col(f"b_{i}")) & ~((F.col(f"a_{i}") == 0) & (F.col(f"b_{i}") == F.col(n) - 1))
-    return a.join(b, ring).where(apart & G.segments_cross("a_", "b_")).select(ring, F.col(f"a_{i}").alias("i"), F.col(f"b_{i}").alias("j"))
+    return a.join(b, [ring, "_cx", "_cz"]).where(apart & G.segments_cross("a_", "b_")).select(ring, F.col(f"a_{i}").alias("i"), F.col(f"b_{i}").alias("j")).distinct()
 
 
 def densified(edges: DataFrame, step: float) -> DataFrame:

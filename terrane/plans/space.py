@@ -90,7 +90,7 @@ def q_nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
   (b.x2-b.x1)*(a.z1-b.z1)-(b.z2-b.z1)*(a.x1-b.x1) AS o3, (b.x2-b.x1)*(a.z2-b.z1)-(b.z2-b.z1)*(a.x2-b.x1) AS o4
   FROM edges a JOIN edges b ON a.poly = b.poly AND a.i + 2 <= b.i AND NOT (a.i = 0 AND b.i = a.n - 1)) SELECT poly, i, j FROM c WHERE o1 * o2 < 0 AND o3 * o4 < 0""")
 def q_self_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.self_crossings(edges(spark), "poly", "i", "n")
+    return J.self_crossings(edges(spark), "poly", "i", "n", 0.05)
 
 
 @query(f"WITH {EDGES_SQL} SELECT poly, round(sum(x1 * z2 - x2 * z1) / 2, 9) AS area FROM edges GROUP BY 1")
