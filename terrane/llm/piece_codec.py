@@ -4,9 +4,10 @@ A text, normalised by the model's own rules, is a sequence of symbols, its chara
 vocabulary, the highest score first, then the leftmost; the pair on top becomes one symbol, and its pairs with the neighbours join the
 agenda, until it is empty. Symbols without a piece of their own become bytes, where the model has pieces for bytes.
 
-No piece crosses the begin of a run of spaces if none in the vocabulary holds a space behind another character. Texts are then parted there, and
-segments, which repeat, go through the agenda once for each worker, in which memory they are bounded. With any other vocabulary
-the whole text is one segment. Each Arrow batch is encoded and decoded by the sentencepiece library as well, and a difference is an error.
+Characters that no chain of pieces links are never in one symbol, so a text falls into stretches: spaces, then characters of one such class (if
+no piece holds a space behind another character; else a text is one stretch). The agenda of one can't change another's, and as stretches
+repeat, each goes through it once for each worker, whose memory of them is bounded. Each Arrow batch is encoded and decoded by the
+sentencepiece library as well, and a difference is an error.
 
 Cases: null and empty texts have no ids and decode to the empty text. Texts of any length are encoded whole; ``▁`` in a text decodes to a space, as
 with the library. Repeated rows and rows without id are encoded each for itself. An empty table gives no rows. Other columns than the two named are
@@ -16,18 +17,20 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import functools
-import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Segments whose ids a worker keeps, and the longest such segment.
-CACHE_SEGMENTS, CACHE_CHARS = 400_000, 40
+#: Stretches whose ids a worker keeps (some 130 MB), and the longest such one.
+CACHE_STRETCHES, CACHE_CHARS = 900_000, 40
 
 # Kinds of pieces in the model's file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -95,41 +98,66 @@ class Pieces:
         self.surface[self.unknown] = spec.get(44, b" \xe2\x81\x87 ").decode()
         self.prefixed = bool(rules.get(3, 1) or rules.get(4, 1))
         self.squeezed = bool(rules.get(4, 1))
-        crossing = any(SPACE in name.lstrip(SPACE) for name in self.ids)
-        self.parted = None if crossing else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.known: dict[str, list[int]] = {}
-
-    def merged(self, segment: str) -> list[str]:
+        self.parted = self._pattern()
+        self.known: dict[str, bytes] = {}
+
+    def _pattern(self) -> re.Pattern | None:
+        """What stretches look like: the classes of characters are the components of those that some piece holds side by side."""
+        if any(SPACE in name.lstrip(SPACE) for name in self.ids):
+            return None
+        of: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while of.setdefault(c, c) != c:
+                of[c] = of[of[c]]
+                c = of[c]
+            return c
+
+        for name in self.ids:
+            for a, b in pairwise(name.lstrip(SPACE)):
+                of[root(a)] = root(b)
+        classes: dict[str, list[str]] = {}
+        for c in of:
+            classes.setdefault(root(c), []).append(re.escape(c))
+        largest = sorted(classes.values(), key=len, reverse=True)
+        return re.compile(f"{SPACE}*(?:{''.join(f'[{"".join(c)}]+|' for c in largest)}[^{SPACE}])|{SPACE}+")
+
+    def merged(self, stretch: str) -> list[str]:
         """The symbols that are left when no adjacent pair is a piece."""
-        symbols: list[str] = list(segment)
-        left, right = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-        agenda: list[tuple[float, int, str]] = []
-
-        def offer(at: int) -> None:
-            """The pair of the symbol at ``at`` and the next."""
-            pair = symbols[at] + symbols[right[at]]
-            if pair in self.rank:
-                heapq.heappush(agenda, (self.rank[pair], at, pair))
-
-        for at in range(len(symbols) - 1):
-            offer(at)
+        symbols: list[str] = list(stretch)
+        end, rank = len(symbols), self.rank.get
+        pairs = map(str.__add__, symbols, symbols[1:])
+        agenda = [(first, at, pair) for at, pair in enumerate(pairs) if (first := rank(pair)) is not None]
+        if not agenda:
+            return symbols
+        heapify(agenda)
+        left, right = list(range(-1, end - 1)), list(range(1, end + 1))
         while agenda:
-            _, at, pair = heapq.heappop(agenda)
+            _, at, pair = heappop(agenda)
             after = right[at]
-            if not symbols[at] or after >= len(symbols) or symbols[at] + symbols[after] != pair:
+            if after >= end or symbols[at] + symbols[after] != pair or not symbols[at]:
                 continue  # one of the two went into another symbol
             symbols[at], symbols[after] = pair, ""
-            right[at] = right[after]
-            if right[at] < len(symbols):
-                left[right[at]] = at
-                offer(at)
-            if left[at] >= 0:
-                offer(left[at])
+            before, right[at] = left[at], right[after]
+            after = right[at]
+            if after < end:
+                left[after] = at
+                wider = pair + symbols[after]
+                if (first := rank(wider)) is not None:
+                    heappush(agenda, (first, at, wider))
+            if before >= 0:
+                wider = symbols[before] + pair
+                if (first := rank(wider)) is not None:
+                    heappush(agenda, (first, before, wider))
         return [s for s in symbols if s]
 
-    def _ids(self, segment: str) -> list[int]:
-        out: list[int] = []
-        for symbol in self.merged(segment):
+    def _ids(self, stretch: str) -> list[int]:
+        symbols = self.merged(stretch)
+        try:
+            return [self.ids[s] for s in symbols]
+        except KeyError:
+            out: list[int] = []
+        for symbol in symbols:
             known = self.single.get(symbol, self.unknown)
             if known == self.unknown and self.bytes:
                 out += [self.bytes[b] for b in symbol.encode()]
@@ -137,19 +165,28 @@ class Pieces:
                 out.append(known)
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encoded(self, text: str) -> bytes:
+        """The ids as 32-bit integers."""
         normal = self.library.normalize(text)
-        segments = self.parted.findall(normal) if self.parted else [normal] if normal else []
+        stretches = self.parted.findall(normal) if self.parted else [normal] if normal else []
         known, long = self.known, {}
-        for segment in set(segments).difference(known):
-            (known if len(segment) <= CACHE_CHARS else long)[segment] = self._ids(segment)
-        ids = list(chain.from_iterable((known.get(s) or long[s] for s in segments) if long else map(known.__getitem__, segments)))
-        if len(known) > CACHE_SEGMENTS:  # the segments met first are mostly frequent ones
-            for segment in list(known)[CACHE_SEGMENTS // 2 :]:
-                del known[segment]
-        return ids
+        for stretch in set(stretches).difference(known):
+            (known if len(stretch) <= CACHE_CHARS else long)[stretch] = array("i", self._ids(stretch)).tobytes()
+        out = b"".join([known.get(s) or long[s] for s in stretches] if long else map(known.__getitem__, stretches))
+        if len(known) > CACHE_STRETCHES:  # those met first are mostly frequent ones
+            for stretch in list(known)[CACHE_STRETCHES // 2 :]:
+                del known[stretch]
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
+        if ids and self.kinds[ids[0]] == NORMAL and not self.squeezed:
+            try:  # no bytes among them
+                return "".join(map(self.surface.__getitem__, ids)).removeprefix(" " if self.prefixed else "")
+            except TypeError:
+                pass
         out: list[str] = []
         begun = stripped = False
         raw = bytearray()
@@ -211,8 +248,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         model = _model(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = _checked("encoding", [model.encode(t) for t in texts], model.library.encode(texts, num_threads=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
+            raw = [model.encoded(t) for t in texts]
+            want = model.library.encode(texts, num_threads=1)
+            ids = np.frombuffer(b"".join(raw), np.int32)
+            ends = np.cumsum([0, *map(len, raw)]) // ids.itemsize
+            if len(ids) != sum(map(len, want)) or (ids != np.fromiter(chain.from_iterable(want), np.int32, len(ids))).any():
+                _checked("encoding", [ids[a:b].tolist() for a, b in pairwise(ends)], want)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], [key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
@@ -223,7 +265,8 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
-            rows = [i or [] for i in batch.column(1).to_pylist()]
+            flat, ends = batch.column(1).values.to_numpy(), np.asarray(batch.column(1).offsets)
+            rows = [flat[a:b].tolist() for a, b in pairwise(ends)]
             texts = _checked("decoding", [model.decode(i) for i in rows], model.library.decode(rows, num_threads=1) if rows else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [key, "ids", "text"])
 

@@ -45,7 +45,7 @@ def test_equals_the_library(model):
     for text in texts:
         assert model.encode(text) == model.library.encode(text), repr(text)
     whole = piece_codec.Pieces(PATH)
-    whole.parted = None  # the whole text is one segment
+    whole.parted = None  # the whole text is one stretch
     for text in texts[:600]:
         assert whole.encode(text) == model.library.encode(text), repr(text)
 
@@ -69,8 +69,8 @@ def test_frames(spark, model):
     assert piece_codec.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), PATH).first()["text"] == ""
 
 
-def test_the_memory_of_segments_is_bounded(monkeypatch, model):
-    monkeypatch.setattr(piece_codec, "CACHE_SEGMENTS", 50)
+def test_the_memory_of_stretches_is_bounded(monkeypatch, model):
+    monkeypatch.setattr(piece_codec, "CACHE_STRETCHES", 50)
     small = piece_codec.Pieces(PATH)
     for text in texts_of(5, 200):
         assert small.encode(text) == model.library.encode(text)
