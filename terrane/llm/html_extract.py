@@ -12,11 +12,10 @@ whose neighbours are all near copies keeps its lines.
 Structure breaks ties, as sites repeat passages of their articles and change their adverts from page to page:
 
 * a page without an ``article`` or ``main`` element is judged by differencing alone;
-* lines in an ``article`` (else ``main``) element that only the nearest page shares stay; those that open or close the article go where each of at
-  least ``LEAST`` neighbours shares them in its alignment (a line of links to share, a note on the newsletter);
+* lines in an ``article`` (else ``main``) element stay, whoever shares them;
 * lines outside it go, as do navigation, headers, footers, asides, forms, adverts, notices and reader comments (by element, role, class
-  or id). Within an article only whole names mark these, elsewhere also names all of whose parts do (``site-footer``, but not
-  ``tag-social``); headings and the article itself are never marked.
+  or id): names that hold such a word, and beside it only parts that say no more (``site-footer`` and ``ad-slot-3``, but not ``tag-social``);
+  within an article fewer words mark. Headings and the article itself are never marked.
 
 Only URLs and line hashes are sorted to find neighbours: by range over all pages, so that a large host is spread over many tasks; runs are
 numbered throughout. Pages then stream past the first pages of the runs around them, in blocks of ``BLOCK`` runs, which are
@@ -33,7 +32,6 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from html import unescape
-from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +66,7 @@ _PARTS = frozenset(
     "nav outer page panel post posts primary right row section secondary signup site slot top unit widget widgets wrap wrapper".split()
 )
 _COMMENTS = frozenset("comment comments disqus".split())
-# Whole names that mark an advert, a notice or a comment block within an article, and for classes, shares and navigation.
+# Words that mark an advert, a notice or a comment block within an article, and for classes, shares and navigation.
 _BLOCKS = _COMMENTS | frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner cookie cookies consent gdpr newsletter notice popup promo promoted sponsor sponsored subscribe".split()
 )
@@ -84,7 +82,7 @@ _ENDS = {x: [_PARAGRAPH] for x in "address article aside blockquote center detai
 _ENDS |= {"li": [_PARAGRAPH, _LIST], "dt": [_PARAGRAPH, _TERM], "dd": [_PARAGRAPH, _TERM], "td": [_CELL], "th": [_CELL], "tr": [_ROW], "thead": [_ROWS], "tbody": [_ROWS], "tfoot": [_ROWS]}
 
 INSIDE, OUTSIDE, DROPPED = 1, 0, -1
-NEIGHBOURS, COPY, LEAST = 6, 0.8, 5
+NEIGHBOURS, COPY = 6, 0.8
 #: Runs in a block, and about the most pages of a block that one task takes.
 BLOCK, PAGES = 2000, 20_000
 
@@ -108,7 +106,7 @@ def _marked(element: str, attributes: str, within: bool) -> bool:
     if element in _UNMARKED:
         return False
     if within:
-        return any(n in _LANDMARKS if k == "role" else n in _BLOCKS or k == "class" and n in _BARS for k, n in _names(attributes) if k != "aria-label")
+        return any(n in _LANDMARKS if k == "role" else _says(n, _BLOCKS) or k == "class" and _says(n, _BARS) for k, n in _names(attributes) if k != "aria-label")
     return any(_says(n, _MARKS) for _, n in _names(attributes))
 
 
@@ -340,31 +338,13 @@ def _around(own: list, reps: list[tuple]) -> list[tuple[int, str, list, list]]:
     return [m for m in met if len(m[3]) <= most]
 
 
-def _edges(zones: bytes) -> list[list[int]]:
-    """Line numbers of the article from its begin, and from its end."""
-    inside = [i for i, z in enumerate(zones) if z == INSIDE + 1]
-    return [inside, inside[::-1]]
-
-
 def gone_lines(path: str, own: list, zones: bytes, reps: list[tuple]) -> list[int]:
     """Numbers of the lines that differencing deletes; ``reps``: offset of the run, path and lines of each neighbour, the nearest first."""
-    open_page = OUTSIDE + 1 in zones
-    others = [set(r[2]) for r in reps if r[2] != own]
-    edges = [e for e in _edges(zones) if e and len(others) >= LEAST and all(own[e[0]] in o for o in others)]
-    if not open_page and not edges:
-        return []
-    near = _around(own, reps)
+    near = _around(own, reps) if OUTSIDE + 1 in zones else []
     if not near:
         return []
-    gone: set[int] = set()
-    if open_page:  # of those as near the closest in path order, the one before first
-        shared = max(near, key=lambda n: _common(path, n[1]))[3]
-        gone.update(i for i in shared if zones[i] == OUTSIDE + 1)
-    if len(near) >= LEAST:
-        every = set.intersection(*(set(n[3]) for n in near))
-        for edge in edges:
-            gone.update(takewhile(every.__contains__, edge))
-    return sorted(gone)
+    shared = max(near, key=lambda n: _common(path, n[1]))[3]  # of those as near the closest in path order, the one before first
+    return [i for i in shared if zones[i] == OUTSIDE + 1]
 
 
 _BLOCKED = "block long, salt int, at long, kind int, run long, key binary, host string, path string, lines array<long>, zones binary"

@@ -6,15 +6,14 @@ language span the feature space: phi(x) = W^(-1/2) k(x). One ridge regression a
 scored by matrix products of its presence matrix, the landmarks' presence matrix and the weights.
 
 Training takes a bounded sample: at most ``TRAIN_PER_LANG`` documents a language, those of the smallest hashes of doc_id, and ``TRAIN_ROWS`` in all,
-which many languages share evenly. Of more than ``MAX_LANGS`` languages the most frequent are learned.
+which many languages share evenly; every language has one at least, and so have landmarks, of which there are ``LANDMARKS_IN_ALL``.
 
-Cases: null texts and texts without a letter are ``und`` with score 0. Null languages teach nothing. Without any language to
+Cases: null texts and texts without a letter (number signs are none) are ``und`` with score 0. Null languages teach nothing. Without any language to
 learn, everything is ``und``. Repeated rows score alike.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +25,13 @@ from terrane.llm.quality import held_out
 
 SLOTS = 1 << 18
 MAX_N = 4
-TRAIN_PER_LANG, TRAIN_ROWS, MAX_LANGS = 250, 10_000, 400
-LANDMARKS = 40
+#: Rows that are learnt from, and landmarks: of a language, and in all (but one a language at least).
+TRAIN_PER_LANG, TRAIN_ROWS = 250, 10_000
+LANDMARKS, LANDMARKS_IN_ALL = 40, 4000
 RIDGE = 1e-3
 #: Characters taken at a time, and texts whose presences are held at a time.
 PIECE, BLOCK = 1 << 20, 64
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def ngrams(text: str) -> np.ndarray:
     """The set G: sorted slots of the n-grams that occur in the text."""
@@ -57,7 +55,11 @@ class KernelRidge:
     @classmethod
     def train(cls, sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelRidge:
         names = sorted(set(langs))
-        picked = [i for name in names for i in [j for j, x in enumerate(langs) if x == name][:landmarks]]
+        landmarks = max(1, min(landmarks, LANDMARKS_IN_ALL // len(names)))
+        rows = {name: [] for name in names}
+        for i, name in enumerate(langs):
+            rows[name].append(i)
+        picked = [i for name in names for i in rows[name][:landmarks]]
         used = np.unique(np.concatenate([sets[i] for i in picked]))
         slot = np.full(SLOTS, -1, np.int32)
         slot[used] = np.arange(len(used))
@@ -69,7 +71,7 @@ class KernelRidge:
         root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
         phi = kernel @ root
         target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-        size = np.array([langs.count(x) for x in langs], float)
+        size = np.array([len(rows[x]) for x in langs], float)
         phi_w = phi / size[:, None]
         beta = np.linalg.solve(phi.T @ phi_w + ridge * np.eye(len(picked)), phi_w.T @ target)
         return cls(names, slot, (marks @ (root @ beta)).astype(np.float32))
@@ -95,10 +97,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> KernelRidge | None
     """Fit on at most ``per_lang`` rows a language that aren't held out."""
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        known = known.where(F.col("lang").isin(langs[:MAX_LANGS]))
-    per_lang = max(1, min(per_lang, TRAIN_ROWS // max(1, min(len(langs), MAX_LANGS))))
+    per_lang = max(1, min(per_lang, TRAIN_ROWS // max(1, known.select("lang").distinct().count())))
     chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_lang)
     chosen = chosen.groupBy("doc_id", "lang").agg(F.min("r").alias("r"))
     texts = known.select("doc_id", "lang", "text").where("text IS NOT NULL").join(F.broadcast(chosen), ["doc_id", "lang"])  # per_lang rows a language
@@ -119,7 +118,7 @@ def predict_column(model: KernelRidge | None, spark):
         for batch in batches:
             lang, score = ["und"] * len(batch), np.zeros(len(batch))
             texts = batch.to_pylist()
-            rows = [i for i, x in enumerate(texts) if model and x and _LETTER.search(x)]
+            rows = [i for i, x in enumerate(texts) if model and x and any(map(str.isalpha, x))]
             for begin in range(0, len(rows), BLOCK):
                 own = rows[begin : begin + BLOCK]
                 got = model.scores([ngrams(texts[i]) for i in own])

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from terrane.llm import html_extract as H
@@ -101,6 +103,27 @@ def test_articles_stay_where_neighbours_repeat_them(spark):
     assert {r["text"] for r in got} == {f"the same passage\nown {k}" for k in range(4)}
 
 
+def test_what_opens_and_closes_articles_stays(spark):
+    rows = [(k, f"http://h.example/{k}", f"<article><h1>Chapter notes</h1><p>unique text {k}</p><p>more {7 * k}</p><p>The end.</p></article>") for k in range(12)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["page_id"], r["text"]) for r in got} == {(k, f"Chapter notes\nunique text {k}\nmore {7 * k}\nThe end.") for k in range(12)}
+
+
+@pytest.mark.parametrize("name", ["ad-slot-3", "ad-container", "cookie-notice", "comment-list", "newsletter-signup", "sponsored_content"])
+def test_marked_blocks_go_within_articles(name):
+    for kind in ("id", "class"):
+        lines, zones = H.lines_of(f"<article><p>A</p><div {kind}='{name}'>Buy now</div><p class='tag-social related-work comment-worthy adverse'>B</p></article>")
+        assert [x for x, zone in zip(lines, zones) if zone == H.INSIDE] == ["A", "B"]
+    lines, zones = H.lines_of("<article><div class='share-buttons'>Share</div><p id='share'>C</p></article>")
+    assert [x for x, zone in zip(lines, zones) if zone == H.INSIDE] == ["C"]
+
+
+def test_a_very_long_page(spark):
+    rows = [(k, f"http://h.example/{k}", "<div>Menu</div>" + "".join(f"<p>line {k} {i}</p>" for i in range(60_000)) + "<div>Imprint</div>") for k in range(2)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n".join(f"line {k} {i}" for i in range(60_000)) for k in range(2)}
+
+
 def sites(n_hosts=4, n_pages=12):
     """Pages with known main texts: templates without marks, with and without an article element, passages that a site repeats, copies."""
     rng = random.Random(8)
@@ -115,7 +138,7 @@ def sites(n_hosts=4, n_pages=12):
                 body.insert(1, quote)  # a passage that some pages of the site repeat
             lines = "".join(f"<p>{x}</p>" for x in body)
             if h % 2:
-                share = "<div>Share this page</div>", "<div>Read our letter</div>"
+                share = "<div class='share-buttons'>Share this page</div>", "<div id='newsletter-signup'>Read our letter</div>"
                 page = "".join(f"<div>{x}</div>" for x in menu) + f"<article>{share[0]}{lines}{share[1]}</article><div>advert {some(3)}</div>" + "".join(f"<div>{x}</div>" for x in foot)
                 own = body
             else:

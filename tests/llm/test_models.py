@@ -80,12 +80,12 @@ def test_very_long_texts_have_the_same_features_in_pieces():
 
 def test_language_cases(spark):
     rows = [(k, ("der hund und die katze " if k % 2 else "the dog and the cat ") * (1 + k % 3) + str(k), "de" if k % 2 else "en") for k in range(60)]
-    rows += [(100, None, "de"), (101, "", "en"), (102, "123 --- 456", "en"), (103, "the dog", None), (103, "the dog", None), (None, "die katze", "de")]
+    rows += [(100, None, "de"), (101, "", "en"), (102, "123 --- 456", "en"), (104, "½ ² 34", "en"), (105, "Ⅳ ① ٣", "de"), (103, "the dog", None), (103, "the dog", None), (None, "die katze", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit(0))
     got = langid.identify(docs).select("doc_id", "lang_pred", "score").collect()
     assert len(got) == len(rows)
     lang = {r["doc_id"]: r["lang_pred"] for r in got}
-    assert lang[100] == lang[101] == lang[102] == "und" and lang[103] == "en" and lang[None] == "de"
+    assert lang[100] == lang[101] == lang[102] == lang[104] == lang[105] == "und" and lang[103] == "en" and lang[None] == "de"
     assert all(0 <= r["score"] <= 1 for r in got)
     assert all(lang[k] == ("de" if k % 2 else "en") for k in range(60))
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
@@ -99,10 +99,10 @@ def test_kernel_of_presences():
 
 def test_many_languages_share_a_bounded_sample(spark, monkeypatch):
     monkeypatch.setattr(langid, "TRAIN_ROWS", 12)
-    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    monkeypatch.setattr(langid, "LANDMARKS_IN_ALL", 3)
     rows = [(10 * k + i, f"{w} " * 9 + str(i), f"l{k}") for k, w in enumerate(("abc", "def", "ghi", "jkl")) for i in range(10 + (k < 3))]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.langs == ["l0", "l1", "l2"]
+    assert model.langs == ["l0", "l1", "l2", "l3"]
 
 
 def test_very_long_texts_of_a_language(spark):
