@@ -14,6 +14,7 @@ from terrane.operators import raster as R
 from terrane.operators import sequences as Q
 from terrane.operators import spatial as J
 from terrane.operators import stats as A
+from terrane.operators.distance import transformed
 from terrane.operators.ranks import quantiles
 from terrane.plans.models import HULL_SQL
 from terrane.plans.registry import Registry
@@ -195,10 +196,8 @@ def q_nearest_segment_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT ix, iz, wx, wz, round(d, 9) AS d, round(hand, 6) AS hand FROM n WHERE r = 1""")
 def q_nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grid(spark, sf_dir)
-    at = lambda df, name: df.select(F.struct(F.col("ix").alias(f"{name}x"), F.col("iz").alias(f"{name}z")).alias(name), F.col("ix").cast("double").alias("x"), F.col("iz").cast("double").alias("z"))
-    water = cells.where("ix % 9 = 4 AND iz % 7 < 2")
-    near = J.nearest(at(cells, "c"), "c", at(water, "w"), "w", 2.0).select(F.col("c.cx").alias("ix"), F.col("c.cz").alias("iz"), "w.wx", "w.wz", "d")
-    met = near.join(cells, ["ix", "iz"]).join(water.select(F.col("ix").alias("wx"), F.col("iz").alias("wz"), F.col("v").alias("_w")), ["wx", "wz"])
+    near = transformed(cells.withColumn("water", F.expr("ix % 9 = 4 AND iz % 7 < 2")), "water").select("ix", "iz", F.col("nx").alias("wx"), F.col("nz").alias("wz"), F.sqrt("square").alias("d"))
+    met = near.join(cells, ["ix", "iz"]).join(cells.select(F.col("ix").alias("wx"), F.col("iz").alias("wz"), F.col("v").alias("_w")), ["wx", "wz"])
     return met.select("ix", "iz", "wx", "wz", F.round("d", 9).alias("d"), F.round(F.col("v") - F.col("_w"), 6).alias("hand"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
 from terrane.functions import scalars as S
+from terrane.operators import quadtree
 from terrane.operators import raster as R
 from terrane.operators import spatial as J
 from terrane.plans.registry import Registry
@@ -61,7 +62,14 @@ SELECT vec_id, near, round(d, 7) AS d FROM (SELECT *, row_number() OVER (PARTITI
 def q_nearest_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = plane(spark, sf_dir)
     centroids = points.groupBy(F.col("label").alias("near")).agg(F.avg("x").alias("x"), F.avg("z").alias("z"))
-    return J.nearest(points, "vec_id", centroids, "near", 0.05).select("vec_id", "near", F.round("d", 7).alias("d"))
+    return quadtree.nearest(points, "vec_id", centroids, "near").select("vec_id", "near", F.round("d", 7).alias("d"))
+
+
+@query(f"""WITH {PLANE}, p AS (SELECT a.vec_id, b.vec_id AS other, {DIST} AS d FROM plane a JOIN plane b ON a.vec_id <> b.vec_id)
+SELECT vec_id, other, CAST(r AS INTEGER) AS rank, round(d, 9) AS d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS r FROM p) WHERE r <= 4""")
+def q_knn4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = plane(spark, sf_dir)
+    return quadtree.nearest(points, "vec_id", points.withColumnRenamed("vec_id", "other"), "other", 4, apart=True).withColumn("d", F.round("d", 9))
 
 
 @query(f"""WITH {PLANE}, b AS (SELECT label, vec_id % 5 AS part, min(x) x0, max(x) x1, min(z) z0, max(z) z1 FROM plane GROUP BY 1, 2), k AS (SELECT *, label * 5 + part AS id FROM b)
