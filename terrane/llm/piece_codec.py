@@ -31,6 +31,12 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: Stretches whose ids a worker keeps (some 130 MB), and the longest such one.
 CACHE_STRETCHES, CACHE_CHARS = 900_000, 40
+#: Stretches that are merged together.
+TOGETHER = 4096
+
+#: Bits of a symbol, and of a place in a text, in the numbers of the agenda.
+BITS, PLACES = 21, 34
+SYMBOL, PLACE = (1 << BITS) - 1, (1 << PLACES) - 1
 
 # Kinds of pieces in the model's file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -85,19 +91,28 @@ class Pieces:
         self.kinds = [row.get(3, NORMAL) for row in rows]
         if {USER_DEFINED, UNUSED} & set(self.kinds):
             raise ValueError(f"{path} has pieces that users defined or that are unused")
-        scores = [struct.unpack("<f", row[2])[0] if 2 in row else 0.0 for row in rows]
+        self.scores = [struct.unpack("<f", row[2])[0] if 2 in row else 0.0 for row in rows]
         self.ids = {name: i for i, (name, kind) in enumerate(zip(self.names, self.kinds)) if kind == NORMAL}
-        self.rank = {name: -scores[i] for name, i in self.ids.items()}
-        reserved = {name: i for i, (name, kind) in enumerate(zip(self.names, self.kinds)) if kind != NORMAL}
-        self.single = self.ids | reserved
+        self.reserved = {name: i for i, (name, kind) in enumerate(zip(self.names, self.kinds)) if kind != NORMAL}
+        self.linked = self._linked()
+        # The same as arrays, with an entry for pairs that make no piece at the end.
+        self.link_keys = np.array(sorted(self.linked), np.int64)
+        made = np.array([self.linked[k] for k in self.link_keys.tolist()], np.int64)
+        self.link_ranks, self.link_symbols = np.append(made >> BITS, len(self.ranks)), np.append(made & SYMBOL, -1)
+        self.of_point = np.arange(0x110000, dtype=np.int64) + len(self.names)
+        for name, i in self.ids.items():
+            if len(name) == 1:
+                self.of_point[ord(name)] = i
         self.unknown = self.kinds.index(UNKNOWN)
-        self.bytes = [reserved[f"<0x{b:02X}>"] for b in range(256)] if BYTE in self.kinds else None
+        self.bytes = [self.reserved[f"<0x{b:02X}>"] for b in range(256)] if BYTE in self.kinds else None
         self.byte_of = {i: b for b, i in enumerate(self.bytes or [])}
         #: Decoded pieces; None for bytes.
         self.surface = [None if k == BYTE else "" if k == CONTROL else n.replace(SPACE, " ") for n, k in zip(self.names, self.kinds)]
         self.surface[self.unknown] = spec.get(44, b" \xe2\x81\x87 ").decode()
         self.prefixed = bool(rules.get(3, 1) or rules.get(4, 1))
         self.squeezed = bool(rules.get(4, 1))
+        self.plain = not rules.get(2) and not self.squeezed
+        self.prefix = SPACE if rules.get(3, 1) else ""
         self.parted = self._pattern()
         self.known: dict[str, bytes] = {}
 
@@ -122,64 +137,125 @@ class Pieces:
         largest = sorted(classes.values(), key=len, reverse=True)
         return re.compile(f"{SPACE}*(?:{''.join(f'[{"".join(c)}]+|' for c in largest)}[^{SPACE}])|{SPACE}+")
 
-    def merged(self, stretch: str) -> list[str]:
+    def _linked(self) -> dict[int, int]:
+        """For each pair of symbols that make a piece, the piece's rank and its symbol in one number. Symbols are ids of pieces, and beyond them
+        code points of characters that are none."""
+        self.ranks = ranks = {score: k for k, score in enumerate(sorted({-self.scores[i] for i in self.ids.values()}))}
+        out = {}
+        for name, i in self.ids.items():
+            for cut in range(1, len(name)):
+                a, b = self._symbol(name[:cut]), self._symbol(name[cut:])
+                if a is not None and b is not None:
+                    out[a << BITS | b] = ranks[-self.scores[i]] << BITS | i
+        return out
+
+    def _symbol(self, part: str) -> int | None:
+        return self.ids.get(part, len(self.names) + ord(part) if len(part) == 1 else None)
+
+    def merged(self, stretch: str) -> list[int]:
         """The symbols that are left when no adjacent pair is a piece."""
-        symbols: list[str] = list(stretch)
-        end, rank = len(symbols), self.rank.get
-        pairs = map(str.__add__, symbols, symbols[1:])
-        agenda = [(first, at, pair) for at, pair in enumerate(pairs) if (first := rank(pair)) is not None]
+        one, link, beyond = self.ids.get, self.linked.get, len(self.names)
+        symbols = [beyond + ord(c) if (i := one(c)) is None else i for c in stretch]
+        end = len(symbols)
+        # Rank, place and symbol of a pair in one number, so that the least comes first.
+        agenda = [(made >> BITS) << PLACES + BITS | at << BITS | made & SYMBOL for at in range(end - 1) if (made := link(symbols[at] << BITS | symbols[at + 1])) is not None]
         if not agenda:
             return symbols
         heapify(agenda)
         left, right = list(range(-1, end - 1)), list(range(1, end + 1))
         while agenda:
-            _, at, pair = heappop(agenda)
+            first = heappop(agenda)
+            at, symbol = first >> BITS & PLACE, first & SYMBOL
             after = right[at]
-            if after >= end or symbols[at] + symbols[after] != pair or not symbols[at]:
+            if after >= end or (made := link(symbols[at] << BITS | symbols[after])) is None or made & SYMBOL != symbol:
                 continue  # one of the two went into another symbol
-            symbols[at], symbols[after] = pair, ""
+            symbols[at], symbols[after] = symbol, -1
             before, right[at] = left[at], right[after]
             after = right[at]
             if after < end:
                 left[after] = at
-                wider = pair + symbols[after]
-                if (first := rank(wider)) is not None:
-                    heappush(agenda, (first, at, wider))
-            if before >= 0:
-                wider = symbols[before] + pair
-                if (first := rank(wider)) is not None:
-                    heappush(agenda, (first, before, wider))
-        return [s for s in symbols if s]
-
-    def _ids(self, stretch: str) -> list[int]:
-        symbols = self.merged(stretch)
-        try:
-            return [self.ids[s] for s in symbols]
-        except KeyError:
-            out: list[int] = []
+                if (made := link(symbol << BITS | symbols[after])) is not None:
+                    heappush(agenda, (made >> BITS) << PLACES + BITS | at << BITS | made & SYMBOL)
+            if before >= 0 and (made := link(symbols[before] << BITS | symbol)) is not None:
+                heappush(agenda, (made >> BITS) << PLACES + BITS | before << BITS | made & SYMBOL)
+        return [s for s in symbols if s >= 0]
+
+    def merged_together(self, stretches: list[str]) -> Iterator[list[int]]:
+        """The same for many short stretches: a row of pairs' ranks is a stretch's agenda, and in each round every row merges its first least one."""
+        none = len(self.ranks)
+        sizes = np.array([len(s) for s in stretches])
+        rows, width = np.arange(len(stretches)), int(sizes.max())
+        points = np.zeros((len(rows), width + 1), np.int64)
+        points[np.arange(width + 1) < sizes[:, None]] = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)
+        symbols = np.where(np.arange(width + 1) < sizes[:, None], self.of_point[points], -1)
+        out = symbols.copy()
+
+        def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Numbers of the pairs among those that make pieces; the last number for others."""
+            keys = a << BITS | b
+            at = np.minimum(np.searchsorted(self.link_keys, keys), len(self.link_keys) - 1)
+            return np.where((self.link_keys[at] == keys) & (b >= 0), at, len(self.link_keys))
+
+        links = linked(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            first = self.link_ranks[links].argmin(axis=1)
+            here = np.arange(len(rows))
+            link = links[here, first]
+            going = self.link_ranks[link] < none
+            out[rows[~going]] = -1
+            out[rows[~going], : symbols.shape[1]] = symbols[~going]
+            rows, symbols, links, first, link = rows[going], symbols[going], links[going], first[going], link[going]
+            if not len(rows):
+                break
+            here, places = np.arange(len(rows)), np.arange(symbols.shape[1])
+            symbols = np.where(places > first[:, None], np.pad(symbols[:, 1:], ((0, 0), (0, 1)), constant_values=-1), symbols)
+            symbols[here, first] = self.link_symbols[link]
+            links = np.where(places[:-1] > first[:, None], np.pad(links[:, 1:], ((0, 0), (0, 1)), constant_values=len(self.link_keys)), links)
+            links[here, first] = linked(symbols[here, first], symbols[here, first + 1])
+            before = np.flatnonzero(first > 0)
+            links[before, first[before] - 1] = linked(symbols[before, first[before] - 1], symbols[before, first[before]])
+        for row, n in zip(out, (out >= 0).sum(axis=1)):
+            yield row[:n].tolist()
+
+    def _ids(self, symbols: list[int]) -> list[int]:
+        beyond = len(self.names)
+        if max(symbols) < beyond:
+            return symbols
+        out: list[int] = []
         for symbol in symbols:
-            known = self.single.get(symbol, self.unknown)
-            if known == self.unknown and self.bytes:
-                out += [self.bytes[b] for b in symbol.encode()]
-            else:
-                out.append(known)
+            if symbol < beyond:
+                out.append(symbol)
+                continue
+            known = self.reserved.get(chr(symbol - beyond), self.unknown)
+            out += [self.bytes[b] for b in chr(symbol - beyond).encode()] if known == self.unknown and self.bytes else [known]
         return out
 
-    def encoded(self, text: str) -> bytes:
-        """The ids as 32-bit integers."""
-        normal = self.library.normalize(text)
-        stretches = self.parted.findall(normal) if self.parted else [normal] if normal else []
-        known, long = self.known, {}
-        for stretch in set(stretches).difference(known):
-            (known if len(stretch) <= CACHE_CHARS else long)[stretch] = array("i", self._ids(stretch)).tobytes()
-        out = b"".join([known.get(s) or long[s] for s in stretches] if long else map(known.__getitem__, stretches))
+    def normal(self, text: str) -> str:
+        if not self.plain:
+            return self.library.normalize(text)
+        return self.prefix + text.replace(" ", SPACE) if text else ""
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
+        find = self.parted.findall if self.parted else lambda text: [text] if text else []
+        parts = [find(self.normal(text)) for text in texts]
+        known, new = self.known, list(set().union(*parts).difference(self.known))
+        short = sorted((s for s in new if len(s) <= CACHE_CHARS), key=len)  # rows of about the same width together
+        for begin in range(0, len(short), TOGETHER):
+            some = short[begin : begin + TOGETHER]
+            known.update((s, array("i", self._ids(symbols)).tobytes()) for s, symbols in zip(some, self.merged_together(some)))
+        for stretch in set(new).difference(short):
+            known[stretch] = array("i", self._ids(self.merged(stretch))).tobytes()
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for stretch in set(new).difference(short):
+            del known[stretch]
         if len(known) > CACHE_STRETCHES:  # those met first are mostly frequent ones
             for stretch in list(known)[CACHE_STRETCHES // 2 :]:
                 del known[stretch]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encoded(text), np.int32).tolist()
+        return np.frombuffer(self.encoded([text])[0], np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         if ids and self.kinds[ids[0]] == NORMAL and not self.squeezed:
@@ -241,22 +317,31 @@ def _checked(kind: str, got: list, want: list) -> list:
     return got
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ids (array<int>) of each text by the model at ``path``, a file that every machine has."""
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
+    """``key`` and ids (array<int>) of each text by the model at ``path``, a file that every machine has; with ``back``, also the text that they
+    decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            raw = [model.encoded(t) for t in texts]
+            raw = model.encoded(texts)
             want = model.library.encode(texts, num_threads=1)
             ids = np.frombuffer(b"".join(raw), np.int32)
             ends = np.cumsum([0, *map(len, raw)]) // ids.itemsize
             if len(ids) != sum(map(len, want)) or (ids != np.fromiter(chain.from_iterable(want), np.int32, len(ids))).any():
                 _checked("encoding", [ids[a:b].tolist() for a, b in pairwise(ends)], want)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], [key, "ids"])
+            out = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+            if back:
+                out.append(_texts(model, want))  # the same ids
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    names = [key, "ids", *(["text"] if back else [])]
+    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>" + ", text string" * back)
+
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+def _texts(model: Pieces, rows: list[list[int]]) -> pa.Array:
+    return pa.array(_checked("decoding", [model.decode(i) for i in rows], model.library.decode(rows, num_threads=1) if rows else []), pa.string())
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -267,7 +352,6 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
         for batch in batches:
             flat, ends = batch.column(1).values.to_numpy(), np.asarray(batch.column(1).offsets)
             rows = [flat[a:b].tolist() for a, b in pairwise(ends)]
-            texts = _checked("decoding", [model.decode(i) for i in rows], model.library.decode(rows, num_threads=1) if rows else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [key, "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _texts(model, rows)], [key, "ids", "text"])
 
     return encoded.select(key, ids).mapInArrow(run, f"{key} {encoded.schema[key].dataType.simpleString()}, ids array<int>, text string")

@@ -27,9 +27,9 @@ def plain(model, segment):
     """Merges the best pair, the leftmost of equal ones, until there is none."""
     symbols = list(segment)
     while True:
-        pairs = [(model.rank[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in model.rank]
+        pairs = [(-model.scores[model.ids[a + b]], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in model.ids]
         if not pairs:
-            return symbols
+            return [model.ids.get(s, len(model.names) + ord(s[0])) for s in symbols]
         _, i = min(pairs)
         symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
 
@@ -38,6 +38,13 @@ def test_agenda_matches_a_scan(model):
     for text in texts_of(1, 400):
         segment = text.replace(" ", "▁")
         assert model.merged(segment) == plain(model, segment)
+    some = [t.replace(" ", "▁")[:n] for n, t in enumerate(texts_of(7, 300), 1)]
+    assert list(model.merged_together(some)) == [plain(model, s) for s in some]
+
+
+def test_normalisation_is_the_librarys(model):
+    for text in ["", " ", " a  b ", "▁x", "\n\ta", *texts_of(6, 300)]:
+        assert model.normal(text) == model.library.normalize(text)
 
 
 def test_equals_the_library(model):
@@ -65,6 +72,8 @@ def test_frames(spark, model):
     coded = piece_codec.decode(piece_codec.encode(frame, PATH), PATH).collect()
     want = [(k, model.library.encode(t or ""), model.library.decode(model.library.encode(t or ""))) for k, t in rows]
     assert sorted(((r["doc_id"], list(r["ids"]), r["text"]) for r in coded), key=repr) == sorted(want, key=repr)
+    both = piece_codec.encode(frame, PATH, back=True).collect()
+    assert sorted(((r["doc_id"], list(r["ids"]), r["text"]) for r in both), key=repr) == sorted(want, key=repr)
     assert piece_codec.encode(frame.limit(0), PATH).count() == 0
     assert piece_codec.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), PATH).first()["text"] == ""
 
