@@ -7,7 +7,6 @@ rows a key, and geometry of one figure, are pandas functions by key (``applyInPa
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -196,36 +195,6 @@ def tightest_boxes(hull_points: DataFrame, key: str) -> DataFrame:
     return hull_points.groupBy(key).applyInPandas(box, f"{key} {dict(hull_points.dtypes)[key]}, cx double, cz double, length double, width double, angle double")
 
 
-def stitched_rings(ways: DataFrame, key: str) -> DataFrame:
-    """key, ring, i, node: rings closed by joining ways (way, nodes) at equal end nodes, in either direction; open chains are left out."""
-
-    def stitch(group: pd.DataFrame) -> pd.DataFrame:
-        ways = [list(nodes) for _, nodes in sorted(zip(group["way"], group["nodes"]), key=lambda w: w[0])]
-        at: dict[int, list[int]] = defaultdict(list)  # ways by end node, the last ones first
-        for i in range(len(ways) - 1, -1, -1):
-            for end in {ways[i][0], ways[i][-1]}:
-                at[end].append(i)
-        used, out, ring = [False] * len(ways), [], 0
-        for i, way in enumerate(ways):
-            if used[i]:
-                continue
-            used[i], chain = True, list(way)
-            while chain[0] != chain[-1]:
-                found = at[chain[-1]]
-                while found and used[found[-1]]:
-                    found.pop()
-                if not found:
-                    break
-                used[found[-1]], more = True, ways[found[-1]]
-                chain += (more if more[0] == chain[-1] else more[::-1])[1:]
-            if chain[0] == chain[-1] and len(chain) > 3:
-                out += [(group[key].iloc[0], ring, k, node) for k, node in enumerate(chain[:-1])]
-                ring += 1
-        return pd.DataFrame(out, columns=[key, "ring", "i", "node"])
-
-    return ways.groupBy(key).applyInPandas(stitch, f"{key} {dict(ways.dtypes)[key]}, ring int, i int, node long")
-
-
 def spread_choice(points: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """The ``n`` points of each group that greedy farthest-point selection picks, with their turn; ties go to the smaller key.
 

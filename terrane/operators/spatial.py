@@ -205,3 +205,28 @@ def densified(edges: DataFrame, step: float) -> DataFrame:
     out = edges.withColumn("_n", parts).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     t = F.col("k") / F.col("_n")
     return out.withColumns({"x": F.col("x1") + (F.col("x2") - F.col("x1")) * t, "z": F.col("z1") + (F.col("z2") - F.col("z1")) * t}).drop("_n")
+
+
+def clipped_lines(points: DataFrame, line: str, edges: DataFrame, polygon: str, pad: float, size: float) -> DataFrame:
+    """polygon, line, run (from 0), i, x, z: the runs of two points at least that stay of lines (line, i, x, z) clipped to polygons (their edges).
+
+    A point stays that lies in the polygon or within ``pad`` of its border, and so do both ends of a segment that meets the border.
+    """
+    own = cut_lineage(points.select(line, "i", "x", "z"), "points")
+    keyed = own.select(F.struct(line, "i").alias("_p"), "x", "z")
+    inside = points_in_polygons(keyed, "_p", edges, polygon, size).select("_p", polygon)
+    borders = edges.select(polygon, "x1", "z1", "x2", "z2")
+    cells = keyed.select("_p", "x", "z", _cell("x", size).alias("_cx"), _cell("z", size).alias("_cz"))
+    c = F.col
+    near = cells.join(_segment_cells(borders, size, pad), ["_cx", "_cz"]).where(G.segment_distance(c("x"), c("z"), c("x1"), c("z1"), c("x2"), c("z2")) <= pad).select("_p", polygon)
+    order = Window.partitionBy(line).orderBy("i")
+    segments = own.select(line, "i", F.lead("i").over(order).alias("_j"), c("x").alias("x1"), c("z").alias("z1"), F.lead("x").over(order).alias("x2"), F.lead("z").over(order).alias("z2")).where("_j IS NOT NULL")
+    a = _segment_cells(segments, size, 0.0).withColumnsRenamed({n: f"a_{n}" for n in ("x1", "z1", "x2", "z2")})
+    b = _segment_cells(borders, size, 0.0).withColumnsRenamed({n: f"b_{n}" for n in ("x1", "z1", "x2", "z2")})
+    hit = a.join(b, ["_cx", "_cz"]).where(G.segments_touch("a_", "b_")).select(polygon, line, F.explode(F.array("i", "_j")).alias("i"))
+    kept = inside.unionByName(near).select(polygon, f"_p.{line}", "_p.i").unionByName(hit).distinct()
+    numbered = own.withColumn("_k", F.row_number().over(order))
+    met = kept.join(numbered, [line, "i"])
+    by = Window.partitionBy(polygon, line)
+    runs = met.withColumn("_g", c("_k") - F.row_number().over(by.orderBy("_k"))).withColumn("_n", F.count("*").over(Window.partitionBy(polygon, line, "_g"))).where("_n >= 2")
+    return runs.withColumn("run", F.dense_rank().over(by.orderBy("_g")) - 1).select(polygon, line, "run", "i", "x", "z")

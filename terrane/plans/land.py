@@ -14,11 +14,12 @@ from terrane.operators import raster as R
 from terrane.operators import sequences as Q
 from terrane.operators import spatial as J
 from terrane.operators import stats as A
+from terrane.operators.alignment import aligned
 from terrane.operators.distance import transformed
 from terrane.operators.ranks import quantiles
 from terrane.plans.models import HULL_SQL
 from terrane.plans.registry import Registry
-from terrane.plans.space import CENTROIDS, DIST, PLANE, RINGS, ROAD_EDGES, ROAD_SQL, plane
+from terrane.plans.space import CENTROIDS, DIST, EDGES_SQL, PLANE, ROAD_EDGES, ROAD_SQL, plane, rings
 from terrane.plans.statistics import GRID, grid
 from terrane.plans.streams import event_stream
 from terrane.session import table
@@ -109,13 +110,15 @@ def q_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.witnessed(events, "event", "at", homes, "home", 0.1)
 
 
-_FIGURES = [(p, [*ring, ring[0]]) for p, ring in RINGS.items()] + [(8, [(0.0, 0.0), (0.4, 0.1), (0.6, 0.6), (0.1, 0.7)]), (9, [(0.5, 0.5)])]
-
-
-@query(f"""WITH p(id, i, x, z) AS (VALUES {", ".join(f"({k}, {i}, {x}::DOUBLE, {z}::DOUBLE)" for k, pts in _FIGURES for i, (x, z) in enumerate(pts))}), f AS (SELECT id, count(*) AS n, arg_min(x, i) = arg_max(x, i) AND arg_min(z, i) = arg_max(z, i) AS closed, bool_or(x BETWEEN 0.25 AND 0.5 AND z BETWEEN 0.0 AND 0.35) AS near, max(i) AS last FROM p GROUP BY 1)
+# A figure a label: its points, closed where the label isn't a multiple of 3; and one of each first point alone.
+@query(f"""WITH {EDGES_SQL}, p AS (SELECT poly AS id, i, x, z FROM rings UNION ALL SELECT poly, n, x, z FROM rings WHERE i = 0 AND poly % 3 > 0 UNION ALL SELECT poly + 1000, 0, x, z FROM rings WHERE i = 0),
+f AS (SELECT id, count(*) AS n, arg_min(x, i) = arg_max(x, i) AND arg_min(z, i) = arg_max(z, i) AS closed, bool_or(x BETWEEN 0.25 AND 0.5 AND z BETWEEN 0.0 AND 0.35) AS near, max(i) AS last FROM p GROUP BY 1)
 SELECT f.id, any_value(n >= 4 AND closed) AS ring, any_value(n >= 2) AS line, any_value(near) AS near, round(avg(x), 9) AS cx, round(avg(z), 9) AS cz FROM f JOIN p ON p.id = f.id AND NOT (closed AND n > 1 AND p.i = last) GROUP BY 1""")
 def q_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, [{"x": x, "z": z} for x, z in pts]) for k, pts in _FIGURES], "id int, pts array<struct<x: double, z: double>>")
+    own = rings(spark, sf_dir).select(F.col("poly").alias("id"), "i", "x", "z", "n")
+    closing, alone = own.where("i = 0 AND id % 3 > 0").withColumn("i", F.col("n")), own.where("i = 0").withColumn("id", F.col("id") + 1000)
+    points = F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "z"))), lambda p: F.struct(p["x"].alias("x"), p["z"].alias("z")))
+    rows = own.unionByName(closing.withColumn("i", F.col("i").cast("int"))).unionByName(alone).groupBy("id").agg(points.alias("pts"))
     cx, cz = G.vertex_mean(F.col("pts"))
     return rows.select("id", G.is_ring(F.col("pts")).alias("ring"), G.is_line(F.col("pts")).alias("line"), G.any_within(F.col("pts"), 0.25, 0.5, 0.0, 0.35).alias("near"), F.round(cx, 9).alias("cx"), F.round(cz, 9).alias("cz"))
 
@@ -213,6 +216,46 @@ def q_best_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.best_shift(cells.where("v > 420"), other, _SHIFTS).withColumn("iou", F.round("iou", 9))
 
 
+# Each label's points in cells of 0.02, and the same turned by 37 degrees and moved; the search starts 3 degrees off, and a quarter turn.
+def _align_sql(cell: float = 0.02, reach: int = 2) -> str:
+    at = "CAST(floor({0} / 0.02::DOUBLE) AS BIGINT)".format
+    c, s = "cos(radians(37.0::DOUBLE))", "sin(radians(37.0::DOUBLE))"
+    parts = [
+        f"own AS (SELECT DISTINCT label, ({at('x')} + 0.5::DOUBLE) * 0.02::DOUBLE AS x, ({at('z')} + 0.5::DOUBLE) * 0.02::DOUBLE AS z FROM plane)",
+        f"oth AS (SELECT DISTINCT label, {at(f'(x * {c} - z * {s} + 0.05::DOUBLE)')} AS ix, {at(f'(x * {s} + z * {c} - 0.03::DOUBLE)')} AS iz FROM plane WHERE vec_id % 11 > 0)",
+        "ctr AS (SELECT label, avg(ix + 0.5::DOUBLE) * 0.02::DOUBLE AS bx, avg(iz + 0.5::DOUBLE) * 0.02::DOUBLE AS bz, count(*) AS nb FROM oth GROUP BY 1), mean AS (SELECT label, avg(x) AS mx, avg(z) AS mz FROM own GROUP BY 1)",
+        "pts AS (SELECT label, x - mx AS x, z - mz AS z, bx, bz, nb FROM own JOIN mean USING (label) JOIN ctr USING (label))",
+    ]
+
+    def step(name: str, candidates: str, stays: str) -> None:
+        bx, bz = at("(bx + x * cos(radians(theta)) - z * sin(radians(theta)))"), at("(bz + x * sin(radians(theta)) + z * cos(radians(theta)))")
+        parts.append(f"{name}c AS ({candidates})")
+        parts.append(f"{name}t AS MATERIALIZED (SELECT DISTINCT label, k, theta, dx, dz, nb, {bx} + dx AS ix, {bz} + dz AS iz FROM pts JOIN {name}c USING (label))")
+        parts.append(f"{name}s AS MATERIALIZED (SELECT label, k, theta, dx, dz, count(o.ix) / (count(*) + nb - count(o.ix)) AS iou FROM {name}t t LEFT JOIN oth o USING (label, ix, iz) GROUP BY label, k, theta, dx, dz, nb)")
+        parts.append(f"{name} AS (SELECT label, theta, dx, dz, iou FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY iou DESC, CASE WHEN {stays} THEN 0 ELSE 1 END, k) AS r FROM {name}s) WHERE r = 1)")
+
+    step("a0", "SELECT DISTINCT label, k, (34.0::DOUBLE + 90 + 90 * k + 180) % 360 - 180 AS theta, 0::BIGINT AS dx, 0::BIGINT AS dz FROM oth, range(0, 4) r(k)", "true")
+    side = 2 * reach + 1
+    for n in (0, 1):
+        step(f"b{n}", f"SELECT label, k, theta + 0.5::DOUBLE * (k - 8) AS theta, dx, dz FROM {'a0' if n == 0 else 'm0'}, range(0, 17) r(k)", "k = 8")
+        step(f"m{n}", f"SELECT label, k, theta, dx + k // {side} - {reach} AS dx, dz + k % {side} - {reach} AS dz FROM b{n}, range(0, {side * side}) r(k)", f"k = {side * side // 2}")
+    parts.append("sec AS (SELECT label, list_sort(list(iou), 'DESC')[2] AS second FROM a0s GROUP BY label)")
+    return f"""WITH {PLANE}, {", ".join(parts)} SELECT label, round(theta, 6) AS theta, dx, dz, round(iou, 9) AS iou, round(second, 9) AS second,
+CASE WHEN iou > 0.8 AND iou - second > 0.1 THEN 'high' WHEN iou > 0.65 THEN 'medium' ELSE 'low' END AS confidence FROM m1 JOIN sec USING (label)"""
+
+
+@query(_align_sql())
+def q_turned_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = plane(spark, sf_dir)
+    at = lambda v: F.floor(v / 0.02)
+    c, s = F.cos(F.radians(F.lit(37.0))), F.sin(F.radians(F.lit(37.0)))
+    own = points.select("label", ((at(F.col("x")) + 0.5) * 0.02).alias("x"), ((at(F.col("z")) + 0.5) * 0.02).alias("z")).distinct()
+    other = points.where("vec_id % 11 > 0").select("label", at(F.col("x") * c - F.col("z") * s + 0.05).alias("ix"), at(F.col("x") * s + F.col("z") * c - 0.03).alias("iz"))
+    base = points.select("label").distinct().withColumn("base", F.lit(124.0))
+    found = aligned(own, other, "label", base, 0.02, 2)
+    return found.select("label", F.round("theta", 6).alias("theta"), "dx", "dz", F.round("iou", 9).alias("iou"), F.round("second", 9).alias("second"), "confidence")
+
+
 @query(f"""WITH {GRID}, m AS (SELECT avg(ix) AS mx, avg(iz) AS mz, avg(v) AS mv, covar_pop(ix, ix) AS xx, covar_pop(iz, iz) AS zz, covar_pop(ix, iz) AS xz, covar_pop(ix, v) AS xv, covar_pop(iz, v) AS zv FROM grid),
 f AS (SELECT (xv * zz - zv * xz) / (xx * zz - xz * xz) AS a, (zv * xx - xv * xz) / (xx * zz - xz * xz) AS b, mx, mz, mv FROM m) SELECT round(max(abs(v - (mv + a * (ix - mx) + b * (iz - mz)))), 5) AS residual, count(*) AS n FROM grid, f""")
 def q_affine_residual(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from terrane.functions import geometry as G
 from terrane.functions import scalars as S
 from terrane.operators import folds as M
 from terrane.plans.registry import Registry
-from terrane.plans.space import CENTROIDS, EDGES, EDGES_SQL, PLANE, edges, plane
+from terrane.operators import multipolygons as P
+from terrane.plans.space import CENTROIDS, EDGES_SQL, PLANE, edges, plane, rings
 from terrane.session import table
 
 registry = Registry()
@@ -99,15 +100,31 @@ def q_tightest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("label", *[F.round(c, 6).alias(c) for c in ("cx", "cz", "length", "width", "angle")])
 
 
-_WAYS = [(p, i, [i, (i + 1) % n] if i % 2 else [(i + 1) % n, i]) for p, i, *_, n in EDGES]
-
-
-@query(f"""WITH RECURSIVE ways(poly, way, a, b) AS (VALUES {", ".join(f"({p}, {i}, {a}::BIGINT, {b}::BIGINT)" for p, i, (a, b) in _WAYS)}),
-c(poly, i, node, tip, used) AS (SELECT poly, 0, a, b, [way] FROM ways WHERE way = 0 UNION ALL
-  SELECT c.poly, c.i + 1, c.tip, CASE WHEN w.a = c.tip THEN w.b ELSE w.a END, list_append(c.used, w.way) FROM c JOIN ways w ON w.poly = c.poly AND NOT list_contains(c.used, w.way) AND c.tip IN (w.a, w.b))
-SELECT poly, 0 AS ring, i, node FROM c""")
+# Rings are cut into ways of three edges, every other one backwards, numbered from their middle; label 3's ring is left open.
+@query(f"""WITH {EDGES_SQL}, w AS (SELECT *, (i // 3 + (n + 2) // 6) % ((n + 2) // 3) AS way FROM rings), s AS (SELECT poly, min(i) AS begin, way FROM w GROUP BY poly, way),
+z AS (SELECT poly, begin FROM s WHERE way = 0), o AS (SELECT w.*, begin, (w.i - begin + n) % n AS forward, least(n - begin, 3) AS first FROM rings w JOIN z USING (poly))
+SELECT poly, 0 AS ring, CAST(CASE WHEN (begin // 3) % 2 = 0 THEN forward ELSE (first - forward + n) % n END AS INTEGER) AS i, vec_id AS node FROM o WHERE poly <> 3""")
 def q_ring_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.stitched_rings(spark.createDataFrame(_WAYS, "poly int, way int, nodes array<long>"), "poly")
+    points = rings(spark, sf_dir)
+    part, parts = F.expr("i div 3"), F.expr("(n + 2) div 3")
+    own = points.select("poly", "n", "vec_id", "i", part.alias("part"), parts.alias("parts"))
+    ends = own.where("i % 3 = 0").select("poly", "n", "vec_id", F.expr("CASE WHEN i = 0 THEN n ELSE i END AS i"), F.expr("CASE WHEN i = 0 THEN parts - 1 ELSE part - 1 END AS part"), "parts")
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct("i", "vec_id"))), lambda p: p["vec_id"])
+    ways = own.unionByName(ends).groupBy("poly", "part", "parts").agg(nodes.alias("nodes")).where("poly <> 3 OR part <> 2")
+    ways = ways.select("poly", F.expr("(part + (parts div 2)) % parts AS way"), F.when(F.col("part") % 2 == 1, F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"))
+    return P.stitched(ways, ["poly"]).select("poly", "ring", "i", "node")
+
+
+# Half as large, each ring is a hole of its own ring and of others.
+@query(f"""WITH {EDGES_SQL}, a AS (SELECT poly, abs(sum(x1 * z2 - x2 * z1)) AS area FROM edges GROUP BY poly), v AS (SELECT r.poly AS ring, c.x + (r.x - c.x) * 0.5 AS x, c.z + (r.z - c.z) * 0.5 AS z FROM rings r JOIN cent c ON c.label = r.poly WHERE i = 0),
+h AS (SELECT ring, e.poly FROM v JOIN edges e ON (z1 > z) <> (z2 > z) AND x < (x2 - x1) * (z - z1) / (z2 - z1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+SELECT 1 AS relation, ring, arg_min(poly, row(area, poly)) AS around FROM h JOIN a USING (poly) GROUP BY ring""")
+def q_ring_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outer = rings(spark, sf_dir).select(F.lit(1).alias("relation"), F.col("poly").alias("ring"), "i", "x", "z")
+    centre = plane(spark, sf_dir).groupBy(F.col("label").alias("ring")).agg(F.avg("x").alias("_x"), F.avg("z").alias("_z"))
+    half = lambda c: (F.col(f"_{c}") + (F.col(c) - F.col(f"_{c}")) * 0.5).alias(c)
+    inner = outer.join(centre, "ring").select("relation", "ring", "i", half("x"), half("z"))
+    return P.nested(inner, outer, "relation", 0.05).select("relation", "ring", "around")
 
 
 def _spread_sql(turns: int) -> str:
@@ -142,7 +159,7 @@ def _clip_sql() -> str:
 
 @query(_clip_sql())
 def q_clip_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rings = edges(spark).where("poly <> 3").select("poly", "i", F.col("x1").alias("x"), F.col("z1").alias("z"))
+    rings = edges(spark, sf_dir).where("poly <> 3").select("poly", "i", F.col("x1").alias("x"), F.col("z1").alias("z"))
     return M.clipped(rings, "poly", _WINDOW).select("poly", "i", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import scalars as S
 from terrane.operators import graphs as G
+from terrane.operators import routes as R
 from terrane.operators import quality as D
 from terrane.operators import spatial as J
 from terrane.plans.registry import Registry
@@ -21,9 +22,9 @@ NEAR = f"near AS (SELECT a.vec_id AS src, b.vec_id AS dst, {DIST} AS cost FROM p
 CHAIN = "chain AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next, o_totalprice AS w FROM orders)"
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _near(spark: SparkSession, sf_dir: str, radius: float = 0.04) -> DataFrame:
     points = plane(spark, sf_dir).select("vec_id", "x", "z")
-    pairs = J.within_radius(points, points.withColumnRenamed("vec_id", "dst"), 0.04).where("vec_id <> dst")
+    pairs = J.within_radius(points, points.withColumnRenamed("vec_id", "dst"), radius).where("vec_id <> dst")
     return pairs.select(F.col("vec_id").alias("src"), "dst", F.col("d").alias("cost"))
 
 
@@ -63,6 +64,22 @@ def q_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.shortest_paths(near, near.agg(F.min("src").alias("id"))).select("id", F.round("cost", 7).alias("cost"))
 
 
+_KINDS = "CASE p.label % 5 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 1.3 WHEN 3 THEN 1.6 ELSE 0.8 END"
+
+
+@query(f"""WITH RECURSIVE {PLANE}, {NEAR.replace("0.04", "0.08")}, w AS (SELECT n.src, n.dst, n.cost * {_KINDS} AS cost FROM near n JOIN plane p ON p.vec_id = n.dst), pr AS (SELECT a.vec_id AS pair, b.vec_id AS goal FROM plane a JOIN plane b ON b.vec_id = a.vec_id + 37 WHERE a.vec_id % 25 = 0),
+paths(pair, id, cost, path, hops) AS (SELECT pair, pair, 0.0::DOUBLE, CAST(pair AS VARCHAR), 0 FROM pr UNION ALL
+  SELECT pair, id, cost, path, hops FROM (SELECT p.pair, w.dst AS id, min(p.cost + w.cost) AS cost, arg_min(p.path || '-' || w.dst, p.cost + w.cost) AS path, min(p.hops) + 1 AS hops FROM paths p JOIN w ON p.id = w.src WHERE p.hops < 40 GROUP BY p.pair, w.dst))
+SELECT pair, round(min(cost), 7) AS cost, arg_min(path, cost) AS path FROM paths JOIN pr USING (pair) WHERE id = goal GROUP BY pair""")
+def q_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = plane(spark, sf_dir)
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("secondary", "residential", "service", "track", "tertiary")]), (F.col("label") % 5 + 1).cast("int"))
+    costs = R.road_costs(_near(spark, sf_dir, 0.08).select(F.col("src").alias("a"), F.col("dst").alias("b")), points.select(F.col("vec_id").alias("id"), "x", "z", kinds.alias("kind")))
+    pairs = points.where("vec_id % 25 = 0").select(F.col("vec_id").alias("pair"), F.col("vec_id").alias("start"), (F.col("vec_id") + 37).alias("goal"))
+    found = R.routes(costs, pairs.join(points.select(F.col("vec_id").alias("goal")), "goal", "left_semi"))
+    return found.select("pair", F.round("cost", 7).alias("cost"), F.array_join(F.transform("path", lambda n: n.cast("string")), "-").alias("path"))
+
+
 @query("""WITH p AS (SELECT conv_id, turn, md5(text) AS h FROM conversations), t AS (SELECT conv_id, turn, CAST(length(text) % 7 AS BIGINT) AS k FROM conversations WHERE text IS NOT NULL),
 e AS (SELECT k AS a, lead(k) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t) SELECT DISTINCT least(a, b) || ':0' AS a, greatest(a, b) || ':0' AS b FROM e WHERE b IS NOT NULL AND a <> b""")
 def q_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

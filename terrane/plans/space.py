@@ -10,6 +10,7 @@ from terrane.functions import scalars as S
 from terrane.operators import quadtree
 from terrane.operators import raster as R
 from terrane.operators import spatial as J
+from terrane.operators.multipolygons import edges_of_rings
 from terrane.plans.registry import Registry
 from terrane.plans.statistics import GRID, grid
 from terrane.session import table
@@ -20,15 +21,11 @@ query = registry.query
 PLANE = "plane AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS z FROM embeddings)"
 DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z))"
 CENTROIDS = "cent AS (SELECT label, avg(x) AS x, avg(z) AS z FROM plane GROUP BY label)"
-#: Edges of four polygons: a square, an L, a bow-tie, a triangle.
-RINGS = {
-    1: [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)],
-    2: [(-0.2, -0.2), (0.2, -0.2), (0.2, -0.05), (-0.05, -0.05), (-0.05, 0.2), (-0.2, 0.2)],
-    3: [(0.0, 0.0), (0.3, 0.3), (0.3, 0.0), (0.0, 0.3)],
-    4: [(-0.25, 0.05), (0.25, 0.1), (0.0, 0.35)],
-}
-EDGES = [(p, i, *ring[i], *ring[(i + 1) % len(ring)], len(ring)) for p, ring in RINGS.items() for i in range(len(ring))]
-EDGES_SQL = "edges(poly, i, x1, z1, x2, z2, n) AS (VALUES " + ", ".join(f"({p}, {i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE, {n})" for p, i, a, b, c, d, n in EDGES) + ")"
+#: A polygon a label: its points in the order of their direction from the centre (stars), or of their ids (which cross themselves).
+RINGS_SQL = f"""around AS (SELECT p.*, CASE WHEN label % 2 = 0 THEN atan2(p.z - c.z, p.x - c.x) ELSE 0 END AS turn FROM plane p JOIN cent c USING (label)),
+rings AS (SELECT label AS poly, vec_id, x, z, row_number() OVER (PARTITION BY label ORDER BY turn, vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM around)"""
+EDGES_SQL = f"""{PLANE}, {CENTROIDS}, {RINGS_SQL}, edges AS (SELECT poly, i, x AS x1, z AS z1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(z) OVER w, first(z) OVER w) AS z2, n FROM rings
+WINDOW w AS (PARTITION BY poly ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 ROAD = [(-0.3, -0.3), (-0.1, 0.05), (0.1, 0.0), (0.3, 0.25)]
 ROAD_EDGES = [(i, *a, *b) for i, (a, b) in enumerate(zip(ROAD, ROAD[1:]))]
 ROAD_SQL = "road(seg, x1, z1, x2, z2) AS (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for i, a, b, c, d in ROAD_EDGES) + ")"
@@ -39,8 +36,19 @@ def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", at(1).alias("x"), at(2).alias("z"))
 
 
-def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGES, "poly int, i int, x1 double, z1 double, x2 double, z2 double, n int")
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """poly, vec_id, x, z, i and n: the points of a polygon a label, stars where it is even, in the order of ids where it is odd."""
+    points = plane(spark, sf_dir)
+    centre = points.groupBy("label").agg(F.avg("x").alias("_x"), F.avg("z").alias("_z"))
+    turn = F.when(F.col("label") % 2 == 0, F.atan2(F.col("z") - F.col("_z"), F.col("x") - F.col("_x"))).otherwise(0.0)
+    by = Window.partitionBy("label")
+    placed = points.join(centre, "label").withColumns({"i": F.row_number().over(by.orderBy(turn, "vec_id")) - 1, "n": F.count("*").over(by)})
+    return placed.select(F.col("label").alias("poly"), "vec_id", "x", "z", "i", "n")
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as edges: poly, i, x1 z1 x2 z2, n."""
+    return edges_of_rings(rings(spark, sf_dir), ["poly", "n"])
 
 
 @query(f"WITH {PLANE} SELECT a.vec_id, count(b.vec_id) AS n FROM plane a LEFT JOIN plane b ON a.vec_id <> b.vec_id AND {DIST} <= 0.05 GROUP BY 1")
@@ -81,9 +89,9 @@ def q_bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.overlapping_boxes(boxes, "id", 0.1).select("a", "b", F.round("area", 9).alias("area"))
 
 
-@query(f"""WITH {PLANE}, {EDGES_SQL} SELECT vec_id, poly FROM plane, edges WHERE (z1 > z) <> (z2 > z) AND x < (x2 - x1) * (z - z1) / (z2 - z1) + x1 GROUP BY vec_id, poly HAVING count(*) % 2 = 1""")
+@query(f"""WITH {EDGES_SQL} SELECT vec_id, poly FROM plane, edges WHERE (z1 > z) <> (z2 > z) AND x < (x2 - x1) * (z - z1) / (z2 - z1) + x1 GROUP BY vec_id, poly HAVING count(*) % 2 = 1""")
 def q_point_in_box_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.points_in_polygons(plane(spark, sf_dir), "vec_id", edges(spark), "poly", 0.05)
+    return J.points_in_polygons(plane(spark, sf_dir), "vec_id", edges(spark, sf_dir), "poly", 0.05)
 
 
 @query(f"""WITH {PLANE}, {ROAD_SQL}, t AS (SELECT vec_id, seg, x, z, x1, z1, x2, z2, least(greatest(((x-x1)*(x2-x1)+(z-z1)*(z2-z1))/((x2-x1)*(x2-x1)+(z2-z1)*(z2-z1)), 0), 1) AS t FROM plane, road),
@@ -96,22 +104,37 @@ def q_nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EDGES_SQL}, c AS (SELECT a.poly, a.i, b.i AS j, (a.x2-a.x1)*(b.z1-a.z1)-(a.z2-a.z1)*(b.x1-a.x1) AS o1, (a.x2-a.x1)*(b.z2-a.z1)-(a.z2-a.z1)*(b.x2-a.x1) AS o2,
   (b.x2-b.x1)*(a.z1-b.z1)-(b.z2-b.z1)*(a.x1-b.x1) AS o3, (b.x2-b.x1)*(a.z2-b.z1)-(b.z2-b.z1)*(a.x2-b.x1) AS o4
-  FROM edges a JOIN edges b ON a.poly = b.poly AND a.i + 2 <= b.i AND NOT (a.i = 0 AND b.i = a.n - 1)) SELECT poly, i, j FROM c WHERE o1 * o2 < 0 AND o3 * o4 < 0""")
+  FROM edges a JOIN edges b ON a.poly = b.poly AND a.i + 2 <= b.i AND NOT (a.i = 0 AND b.i = a.n - 1)) SELECT poly, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM c WHERE o1 * o2 < 0 AND o3 * o4 < 0""")
 def q_self_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.self_crossings(edges(spark), "poly", "i", "n", 0.05)
+    return J.self_crossings(edges(spark, sf_dir), "poly", "i", "n", 0.05)
 
 
 @query(f"WITH {EDGES_SQL} SELECT poly, round(sum(x1 * z2 - x2 * z1) / 2, 9) AS area FROM edges GROUP BY 1")
 def q_shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = F.transform(F.array_sort(F.collect_list(F.struct("i", "x1", "z1"))), lambda p: F.struct(p["x1"].alias("x"), p["z1"].alias("z")))
-    return edges(spark).groupBy("poly").agg(points.alias("ring")).select("poly", F.round(G.ring_area(F.col("ring")), 9).alias("area"))
+    return edges(spark, sf_dir).groupBy("poly").agg(points.alias("ring")).select("poly", F.round(G.ring_area(F.col("ring")), 9).alias("area"))
 
 
-@query(f"""WITH {ROAD_SQL}, n AS (SELECT *, CAST(greatest(ceil(sqrt((x1-x2)*(x1-x2)+(z1-z2)*(z1-z2)) / 0.03), 1) AS INTEGER) AS n FROM road)
-SELECT seg, CAST(k AS INTEGER) AS k, round(x1 + (x2 - x1) * (k / n::DOUBLE), 9) AS x, round(z1 + (z2 - z1) * (k / n::DOUBLE), 9) AS z FROM n, unnest(range(0, n)) AS u(k)""")
+@query(f"""WITH {EDGES_SQL}, d AS (SELECT *, CAST(greatest(ceil(sqrt((x1-x2)*(x1-x2)+(z1-z2)*(z1-z2)) / 0.03), 1) AS INTEGER) AS parts FROM edges)
+SELECT poly, CAST(i AS INTEGER) AS i, CAST(k AS INTEGER) AS k, round(x1 + (x2 - x1) * (k / parts::DOUBLE), 9) AS x, round(z1 + (z2 - z1) * (k / parts::DOUBLE), 9) AS z FROM d, unnest(range(0, parts)) AS u(k)""")
 def q_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    road = spark.createDataFrame(ROAD_EDGES, "seg int, x1 double, z1 double, x2 double, z2 double")
-    return J.densified(road, 0.03).select("seg", "k", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
+    return J.densified(edges(spark, sf_dir), 0.03).select("poly", "i", "k", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
+
+
+@query(f"""WITH {EDGES_SQL}, pts AS (SELECT vec_id // 25 AS line, vec_id % 25 AS i, vec_id, x * 1.5::DOUBLE AS x, z * 1.5::DOUBLE AS z FROM plane), star AS (SELECT * FROM edges WHERE poly % 4 = 0),
+ins AS (SELECT poly, vec_id FROM pts, star WHERE (z1 > z) <> (z2 > z) AND x < (x2 - x1) * (z - z1) / (z2 - z1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+t AS (SELECT *, least(greatest(((x-x1)*(x2-x1)+(z-z1)*(z2-z1))/((x2-x1)*(x2-x1)+(z2-z1)*(z2-z1)), 0), 1) AS t FROM pts, star),
+nr AS (SELECT DISTINCT poly, vec_id FROM t WHERE sqrt((x-(x1+t*(x2-x1)))*(x-(x1+t*(x2-x1)))+(z-(z1+t*(z2-z1)))*(z-(z1+t*(z2-z1)))) <= 0.01),
+sg AS (SELECT * FROM (SELECT *, lead(vec_id) OVER w AS vb, lead(x) OVER w AS xb, lead(z) OVER w AS zb FROM pts WINDOW w AS (PARTITION BY line ORDER BY i)) WHERE vb IS NOT NULL),
+o AS (SELECT poly, vec_id, vb, (xb-x)*(z1-z)-(zb-z)*(x1-x) AS o1, (xb-x)*(z2-z)-(zb-z)*(x2-x) AS o2, (x2-x1)*(z-z1)-(z2-z1)*(x-x1) AS o3, (x2-x1)*(zb-z1)-(z2-z1)*(xb-x1) AS o4 FROM sg, star),
+h AS (SELECT DISTINCT poly, vec_id, vb FROM o WHERE o1 * o2 <= 0 AND o3 * o4 <= 0),
+k AS (SELECT * FROM ins UNION SELECT * FROM nr UNION SELECT poly, vec_id FROM h UNION SELECT poly, vb FROM h),
+g AS (SELECT k.poly, p.*, p.i - row_number() OVER (PARTITION BY k.poly, line ORDER BY i) AS g FROM k JOIN pts p USING (vec_id)), r AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY poly, line, g) AS n FROM g) WHERE n >= 2)
+SELECT poly, line, CAST(dense_rank() OVER (PARTITION BY poly, line ORDER BY g) - 1 AS INTEGER) AS run, i, round(x, 9) AS x, round(z, 9) AS z FROM r""")
+def q_clip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = plane(spark, sf_dir).select(F.floor(F.col("vec_id") / 25).alias("line"), (F.col("vec_id") % 25).alias("i"), (F.col("x") * 1.5).alias("x"), (F.col("z") * 1.5).alias("z"))
+    clipped = J.clipped_lines(points, "line", edges(spark, sf_dir).where("poly % 4 = 0").drop("i", "n"), "poly", 0.01, 0.05)
+    return clipped.select("poly", "line", "run", "i", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
 
 
 @query(f"""WITH {PLANE}, {GRID}, p AS (SELECT vec_id, (x + 0.5) * 60 AS gx, (z + 0.5) * 60 AS gz FROM plane), b AS (SELECT *, CAST(floor(gx) AS INTEGER) AS bx, CAST(floor(gz) AS INTEGER) AS bz FROM p)

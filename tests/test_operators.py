@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
 from terrane.functions import scalars as S
-from terrane.operators import folds, graphs, land, quality, raster, relational, sequences, site_rules, spatial, stats
+from terrane.operators import folds, graphs, land, multipolygons, quality, raster, relational, sequences, site_rules, spatial, stats
 from terrane.sources import formats
 from terrane.streaming import events
 
@@ -196,7 +196,7 @@ def test_folds(spark):
     box = folds.tightest_boxes(hull, "k").first()
     assert (box["length"], box["width"], box["cx"], box["cz"]) == pytest.approx((3, 3, 1.5, 1.5))
     ways = spark.createDataFrame([(1, 1, [1, 2, 3]), (1, 2, [5, 4, 3]), (1, 3, [5, 6, 1]), (1, 4, [8, 9])], "rel int, way int, nodes array<long>")
-    assert [n for _, n in values(folds.stitched_rings(ways, "rel"), "i", "node")] == [1, 2, 3, 4, 5, 6]
+    assert [n for _, n in values(multipolygons.stitched(ways, ["rel"]), "i", "node")] == [1, 2, 3, 4, 5, 6]
     window = [(0.5, 0.0, 0.5, -1.0)]
     assert folds.clipped(hull, "k", window).agg(F.min("x")).first()[0] == 0.5
 
