@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from terrane.plans.registry import Registry
 from terrane.plans.space import PLANE, plane
+from terrane.plans.statistics import GRID, grid
 from terrane.session import table
 from terrane.sources import formats as O
+from terrane.sources import layers
 from terrane.sources.tables import shared_dir
 
 registry = Registry()
@@ -91,3 +94,56 @@ def q_appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     more = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return O.appended(rows, more, "id")
+
+
+def _layer(rows: DataFrame, order: list[str], name: str, fields: list[tuple[str, str]]) -> DataFrame:
+    """Rows written as a binary layer in this order, and read again in ranges of 1000 records."""
+    spark = rows.sparkSession
+    layers.register(spark)
+    options = {"path": _folder(spark, name), "fields": json.dumps(fields), "split": "1000"}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.format("layer").options(**options).mode("append").save()
+    return spark.read.format("layer").options(**options).load()
+
+
+@query(f"WITH {GRID} SELECT CAST(ix AS BIGINT) AS ix, CAST(iz AS BIGINT) AS iz, CAST(CAST(v / 7 AS FLOAT) AS DOUBLE) AS v FROM grid")
+def q_raster_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nx, cells = 64, grid(spark, sf_dir)
+    whole = spark.range(nx * nx).select(F.expr(f"CAST(id div {nx} AS INT) AS iz"), F.expr(f"CAST(id % {nx} AS INT) AS ix")).join(cells, ["ix", "iz"], "left")
+    layer = _layer(whole.select("iz", "ix", (F.coalesce("v", F.lit(-7.0)) / 7).alias("v")), ["iz", "ix"], "raster", [("v", "<f4")])
+    return layer.where("v >= 0").select(F.expr(f"id % {nx} AS ix"), F.expr(f"id div {nx} AS iz"), "v")
+
+
+@query("""SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS x, CAST(p_size AS BIGINT) AS kind, p_partkey % 256 AS r FROM part""")
+def q_record_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [("kind", "<i4"), ("x", "<f4"), ("r", "u1")]
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("x"), F.col("p_size").alias("kind"), (F.col("p_partkey") % 256).alias("r"))
+    return _layer(rows, ["p_partkey"], "records", fields).select("id", "x", "kind", "r")
+
+
+@query(f"WITH {GRID}, b AS (SELECT min(v) AS lo, (max(v) - min(v)) / 65535 AS step FROM grid) SELECT ix, iz, round(lo + round_even((v - lo) / step, 0) * step, 6) AS v FROM grid, b")
+def q_coded_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = O.coded(grid(spark, sf_dir), "v", 65535)
+    bounds = coded.select("offset", "scale").limit(1)  # all rows have the same
+    layer = _layer(coded.select("ix", "iz", "code"), ["ix", "iz"], "coded", [("ix", "<i2"), ("iz", "<i2"), ("code", "<u2")])
+    return layer.crossJoin(F.broadcast(bounds)).select(F.col("ix").cast("int").alias("ix"), F.col("iz").cast("int").alias("iz"), F.round(F.col("offset") + F.col("code") * F.col("scale"), 6).alias("v"))
+
+
+@query("SELECT c_custkey, c_name AS name, round(c_acctbal, 2) AS x, CAST(c_nationkey AS DOUBLE) AS z FROM customer")
+def q_geojson_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = _folder(spark, "features")
+    at = F.to_json(F.array(F.round("c_acctbal", 2), F.col("c_nationkey").cast("double")))
+    properties = F.create_map(F.lit("id"), F.col("c_custkey").cast("string"), F.lit("name"), F.col("c_name"))
+    O.write_geojson_lines(table(spark, sf_dir, "customer").select(properties.alias("properties"), F.lit("Point").alias("geometry_type"), at.alias("coordinates")), where)
+    lines = spark.read.schema("type string, properties map<string, string>, geometry struct<type: string, coordinates: array<double>>").json(where)
+    return lines.where("type = 'Feature' AND geometry.type = 'Point'").select(F.col("properties")["id"].cast("long").alias("c_custkey"), F.col("properties")["name"].alias("name"), F.col("geometry.coordinates")[0].alias("x"), F.col("geometry.coordinates")[1].alias("z"))
+
+
+@query("""WITH c AS (SELECT p_brand, count(*) AS kinds, round(avg(p_retailprice), 4) AS price FROM part GROUP BY 1 HAVING count(*) % 2 = 0) SELECT p_partkey, coalesce(kinds, -1) AS kinds, coalesce(price, 0) AS price FROM part LEFT JOIN c USING (p_brand)""")
+def q_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where, parts = _folder(spark, "catalogue"), table(spark, sf_dir, "part")
+    brands = parts.groupBy("p_brand").agg(F.count("*").alias("kinds"), F.round(F.avg("p_retailprice"), 4).alias("price")).where("kinds % 2 = 0")
+    brands.select(F.to_json(F.struct("*")).alias("value")).write.text(where)
+    found = O.catalogue(spark, where, "p_brand string, kinds long, price double", lines=True)
+    missing = O.catalogue(spark, f"{where}-none", "p_brand string, kinds long, price double", [("none", -1, 0.0)]).select(F.col("kinds").alias("_k"), F.col("price").alias("_p"))
+    return parts.join(found, "p_brand", "left").crossJoin(F.broadcast(missing)).select("p_partkey", F.coalesce("kinds", "_k").alias("kinds"), F.coalesce("price", "_p").alias("price"))  # a row of defaults

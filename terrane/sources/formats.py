@@ -148,13 +148,13 @@ def appended(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
     return rows.unionByName(placed.select(*rows.columns))
 
 
-def catalogue(spark: SparkSession, path: str, schema: str, default: list[tuple] | None = None) -> DataFrame:
-    """Rows of a JSON catalogue; those of ``default`` where the path holds no file."""
+def catalogue(spark: SparkSession, path: str, schema: str, default: list[tuple] | None = None, lines: bool = False) -> DataFrame:
+    """Rows of a JSON catalogue (with ``lines``, one a line); those of ``default`` where the path holds no file."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
     if default is not None and not found:
         return spark.createDataFrame(default, schema)
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def write_metrics(rows: DataFrame, path: str) -> None:
