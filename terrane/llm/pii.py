@@ -8,8 +8,9 @@ map homoglyphs, forms of letters, digits and signs, and digits of other scripts
 ``name at host dot org`` and the like into signs, and runs of at least ``MIN_SPELLED`` digits, three or more of them spelled, into
 digits. ``point`` and a spaced ``.`` are signs only inside an address, as both are usual in prose: between four numbers, or in a
 host that ends in a known top-level domain (after the bare words ``at`` and ``chez``, one that isn't a word as well: ``at some point
-in`` and ``at noon . it`` are prose). The same detectors read the normalised text; their spans are mapped back to source
-characters and added unless plain spans of that kind cover them.
+in`` and ``at noon . it`` are prose). Signs between equal fences (``-at-``, ``_dot_``, ``* at *``) count where a whole address is written so,
+an ``@`` beside spaces before a dotted host that ends in a known domain, and signs written as character references or percent codes. The same
+detectors read the normalised text; their spans are mapped back to source characters and added unless plain spans of that kind cover them.
 
 Spans are code points, end exclusive. Cases: null and empty texts have no spans; repeated rows are judged alike; texts of any
 length are read whole.
@@ -130,7 +131,7 @@ def _maybe_spelled(text: str) -> bool:
     return b"\1" * (MIN_SPELLED - 2) in bytes([w in _DIGIT_WORDS for w in words])
 
 
-_AT = r"(?:at|arroba|chez|@)"
+_AT = r"(?:at|arroba|arobase|chez|@)"
 _DOT = r"(?:dot|punto|punkt|point|\.)"
 _SIGNS = re.compile(
     rf"(?P<at>\s*[\[({{<]\s*{_AT}\s*[\])}}>]\s*)|(?P<dot>\s*[\[({{<]\s*{_DOT}\s*[\])}}>]\s*)"
@@ -155,6 +156,14 @@ _WORDS = frozenset(
     "tv us uz va ve ws ye aero app asia blog cat club coop dev email jobs live mobi museum name news online pro shop site space store tech tel travel "
     "website world xyz".split()
 )
+_DOMAIN_ENDS = _DOMAINS | _WORDS
+# Signs as character references and percent codes.
+_CODED = {"@": re.compile(r"%40|&(?:#0{0,5}64|#x0{0,5}40|commat);", re.IGNORECASE), ".": re.compile(r"%2e|&(?:#0{0,5}46|#x0{0,5}2e|period);", re.IGNORECASE)}
+_FENCE_HINT = re.compile(r"[-_*~] {0,2}(?:at|arroba|arobase) {0,2}[-_*~]", re.IGNORECASE)
+_FENCED_AT = re.compile(r"(?<=[A-Za-z0-9])\s{0,3}([-_*~]{1,3}) {0,2}(?:at|arroba|arobase) {0,2}\1\s{0,3}(?=[A-Za-z0-9])", re.IGNORECASE)
+_FENCED_DOT = r"\s{{0,3}}{0} {{0,2}}(?:dot|punto|punkt|point|dott?) {{0,2}}{0}\s{{0,3}}(?=[A-Za-z0-9])"
+_LABEL = re.compile(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*?(?=\W|_|-|\Z)")
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,3}@\s{0,3}|@\s{1,3})(?=((?:[A-Za-z0-9-]+\.)+([A-Za-z]{2,24}))(?![A-Za-z0-9]))")
 _STRANGE = frozenset(_INVISIBLE) | frozenset(_LOOKS) | frozenset(chr(c) for c in range(128, 0x20000) if unicodedata.decimal(chr(c), None) is not None)
 
 
@@ -285,15 +294,72 @@ def _signs(tape: Tape) -> Tape:
     return tape.rewritten(edits)
 
 
+def _coded(tape: Tape) -> Tape:
+    """Character references and percent codes of signs that stand between letters or digits."""
+    edits = [(*m.span(), sign) for sign, pattern in _CODED.items() for m in pattern.finditer(tape.text) if _inner(tape.text, *m.span())]
+    return tape.rewritten(sorted(edits))
+
+
+def _inner(text: str, begin: int, end: int) -> bool:
+    return begin > 0 and end < len(text) and text[begin - 1].isalnum() and text[end].isalnum()
+
+
+def _fenced(tape: Tape) -> Tape:
+    """Addresses whose signs are words between fences: the @, and each dot of the host, which ends in a known domain."""
+    text, edits, floor = tape.text, [], 0
+    for sign in _FENCED_AT.finditer(text):
+        if sign.start() < floor:
+            continue
+        dot = re.compile(_FENCED_DOT.format(re.escape(sign[1])) + r"|\.(?=[A-Za-z0-9])", re.IGNORECASE)
+        at, dots, last = sign.end(), [], 0
+        while label := _LABEL.match(text, at):
+            if dots and label[0].lower() in _DOMAIN_ENDS:
+                last = len(dots)
+            found = dot.match(text, label.end())
+            if not found:
+                break
+            dots.append(found.span())
+            at = found.end()
+        if not last:
+            continue
+        edits.append((*sign.span(), "@"))
+        edits += [(a, b, ".") for a, b in dots[:last]]
+        floor = dots[last - 1][1]
+    # Dots between fences in the name before the sign.
+    before = []
+    for begin, _, new in edits:
+        if new == "@":
+            for m in re.finditer(r"([-_*~]{1,3}) {0,2}dot {0,2}\1", text[max(0, begin - 64) : begin], re.IGNORECASE):
+                span = max(0, begin - 64) + m.start(), max(0, begin - 64) + m.end()
+                if _inner(text, *span) and not re.search(r"\s", text[span[1] : begin]):
+                    before.append((*span, "."))
+    merged: list[tuple[int, int, str]] = []
+    for edit in sorted({*edits, *before}):
+        if not merged or edit[0] >= merged[-1][1]:
+            merged.append(edit)
+    return tape.rewritten(merged)
+
+
+def _spaced(tape: Tape) -> Tape:
+    return tape.rewritten([(*m.span(), "@") for m in _SPACED_AT.finditer(tape.text) if m[2].lower() in _DOMAIN_ENDS])
+
+
 def normalise(text: str) -> Tape | None:
     """The text without its disguises; None if it shows none."""
     strange = not text.isascii() and not _STRANGE.isdisjoint(text)
     tape = _glyphs(Tape.of(text)) if strange else None
     plain = tape.text if tape else text
+    if ("%" in plain or "&" in plain) and any(p.search(plain) for p in _CODED.values()):
+        tape = _coded(tape or Tape.of(text))
+        plain = tape.text
     if _maybe_spelled(plain):
         tape = _spelled(tape or Tape.of(text))
+    if _FENCE_HINT.search(plain):
+        tape = _fenced(tape or Tape.of(text))
     if _SIGNS_HINT.search(plain):
         tape = _signs(tape or Tape.of(text))
+    if " @" in plain or "@ " in plain or "\n@" in plain or "@\n" in plain:
+        tape = _spaced(tape or Tape.of(text))
     return tape
 
 
