@@ -141,6 +141,9 @@ def weather_chain(stations: DataFrame, hours: int, weights: dict[str, dict[str,
     return drawn.groupBy("station").applyInPandas(fold, f"station {dict(stations.dtypes)['station']}, hour int, state string")
 
 
+HULL_PART = 50_000
+
+
 def _hull(points: np.ndarray) -> np.ndarray:
     """Convex hull against the clock, from the leftmost point: lower and upper chains of the sorted points."""
     points = np.unique(points, axis=0)
@@ -161,7 +164,7 @@ def _hull(points: np.ndarray) -> np.ndarray:
 def hulls(points: DataFrame, key: str) -> DataFrame:
     """key, i, x, z: the vertices of each group's convex hull.
 
-    Groups of any size: first the hulls of bounded parts, dealt by hash, then the hulls of these.
+    Groups of any size: first the hulls of parts of about ``HULL_PART`` points, dealt by hash, then the hull of these.
     """
     kind = dict(points.dtypes)[key]
 
@@ -170,7 +173,8 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({key: group[key].iloc[0], "i": range(len(hull)), "x": hull[:, 0], "z": hull[:, 1]})
 
     schema = f"{key} {kind}, i int, x double, z double"
-    dealt = points.select(key, "x", "z").withColumn("_p", F.pmod(F.xxhash64("x", "z"), F.lit(64)))
+    parts = points.groupBy(key).agg(F.ceil(F.count("*") / HULL_PART).alias("_parts"))
+    dealt = points.select(key, "x", "z").join(parts, key).select(key, "x", "z", F.pmod(F.xxhash64("x", "z"), "_parts").alias("_p"))
     return dealt.groupBy(key, "_p").applyInPandas(part, schema).groupBy(key).applyInPandas(part, schema)
 
 

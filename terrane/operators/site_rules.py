@@ -19,6 +19,8 @@ WALL_HEIGHTS = {"house": (2.2, 9.0, 16.0), "shed": (1.8, 5.5, 12.0), "garage": (
 OTHER_WALL_HEIGHTS = (2.0, 12.0, 25.0)
 # Limits of the other rules, in metres, square metres, degrees and shares.
 SLENDER, PITCH, PITCH_FAIL, FLAT = 1.6, (8.0, 62.0), 75.0, 0.3
+# From which the scores of walls in the wrong order, and of pitches, are counted.
+ORDER_SCORE, USUAL_PITCH = 100, 35
 OVERLAP, OVERLAP_FAIL = 0.5, 0.3
 ROAD_AREA, ROAD_DEPTH, ROAD_AREA_FAIL, ROAD_DEPTH_FAIL, PATH_AREA = 1.0, 0.3, 10.0, 1.5, 3.0
 DOOR_OFF, DOOR_OFF_FAIL, DOOR_COS, DOOR_NEAR, DOOR_EXTRA = 0.3, 2.0, -0.3, 2.0, 8.0
@@ -66,7 +68,7 @@ def wall_heights(buildings: DataFrame, edges: DataFrame) -> DataFrame:
     """Eaves under the ground, ridges under the eaves; walls too high or low for their kind, or for their area."""
     of = lambda i: F.coalesce(*[F.when(_c("kind") == k, F.lit(v[i])) for k, v in WALL_HEIGHTS.items()], F.lit(OTHER_WALL_HEIGHTS[i]))
     rows = buildings.join(areas(edges), "id").withColumn("wall", _c("eave") - _c("ground"))
-    ordered = rows.where("NOT ground < eave").select(*_finding("order", F.lit("FAIL"), 100 - _c("wall")))
+    ordered = rows.where("NOT ground < eave").select(*_finding("order", F.lit("FAIL"), ORDER_SCORE - _c("wall")))
     low = rows.where("ground < eave AND ridge < eave - 0.01").select(*_finding("order", F.lit("FAIL"), _c("eave") - _c("ridge")))
     slender = _c("wall") / F.sqrt(F.greatest("area", F.lit(1.0))) > SLENDER
     severity = F.when(_c("wall") > of(2), "FAIL").when((_c("wall") > of(1)) | (_c("wall") < of(0)) | slender, "WARN")
@@ -84,7 +86,7 @@ def roofs(buildings: DataFrame, edges: DataFrame) -> DataFrame:
     spans = pitched.join(edges, "id").groupBy("id").agg(((F.max(across) - F.min(across)) / 2).alias("_half"))
     angle = F.degrees(F.atan2(_c("_rise"), F.greatest("_half", F.lit(0.1))))
     steep = F.when(_c("_rise") <= 0.05, "WARN").when(_c("_a") > PITCH_FAIL, "FAIL").when(~_c("_a").between(*PITCH), "WARN")
-    score = F.when(_c("_rise") <= 0.05, 1.0).when(_c("_a") > PITCH_FAIL, _c("_a")).otherwise(F.abs(_c("_a") - 35))
+    score = F.when(_c("_rise") <= 0.05, 1.0).when(_c("_a") > PITCH_FAIL, _c("_a")).otherwise(F.abs(_c("_a") - USUAL_PITCH))
     pitches = pitched.join(spans, "id").withColumn("_a", angle).withColumn("_s", steep).where("_s IS NOT NULL").select(*_finding("roof_pitch", _c("_s"), score))
     centres = pitched.where("ridge_x IS NOT NULL").select("id", _c("ridge_x").alias("x"), _c("ridge_z").alias("z")).join(edges, "id")
     crossing = G.crosses_ray(_c("x"), _c("z"), _c("x1"), _c("z1"), _c("x2"), _c("z2"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrane.functions import environment as V
 from terrane.functions import geometry as G
 from terrane.functions import scalars as S
+from terrane.operators import faces
 from terrane.operators import folds as M
 from terrane.operators import land as L
 from terrane.operators import raster as R
@@ -256,6 +257,33 @@ def q_turned_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", F.round("theta", 6).alias("theta"), "dx", "dz", F.round("iou", 9).alias("iou"), F.round("second", 9).alias("second"), "confidence")
 
 
+# A right-angled triangle a vector, with legs of 0.03, in the tilted plane of its label.
+@query(f"""WITH {PLANE} SELECT a.vec_id AS a, b.vec_id AS b FROM plane a JOIN plane b ON a.label = b.label AND a.vec_id < b.vec_id AND greatest(a.x, b.x) + greatest(a.z, b.z) < 0.03::DOUBLE + least(a.x + a.z, b.x + b.z)""")
+def q_coplanar_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = plane(spark, sf_dir)
+    up = lambda x, z: F.col("label") * 2 + x * 0.4 - z * 0.7
+    corners = {"a": (F.col("x"), F.col("z")), "b": (F.col("x") + 0.03, F.col("z")), "c": (F.col("x"), F.col("z") + 0.03)}
+    triangles = points.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("owner"), *[c for p, (x, z) in corners.items() for c in (x.alias(f"{p}x"), up(x, z).alias(f"{p}y"), z.alias(f"{p}z"))])
+    return faces.coplanar_overlaps(triangles, near=0.001, depth=1e-9, cell=0.1)
+
+
+@query(f"""WITH {PLANE}, o AS (SELECT vec_id AS id, label, x, label % 2 * 0.01::DOUBLE + vec_id % 3 * 0.02::DOUBLE AS y, z FROM plane), p AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y)) AS d FROM o a JOIN o b ON a.label = b.label AND a.id < b.id)
+SELECT a, b, round(d, 9) AS d FROM p WHERE d <= 0.04""")
+def q_doubled_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    height = F.col("label") % 2 * 0.01 + F.col("vec_id") % 3 * 0.02
+    return faces.doubled(plane(spark, sf_dir).select(F.col("vec_id").alias("id"), "label", "x", height.alias("y"), "z"), "label", 0.04).withColumn("d", F.round("d", 9))
+
+
+@query(f"""WITH {PLANE}, o AS (SELECT vec_id AS id, x, z, vec_id % 7 * 0.1::DOUBLE AS y, label * 0.05::DOUBLE AS h FROM plane WHERE vec_id % 2 = 0), t AS (SELECT x, z, vec_id % 5 * 0.1::DOUBLE AS top FROM plane WHERE vec_id % 2 = 1),
+s AS (SELECT id, max(top) AS top FROM o JOIN t ON sqrt((o.x - t.x) * (o.x - t.x) + (o.z - t.z) * (o.z - t.z)) <= 0.03 AND top <= y + 0.15::DOUBLE GROUP BY 1)
+SELECT id, round(y - greatest(h, top), 6) AS gap FROM o LEFT JOIN s USING (id) WHERE y - greatest(h, top) > 0.15""")
+def q_floating_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = plane(spark, sf_dir)
+    objects = points.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "x", "z", (F.col("vec_id") % 7 * 0.1).alias("y"), (F.col("label") * 0.05).alias("h"))
+    supports = points.where("vec_id % 2 = 1").select("x", "z", (F.col("vec_id") % 5 * 0.1).alias("top"))
+    return faces.floating(objects.drop("h"), supports, objects.select("id", "h"), 0.15, 0.03).withColumn("gap", F.round("gap", 6))
+
+
 @query(f"""WITH {GRID}, m AS (SELECT avg(ix) AS mx, avg(iz) AS mz, avg(v) AS mv, covar_pop(ix, ix) AS xx, covar_pop(iz, iz) AS zz, covar_pop(ix, iz) AS xz, covar_pop(ix, v) AS xv, covar_pop(iz, v) AS zv FROM grid),
 f AS (SELECT (xv * zz - zv * xz) / (xx * zz - xz * xz) AS a, (zv * xx - xv * xz) / (xx * zz - xz * xz) AS b, mx, mz, mv FROM m) SELECT round(max(abs(v - (mv + a * (ix - mx) + b * (iz - mz)))), 5) AS residual, count(*) AS n FROM grid, f""")
 def q_affine_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
