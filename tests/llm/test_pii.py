@@ -181,7 +181,7 @@ def test_recall_on_generated_disguises():
     assert met / total >= 0.95, met / total
 
 
-#: Written by hand, without a look at the tables: a disguise, and what of it is the identifier.
+#: Written by hand along with the rules: a disguise, and what of it is the identifier.
 BY_HAND = [
     ("email", "Write to bob @ example.com today", "bob @ example.com"),
     ("email", "Write to bob@ example.com today", "bob@ example.com"),
@@ -232,4 +232,61 @@ def test_clean_texts_stay_clean(text):
 
 def test_what_is_not_read_is_known():
     assert sum(any(pii.find(text)[1].values()) for text in NOT_READ) == 0
-    assert len(BY_HAND) / (len(BY_HAND) + len(NOT_READ)) > 0.85
+
+
+#: Ways to hide identifiers that were put together after the rules, and by which no rule was changed: 28 of 48 are read.
+LATER = [
+    ('email', 'john.smith (at) gmail (dot) com'),
+    ('email', 'john.smith[at]gmail.com'),
+    ('email', 'john dot smith at gmail dot com'),
+    ('email', 'john.smith AT gmail DOT com'),
+    ('email', 'john.smith@gmail(dot)com'),
+    ('email', 'john.smith at gmail.com'),
+    ('email', 'john.smith (@) gmail.com'),
+    ('email', 'john.smith @ gmail . com'),
+    ('email', 'john.smith{at}gmail{dot}com'),
+    ('email', 'john.smith <at> gmail <dot> com'),
+    ('email', 'john.smith|at|gmail|dot|com'),
+    ('email', 'john.smith "at" gmail "dot" com'),
+    ('email', "john.smith 'at' gmail 'dot' com"),
+    ('email', 'john.smith /at/ gmail /dot/ com'),
+    ('email', 'john.smith=at=gmail.com'),
+    ('email', 'john.smith#at#gmail.com'),
+    ('email', 'john.smith((at))gmail((dot))com'),
+    ('email', 'john.smith [ at ] gmail [ dot ] com'),
+    ('email', 'john.smith＠gmail．com'),
+    ('email', 'john.smith&#064;gmail.com'),
+    ('email', 'john.smith%40gmail%2Ecom'),
+    ('email', 'john.smith\\x40gmail.com'),
+    ('email', 'john.smith\\u0040gmail.com'),
+    ('email', 'j o h n @ g m a i l . c o m'),
+    ('email', 'john.smith@gmail,com'),
+    ('email', 'john.smith@gmail com'),
+    ('email', 'john.smith@NOSPAM.gmail.com'),
+    ('email', 'johnREMOVE@gmail.com'),
+    ('email', 'ｊｏｈｎ＠ｇｍａｉｌ．ｃｏｍ'),
+    ('email', 'john＿smith (ät) gmx (Punkt) de'),
+    ('email', 'john arroba gmail punto com'),
+    ('email', 'john chez orange point fr'),
+    ('email', 'john (klammeraffe) web.de'),
+    ('email', 'john [snabel-a] post.dk'),
+    ('email', 'jоhn@gmаil.com'),
+    ('phone', '+1 (five five five) 123 4567'),
+    ('phone', '+44 seven seven zero zero nine zero zero one two three'),
+    ('phone', 'plus one five five five one two three four five six seven'),
+    ('phone', '+１ ５５５ １２３ ４５６７'),
+    ('phone', '+1-555-O12-3456'),
+    ('ip', '192[.]168[.]1[.]10'),
+    ('ip', '192.168[.]1.10'),
+    ('ip', '192 . 168 . 1 . 10'),
+    ('ip', '192(dot)168(dot)1(dot)10'),
+    ('ip', '192,168,1,10'),
+    ('card', '4111.1111.1111.1111'),
+    ('card', '4111 1111 1111 １１１１'),
+    ('card', '４１１１１１１１１１１１１１１１'),
+]
+
+
+def test_recall_on_ways_that_no_rule_was_made_for():
+    met = sum(any(a <= 3 and b >= len(text) - 3 for a, b in pii.find(text)[1][kind]) for kind, text in LATER)
+    assert met >= 28
