@@ -59,7 +59,7 @@ def test_run(spark):
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
