@@ -19,15 +19,17 @@ from __future__ import annotations
 import functools
 import re
 import struct
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, pairwise
+from itertools import chain, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from terrane.llm.text import mix
+
 SPACE = "▁"
 #: Stretches whose ids a worker keeps (some 130 MB), and the longest such one.
 CACHE_STRETCHES, CACHE_CHARS = 900_000, 40
@@ -66,6 +68,42 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+def _gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that are given by begins and sizes, one after the other."""
+    at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+    at += np.arange(len(at))
+    return values[at]
+
+
+class Links:
+    """Numbers by pairs of symbols in hash tables: keys that meet in one place of a table go on to the next table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, none: int) -> None:
+        self.keys, self.values = np.append(keys, -1), np.append(values, none)
+        self.shift = np.uint64(64 - 4 - max(1, len(keys)).bit_length())
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.arange(len(keys))
+        while len(left) or not self.tables:
+            factor = mix(np.array([len(self.tables) + 1], np.uint64))[0] | np.uint64(1)
+            table = np.full(1 << 64 - int(self.shift), len(keys), np.int32)
+            places = self._places(keys[left], factor)
+            table[places] = left
+            self.tables.append((factor, table))
+            left = left[table[places] != left]
+
+    def _places(self, keys: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return keys.astype(np.uint64) * factor >> self.shift
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a << BITS | b
+        out = np.full(len(keys), self.values[-1])  # also where a or b is -1
+        for factor, table in self.tables:
+            at = table[self._places(keys, factor)]
+            hit = self.keys[at] == keys
+            out[hit] = self.values[at[hit]]
+        return out
+
+
 class Pieces:
     """A merge-type model: its pieces from the file, its normalisation from the library."""
 
@@ -95,10 +133,8 @@ class Pieces:
         self.ids = {name: i for i, (name, kind) in enumerate(zip(self.names, self.kinds)) if kind == NORMAL}
         self.reserved = {name: i for i, (name, kind) in enumerate(zip(self.names, self.kinds)) if kind != NORMAL}
         self.linked = self._linked()
-        # The same as arrays, with an entry for pairs that make no piece at the end.
-        self.link_keys = np.array(sorted(self.linked), np.int64)
-        made = np.array([self.linked[k] for k in self.link_keys.tolist()], np.int64)
-        self.link_ranks, self.link_symbols = np.append(made >> BITS, len(self.ranks)), np.append(made & SYMBOL, -1)
+        self.none = len(self.ranks) << BITS  # for pairs that make no piece
+        self.links = Links(np.array(list(self.linked), np.int64), np.array(list(self.linked.values()), np.int64), self.none)
         self.of_point = np.arange(0x110000, dtype=np.int64) + len(self.names)
         for name, i in self.ids.items():
             if len(name) == 1:
@@ -109,12 +145,25 @@ class Pieces:
         #: Decoded pieces; None for bytes.
         self.surface = [None if k == BYTE else "" if k == CONTROL else n.replace(SPACE, " ") for n, k in zip(self.names, self.kinds)]
         self.surface[self.unknown] = spec.get(44, b" \xe2\x81\x87 ").decode()
+        # The same as arrays: all bytes, and where each piece's begin; the pieces of bytes below 128 are characters by themselves.
+        raw = [bytes([self.byte_of[i]]) if n is None else n.encode() for i, n in enumerate(self.surface)]
+        self.surface_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.surface_sizes = np.array([len(r) for r in raw])
+        self.surface_begins = np.cumsum(self.surface_sizes) - self.surface_sizes
+        self.spaced = np.array([k == NORMAL and r[:1] == b" " for r, k in zip(raw, self.kinds)])
+        self.high = np.array([k == BYTE and r >= b"\x80" for r, k in zip(raw, self.kinds)])
+        self.begins_plainly = np.isin(self.kinds, (NORMAL, BYTE))
         self.prefixed = bool(rules.get(3, 1) or rules.get(4, 1))
         self.squeezed = bool(rules.get(4, 1))
         self.plain = not rules.get(2) and not self.squeezed
         self.prefix = SPACE if rules.get(3, 1) else ""
         self.parted = self._pattern()
-        self.known: dict[str, bytes] = {}
+        self._remember({}, *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.int32))
+
+    def _remember(self, known: dict[str, int], begins: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Numbers of stretches, a new one at each look-up of an unknown stretch; where the ids of each number are."""
+        self.known = defaultdict(count(len(begins)).__next__, known)
+        self.begins, self.sizes, self.flat = begins, sizes, flat
 
     def _pattern(self) -> re.Pattern | None:
         """What stretches look like: the classes of characters are the components of those that some piece holds side by side."""
@@ -180,42 +229,38 @@ class Pieces:
                 heappush(agenda, (made >> BITS) << PLACES + BITS | before << BITS | made & SYMBOL)
         return [s for s in symbols if s >= 0]
 
-    def merged_together(self, stretches: list[str]) -> Iterator[list[int]]:
-        """The same for many short stretches: a row of pairs' ranks is a stretch's agenda, and in each round every row merges its first least one."""
-        none = len(self.ranks)
+    def _merged_rows(self, stretches: list[str]) -> np.ndarray:
+        """The same for many short stretches, a row each, -1 behind their ends: a row of pairs is a stretch's agenda, and in each round every row
+        merges its first least one, so that all get shorter by one symbol."""
         sizes = np.array([len(s) for s in stretches])
         rows, width = np.arange(len(stretches)), int(sizes.max())
-        points = np.zeros((len(rows), width + 1), np.int64)
-        points[np.arange(width + 1) < sizes[:, None]] = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)
-        symbols = np.where(np.arange(width + 1) < sizes[:, None], self.of_point[points], -1)
+        inside = np.arange(width + 1) < sizes[:, None]
+        symbols = np.full((len(rows), width + 1), -1)
+        symbols[inside] = self.of_point[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)]
         out = symbols.copy()
-
-        def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """Numbers of the pairs among those that make pieces; the last number for others."""
-            keys = a << BITS | b
-            at = np.minimum(np.searchsorted(self.link_keys, keys), len(self.link_keys) - 1)
-            return np.where((self.link_keys[at] == keys) & (b >= 0), at, len(self.link_keys))
-
-        links = linked(symbols[:, :-1], symbols[:, 1:])
-        while len(rows):
-            first = self.link_ranks[links].argmin(axis=1)
-            here = np.arange(len(rows))
-            link = links[here, first]
-            going = self.link_ranks[link] < none
-            out[rows[~going]] = -1
-            out[rows[~going], : symbols.shape[1]] = symbols[~going]
-            rows, symbols, links, first, link = rows[going], symbols[going], links[going], first[going], link[going]
-            if not len(rows):
-                break
-            here, places = np.arange(len(rows)), np.arange(symbols.shape[1])
-            symbols = np.where(places > first[:, None], np.pad(symbols[:, 1:], ((0, 0), (0, 1)), constant_values=-1), symbols)
-            symbols[here, first] = self.link_symbols[link]
-            links = np.where(places[:-1] > first[:, None], np.pad(links[:, 1:], ((0, 0), (0, 1)), constant_values=len(self.link_keys)), links)
-            links[here, first] = linked(symbols[here, first], symbols[here, first + 1])
+        made = self.links.of(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(rows), width)
+        while True:
+            first = (made >> BITS).argmin(axis=1)
+            best = made[np.arange(len(rows)), first]
+            going = best < self.none
+            if not going.all():
+                out[rows[~going]] = -1
+                out[rows[~going], : symbols.shape[1]] = symbols[~going]
+                rows, symbols, made, first, best = rows[going], symbols[going], made[going], first[going], best[going]
+                if not len(rows):
+                    return out
+            here, behind = np.arange(len(rows)), np.arange(made.shape[1]) > first[:, None]
+            symbols = np.where(behind, symbols[:, 1:], symbols[:, :-1])
+            symbols[here, first] = best & SYMBOL
+            made = np.where(behind[:, :-1], made[:, 1:], made[:, :-1])
+            made[here, first] = self.links.of(symbols[here, first], symbols[here, first + 1])
             before = np.flatnonzero(first > 0)
-            links[before, first[before] - 1] = linked(symbols[before, first[before] - 1], symbols[before, first[before]])
-        for row, n in zip(out, (out >= 0).sum(axis=1)):
-            yield row[:n].tolist()
+            made[before, first[before] - 1] = self.links.of(symbols[before, first[before] - 1], symbols[before, first[before]])
+
+    def merged_together(self, stretches: list[str]) -> Iterator[list[int]]:
+        """The symbols that are left of each of many short stretches."""
+        for row in self._merged_rows(stretches):
+            yield row[row >= 0].tolist()
 
     def _ids(self, symbols: list[int]) -> list[int]:
         beyond = len(self.names)
@@ -235,34 +280,80 @@ class Pieces:
             return self.library.normalize(text)
         return self.prefix + text.replace(" ", SPACE) if text else ""
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers."""
+    def _learn(self, stretches: list[str]) -> None:
+        """Enter the ids of stretches; their numbers are the next ones."""
+        begins, sizes, flat, at = np.zeros(len(stretches), np.int64), np.zeros(len(stretches), np.int64), [self.flat], len(self.flat)
+        lengths = np.array([len(s) for s in stretches])
+        order = np.argsort(lengths, kind="stable")  # rows of about the same width together
+        short = int((lengths <= CACHE_CHARS).sum())
+        for begin in range(0, short, TOGETHER):
+            some = order[begin : min(begin + TOGETHER, short)]
+            symbols = self._merged_rows([stretches[i] for i in some.tolist()])
+            used = symbols >= 0
+            n, ids = used.sum(axis=1), symbols[used]
+            if ids.max() >= len(self.names):  # characters without a piece
+                lists = [self._ids(own.tolist()) for own in np.split(ids, np.cumsum(n)[:-1])]
+                n, ids = np.array([len(x) for x in lists]), np.fromiter(chain.from_iterable(lists), np.int64)
+            sizes[some], begins[some] = n, at + np.cumsum(n) - n
+            flat.append(ids.astype(np.int32))
+            at += len(ids)
+        for i in order[short:].tolist():  # the last ones, so that they can go again
+            flat.append(np.array(self._ids(self.merged(stretches[i])), np.int32))
+            sizes[i], begins[i] = len(flat[-1]), at
+            at += len(flat[-1])
+        self.begins, self.sizes, self.flat = np.append(self.begins, begins), np.append(self.sizes, sizes), np.concatenate(flat)
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one text after the other, and where each begins and the last one ends."""
         find = self.parted.findall if self.parted else lambda text: [text] if text else []
         parts = [find(self.normal(text)) for text in texts]
-        known, new = self.known, list(set().union(*parts).difference(self.known))
-        short = sorted((s for s in new if len(s) <= CACHE_CHARS), key=len)  # rows of about the same width together
-        for begin in range(0, len(short), TOGETHER):
-            some = short[begin : begin + TOGETHER]
-            known.update((s, array("i", self._ids(symbols)).tobytes()) for s, symbols in zip(some, self.merged_together(some)))
-        for stretch in set(new).difference(short):
-            known[stretch] = array("i", self._ids(self.merged(stretch))).tobytes()
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for stretch in set(new).difference(short):
-            del known[stretch]
-        if len(known) > CACHE_STRETCHES:  # those met first are mostly frequent ones
-            for stretch in list(known)[CACHE_STRETCHES // 2 :]:
-                del known[stretch]
-        return out
+        ends = np.cumsum([0, *map(len, parts)])
+        met = len(self.known)
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(ends[-1]))
+        new = list(islice(reversed(self.known), len(self.known) - met))[::-1]
+        if new:
+            self._learn(new)
+        sizes = self.sizes[numbers]
+        ids = _gathered(self.flat, self.begins[numbers], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        if long := [s for s in new if len(s) > CACHE_CHARS]:
+            self.flat = self.flat[: min(self.begins[self.known[s]] for s in long)]
+            for stretch in long:
+                del self.known[stretch]
+        if len(self.begins) > CACHE_STRETCHES:  # those met first are mostly frequent ones
+            stay = dict(islice(self.known.items(), CACHE_STRETCHES // 2))
+            of = np.fromiter(stay.values(), np.int64, len(stay))
+            sizes = self.sizes[of]
+            self._remember(dict(zip(stay, range(len(stay)))), np.cumsum(sizes) - sizes, sizes, _gathered(self.flat, self.begins[of], sizes))
+        return ids, ends
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encoded([text])[0], np.int32).tolist()
+        return self.encoded([text])[0].tolist()
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of many rows of ids. Rows with bytes of longer characters, or that begin with another kind of piece, go one by one."""
+        sizes, filled = np.diff(ends), np.flatnonzero(np.diff(ends) > 0)
+        apart = np.zeros(len(sizes), bool)
+        apart[filled] = ~self.begins_plainly[ids[ends[filled]]] | self.squeezed
+        apart[np.searchsorted(ends, np.flatnonzero(self.high[ids]), "right") - 1] = True
+        begins, lengths = self.surface_begins[ids], self.surface_sizes[ids]
+        first = ends[filled][self.spaced[ids[ends[filled]]]] if self.prefixed else np.zeros(0, np.int64)
+        begins[first] += 1
+        lengths[first] -= 1
+        lengths[np.repeat(apart, sizes)] = 0
+        offsets = np.concatenate([[0], np.cumsum(lengths)])[ends]
+        if offsets[-1] >= 1 << 31:
+            raise ValueError("texts of a batch are longer than 2 GB together")
+        data = _gathered(self.surface_bytes, begins, lengths)
+        out = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        if not apart.any():
+            return out
+        own = [self.decode(ids[ends[i] : ends[i + 1]].tolist()) for i in np.flatnonzero(apart)]
+        places = np.arange(len(sizes))
+        places[apart] = len(sizes) + np.arange(len(own))
+        return pa.concat_arrays([out, pa.array(own, pa.string())]).take(pa.array(places))
 
     def decode(self, ids: list[int]) -> str:
-        if ids and self.kinds[ids[0]] == NORMAL and not self.squeezed:
-            try:  # no bytes among them
-                return "".join(map(self.surface.__getitem__, ids)).removeprefix(" " if self.prefixed else "")
-            except TypeError:
-                pass
         out: list[str] = []
         begun = stripped = False
         raw = bytearray()
@@ -325,23 +416,25 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         model = _model(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            raw = model.encoded(texts)
-            want = model.library.encode(texts, num_threads=1)
-            ids = np.frombuffer(b"".join(raw), np.int32)
-            ends = np.cumsum([0, *map(len, raw)]) // ids.itemsize
-            if len(ids) != sum(map(len, want)) or (ids != np.fromiter(chain.from_iterable(want), np.int32, len(ids))).any():
-                _checked("encoding", [ids[a:b].tolist() for a, b in pairwise(ends)], want)
+            ids, ends = model.encoded(texts)
+            want = model.library.encode(texts, num_threads=1, return_type="numpy")
+            if not np.array_equal(ends, np.cumsum([0, *map(len, want)])) or not np.array_equal(ids, np.concatenate([ids[:0], *want])):
+                _checked("encoding", [ids[a:b].tolist() for a, b in pairwise(ends)], [w.tolist() for w in want])
             out = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
             if back:
-                out.append(_texts(model, want))  # the same ids
+                out.append(_texts(model, ids, ends))
             yield pa.RecordBatch.from_arrays(out, names)
 
     names = [key, "ids", *(["text"] if back else [])]
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>" + ", text string" * back)
 
 
-def _texts(model: Pieces, rows: list[list[int]]) -> pa.Array:
-    return pa.array(_checked("decoding", [model.decode(i) for i in rows], model.library.decode(rows, num_threads=1) if rows else []), pa.string())
+def _texts(model: Pieces, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    got, rows = model.decoded(ids, ends), [ids[a:b] for a, b in pairwise(ends)]
+    want = pa.array(model.library.decode(rows, num_threads=1) if rows else [], pa.string())
+    if not got.equals(want):
+        _checked("decoding", got.to_pylist(), want.to_pylist())
+    return got
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -351,7 +444,6 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
         model = _model(path)
         for batch in batches:
             flat, ends = batch.column(1).values.to_numpy(), np.asarray(batch.column(1).offsets)
-            rows = [flat[a:b].tolist() for a, b in pairwise(ends)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _texts(model, rows)], [key, "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _texts(model, flat[ends[0] : ends[-1]], ends - ends[0])], [key, "ids", "text"])
 
     return encoded.select(key, ids).mapInArrow(run, f"{key} {encoded.schema[key].dataType.simpleString()}, ids array<int>, text string")
