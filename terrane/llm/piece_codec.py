@@ -26,6 +26,7 @@ from itertools import chain, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from terrane.llm.text import mix
@@ -35,6 +36,8 @@ SPACE = "▁"
 CACHE_STRETCHES, CACHE_CHARS = 900_000, 40
 #: Stretches that are merged together.
 TOGETHER = 4096
+#: Bytes of text, or ids, that are coded at a time, besides those of one row.
+PORTION = 1 << 22
 
 #: Bits of a symbol, and of a place in a text, in the numbers of the agenda.
 BITS, PLACES = 21, 34
@@ -408,13 +411,20 @@ def _checked(kind: str, got: list, want: list) -> list:
     return got
 
 
+def _portions(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, in which the rows behind the first have less than PORTION together."""
+    group = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64) // PORTION
+    for a, b in pairwise([0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
     """``key`` and ids (array<int>) of each text by the model at ``path``, a file that every machine has; with ``back``, also the text that they
     decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for batch in batches:
+        for batch in chain.from_iterable(_portions(b, pc.binary_length(b.column(1))) for b in batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, ends = model.encoded(texts)
             want = model.library.encode(texts, num_threads=1, return_type="numpy")
@@ -442,7 +452,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for batch in batches:
+        for batch in chain.from_iterable(_portions(b, pc.list_value_length(b.column(1))) for b in batches):
             flat, ends = batch.column(1).values.to_numpy(), np.asarray(batch.column(1).offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _texts(model, flat[ends[0] : ends[-1]], ends - ends[0])], [key, "ids", "text"])
 

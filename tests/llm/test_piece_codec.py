@@ -5,6 +5,8 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +140,12 @@ def test_own_work_costs_about_as_much_as_the_librarys(model):
         model.library.encode(texts, num_threads=1)
         shares.append((middle - begin) / (time.process_time() - middle))
     assert min(shares) < 1.15
+
+
+def test_portions_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(piece_codec, "PORTION", 10)
+    for texts in ([], [None], ["x" * 99], ["", None, "abc", "x" * 50, None, "é" * 4, "abc", "abc", ""], ["a"] * 100):
+        column = pa.array(texts, pa.string())
+        parts = list(piece_codec._portions(pa.RecordBatch.from_arrays([column], ["text"]), pc.binary_length(column)))
+        assert [t for part in parts for t in part.column(0).to_pylist()] == texts
+        assert all(sum(len((t or "").encode()) for t in part.column(0).to_pylist()[1:]) < 10 for part in parts)
