@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, html_extract, langid, merkle, near_dedup, packing, pii, piece_codec, quality, suffix_dedup, topk, url_filter, vector_codes
+from terrane.llm import decontaminate, html_extract, langid, merkle, near_dedup, packing, passages, pii, piece_codec, quality, suffix_dedup, topk, url_filter, vector_codes
 from terrane.session import table
 
 URL_RULES = [
@@ -31,7 +31,8 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.strip_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    stripped = suffix_dedup.strip_repeats(docs.withColumn("key", passages.text_key("text"))).select("key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return stripped.join(passages.shared_words(docs), "key", "left").drop("key").fillna(0, ["n_shared_words"])
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
