@@ -46,11 +46,15 @@ def areas(edges: DataFrame) -> DataFrame:
 
 
 def samples(edges: DataFrame, step: float) -> DataFrame:
-    """id, x, z: points of a grid from each footprint's corner that lie in the footprint, row by row between its crossings."""
+    """id, x, z: points of a grid from each footprint's corner that lie in the footprint, row by row between its crossings.
+
+    Spark takes the points for no more rows than there are edges, and would send them through the driver to all executors where they meet something
+    else; they are hinted to be shuffled.
+    """
     corner = edges.groupBy("id").agg(F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("z1", "z2")).alias("z0"))
     inner = scanline.runs(edges.join(corner, "id"), "id", step, _c("x0"), _c("z0")).join(corner, "id")
     points = inner.withColumn("ix", F.explode(F.sequence("from_ix", "to_ix")))
-    return points.select("id", scanline.middle(_c("ix"), _c("x0"), step).alias("x"), scanline.middle(_c("iz"), _c("z0"), step).alias("z"))
+    return points.select("id", scanline.middle(_c("ix"), _c("x0"), step).alias("x"), scanline.middle(_c("iz"), _c("z0"), step).alias("z")).hint("merge")
 
 
 def road_depths(points: DataFrame, keys: list[str], segments: DataFrame, reach: float) -> DataFrame:
