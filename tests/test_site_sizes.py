@@ -29,3 +29,10 @@ def test_points_of_clashes_are_not_broadcast(spark, footprints):
     assert not sent_by_cell(found)
     rows = {r["id"]: (r["kind"], r["m2"]) for r in found.collect()}
     assert rows.keys() == set(range(17)) and all(rows[k] == ("residential", 100.0) for k in range(16))
+
+
+def test_points_on_roads_are_not_broadcast(spark, footprints):
+    found = site_rules.buildings_on_roads(footprints, spark.createDataFrame(ROAD, SEGMENT), 3.0)
+    assert not sent_by_cell(found)
+    rows = {r["id"]: (r["severity"], r["score"], r["depth"]) for r in found.collect()}
+    assert rows.keys() == set(range(17)) and all(rows[k] == ("FAIL", 22 * 0.25 * 20, 2.625) for k in range(16))
