@@ -65,8 +65,10 @@ def coplanar_overlaps(triangles: DataFrame, near: float = 0.01, turn: float = 0.
 
 
 def _overlap(depth: float) -> Column:
-    """Whether no axis in p's plane, at a right angle to an edge of either triangle, parts them."""
+    """Whether no axis in p's plane, at a right angle to an edge of either triangle, parts them. Corners are taken from p's first one: far from 0, rounding
+    would hide thin overlaps."""
     corner = lambda t, p: [_c(f"{t}_{p}{k}") for k in "xyz"]
+    moved = lambda t, p: [_c(f"{t}_{p}{k}") - _c(f"p_a{k}") for k in "xyz"]
     normal = [_c(f"p__n{k}") for k in "xyz"]
     tests = []
     for t in "pq":
@@ -74,7 +76,7 @@ def _overlap(depth: float) -> Column:
             edge = [y - x for x, y in zip(corner(t, a), corner(t, b))]
             axis = [edge[m] * normal[n] - edge[n] * normal[m] for m, n in ((1, 2), (2, 0), (0, 1))]
             long = F.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
-            at = {s: [reduce(Column.__add__, [x * y for x, y in zip(axis, corner(s, p))]) / long for p in "abc"] for s in "pq"}
+            at = {s: [reduce(Column.__add__, [x * y for x, y in zip(axis, moved(s, p))]) / long for p in "abc"] for s in "pq"}
             tests.append((F.greatest(*at["p"]) > F.least(*at["q"]) + depth) & (F.greatest(*at["q"]) > F.least(*at["p"]) + depth))
     return reduce(Column.__and__, tests)
 

@@ -264,7 +264,7 @@ def q_coplanar_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = lambda x, z: F.col("label") * 2 + x * 0.4 - z * 0.7
     corners = {"a": (F.col("x"), F.col("z")), "b": (F.col("x") + 0.03, F.col("z")), "c": (F.col("x"), F.col("z") + 0.03)}
     triangles = points.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("owner"), *[c for p, (x, z) in corners.items() for c in (x.alias(f"{p}x"), up(x, z).alias(f"{p}y"), z.alias(f"{p}z"))])
-    return faces.coplanar_overlaps(triangles, near=0.001, depth=1e-9, cell=0.1)
+    return faces.coplanar_overlaps(triangles, near=0.001, depth=0.0, cell=0.1)  # any overlap counts, as in the SQL
 
 
 @query(f"""WITH {PLANE}, o AS (SELECT vec_id AS id, label, x, label % 2 * 0.01::DOUBLE + vec_id % 3 * 0.02::DOUBLE AS y, z FROM plane), p AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y)) AS d FROM o a JOIN o b ON a.label = b.label AND a.id < b.id)
